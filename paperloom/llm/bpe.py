@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import documents, python_map
+from paperloom.llm.common import appended, documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = 1 << 62
@@ -120,38 +120,24 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _mapped(df: DataFrame, source: str, target: str, call) -> DataFrame:
-    """df with the binary column ``target`` made from ``source``; a column of that name is replaced."""
-    df = df.drop(target) if target != source else df
-    schema = T.StructType([*df.schema.fields, T.StructField(target, T.BinaryType())])
-    at = df.columns.index(source)
-
-    def run(batches):
-        for batch in batches:
-            made = pa.array([call(x.as_py()) for x in batch.column(at)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, target])
-
-    return python_map(df, run, schema)
-
-
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Add the ids of each whole text as packed little-endian unsigned 32-bit integers."""
     path = path or public_tokenizers.path(VOCABULARY)
-    return _mapped(df, text_col, ids_col, lambda text: codec(path, pattern).encode(text or ""))
+    return appended(df, text_col, [(ids_col, T.BinaryType(), pa.binary())], lambda text: (codec(path, pattern).encode(text or ""),))
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Add the bytes of packed ids; null ids give no bytes."""
     path = path or public_tokenizers.path(VOCABULARY)
-    return _mapped(df, ids_col, bytes_col, lambda packed: codec(path, pattern).decode(packed or b""))
+    return appended(df, ids_col, [(bytes_col, T.BinaryType(), pa.binary())], lambda packed: (codec(path, pattern).decode(packed or b""),))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    ids = encode(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
+def digests(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """doc_id, the kept columns, n_tokens, ids_sha256, decoded_sha256 of documents."""
+    ids = encode(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))).drop("text")
     back = decode(ids)
     return back.select(
-        "doc_id", F.expr("div(octet_length(token_ids), 4)").cast("bigint").alias("n_tokens"),
+        "doc_id", *keep, F.expr("div(octet_length(token_ids), 4)").cast("bigint").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

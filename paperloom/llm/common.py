@@ -8,8 +8,10 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.session import ship
 
@@ -17,6 +19,9 @@ from paperloom.session import ship
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows of ids that may be broadcast, at some tens of bytes each.
+BROADCAST_ROWS = 2_000_000
+
 _tables: list[tuple[SparkSession, str]] = []
 
 
@@ -45,9 +50,10 @@ def discard(df_or_path) -> None:
         _delete([t for t in _tables if t[1].rsplit("/", 1)[-1] in path])
 
 
-def release() -> None:
-    """Delete every staged table: call it only once the results that read them are written."""
-    _delete(list(_tables))
+def release(keep: DataFrame | None = None) -> None:
+    """Delete every staged table but one: call it only once the results that read them are written."""
+    paths = keep.inputFiles()[:1] if keep is not None else []
+    _delete([t for t in _tables if not any(t[1].rsplit("/", 1)[-1] in p for p in paths)])
 
 
 def _delete(tables) -> None:
@@ -71,6 +77,11 @@ def unit_hash(seed: str, *cols):
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast only if it has few rows by count; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -79,3 +90,18 @@ def python_map(df: DataFrame, call, schema) -> DataFrame:
     """mapInArrow with this package shipped to the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(call, schema)
+
+
+def appended(df: DataFrame, source: str, fields: list[tuple[str, T.DataType, pa.DataType]], call) -> DataFrame:
+    """df with columns that ``call`` makes of each value of ``source``, one tuple a row; columns of those names go."""
+    df = df.drop(*[name for name, *_ in fields if name != source])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind, _ in fields]])
+    at = df.columns.index(source)
+
+    def run(batches):
+        for batch in batches:
+            made = list(zip(*[call(x.as_py()) for x in batch.column(at)])) or [[] for _ in fields]
+            arrays = [pa.array(values, kind) for values, (_, _, kind) in zip(made, fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *[f[0] for f in fields]])
+
+    return python_map(df, run, schema)

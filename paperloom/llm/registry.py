@@ -1,7 +1,7 @@
 """Queries and SQL of the corpus operators."""
 
-from paperloom.llm import bpe, exact_dedup, mixing, sharding
+from paperloom.llm import ann, bpe, exact_dedup, langid, minhash, mixing, sharding, suffix_dedup, urls
 
-MODULES = (sharding, exact_dedup, bpe, mixing)
+MODULES = (minhash, suffix_dedup, langid, sharding, urls, exact_dedup, ann, bpe, mixing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
