@@ -1,4 +1,7 @@
 """Every query of the engine by name, with its SQL oracle."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from paperloom.plans import mapping_queries, record_queries, table_queries, text_queries
+
+_MODULES = (text_queries, mapping_queries, table_queries, record_queries)
+QUERIES = {name: call for module in _MODULES for name, call in module.CATALOG.queries.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.CATALOG.oracles.items()}

@@ -1 +1 @@
-"""Document mapping on Spark."""
+"""Query plans over the driver tables, each beside its SQL oracle."""
