@@ -20,13 +20,13 @@ def median3(luma: np.ndarray) -> np.ndarray:
 
 
 def skew_degrees(luma: np.ndarray, most: float = 5.0, step: float = 0.5, threshold: int = 128) -> float:
-    """The angle whose sheared rows vary most in ink."""
+    """The angle whose sheared rows vary most in ink; of equal ones the least."""
     ys, xs = np.nonzero(luma < threshold)
     if not len(ys):
         return 0.0
     height = luma.shape[0]
     best, least = 0.0, -1.0
-    for angle in np.arange(-most, most + step / 2, step):
+    for angle in sorted(np.arange(-most, most + step / 2, step), key=abs):
         rows = np.rint(ys + (xs - luma.shape[1] / 2) * np.tan(np.radians(angle))).astype(int)
         score = np.bincount(rows[(rows >= 0) & (rows < height)], minlength=height).var()
         if score > least + 1e-9:

@@ -127,7 +127,8 @@ def retry_delays(attempts: int, base_seconds: float) -> Column:
 def line_items(json: Column, names: list[str]) -> Column:
     """A JSON array of objects as array<struct<string...>>: number text stays as written, missing is empty."""
     schema = "array<struct<" + ",".join(f"`{n}`:string" for n in [*names, "_pg"]) + ">>"
-    rows = F.from_json(json, schema, {"prefersDecimal": "true"})
+    quoted = F.regexp_replace(json, r'((?<!\\)"\s*:\s*)(-?[0-9][0-9.eE+\-]*)(?=\s*[,}])', '$1"$2"')  # parsing would drop the scale
+    rows = F.from_json(quoted, schema)
     page = lambda r: F.coalesce(F.when(r["_pg"].try_cast("int") >= 1, r["_pg"].try_cast("int")), F.lit(1))
     return F.transform(rows, lambda r: F.struct(*[F.coalesce(r[n], F.lit("")).alias(n) for n in names], page(r).alias("page")))
 

@@ -107,25 +107,22 @@ def signed(df: DataFrame, body: str, secret: str, name: str = "signature") -> Da
     return df.withColumn(name, sign(body))
 
 
-def _stripped(value):
+class _Number(str):
+    """The text of a JSON number."""
+
+
+def _stripped(value) -> str:
     if isinstance(value, dict):
-        return {k: _stripped(v) for k, v in value.items() if not k.startswith("_")}
-    return [_stripped(v) for v in value] if isinstance(value, list) else value
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_stripped(v)}" for k, v in value.items() if not k.startswith("_")) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_stripped, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
 
 
 def strip_internal(text: str | None) -> str | None:
     """JSON without keys that start with an underscore, at any depth; anything else as it is. Number text stays."""
-    class Raw(float):
-        def __new__(cls, s):
-            made = super().__new__(cls, float(s))
-            made.text = s
-            return made
-
-        def __repr__(self):
-            return self.text
-
     try:
-        return json.dumps(_stripped(json.loads(text, parse_float=Raw)), ensure_ascii=False, separators=(",", ":"))
+        return _stripped(json.loads(text, parse_float=_Number, parse_int=_Number))
     except (TypeError, ValueError):
         return text
 
