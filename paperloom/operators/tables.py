@@ -215,3 +215,24 @@ def contiguous_columns(separators: Column, low: float = 0.0, high: float = 1.0,
     kept = F.filter(inside, lambda s, i: (i == 0) | (s - F.get(inside, i - 1) > least))
     starts, ends = F.concat(F.array(F.lit(low)), kept), F.concat(kept, F.array(F.lit(high)))
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def pixel_columns(cells: DataFrame, keys: list[str], width: float, height: float, zone_x: float, zone_w: float) -> DataFrame:
+    """keys, column, separator on the page, of pixel boxes (array of four) in a crop; malformed boxes are skipped."""
+    good = cells.where((F.size("box") == 4) & (F.get("box", F.lit(2)) > F.get("box", F.lit(0))) & F.lit(width > 0 and height > 0))
+    unit = good.select(*keys, (F.get("box", F.lit(0)) / width).alias("left"), (F.get("box", F.lit(2)) / width).alias("right"))
+    return detect_columns(unit, keys).withColumn("separator", zone_x + F.col("separator") * zone_w)
+
+
+def assemble_cells(read: DataFrame, fallback: DataFrame, keys: list[str], mode: str = "ALL") -> DataFrame:
+    """keys, band, column, text, confidence: the recognizer's read of a cell, or where that is empty its words.
+
+    Both have (keys, band, column, text, confidence); an empty cell has no confidence.
+    """
+    cell = [*keys, "band", "column"]
+    one = read.select(*cell, select_lines(F.col("text"), mode).alias("_read"), F.col("confidence").alias("_rc"))
+    two = fallback.select(*cell, select_lines(F.col("text"), mode).alias("_words"), F.col("confidence").alias("_wc"))
+    rows = one.join(two, cell, "full")
+    use = F.coalesce(F.col("_read") != "", F.lit(False))
+    text = F.when(use, F.col("_read")).otherwise(F.coalesce("_words", F.lit("")))
+    return rows.select(*cell, text.alias("text"), F.when(text != "", F.when(use, F.col("_rc")).otherwise(F.col("_wc"))).alias("confidence"))

@@ -322,3 +322,42 @@ def stream_capture(spark, sf):
     mapper = lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"))
     Z.write_mapped(stream, mapper, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@query("mode_routing", f"WITH {ORDERS_SQL} SELECT doc_type, CASE WHEN doc_type = 0 THEN 'INLINE' ELSE 'QUEUE' END AS route, count(*) AS n FROM docs GROUP BY 1, 2")
+def mode_routing(spark, sf):
+    mode = F.when(F.col("doc_type") == 0, "REALTIME").otherwise("QUEUE")
+    return orders(spark, sf).groupBy("doc_type", F.when(mode == "REALTIME", "INLINE").otherwise("QUEUE").alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("upload_validation", "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 500 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = doc_id % 40)")
+def upload_validation(spark, sf):
+    """Files that are not empty (here: over 500 bytes) and name an existing template."""
+    rows = I.table(spark, sf, "documents").where(F.octet_length("text") > 500).select("doc_id", (F.col("doc_id") % 40).cast("int").alias("n_nationkey"))
+    return R.with_any(rows, I.table(spark, sf, "nation"), "n_nationkey").select("doc_id")
+
+
+@query(
+    "review_hydrate",
+    f"""WITH {I.BLOCKS_SQL}, f AS (SELECT * FROM (VALUES (1, 'invoice_id'), (2, 'invoice_date'), (4, 'total')) v(field_id, label)) SELECT doc_id, field_id, label, content, CASE WHEN confidence < 0.7 THEN 'Low' WHEN confidence >= 0.85 THEN 'High' ELSE 'Medium' END AS band,
+      'block-' || block_id AS anchor FROM blocks JOIN f ON field_id = block_id""",
+)
+def review_hydrate(spark, sf):
+    fields = spark.createDataFrame([(1, "invoice_id"), (2, "invoice_date"), (4, "total")], "field_id int, label string")
+    values = I.blocks(spark, sf).withColumn("field_id", F.col("block_id").cast("int")).join(F.broadcast(fields), "field_id")  # a template's fields
+    anchor = S.block_anchor(F.concat(F.lit("TextBlock:"), F.col("block_id")))
+    return values.select("doc_id", "field_id", "label", "content", S.confidence_band(F.col("confidence"), 0.70).alias("band"), anchor.alias("anchor"))
+
+
+@query("document_detail", f"WITH {I.BLOCKS_SQL} SELECT o_orderkey AS doc_id, (SELECT count(*) FROM blocks WHERE doc_id = o_orderkey) AS blocks, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS cells FROM orders WHERE o_orderkey IN (7, 11, 13)")
+def document_detail(spark, sf):
+    ids = I.table(spark, sf, "orders").where(F.col("o_orderkey").isin(7, 11, 13)).select(F.col("o_orderkey").alias("doc_id"))
+    with_blocks = R.counted(ids, I.blocks(spark, sf), "doc_id", "blocks")
+    return R.counted(with_blocks, I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "cells")
+
+
+@query("save_result", f"WITH {I.BLOCKS_SQL} SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT * FROM blocks UNION ALL SELECT doc_id, page, 99, content, confidence FROM blocks WHERE block_id = 1)")
+def save_result(spark, sf):
+    rows = I.blocks(spark, sf)
+    added = rows.where("block_id = 1").withColumn("block_id", F.lit(99).cast("bigint"))
+    return rows.unionByName(added).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))

@@ -200,3 +200,41 @@ def multipage_concat(spark, sf):
 def page_runs(spark, sf):
     rows = I.lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), "row_idx", F.expr("div(row_idx - 1, 5) + 1").alias("page"))
     return P.page_runs(rows, "doc_id", "row_idx", "page")
+
+
+@query(
+    "cell_assembly",
+    f"""WITH {CELLED_SQL}, w AS (SELECT doc_id, band, col, string_agg(text, ' ' ORDER BY yc, x) AS text, max(word_id % 40 + 60) / CAST(100 AS DOUBLE) AS conf FROM celled GROUP BY 1, 2, 3)
+    SELECT doc_id, band, col AS column_name, CASE WHEN band % 2 = 0 AND col = 'qty' THEN 'read ' || band ELSE text END AS text, CASE WHEN band % 2 = 0 AND col = 'qty' THEN CAST(0.99 AS DOUBLE) ELSE conf END AS confidence FROM w""",
+)
+def cell_assembly(spark, sf):
+    found = bands(spark, sf)
+    placed = T.assign_cells(I.words(spark, sf), found, KEYS, COLUMNS)
+    confidence = placed.groupBy("doc_id", "band", "column").agg((F.max(F.col("word_id") % 40 + 60) / 100).alias("confidence"))
+    words = T.cell_texts(placed, KEYS).join(confidence, ["doc_id", "band", "column"])
+    text = F.when(F.col("band") % 2 == 0, F.concat(F.lit(" \nread "), F.col("band"))).otherwise(F.lit(" \n"))
+    read = found.select("doc_id", "band", F.lit("qty").alias("column"), text.alias("text"), F.lit(0.99).alias("confidence"))
+    return T.assemble_cells(read, words, KEYS).withColumnRenamed("column", "column_name")
+
+
+@query("pixel_columns", "SELECT grp, col, CAST(s AS DOUBLE) AS separator FROM (VALUES (0, 1, 0.216), (0, 2, 0.64), (1, 1, 0.216), (1, 2, 0.64)) v(grp, col, s)")
+def pixel_columns(spark, sf):
+    """Separators of boxes in a crop of 1000 x 500 pixels at 0.1 + 0.8 of the page; a malformed box is skipped."""
+    x = (F.col("x") * 1000).alias("x")
+    box = F.array(x, F.lit(0.0), (F.col("x") + F.col("w")) * 1000, F.lit(10.0))
+    cells = I.words(spark, sf).select((F.col("doc_id") % 2).cast("int").alias("grp"), F.when(F.col("word_id") == 4, F.array(F.lit(1.0))).otherwise(box).alias("box"))
+    found = T.pixel_columns(cells, ["grp"], 1000.0, 500.0, 0.1, 0.8)
+    return found.select("grp", F.col("column").alias("col"), F.round("separator", 6).alias("separator"))
+
+
+@query(
+    "multipage_build",
+    f"WITH {I.PAGES_SQL}, n AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT doc_id, page, CASE WHEN page = 1 THEN 10 ELSE 11 END AS field_id, least(5, n - 5 * (page - 1)) AS n_rows FROM inv_pages JOIN n USING (doc_id)",
+)
+def multipage_build(spark, sf):
+    """Each page's region of a table with a FIRST and a CONTINUATION region, and the rows that it reads."""
+    available = F.array(F.lit("FIRST"), F.lit("CONTINUATION"))
+    role = P.region_role(F.col("page"), F.col("pages"), available)
+    regions = I.pages(spark, sf).select("doc_id", "page", F.when(role == "FIRST", 10).otherwise(11).alias("field_id"))
+    rows = I.lines(spark, sf).groupBy(F.col("l_orderkey").alias("doc_id"), F.expr("cast(div(row_idx - 1, 5) + 1 as int)").alias("page")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return regions.join(rows, ["doc_id", "page"])
