@@ -189,7 +189,8 @@ def map_documents(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -
     if singles:
         wide = wide.join(resolve_cells(singles, cells), "doc_id", "left")
     for f in arrays:
-        found = resolve_rows(f, cells, orders)
+        dated = any(c.data_type == "DATE" for c in f.columns)  # only dates need the order, and the second pass for it
+        found = resolve_rows(f, cells, orders if dated else None)
         text = items_json(F.col("items"), sorted(f.columns, key=lambda c: c.sort_order))
         ref = F.concat(F.lit("Table:"), F.col("table_idx"), F.lit("/rows:"), F.col("n_rows"))
         wide = wide.join(found.select("doc_id", _struct(text, text, F.col("confidence"), ref).alias(f"f{f.field_id}")), "doc_id", "left")
