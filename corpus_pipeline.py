@@ -19,14 +19,14 @@ LEAST_SCORE = 0.5
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose ids are not listed."""
-    ids = small(staged(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    ids = small(staged(ids.select(F.col("doc_id").alias("__gone__")).distinct(), "gone"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__gone__")), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that the classifier is sure of go."""
-    found = langid.predict(docs, langid.language_model(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = langid.predict(docs, langid.language_model(docs), names=("__lang__", "__score__"))
+    return found.where((F.col("__lang__") != "und") & (F.col("__score__") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     mixed = mixing.mix(staged(mixing.sized(docs), "mix-sizes"))
-    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    copies = mixed.groupBy(F.col("doc_id").alias("__id__"), F.col("source").alias("__source__")).agg(F.max("copies").cast("int").alias("__copies__")).where("__copies__ > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("__id__")) & F.col("source").eqNullSafe(F.col("__source__"))
     taken = docs.join(small(staged(copies, "copies")), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return taken.withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("__copies__")))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

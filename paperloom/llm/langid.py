@@ -186,10 +186,10 @@ def train(learnable: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Documents with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Documents with the predicted language and its score, under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
-    fields = [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())]
+    fields = [(names[0], T.StringType(), pa.string()), (names[1], T.DoubleType(), pa.float64())]
     return appended(docs, text_col, fields, lambda text: shared.value.predict(text))
 
 

@@ -45,3 +45,18 @@ def test_stages_against_brute_force(spark, tmp_path):
         packed = own.encode(r.text)
         want.append((r.doc_id, r.source, r.lang, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()))
     assert got == sorted(want, key=str) and np.isfinite([w[3] for w in want]).all()
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs):
+    """Nulls, blank and repeated rows, and extra columns pass every stage; an empty table stays empty."""
+    for docs in (odd_docs, no_docs):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            rows = out.collect()
+            assert name == "byte_bpe" or out.columns == docs.columns
+            assert name == "mixing" or len(rows) <= n
+            if name == "exact_dedup" and n:
+                assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 5, 6, 6, 7, 8, 9, 10]
+            if name == "near_dedup" and n:
+                assert {r.doc_id for r in rows} == {1, 3, 4, 5, 6, 7, 8, 9, 10, None}
