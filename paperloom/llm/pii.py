@@ -41,18 +41,18 @@ _TITLE = "|".join(t for titles in TITLES.values() for t in titles.split())
 _SECRET = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?"
 PATTERNS = {
     "SECRET": r"(?=[TtSsPpAa])" + _SECRET + r"[A-Za-z0-9_\-/+]{16,}+",
-    "EMAIL": r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "IBAN": r"(?=[A-Z]{2}[0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
-    "PERSON": rf"(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]+",
+    "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "IBAN": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]+",
     "IPV4": r"(?<![0-9.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9]|\.[0-9])",
     "SSN": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "PHONE": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "CARD": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])",
 }
-#: Where an entity can start is decided first: at the start of a word, or at a digit, plus or bracket; so most
-#: positions of a text cost two comparisons.
-_WORDS, _NUMBERS = ("SECRET", "EMAIL", "IBAN", "PERSON"), ("IPV4", "SSN", "PHONE", "CARD")
-COMBINED = r"(?<![\p{L}\p{N}._%+\-])(?=[\p{L}0-9._%+\-])(?:" + "|".join(PATTERNS[k] for k in _WORDS) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERS) + ")"
+#: Each type has its own left boundary; what the alternatives share is decided first, so that most positions of a
+#: text cost a few comparisons.  A secret's key word may follow anything ('client_secret', 'DB_PASSWORD').
+_WORDS, _NUMBERS = ("EMAIL", "IBAN", "PERSON"), ("IPV4", "SSN", "PHONE", "CARD")
+COMBINED = PATTERNS["SECRET"] + r"|(?<![A-Za-z0-9])(?=[\p{Lu}A-Za-z0-9._%+\-])(?:" + "|".join(PATTERNS[k] for k in _WORDS) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERS) + ")"
 _CYRILLIC = r"[Ѐ-ӿ]"
 
 

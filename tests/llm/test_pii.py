@@ -56,3 +56,18 @@ def test_collisions_keep_values_apart(spark, monkeypatch):
         for i, text in rows:
             assert got[i] != text
             assert seen.setdefault(got[i], text) == text, (text, seen[got[i]])
+
+
+def test_left_boundaries(spark):
+    """A secret's key word after '_', '-', '.' or a letter, and e-mails and IBANs right after letters that are not ASCII."""
+    texts = [
+        "x client_secret=abcdefghij0123456789 y", "access_token: 2321bac4d15ec8f90433955bf9d3cf61", "export DB_PASSWORD=Abcdefgh12345678", "cfg.api-key='abcdefghij0123456789'", "mytoken=abcdefghij0123456789",
+        "邮箱anna.lee@mail.com", "почтаanna.lee@mail.com", "账号DE44500105175407324931AB!", "_Mr. Smith",
+    ]
+    got = {r.doc_id: r for r in run(spark, list(enumerate(texts))).collect()}
+    gone = ["abcdefghij0123456789", "2321bac4", "Abcdefgh12345678", "abcdefghij0123456789", "abcdefghij0123456789", "anna.lee", "anna.lee", "500105175407324931", "Smith"]
+    for i, (text, value) in enumerate(zip(texts, gone)):
+        assert got[i].n_entities == 1 and value not in got[i].text, (text, got[i].text)
+    assert got[0].text.startswith("x client_secret=") and got[2].text.startswith("export DB_PASSWORD=") and got[5].text.startswith("邮箱") and got[5].text.endswith(".com")
+    plain = ["Armrs Smith", "xMr. Smith", "XDE44500105175407324931AB"]
+    assert [r.text for r in run(spark, list(enumerate(plain))).orderBy("doc_id").collect()] == plain
