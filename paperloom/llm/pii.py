@@ -38,11 +38,34 @@ TITLES = {"f": "Mrs Ms Miss Madame Frau Señora Sra", "m": "Mr Monsieur Herr Se
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAMES = "|".join(n for names in GIVEN.values() for n in names.split())
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles.split())
+#: Lengths of IBANs by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Groups of four and a last shorter one, compact or spaced: of the country's length, else of 15 to 34 characters.
+
+    Without a country's length, a last group after a blank has a digit, so that a word or currency that follows stays.
+    """
+    def body(n):
+        return rf"(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+    known = "|".join(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}{body(n)}(?![A-Za-z0-9])" for n, countries in IBAN_LENGTHS.items())
+    def last(n):
+        return rf"(?:[A-Z0-9]{{1,{n}}}| (?=[A-Z]{{0,{n - 1}}}[0-9])[A-Z0-9]{{1,{n}}})"
+
+    other = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?: ?[A-Z0-9]{{4}}){{7}}{last(2)}?|(?: ?[A-Z0-9]{{4}}){{3,6}}{last(3)}?|(?: ?[A-Z0-9]{{4}}){{2}} ?[A-Z0-9]{{3}})(?![A-Za-z0-9])"
+    return rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})"
+
+
 _SECRET = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?"
 PATTERNS = {
     "SECRET": r"(?=[TtSsPpAa])" + _SECRET + r"[A-Za-z0-9_\-/+]{16,}+",
     "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "IBAN": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "IBAN": r"(?<![A-Za-z0-9])" + _iban(),
     "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]+",
     "IPV4": r"(?<![0-9.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9]|\.[0-9])",
     "SSN": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",

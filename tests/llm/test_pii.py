@@ -71,3 +71,24 @@ def test_left_boundaries(spark):
     assert got[0].text.startswith("x client_secret=") and got[2].text.startswith("export DB_PASSWORD=") and got[5].text.startswith("邮箱") and got[5].text.endswith(".com")
     plain = ["Armrs Smith", "xMr. Smith", "XDE44500105175407324931AB"]
     assert [r.text for r in run(spark, list(enumerate(plain))).orderBy("doc_id").collect()] == plain
+
+
+def test_ibans_are_taken_whole(spark):
+    """Lengths that are no multiple of four, compact and spaced; what follows one stays."""
+    whole = [
+        "DE89370400440532013000", "NL91ABNA0417164300", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S",
+        "XX12345678901234", "XX12ABCD5678ABCD56", "XX12" + 3 * "3456789012", "PL61109010140000071219812874", "DE441234567890123456",
+    ]
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in whole]
+    rows = [(i, f"to {x}.") for i, x in enumerate(whole + spaced)] + [(100, "PL61 1090 1014 0000 0712 1981 2874 EUR 500"), (101, "DE44 5001 0517 5407 3249 31 BIC"), (102, "XX12 3456 7890 1234 5678 EUR")]
+    got = {r.doc_id: r for r in run(spark, rows).collect()}
+    for i, x in enumerate(whole + spaced):
+        new = got[i].text[3:-1]
+        assert got[i].n_entities == 1 and got[i].text[:5] == "to " + x[:2] and got[i].text[-1] == ".", got[i].text
+        assert [(c.isdigit(), c.isupper(), c == " ") for c in new] == [(c.isdigit(), c.isupper(), c == " ") for c in x]
+        assert new != x and got[i % len(whole)].text == got[i].text.replace(" ", "").replace("to", "to ")
+    # over all of them, the last group is drawn anew like the rest
+    assert sum(got[i].text[3:-1].split()[-1] != x.split()[-1] for i, x in enumerate(spaced, len(whole))) >= len(whole) - 2
+    new = got[8 + len(whole)].text[3:-1].replace(" ", "")
+    assert sum(a == b for a, b in zip(new[2:], whole[8][2:])) < 12
+    assert got[100].text.endswith(" EUR 500") and got[101].text.endswith(" BIC") and got[102].text.endswith(" EUR") and all(got[i].n_entities == 1 for i in (100, 101, 102))
