@@ -62,15 +62,27 @@ def _iban() -> str:
 
 
 _SECRET = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?"
+_IPV4 = r"(?<![0-9.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9]|\.[0-9])"
+_SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
+_CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})"
+_NATIONAL = r"(?:\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})"
+#: What follows a blank and is an entity by itself is no further group of a phone number.
+_MORE = rf"(?! (?:{_IPV4}|{_SSN}|{_NATIONAL}(?![0-9])|{_CARD}(?![0-9]| [0-9]{{4}}(?![0-9]))))[ .\-]?[0-9]{{2,4}}"
+_TOO_LONG = "|".join(r"\+" + n * r"[ .\-()]{0,2}[0-9]" for n in range(16, 20))  # Java wants look-behinds without repeated groups
+#: Country code 1 has ten digits after it; any number has 15 digits at most.
+_INTERNATIONAL = (
+    r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])"
+    rf"|\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .\-]?[0-9]{{2,4}}{_MORE}(?:{_MORE}(?<!{_TOO_LONG}))?"
+)
 PATTERNS = {
     "SECRET": r"(?=[TtSsPpAa])" + _SECRET + r"[A-Za-z0-9_\-/+]{16,}+",
     "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "IBAN": r"(?<![A-Za-z0-9])" + _iban(),
     "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]+",
-    "IPV4": r"(?<![0-9.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9]|\.[0-9])",
-    "SSN": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "PHONE": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
-    "CARD": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])",
+    "IPV4": _IPV4,
+    "SSN": _SSN,
+    "PHONE": rf"(?<![0-9+])(?:{_INTERNATIONAL}|{_NATIONAL})(?![0-9])",
+    "CARD": _CARD + r"(?![0-9])",
 }
 #: Each type has its own left boundary; what the alternatives share is decided first, so that most positions of a
 #: text cost a few comparisons.  A secret's key word may follow anything ('client_secret', 'DB_PASSWORD').

@@ -92,3 +92,20 @@ def test_ibans_are_taken_whole(spark):
     new = got[8 + len(whole)].text[3:-1].replace(" ", "")
     assert sum(a == b for a, b in zip(new[2:], whole[8][2:])) < 12
     assert got[100].text.endswith(" EUR 500") and got[101].text.endswith(" BIC") and got[102].text.endswith(" EUR") and all(got[i].n_entities == 1 for i in (100, 101, 102))
+
+
+def test_phones_end_where_the_next_entity_starts(spark):
+    phones = ["+1 (826) 555-4081", "+18265554081", "+49 30 1234 5678", "+44 20 7946 0958"]
+    others = ["190.137.223.204", "4111 1111 1111 1111", "123-45-6789", "(743) 555-3824", "+1 (843) 555-7672"]
+    rows = [(100 * i + j, f"{a} {b} end") for i, a in enumerate(phones) for j, b in enumerate(others)]
+    rows += [(1000, "+1 (826) 555-4081 190 apples"), (1001, "+1 (826) 555-4081.5"), (1002, "+44 20 7946 0958 2024"), (1003, "+49 170 123 4567 89")] + [(2000 + i, a) for i, a in enumerate(phones)]
+    got = {r.doc_id: r for r in run(spark, rows).collect()}
+    for i, a in enumerate(phones):
+        for j, b in enumerate(others):
+            out = got[100 * i + j]
+            assert out.n_entities == 2 and out.text.startswith(got[2000 + i].text + " ") and out.text.endswith(" end"), out.text
+            kept = out.text[len(a) + 1 : -4].split(".") if j == 0 else None
+            assert kept is None or (len(kept) == 4 and kept != b.split(".")), out.text
+            assert a not in out.text and b not in out.text
+    assert got[1000].text == got[2000].text + " 190 apples" and got[1001].text == got[2000].text + ".5" and got[1002].text == got[2003].text + " 2024"
+    assert got[1003].n_entities == 1 and len(got[1003].text) == 19
