@@ -7,6 +7,8 @@ mixture takes several times is as many rows from there on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,16 @@ from paperloom.llm.common import documents, release, small, staged
 LEAST_SCORE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are not listed."""
-    ids = small(staged(ids.select(F.col("doc_id").alias("__gone__")).distinct(), "gone"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__gone__")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds 128 bits of the text's digest: with the id, they tell rows apart that the operators may mark differently."""
+    return docs.withColumn("__text__", F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), 1, 32)))
+
+
+def _without(docs: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """The documents whose keys are not those of a row that is marked as not kept."""
+    gone = marked.where("not kept").select(*[F.col(k).alias(f"__gone_{k}__") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__gone_{k}__")) for k in keys])
+    return docs.join(small(staged(gone, "gone")), same, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +39,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of equal contents stays: the longest as written."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    keyed = _keyed(docs)
+    return _without(keyed, exact_dedup.exact_dedup(keyed, carry=("__text__",)), ["doc_id", "__text__"]).drop("__text__")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id."""
-    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+    """One document of each group of near copies stays: the one with the least id.  Rows of one id are one node there; null ids stay."""
+    return _without(docs, minhash.near_duplicates(docs), ["doc_id"])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,19 +161,19 @@ def content_digest(text):
     return F.sha2(F.translate(F.coalesce(text, F.lit("")), SPACE_BYTES.decode(), ""), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 96 << 20) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 96 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, and the columns to carry.
 
     The join back to the documents is on the digest; a hot digest is a skewed side that AQE splits.
     """
     slim = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), content_digest(F.col(text_col)).alias("text_sha256"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("_length"),
+        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("_length"), *carry,
     )
     groups = exact_groups(docs, id_col, text_col, budget)
     return slim.join(groups, slim["text_sha256"] == groups["digest"]).select(
         "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_length") == F.col("keep_length"))).alias("kept"), "text_sha256",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_length") == F.col("keep_length"))).alias("kept"), "text_sha256", *carry,
     )
 
 

@@ -60,3 +60,18 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
                 assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 5, 6, 6, 7, 8, 9, 10]
             if name == "near_dedup" and n:
                 assert {r.doc_id for r in rows} == {1, 3, 4, 5, 6, 7, 8, 9, 10, None}
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    """A dropped row takes along no other row of its id, null or repeated."""
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (1, "a copy of this"), (None, "acopy of this"), (None, "unique one"), (None, "unique two"), (None, "two  blanks"), (None, "two blanks"), (None, None),
+        (2, "repeated id"), (2, "a  b c"), (3, "repeated  id"), (4, long), (5, long + " more"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    exact = corpus_pipeline.exact_duplicates(spark, docs, "")
+    got = {(r.doc_id, r.text) for r in exact.collect()}
+    assert exact.columns == docs.columns and got == set(rows) - {(None, "acopy of this"), (None, "two blanks"), (2, "repeated id")}
+    near = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert near == set(rows) - {(5, long + " more"), (3, "repeated  id")}
