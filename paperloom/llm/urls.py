@@ -7,8 +7,11 @@ the uniform distribution.  A URL that no rule decides is scored by the differenc
 the difference is calibrated by a logistic curve that is fitted on labelled URLs kept out of the counts, and
 probabilities of acceptance of one half or more allow the URL.
 
-Counts cover every labelled URL of the training folds; contexts are hashed to CONTEXTS slots, so the counts that
-reach the driver are bounded by CONTEXTS * 256 a model and the calibration by BINS a class.
+Counts cover every labelled URL of the training folds.  A gram is a byte after the ORDER bytes before it, in
+exact form: 9 bits a byte, 256 before the start; what is counted grows with the URLs and stays a table.  Counts of
+shorter contexts are sums over it, and the models become one number for each gram that occurs in a URL: the
+difference of its log-probabilities.  URLs are scored by joining their grams to that table, which is broadcast
+only if it has at most BROADCAST_GRAMS rows by count.  The calibration takes BINS counts a class to the driver.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and fits no rule; null is
 scored as the empty url, whose difference is 0; if either class has no labelled URL, what no rule decides is
@@ -21,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paperloom.llm.common import python_map
+from paperloom.llm.common import python_map, small, staged
 
 ORDER = 4
-CONTEXT_BITS = 14
-CONTEXTS = 1 << CONTEXT_BITS
+BYTE_BITS = 9
+BROADCAST_GRAMS = 1_000_000  # at 16 bytes
+CHUNK_BYTES = 1 << 20
 BINS, SPAN = 512, 4.0
 FOLDS = 5
 #: (rule, verdict): a host and, from its first slash, the start of a path.
@@ -53,70 +58,71 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and each order 0..ORDER, the slot of the bytes before it; and the bytes."""
-    padded = np.frombuffer(b"\x02" * ORDER + data, np.uint8).astype(np.uint32)
-    symbol = padded[ORDER:]
-    slots = np.empty((ORDER + 1, len(symbol)), np.int32)
-    h = np.zeros(len(symbol), np.uint32)
-    for order in range(ORDER + 1):
-        if order:
-            h = (h ^ (padded[ORDER - order : len(padded) - order] + np.uint32(1))) * np.uint32(0x9E3779B1)
-        mixed = (h + np.uint32(order)) * np.uint32(0x85EBCA6B)
-        mixed ^= mixed >> np.uint32(13)
-        slots[order] = (mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - CONTEXT_BITS)
-    return slots, symbol.astype(np.int32)
+def _chunks(urls: list):
+    """The URLs' bytes, in lists of bounded size (of one URL at least)."""
+    held, size = [], 0
+    for url in urls:
+        held.append((url or "").encode("utf-8"))
+        size += len(held[-1])
+        if size > CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all URLs in turn, the last byte in the lowest bits; and the URLs' lengths."""
+    lengths = np.fromiter(map(len, urls), np.int64, len(urls))
+    data = np.frombuffer(b"".join(urls), np.uint8).astype(np.int64)
+    at = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = data.copy()
+    for k in range(1, ORDER + 1):
+        before = np.full(len(data), 256, np.int64)
+        inside = np.flatnonzero(at >= k)
+        before[inside] = data[inside - k]
+        out |= before << np.int64(BYTE_BITS * k)
+    return out, lengths
 
 
 def _count(batches):
     for batch in batches:
-        held: dict[int, list] = {0: [], 1: []}
-        for url, label in zip(batch.column(0), batch.column(1).to_pylist()):
-            slots, symbol = contexts((url.as_py() or "").encode("utf-8"))
-            held[label].append((slots * 256 + symbol).ravel())
-        for label, parts in held.items():
-            if parts:
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), label, np.int32)), pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))], ["label", "slot", "n"])
-
-
-class MarkovModel:
-    """Witten-Bell interpolated counts of one class."""
-
-    def __init__(self, slot: np.ndarray, n: np.ndarray):
-        self.count = np.zeros(CONTEXTS * 256, np.float32)
-        self.count[slot] = n
-        table = self.count.reshape(CONTEXTS, 256)
-        self.total, self.kinds = table.sum(axis=1), (table > 0).sum(axis=1).astype(np.float32)
-
-    def log_likelihood(self, slots: np.ndarray, symbol: np.ndarray) -> float:
-        p = np.full(len(symbol), 1 / 256)
-        for at in slots:
-            weight = self.total[at] + self.kinds[at]
-            p = np.where(weight > 0, (self.count[at * 256 + symbol] + self.kinds[at] * p) / np.maximum(weight, 1), p)
-        return float(np.log(p).sum())
-
-
-class Ratio:
-    """The difference of two models' log-likelihoods a byte, and its calibration."""
-
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.counts, self.slope, self.offset, self._models = counts, 1.0, 0.0, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_models": None}
-
-    def difference(self, url: str | None) -> float:
-        data = (url or "").encode("utf-8")
-        if not data or len(self.counts) < 2:
-            return 0.0
-        if self._models is None:
-            self._models = {k: MarkovModel(*v) for k, v in self.counts.items()}
-        slots, symbol = contexts(data)
-        return (self._models[1].log_likelihood(slots, symbol) - self._models[0].log_likelihood(slots, symbol)) / len(data)
-
-    def acceptance(self, url: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.difference(url) + self.offset, -60, 60))))
+        label = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()], np.int64)
+        at = 0
+        for urls in _chunks(batch.column(0).to_pylist()):
+            gram, lengths = grams(urls)
+            of = np.repeat(label[at : at + len(urls)], lengths)
+            at += len(urls)
+            key, where = np.unique(gram, return_inverse=True)
+            n = [np.bincount(where[of == k], minlength=len(key)).astype(np.int64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n[0]), pa.array(n[1])], ["gram", "n0", "n1"])
+
+
+def gram_counts(urls: DataFrame) -> DataFrame:
+    """urls (url, label 1, 0 or null) -> gram, n0, n1 of every gram of every URL; those without a label count 0."""
+    counted = python_map(urls.select("url", "label"), _count, "gram bigint, n0 bigint, n1 bigint")
+    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def weights(counted: DataFrame) -> DataFrame:
+    """gram, delta: the log-probability of each gram in the accepting model less that in the rejecting one."""
+    tables = [counted]
+    for order in range(ORDER - 1, -1, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << BYTE_BITS * (order + 1)) - 1))
+        tables.append(staged(tables[-1].groupBy(suffix.alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams"))
+    known = None
+    for order, table in enumerate(reversed(tables)):
+        table = table.withColumn("ctx", F.shiftright("gram", BYTE_BITS))
+        seen = [F.sum(f"n{k}").alias(f"t{k}") for k in (0, 1)] + [F.count_if(F.col(f"n{k}") > 0).alias(f"d{k}") for k in (0, 1)]
+        rows = table.join(table.groupBy("ctx").agg(*seen), "ctx")
+        if known is None:
+            rows = rows.withColumn("q0", F.lit(1 / 256)).withColumn("q1", F.lit(1 / 256))
+        else:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << BYTE_BITS * order) - 1))
+            rows = rows.withColumn("shorter", shorter).join(known, "shorter")
+        p = [F.when(F.col(f"t{k}") > 0, (F.col(f"n{k}") + F.col(f"d{k}") * F.col(f"q{k}")) / (F.col(f"t{k}") + F.col(f"d{k}"))).otherwise(F.col(f"q{k}")) for k in (0, 1)]
+        known = staged(rows.select(F.col("gram").alias("shorter"), p[0].alias("q0"), p[1].alias("q1")), "grams")
+    return staged(known.select(F.col("shorter").alias("gram"), (F.log("q1") - F.log("q0")).alias("delta")), "weights")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -135,44 +141,72 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(a), float(b)
 
 
-def train(labelled: DataFrame) -> Ratio:
-    """labelled (url, label 1 or 0) -> a calibrated ratio."""
+def train(rows: DataFrame) -> tuple[DataFrame | None, float, float]:
+    """rows (url, label 1, 0 or null) -> weights of all their grams (None: a class is empty), and slope and offset."""
     fold = F.pmod(F.xxhash64(F.lit("calibration"), "url"), F.lit(FOLDS))
-    counted = python_map(labelled.where(fold != 0).select("url", "label"), _count, "label int, slot int, n bigint")
-    rows = counted.groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = {int(k): (g["slot"].to_numpy(np.int64), g["n"].to_numpy(np.float32)) for k, g in rows.groupby("label")}
-    ratio = Ratio(counts)
-    if len(counts) < 2:
-        return ratio
+    counted = staged(gram_counts(rows.withColumn("label", F.when(fold != 0, F.col("label")))), "grams")
+    sums = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    if not sums["n0"] or not sums["n1"]:
+        return None, 1.0, 0.0
+    delta = weights(counted)
     bins = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("difference") + SPAN) / (2 * SPAN) * BINS))).cast("int")
-    seen = differences(labelled.where(fold == 0), ratio, ["label"]).groupBy("label", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    if seen["label"].nunique() == 2:
-        x = (seen["bin"].to_numpy(float) + 0.5) / BINS * 2 * SPAN - SPAN
-        ratio.slope, ratio.offset = _logistic(x, seen["label"].to_numpy(float), seen["n"].to_numpy(float))
-    return ratio
-
-
-def differences(df: DataFrame, ratio: Ratio, keep: list[str]) -> DataFrame:
-    """The kept columns with difference and acceptance of each url."""
-    shared = df.sparkSession.sparkContext.broadcast(ratio)  # bounded by CONTEXTS * 256 counts a model
-    kinds = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keep)
+    seen = differences(rows.where((fold == 0) & F.col("label").isNotNull()), delta).groupBy("label", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    if seen["label"].nunique() < 2:
+        return delta, 1.0, 0.0
+    x = (seen["bin"].to_numpy(float) + 0.5) / BINS * 2 * SPAN - SPAN
+    return delta, *_logistic(x, seen["label"].to_numpy(float), seen["n"].to_numpy(float))
+
+
+def differences(df: DataFrame, delta: DataFrame | None) -> DataFrame:
+    """df with the difference of its url; an empty url or class gives 0."""
+    if delta is None:
+        return df.withColumn("difference", F.lit(0.0))
+    n = delta.count()
+    if n > BROADCAST_GRAMS:
+        return _joined(df, delta)
+    table = delta.toPandas().sort_values("gram")
+    shared = df.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(np.int64), table["delta"].to_numpy(np.float64)))
 
     def run(batches):
+        known, value = shared.value
         for batch in batches:
-            urls = batch.column(len(keep)).to_pylist()
-            made = [(shared.value.difference(u), shared.value.acceptance(u)) for u in urls]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.float64())], [*keep, "difference", "acceptance"])
+            made = [np.zeros(0)]
+            for urls in _chunks(batch.column(batch.schema.get_field_index("url")).to_pylist()):
+                gram, lengths = grams(urls)
+                total = np.bincount(np.repeat(np.arange(len(urls)), lengths), value[np.searchsorted(known, gram)] if len(gram) else None, len(urls))
+                made.append(total / np.maximum(lengths, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(made), pa.float64())], [*batch.schema.names, "difference"])
+
+    return python_map(df, run, T.StructType([*df.schema.fields, T.StructField("difference", T.DoubleType())]))
+
+
+def _exploded(batches):
+    for batch in batches:
+        at = 0
+        for urls in _chunks(batch.column(2).to_pylist()):
+            gram, lengths = grams(urls)
+            keys = [np.repeat(batch.column(k).to_numpy()[at : at + len(urls)], lengths) for k in (0, 1)]
+            at += len(urls)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(np.repeat(lengths, lengths)), pa.array(gram)], ["u1", "u2", "length", "gram"])
+
 
-    return python_map(df.select(*keep, "url"), run, f"{kinds}, difference double, acceptance double")
+def _joined(df: DataFrame, delta: DataFrame) -> DataFrame:
+    """The same by shuffled joins: each distinct url's grams meet the table, and their sums meet the rows."""
+    keys = [F.xxhash64("url").alias("u1"), F.xxhash64(F.lit("second"), "url").alias("u2")]
+    each = python_map(df.select("url").where("url is not null").distinct().select(*keys, "url"), _exploded, "u1 bigint, u2 bigint, length bigint, gram bigint")
+    sums = each.join(delta, "gram").groupBy("u1", "u2").agg((F.sum("delta") / F.max("length")).alias("difference"))
+    rows = df.select("*", *keys).join(small(staged(sums, "differences")), ["u1", "u2"], "left").drop("u1", "u2")
+    return rows.withColumn("difference", F.coalesce("difference", F.lit(0.0)))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, difference, acceptance of every page."""
     rows = with_rule(with_parts(pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"))), rules)
-    labelled = rows.where("rule is not null").select("url", (F.col("rule_verdict") == "allow").cast("int").alias("label"))
-    ratio = train(labelled)
-    scored = differences(rows, ratio, ["page_id", "host", "path", "rule", "rule_verdict"])
-    learned = F.when((F.col("acceptance") >= 0.5) | F.lit(len(ratio.counts) < 2), "allow").otherwise("block")
+    delta, slope, offset = train(rows.select("url", F.when(F.col("rule").isNotNull(), (F.col("rule_verdict") == "allow").cast("int")).alias("label")))
+    scored = differences(rows, delta)
+    z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("difference") * slope + offset))
+    scored = scored.withColumn("acceptance", 1 / (1 + F.exp(-z)))
+    learned = F.when((F.col("acceptance") >= 0.5) | F.lit(delta is None), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), "difference", "acceptance")
 
 

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+from paperloom.llm import urls as urls_module
 from paperloom.llm.urls import RULES, judge
 
 
@@ -47,3 +49,39 @@ def test_empty_and_unlabelled(spark):
     df = spark.createDataFrame([(1, "http://a.b/c"), (2, None)], "page_id bigint, url string")
     assert {r.verdict for r in judge(df).collect()} == {"allow"}
     assert judge(df.limit(0)).count() == 0
+
+
+def test_contexts_are_exact(spark, monkeypatch):
+    """Differences are those of models over real contexts, by broadcast and by join, when contexts are many."""
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(n))
+    rows = [(i, f"http://{word(6)}.{draw.choice(['com/en/', 'net/de/', 'org/fr/'])}{word(24)}") for i in range(700)] + [(1000, None), (1001, ""), (1002, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    fold = {r.page_id: r.f for r in df.selectExpr("page_id", "pmod(xxhash64('calibration', url), 5) f").collect()}
+    counts = ({}, {})
+    for i, url in rows:
+        verdict = brute(url)[3]
+        if verdict and fold[i]:
+            data = [256] * urls_module.ORDER + list(url.encode())
+            for at in range(urls_module.ORDER, len(data)):
+                for k in range(urls_module.ORDER + 1):
+                    held = counts[verdict == "allow"].setdefault(tuple(data[at - k : at]), {})
+                    held[data[at]] = held.get(data[at], 0) + 1
+    assert len({c for model in counts for c in model}) > 20_000
+
+    def log_likelihood(url, model):
+        data, total = [256] * urls_module.ORDER + list(url.encode()), 0.0
+        for at in range(urls_module.ORDER, len(data)):
+            p = 1 / 256
+            for k in range(urls_module.ORDER + 1):
+                held = model.get(tuple(data[at - k : at]))
+                if held:
+                    p = (held.get(data[at], 0) + len(held) * p) / (sum(held.values()) + len(held))
+            total += math.log(p)
+        return total
+
+    want = {i: (log_likelihood(u, counts[1]) - log_likelihood(u, counts[0])) / len(u.encode()) if u else 0.0 for i, u in rows}
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(urls_module, "BROADCAST_GRAMS", most)
+        got = judge(df).collect()
+        assert len(got) == len(rows) and all(abs(r.difference - want[r.page_id]) < 1e-9 for r in got)
