@@ -4,10 +4,10 @@ URLs that a rule decides are the labelled ones: allowed URLs train the accepting
 rejecting one.  Both are variable-order Markov models of bytes: the probability of a byte after a context of up
 to ORDER bytes is interpolated with that after the next shorter context by Witten and Bell's weights, down to
 the uniform distribution.  A URL that no rule decides is scored by the difference of log-likelihoods a byte;
-the difference is calibrated by a logistic curve that is fitted on labelled URLs kept out of the counts, and
+the difference is calibrated by a logistic curve that is fitted on labelled URLs kept out of the counts then, and
 probabilities of acceptance of one half or more allow the URL.
 
-Counts cover every labelled URL of the training folds.  A gram is a byte after the ORDER bytes before it, in
+Counts cover every labelled URL.  A gram is a byte after the ORDER bytes before it, in
 exact form: 9 bits a byte, 256 before the start; what is counted grows with the URLs and stays a table.  Counts of
 shorter contexts are sums over it, and the models become one number for each gram that occurs in a URL: the
 difference of its log-probabilities.  URLs are scored by joining their grams to that table, which is broadcast
@@ -142,19 +142,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 
 
 def train(rows: DataFrame) -> tuple[DataFrame | None, float, float]:
-    """rows (url, label 1, 0 or null) -> weights of all their grams (None: a class is empty), and slope and offset."""
+    """rows (url, label 1, 0 or null) -> weights of all their grams (None: a class is empty), and slope and offset.
+
+    The calibration is fitted with models that leave its fold out; the weights are those of all labelled URLs.
+    """
+    counted = staged(gram_counts(rows), "grams")
+    if not _both(counted):
+        return None, 1.0, 0.0
     fold = F.pmod(F.xxhash64(F.lit("calibration"), "url"), F.lit(FOLDS))
-    counted = staged(gram_counts(rows.withColumn("label", F.when(fold != 0, F.col("label")))), "grams")
+    return weights(counted), *_calibration(rows.where((fold == 0) & F.col("label").isNotNull()), rows.withColumn("label", F.when(fold != 0, F.col("label"))))
+
+
+def _both(counted: DataFrame) -> bool:
     sums = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    if not sums["n0"] or not sums["n1"]:
-        return None, 1.0, 0.0
-    delta = weights(counted)
+    return bool(sums["n0"] and sums["n1"])
+
+
+def _calibration(held_out: DataFrame, rest: DataFrame) -> tuple[float, float]:
+    """Slope and offset; 1 and 0 if either part has no URL of a class."""
+    counted = staged(gram_counts(rest), "grams")
+    if not _both(counted):
+        return 1.0, 0.0
     bins = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("difference") + SPAN) / (2 * SPAN) * BINS))).cast("int")
-    seen = differences(rows.where((fold == 0) & F.col("label").isNotNull()), delta).groupBy("label", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    seen = differences(held_out, weights(counted)).groupBy("label", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     if seen["label"].nunique() < 2:
-        return delta, 1.0, 0.0
+        return 1.0, 0.0
     x = (seen["bin"].to_numpy(float) + 0.5) / BINS * 2 * SPAN - SPAN
-    return delta, *_logistic(x, seen["label"].to_numpy(float), seen["n"].to_numpy(float))
+    return _logistic(x, seen["label"].to_numpy(float), seen["n"].to_numpy(float))
 
 
 def differences(df: DataFrame, delta: DataFrame | None) -> DataFrame:

@@ -57,11 +57,10 @@ def test_contexts_are_exact(spark, monkeypatch):
     word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(n))
     rows = [(i, f"http://{word(6)}.{draw.choice(['com/en/', 'net/de/', 'org/fr/'])}{word(24)}") for i in range(700)] + [(1000, None), (1001, ""), (1002, None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string")
-    fold = {r.page_id: r.f for r in df.selectExpr("page_id", "pmod(xxhash64('calibration', url), 5) f").collect()}
     counts = ({}, {})
     for i, url in rows:
         verdict = brute(url)[3]
-        if verdict and fold[i]:
+        if verdict:
             data = [256] * urls_module.ORDER + list(url.encode())
             for at in range(urls_module.ORDER, len(data)):
                 for k in range(urls_module.ORDER + 1):
@@ -85,3 +84,10 @@ def test_contexts_are_exact(spark, monkeypatch):
         monkeypatch.setattr(urls_module, "BROADCAST_GRAMS", most)
         got = judge(df).collect()
         assert len(got) == len(rows) and all(abs(r.difference - want[r.page_id]) < 1e-9 for r in got)
+
+
+def test_a_class_that_lies_in_the_calibration_fold(spark):
+    found = spark.range(100).selectExpr("concat('http://a.net/de/', id) url").where("pmod(xxhash64('calibration', url), 5) = 0").first().url
+    rows = [(i, found) for i in range(5)] + [(10 + i, f"http://b.org/es/{i}") for i in range(20)] + [(50, "http://b.org/fs/7")]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert got[50].rule is None and got[50].difference < 0 and got[50].verdict == "block"
