@@ -3,7 +3,8 @@
 Each match of the splitting pattern is encoded separately.  A segment tree over the byte positions of a piece
 holds, at every node, the least rank of the pairs that start below it; the leftmost least pair is found from
 the root, and a merge makes three point updates (the pair before, the merged pair, the position that vanished),
-so a piece of n bytes takes O(n log n) whatever its length.  Pieces are remembered in a bounded cache.
+so a piece of n bytes takes O(n log n) whatever its length.  Pieces are remembered in a bounded cache of two
+generations (some 40 MB a worker), which a worker forgets when it goes on to another operator.
 
 Defined results: null text is encoded as empty text; an empty text has no ids; ids are little-endian unsigned
 32-bit integers in a binary column; other columns pass through untouched.
@@ -12,6 +13,7 @@ Defined results: null text is encoded as empty text; an empty text has no ids; i
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import appended, documents
+from paperloom.llm.common import CACHES, appended, documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = 1 << 62
-CACHED_PIECES, CACHED_BYTES = 400_000, 64
+CACHED_PIECES, CACHED_BYTES = 100_000, 64  # a generation of pieces, and the longest piece that is remembered
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -43,35 +45,35 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         left, right = tree[2 * node], tree[2 * node + 1]
         tree[node] = left if left <= right else right
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, rank: int) -> None:
-        node = leaves + i
-        tree[node] = rank
-        node >>= 1
-        while node:
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left <= right else right
-            if tree[node] == least:
-                return
-            tree[node] = least
-            node >>= 1
-
     while (least := tree[1]) < NONE:
         node = 1
         while node < leaves:
-            node = 2 * node if tree[2 * node] == least else 2 * node + 1
+            node += node
+            if tree[node] != least:
+                node += 1
         i = node - leaves
         j = after[i]
-        k = after[j]
-        after[i] = k
-        put(j, NONE)
+        k = after[i] = after[j]
+        tree[leaves + j] = NONE
         if k < n:
             before[k] = i
-            put(i, get(piece[i : after[k]], NONE))
+            tree[node] = get(piece[i : after[k]], NONE)
         else:
-            put(i, NONE)
+            tree[node] = NONE
+        changed = (node, leaves + j)
         if (h := before[i]) >= 0:
-            put(h, get(piece[h:k], NONE))
+            tree[leaves + h] = get(piece[h:k], NONE)
+            changed = (leaves + h, node, leaves + j)
+        for node in changed:  # each walks up as far as anything changes
+            node >>= 1
+            while node:
+                left, right = tree[node + node], tree[node + node + 1]
+                if right < left:
+                    left = right
+                if tree[node] == left:
+                    break
+                tree[node] = left
+                node >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -80,19 +82,23 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Pieces(dict):
-    """piece (str) -> its packed ids; forgets everything when full, so its memory is bounded."""
+    """piece (str) -> its packed ids.  A full generation becomes the old one, of which only what is used again stays."""
 
     def __init__(self, ranks):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        packed = np.asarray(merge_piece(data, self.ranks), "<u4").tobytes()
-        if len(data) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = packed
+        if (packed := self.old.get(piece)) is None:
+            data = piece.encode("utf-8")
+            ids = merge_piece(data, self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(data) > CACHED_BYTES:
+                return packed
+        if len(self) >= CACHED_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = packed
         return packed
 
 
@@ -103,7 +109,9 @@ class Codec:
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = [b""] * (1 + max(self.ranks.values(), default=0))
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
         # the library's \s is Unicode's White_Space, without the four information separators
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.pieces = _Pieces(self.ranks)
@@ -120,22 +128,35 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+CACHES["bpe"] = codec.cache_clear
+
+
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Add the ids of each whole text as packed little-endian unsigned 32-bit integers."""
     path = path or public_tokenizers.path(VOCABULARY)
-    return appended(df, text_col, [(ids_col, T.BinaryType(), pa.binary())], lambda text: (codec(path, pattern).encode(text or ""),))
+    return appended(df, text_col, [(ids_col, T.BinaryType(), pa.binary())], lambda text: (codec(path, pattern).encode(text or ""),), "bpe")
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Add the bytes of packed ids; null ids give no bytes."""
     path = path or public_tokenizers.path(VOCABULARY)
-    return appended(df, ids_col, [(bytes_col, T.BinaryType(), pa.binary())], lambda packed: (codec(path, pattern).decode(packed or b""),))
+    return appended(df, ids_col, [(bytes_col, T.BinaryType(), pa.binary())], lambda packed: (codec(path, pattern).decode(packed or b""),), "bpe")
+
+
+def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Add the ids of each whole text and the bytes that they decode to, in one pass."""
+    path = path or public_tokenizers.path(VOCABULARY)
+
+    def both(text):
+        packed = codec(path, pattern).encode(text or "")
+        return packed, codec(path, pattern).decode(packed)
+
+    return appended(df, text_col, [(ids_col, T.BinaryType(), pa.binary()), (bytes_col, T.BinaryType(), pa.binary())], both, "bpe")
 
 
 def digests(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """doc_id, the kept columns, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    ids = encode(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))).drop("text")
-    back = decode(ids)
+    back = round_trip(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")))
     return back.select(
         "doc_id", *keep, F.expr("div(octet_length(token_ids), 4)").cast("bigint").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

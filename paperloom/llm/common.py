@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,17 +25,30 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows of ids that may be broadcast, at some tens of bytes each.
 BROADCAST_ROWS = 2_000_000
 
-_tables: list[tuple[SparkSession, str]] = []
+#: Bytes of an Arrow batch on its way to a Python worker; a single longer row is a batch of its own.
+BATCH_BYTES = "4m"
+
+_scopes: list[list[tuple[SparkSession, str]]] = []
+_folders: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where it is unset, a folder of our own."""
+    """This application's folder in the shared one that ``spark.checkpoint.dir`` names; deleted when the application ends.
+
+    Where the setting is missing, a local session gets a folder of its own, and a cluster raises: its machines share none.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="paperloom-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    folder = f"{found.rstrip('/')}/paperloom-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder, True)
+    return folder
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -40,28 +56,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append((spark, path))
+    for scope in _scopes[-1:]:
+        scope.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df_or_path) -> None:
+def discard(df: DataFrame) -> None:
     """Delete one staged table that no later plan reads."""
-    for path in df_or_path.inputFiles()[:1] if isinstance(df_or_path, DataFrame) else [df_or_path]:
-        _delete([t for t in _tables if t[1].rsplit("/", 1)[-1] in path])
+    folder = f"/paperloom-{df.sparkSession.sparkContext.applicationId}/"
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles() if folder in p}:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame | None], None]]:
+    """Tables that are staged inside belong to it; the function that it gives deletes them, but for one table to keep.
 
+    Tables of other runs stay, also of results that were built before and are read later.
+    """
+    own: list[tuple[SparkSession, str]] = []
 
-def release(keep: DataFrame | None = None) -> None:
-    """Delete every staged table but one: call it only once the results that read them are written."""
-    paths = keep.inputFiles()[:1] if keep is not None else []
-    _delete([t for t in _tables if not any(t[1].rsplit("/", 1)[-1] in p for p in paths)])
+    def release(keep: DataFrame | None = None) -> None:
+        kept = {p.rsplit("/", 2)[-2] for p in keep.inputFiles()} if keep is not None else set()
+        for table in [t for t in own if t[1].rsplit("/", 1)[-1] not in kept]:
+            _delete(*table)
+            own.remove(table)
 
+    _scopes.append(own)
+    try:
+        yield release
+    finally:
+        _scopes.remove(own)
 
-def _delete(tables) -> None:
-    for spark, path in tables:
+
+def _delete(spark: SparkSession, path: str, quiet: bool = False) -> None:
+    try:
         jvm = spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _tables.remove((spark, path))
+    except Exception:
+        if not quiet:  # at the end of the application its JVM may be gone
+            raise
 
 
 def spill_dir(prefix: str) -> str:
@@ -86,13 +121,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def python_map(df: DataFrame, call, schema) -> DataFrame:
-    """mapInArrow with this package shipped to the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(call, schema)
+#: What the operators remember in a Python worker between partitions, by operator: functions that forget it.
+CACHES: dict[str, Callable[[], object]] = {}
+
+
+def settle(keep: str | None = None) -> None:
+    """Forget what other operators remember in this worker, and give free memory back to the machine."""
+    for name, forget in CACHES.items():
+        if name != keep:
+            forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def python_map(df: DataFrame, call, schema, cache: str | None = None) -> DataFrame:
+    """mapInArrow with this package shipped to the workers, on batches of bounded bytes.
+
+    Workers are reused by later stages, so a partition begins and ends without the caches of other operators.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches):
+        settle(cache)
+        try:
+            yield from call(batches)
+        finally:
+            settle(cache)
+
+    return df.mapInArrow(run, schema)
 
 
-def appended(df: DataFrame, source: str, fields: list[tuple[str, T.DataType, pa.DataType]], call) -> DataFrame:
+def appended(df: DataFrame, source: str, fields: list[tuple[str, T.DataType, pa.DataType]], call, cache: str | None = None) -> DataFrame:
     """df with columns that ``call`` makes of each value of ``source``, one tuple a row; columns of those names go."""
     df = df.drop(*[name for name, *_ in fields if name != source])
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind, _ in fields]])
@@ -104,4 +169,4 @@ def appended(df: DataFrame, source: str, fields: list[tuple[str, T.DataType, pa.
             arrays = [pa.array(values, kind) for values, (_, _, kind) in zip(made, fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *[f[0] for f in fields]])
 
-    return python_map(df, run, schema)
+    return python_map(df, run, schema, cache)

@@ -53,7 +53,7 @@ class GraceTable:
             at = (at + 1) & self.mask
         slots[at] = len(entries)
         entries.append([key, content, digest, length, row, count])
-        self.bytes += len(content) + 200
+        self.bytes += len(content) + 400  # with what Python adds to an entry
         if len(entries) * 2 > self.mask:
             self._grow()
         if self.bytes > self.budget and len(entries) > 1 and (self.level + 1) * FAN_OUT_BITS <= HASH_BITS:
