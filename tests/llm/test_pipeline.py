@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 
 import corpus_pipeline
+from paperloom.llm import common, minhash, sharding
 from paperloom.llm.bpe import VOCABULARY, codec
 from test_langid import WORDS
 
@@ -75,3 +76,23 @@ def test_rows_are_dropped_one_by_one(spark):
     assert exact.columns == docs.columns and got == set(rows) - {(None, "acopy of this"), (None, "two blanks"), (2, "repeated id")}
     near = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert near == set(rows) - {(5, long + " more"), (3, "repeated  id")}
+
+
+def test_results_that_were_built_before_survive_a_run(spark, odd_docs, no_docs, tmp_path):
+    """A run deletes its own tables only; an empty table runs to the end."""
+    for name, docs in (("rows", odd_docs), ("none", no_docs)):
+        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / name / "documents.parquet"))
+    before = sharding.op4_stratified_shards(spark, str(tmp_path / "rows"))
+    near = minhash.op1_minhash_near_dedup(spark, str(tmp_path / "rows"))
+    first, none = corpus_pipeline.run(spark, str(tmp_path / "rows")), corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert before.count() == near.count() == odd_docs.count() and none.count() == 0
+    assert first.count() == corpus_pipeline.run(spark, str(tmp_path / "rows")).count()
+
+
+def test_workers_forget_the_caches_of_other_operators():
+    common.settle("bpe")
+    codec(P.path(VOCABULARY), P.PATTERN).encode("some words to remember")
+    common.settle("bpe")
+    assert codec.cache_info().currsize == 1
+    common.settle("another")
+    assert codec.cache_info().currsize == 0
