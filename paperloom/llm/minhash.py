@@ -155,7 +155,7 @@ def _mixed_buckets(shared: DataFrame, members: DataFrame) -> DataFrame:
     buckets = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("m"), F.sum(square).alias("inside"), F.count(F.lit(1)).alias("parts"))
     pairs = (F.col("m").cast("double") * F.col("m") - F.col("inside")) / 2
     buckets = buckets.where("parts > 1").select("key", F.col("main.component").alias("main"), (pairs <= DIRECT * F.col("m")).alias("direct"))
-    return staged(placed.join(buckets, "key"), "placed")
+    return staged(placed.join(small(staged(buckets, "buckets")), "key"), "placed")
 
 
 def _similar_sizes(percent: int):
@@ -166,7 +166,7 @@ def _led(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each class outside its bucket's main component with a leader of that component."""
     lead = placed.where("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)), F.col("rep").alias("y"), F.col("n").alias("yn"))).alias("lead"))
     outside = placed.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"))
-    met = outside.join(lead.select("key", "lead.y", "lead.yn"), "key").where(_similar_sizes(percent))
+    met = outside.join(small(staged(lead.select("key", "lead.y", "lead.yn"), "leaders")), "key").where(_similar_sizes(percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -204,7 +204,9 @@ def _by_rare_shingles(placed: DataFrame, docs: DataFrame, percent: int) -> DataF
     x, y = (prefix.select("shingle", *[F.col(c).alias(f"{side}{c}") for c in ("rep", "n", "most", "at", "component")]) for side in "xy")
     # what two sets can share: no more before this shingle, and no more after it, than either has there
     sharing = F.least("xat", "yat") + F.least(F.col("xmost") - F.col("xat"), F.col("ymost") - F.col("yat"))
-    enough = sharing * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))
+    wanted = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent)).cast("int")  # of two sets that are linked
+    first = [F.col(f"{k}most") - F.col(f"{k}at") + 1 >= wanted for k in "xy"]  # the first that they share has as many from it on
+    enough = (sharing >= wanted) & first[0] & first[1]
     met = x.join(y.hint("merge"), "shingle").where((F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & _similar_sizes(percent) & enough)
     return met.select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
 
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(least.select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), F.col("least.bands").alias("bands")), "classes")
     cells = classes.select(F.explode("bands").alias("key"), "rep", "n")
     buckets = cells.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = staged(cells.join(buckets.drop("members"), "key"), "cells")  # only buckets that anything shares
+    shared = staged(cells.join(staged(buckets.drop("members"), "buckets"), "key"), "cells")  # only buckets that anything shares
     seen = staged(shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     members = connected_components(confirmed(seen, docs, percent))
     placed = _mixed_buckets(shared, members)
