@@ -1,10 +1,13 @@
 """Text normalization as Column -> Column functions: digits, numbers, dates, typed values.
 
-Parsing never raises: what does not parse is null, and callers choose the fallback.
+Parsing never raises: what does not parse is null, and callers choose the fallback.  What a rule refers to several
+times is bound once, so that no pattern runs twice on a value.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,11 @@ BUDDHIST_PATTERN = r"พ\.?\s?ศ\.?"
 BUDDHIST_OFFSET, BUDDHIST_FROM, CENTURY_PIVOT = 543, 2400, 50
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(s: Column) -> Column:
     """Trim of all Unicode white space, not only blanks."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -25,7 +33,7 @@ def blank_to_null(s: Column) -> Column:
 
 
 def is_blank(s: Column) -> Column:
-    return F.coalesce(trimmed(s), F.lit("")) == ""
+    return ~F.coalesce(s.rlike(r"(?U)\S"), F.lit(False))
 
 
 def arabic_digits(s: Column) -> Column:
@@ -37,13 +45,23 @@ def number_text(s: Column) -> Column:
 
     A trailing minus counts as a sign; a lone or second dot, or a minus inside, does not parse.
     """
-    kept = F.regexp_replace(arabic_digits(s), r"[^0-9.\-]", "")
-    kept = F.regexp_replace(kept, r"^([^-]*)-$", "-$1")
-    valid = kept.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$") & (F.length(F.regexp_replace(kept, "[^0-9]", "")) <= 28)
-    plain = F.regexp_replace(F.regexp_replace(kept, r"^(-?)0*(?=[0-9])", "$1"), r"\.$", "")
-    plain = F.regexp_replace(plain, r"^(-?)\.", "$10.")
-    plain = F.regexp_replace(plain, r"^-(?=[0.]*$)", "")
-    return F.when(valid, plain)
+    def signed(kept):
+        return F.when(kept.endswith("-") & (F.instr(kept, "-") == F.length(kept)), F.concat(F.lit("-"), F.substr(kept, F.lit(1), F.length(kept) - 1))).otherwise(kept)
+
+    def canonical(kept):
+        valid = kept.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$") & (F.length(F.translate(kept, "-.", "")) <= 28)
+        return F.when(valid, bound(F.regexp_replace(kept, r"^(-?)0*(?=[0-9])", "$1"), whole_part))
+
+    def whole_part(n):
+        cut = F.when(n.endswith("."), F.substr(n, F.lit(1), F.length(n) - 1)).otherwise(n)
+        return bound(cut, lambda c: F.when(c.startswith("."), F.concat(F.lit("0"), c)).when(c.startswith("-"), negative(c)).otherwise(c))
+
+    def negative(n):
+        zero = F.translate(n, "-0.", "") == ""
+        full = F.when(n.startswith("-."), F.concat(F.lit("-0"), F.substr(n, F.lit(2)))).otherwise(n)
+        return F.when(zero, F.substr(full, F.lit(2))).otherwise(full)
+
+    return bound(F.regexp_replace(arabic_digits(s), r"[^0-9.\-]", ""), lambda kept: F.when(kept != "", bound(signed(kept), canonical)))
 
 
 def number(s: Column, scale: int = 10) -> Column:
@@ -54,23 +72,35 @@ def looks_like_date(s: Column) -> Column:
     return F.coalesce(arabic_digits(s).rlike(DATE_PATTERN), F.lit(False))
 
 
+def _date_parts(text: Column) -> Column:
+    """The three numbers of the first date in a text of Arabic digits, as texts; another length if there is none."""
+    return F.split(F.regexp_extract(text, DATE_PATTERN, 0), r"\s*[/\-.]\s*")
+
+
+def _part(parts: Column, k: int) -> Column:
+    return F.get(parts, F.lit(k)).cast("int")
+
+
 def date_order_vote(s: Column) -> Column:
     """``D`` or ``M`` if the first date in the text decides day-first or month-first; else null."""
-    text = arabic_digits(s)
-    a, b = (F.regexp_extract(text, DATE_PATTERN, k).try_cast("int") for k in (1, 2))
-    return F.when(a > 12, "D").when(b > 12, "M")
+    return bound(_date_parts(arabic_digits(s)), lambda p: F.when(F.size(p) == 3, F.when(_part(p, 0) > 12, "D").when(_part(p, 1) > 12, "M")))
 
 
 def date_value(s: Column, order: Column) -> Column:
     """The first date in the text; ``order`` is ``M`` for month-first, anything else is day-first."""
-    text = arabic_digits(s)
-    a, b, y = (F.regexp_extract(text, DATE_PATTERN, k).try_cast("int") for k in (1, 2, 3))
-    year = F.when(y < 100, y + F.when(y >= CENTURY_PIVOT, 1900).otherwise(2000)).otherwise(y)
-    month_first = F.when(a > 12, False).when(b > 12, True).otherwise(F.coalesce(order == "M", F.lit(False)))
-    day, month = F.when(month_first, b).otherwise(a), F.when(month_first, a).otherwise(b)
-    year = year - F.when(text.rlike(BUDDHIST_PATTERN) | (year >= BUDDHIST_FROM), BUDDHIST_OFFSET).otherwise(0)
-    iso = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    return F.when(year >= 1, F.try_to_date(iso, "yyyy-MM-dd"))
+    def of(text, parts):
+        a, b, y = (_part(parts, k) for k in range(3))
+        month_first = F.when(a > 12, False).when(b > 12, True).otherwise(F.coalesce(order == "M", F.lit(False)))
+        full = F.when(y < 100, y + F.when(y >= CENTURY_PIVOT, 1900).otherwise(2000)).otherwise(y)
+        known = F.struct(a.alias("a"), b.alias("b"), full.alias("y"), month_first.alias("swap"))
+        return bound(known, lambda d: bound(d["y"] - F.when((d["y"] >= BUDDHIST_FROM) | text.rlike(BUDDHIST_PATTERN), BUDDHIST_OFFSET).otherwise(0), lambda year: day(d, year)))
+
+    def day(d, year):
+        first, second = F.lpad(d["a"].cast("string"), 2, "0"), F.lpad(d["b"].cast("string"), 2, "0")
+        rest = F.when(d["swap"], F.concat_ws("-", first, second)).otherwise(F.concat_ws("-", second, first))
+        return F.when(year >= 1, F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), rest), "yyyy-MM-dd"))
+
+    return bound(arabic_digits(s), lambda text: bound(_date_parts(text), lambda parts: F.when(F.size(parts) == 3, of(text, parts))))
 
 
 def date_text(s: Column, order: Column) -> Column:
@@ -79,26 +109,36 @@ def date_text(s: Column, order: Column) -> Column:
 
 def normalized(s: Column, order: Column) -> Column:
     """struct(value, kind): a date before a number before text; text that stays as it is has a null value."""
-    day, num = date_text(s, order), number_text(s)
-    text = arabic_digits(s)
-    blank = is_blank(s)
-    value = F.when(blank, F.lit(None)).when(day.isNotNull(), day).when(num.isNotNull(), num).when(text != s, text)
-    kind = F.when(~blank & day.isNotNull(), "Date").when(~blank & num.isNotNull(), "Number").otherwise("Text")
-    return F.struct(value.alias("value"), kind.alias("kind"))
+    def made(value, kind):
+        return F.struct(value.cast("string").alias("value"), F.lit(kind).alias("kind"))
+
+    def other(text):
+        return bound(number_text(text), lambda num: F.when(num.isNotNull(), made(num, "Number")).otherwise(made(F.when(text != s, text), "Text")))
+
+    filled = bound(arabic_digits(s), lambda text: bound(date_text(text, order), lambda day: F.when(day.isNotNull(), made(day, "Date")).otherwise(other(text))))
+    return F.when(is_blank(s), made(F.lit(None), "Text")).otherwise(filled)
+
+
+def _integer(num: Column) -> Column:
+    """A canonical number's whole part; a lone sign or minus zero is zero."""
+    return bound(F.substring_index(num, ".", 1), lambda n: F.when(n == "-0", F.lit("0")).otherwise(n))
 
 
 def typed_text(s: Column, data_type: Column | str, order: Column) -> Column:
-    """Canonical text of a value of the type; what does not parse is its Arabic-digit text; blank is null."""
-    kind = F.upper(data_type if isinstance(data_type, Column) else F.lit(data_type))
-    plain = trimmed(arabic_digits(s))
-    num = number_text(s)
-    whole = F.regexp_replace(F.regexp_replace(num, r"\.[0-9]*$", ""), "^-?0?$", "0")
-    truth = F.when(F.lower(plain).isin("1", "true", "yes", "y"), "True").otherwise("False")
-    value = (
-        F.when(kind == "DECIMAL", F.coalesce(num, plain)).when(kind == "INT", F.coalesce(whole, plain)).when(kind == "BOOL", truth)
-        .when(kind == "DATE", F.coalesce(date_text(s, order), plain)).otherwise(trimmed(s))
-    )
-    return F.when(~is_blank(s), value)
+    """Canonical text of a value of the type; what does not parse, and any STRING, is its Arabic-digit text; blank is null."""
+    makers = {
+        "DECIMAL": lambda p: F.coalesce(number_text(p), p), "INT": lambda p: F.coalesce(_integer(number_text(p)), p),
+        "BOOL": lambda p: F.when(F.lower(p).isin("1", "true", "yes", "y"), "True").otherwise("False"), "DATE": lambda p: F.coalesce(date_text(p, order), p),
+    }
+    if isinstance(data_type, Column):
+        def make(p):
+            value = p
+            for name, maker in makers.items():
+                value = F.when(F.upper(data_type) == name, maker(p)).otherwise(value)
+            return value
+    else:
+        make = makers.get(data_type.upper(), lambda p: p)
+    return bound(trimmed(arabic_digits(s)), lambda p: F.when(p != "", make(p)))
 
 
 def typed_cell(s: Column, data_type: Column | str, order: Column) -> Column:

@@ -58,7 +58,7 @@ def _trim(v: Column, config: dict) -> Column:
 
 @register("case")
 def _case(v: Column, config: dict) -> Column:
-    mode = str(config.get("mode", "")).lower()
+    mode = config.get("mode")
     if mode == "upper":
         return F.upper(v)
     if mode == "lower":
@@ -72,13 +72,15 @@ def _case(v: Column, config: dict) -> Column:
 @register("regex_replace")
 def _regex_replace(v: Column, config: dict) -> Column:
     pattern = config.get("pattern")
-    return F.regexp_replace(v, pattern, config.get("replacement") or "") if pattern else v
+    replacement = (config.get("replacement") or "").replace("\\", "\\\\")  # a backslash is no escape in a replacement
+    return F.regexp_replace(v, pattern, replacement) if pattern is not None else v
 
 
 @register("number_clean")
 def _number_clean(v: Column, config: dict) -> Column:
+    """The number as text with fixed decimals; a sign may stand before or after it, and what does not parse stays."""
     decimals = int(config.get("decimals", 2))
-    kept = F.regexp_replace(v, r"[^0-9.\-]", "").try_cast("decimal(38,10)")
+    kept = F.regexp_replace(F.regexp_replace(v, r"[^0-9.\-]", ""), r"^([^-]+)-$", "-$1").try_cast("decimal(38,10)")
     return F.coalesce(kept.cast(f"decimal(38,{decimals})").cast("string"), v)
 
 

@@ -9,6 +9,7 @@ canonical result; the wide form and the JSON model are derived from it.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,9 +158,10 @@ def resolve_rows(field: FieldSpec, cells: DataFrame, orders: DataFrame | None =
         data = data.join(orders, "doc_id", "left")
     order = F.col("order") if orders is not None else F.lit(None).cast("string")
     item = F.struct("row_idx", *[N.typed_text(F.col(f"_{c.sub_property}"), c.data_type, order).alias(c.sub_property) for c in columns])
-    tables = data.groupBy("doc_id", "table_idx").agg(F.array_sort(F.collect_list(item)).alias("items"), (F.sum("conf_sum") / F.sum("conf_n")).alias("mean"))
-    first = tables.groupBy("doc_id").agg(F.min_by(F.struct("table_idx", "items", "mean"), "table_idx").alias("t"))
-    return first.select("doc_id", "t.table_idx", "t.items", F.size("t.items").alias("n_rows"), round4(F.col("t.mean")).alias("confidence"))
+    tables = data.groupBy("doc_id", "table_idx").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"), (F.sum("conf_sum") / F.sum("conf_n")).alias("mean"))
+    # one aggregate for each, so that those that are not read are pruned
+    first = tables.groupBy("doc_id").agg(F.min("table_idx").alias("table_idx"), F.min_by("items", "table_idx").alias("items"), F.min_by("n", "table_idx").cast("int").alias("n_rows"), F.min_by("mean", "table_idx").alias("mean"))
+    return first.select("doc_id", "table_idx", "items", "n_rows", round4(F.col("mean")).alias("confidence"))
 
 
 def json_text(value: Column, data_type: str) -> Column:
@@ -180,8 +182,11 @@ def items_json(items: Column, columns) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, one), ","), F.lit("]"))
 
 
-def map_documents(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -> DataFrame:
-    """The long form: doc_id, field_id, target_property, raw, normalized, confidence, source_ref, below, required."""
+def map_wide(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id and, for each field in template order, a struct e0, e1, ... of what the long form has of it.
+
+    Parts of a struct that nobody reads are pruned, a table field's JSON among them.
+    """
     singles = [f for f in template.fields if f.source_type == "TABLE_CELL" and not f.columns]
     arrays = [f for f in template.fields if f.source_type == "TABLE_CELL" and f.columns]
     wide = resolve_blocks(list(template.fields), blocks)
@@ -193,20 +198,37 @@ def map_documents(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -
         found = resolve_rows(f, cells, orders if dated else None)
         text = items_json(F.col("items"), sorted(f.columns, key=lambda c: c.sort_order))
         ref = F.concat(F.lit("Table:"), F.col("table_idx"), F.lit("/rows:"), F.col("n_rows"))
-        wide = wide.join(found.select("doc_id", _struct(text, text, F.col("confidence"), ref).alias(f"f{f.field_id}")), "doc_id", "left")
+        parts = {"t": text, "c": F.col("confidence"), "r": ref}
+        wide = wide.join(found.select("doc_id", *[c.alias(f"{k}{f.field_id}") for k, c in parts.items()]), "doc_id", "left")
     entries = []
-    for f in template.fields:
-        c = F.col(f"f{f.field_id}")
+    for i, f in enumerate(template.fields):
         if f in arrays:  # a missing table is an empty list without confidence
-            c = F.coalesce(c, _struct(F.lit("[]"), F.lit("[]"), F.lit(None), F.lit("Table:none/rows:0")))
-        elif f in singles:
-            c = F.coalesce(c, empty_result(f))
-        value = apply_steps(F.coalesce(c["normalized"], c["raw"]), f.steps) if f.steps else c["normalized"]
+            text, confidence, ref = (F.col(f"{k}{f.field_id}") for k in "tcr")
+            raw = normalized = F.coalesce(text, F.lit("[]"))
+            ref = F.coalesce(ref, F.lit("Table:none/rows:0"))
+        else:
+            c = F.coalesce(F.col(f"f{f.field_id}"), empty_result(f)) if f in singles else F.col(f"f{f.field_id}")
+            raw, normalized, confidence, ref = c["raw"], c["normalized"], c["confidence"], c["source_ref"]
+        value = apply_steps(F.coalesce(normalized, raw), f.steps) if f.steps else normalized
         entries.append(F.struct(
-            F.lit(f.field_id).alias("field_id"), F.lit(f.target_property).alias("target_property"), c["raw"].alias("raw"), value.alias("normalized"), c["confidence"].alias("confidence"),
-            c["source_ref"].alias("source_ref"), F.coalesce(c["confidence"] < F.lit(f.min_confidence), F.lit(False)).alias("below"), F.lit(f.required).alias("required"), F.lit(f.data_type if f not in arrays else "JSON").alias("data_type"),
-        ))
-    return wide.select("doc_id", F.inline(F.array(*entries)))
+            F.lit(f.field_id).alias("field_id"), F.lit(f.target_property).alias("target_property"), raw.alias("raw"), value.alias("normalized"), confidence.alias("confidence"),
+            ref.alias("source_ref"), F.coalesce(confidence < F.lit(f.min_confidence), F.lit(False)).alias("below"), F.lit(f.required).alias("required"), F.lit(f.data_type if f not in arrays else "JSON").alias("data_type"),
+        ).alias(f"e{i}"))
+    return wide.select("doc_id", *entries)
+
+
+def map_documents(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """The long form: doc_id, field_id, target_property, raw, normalized, confidence, source_ref, below, required, data_type."""
+    return map_wide(template, blocks, cells).select("doc_id", F.inline(F.array(*[f"e{i}" for i in range(len(template.fields))])))
+
+
+def with_outcome(template: TemplateSpec, wide: DataFrame) -> DataFrame:
+    """The wide form with overall_confidence and needs_review of each document, without another aggregate."""
+    entries = [(F.col(f"e{i}"), f.required) for i, f in enumerate(template.fields)]
+    known = sum((F.col(f"e{i}.confidence").isNotNull().cast("int") for i in range(len(entries))), F.lit(0))
+    total = sum((F.coalesce(e["confidence"], F.lit(0)).cast("decimal(20,10)") for e, _ in entries), F.lit(0).cast("decimal(20,10)"))
+    review = reduce(lambda a, b: a | b, [e["below"] | N.is_blank(e["normalized"]) if required else e["below"] for e, required in entries])
+    return wide.withColumn("overall_confidence", round4(F.when(known > 0, total.cast("decimal(20,10)") / known))).withColumn("needs_review", review)
 
 
 def outcomes(long: DataFrame) -> DataFrame:
@@ -235,21 +257,28 @@ def map_zonal(template: TemplateSpec, scalars: DataFrame, tables: DataFrame) ->
     A field without a result takes its default at confidence 0; a table region without rows whose property
     another region has produced emits nothing; a table without rows has no value, which a required field shows.
     """
-    documents = scalars.select("doc_id").unionByName(tables.select("doc_id")).distinct()
-    specs = [(f.field_id, f.target_property, f.data_type, f.source_type == "TABLE_CELL", f.default_value, f.required, f.min_confidence) for f in template.fields]
-    fields = documents.sparkSession.createDataFrame(specs, "field_id int, target_property string, data_type string, is_table boolean, default_value string, required boolean, min_confidence decimal(5,4)")
-    order = scalars.withColumn("vote", N.date_order_vote(F.col("raw"))).where("vote is not null").groupBy("doc_id").agg(F.min_by("vote", "field_id").alias("order"))
-    grid = documents.crossJoin(F.broadcast(fields)).join(order, "doc_id", "left")  # a template has a handful of fields
-    rows = grid.join(scalars.withColumnRenamed("confidence", "s_conf"), ["doc_id", "field_id"], "left").join(tables.withColumnRenamed("confidence", "t_conf"), ["doc_id", "field_id"], "left")
-    produced = F.max(F.col("is_table") & F.col("n_rows").isNotNull()).over(Window.partitionBy("doc_id", F.lower("target_property")))
-    rows = rows.withColumn("_produced", produced).where(~(F.col("is_table") & F.col("n_rows").isNull() & F.coalesce("_produced", F.lit(False))))
-    typed = N.typed_text(F.col("raw"), F.col("data_type"), F.col("order"))
-    found = F.coalesce(F.col("s_conf"), F.col("t_conf"))
-    missing = F.col("s_conf").isNull() & F.col("n_rows").isNull()
-    value = F.when(missing, F.col("default_value")).when(F.col("is_table"), F.when(F.col("n_rows") > 0, F.col("items_json"))).otherwise(typed)
-    ref = F.when(F.col("is_table") & ~missing, F.concat(F.lit("ZoneTable/rows:"), F.col("n_rows"))).when(~missing, F.concat(F.lit("Zone:"), F.col("field_id")))
-    confidence = F.when(missing, F.lit(0)).otherwise(found).cast("decimal(5,4)")
-    return rows.select(
-        "doc_id", "field_id", "target_property", "raw", value.alias("normalized"), confidence.alias("confidence"), ref.alias("source_ref"),
-        F.coalesce(confidence < F.col("min_confidence"), F.lit(False)).alias("below"), "required",
-    )
+    no_scalar, no_table = {"raw": "string", "s_conf": "decimal(5,4)"}, {"items_json": "string", "n_rows": "int", "t_conf": "decimal(5,4)"}
+    one = scalars.select("doc_id", "field_id", "raw", F.col("confidence").cast("decimal(5,4)").alias("s_conf"), *[F.lit(None).cast(t).alias(n) for n, t in no_table.items()])
+    two = tables.select("doc_id", "field_id", *[F.lit(None).cast(t).alias(n) for n, t in no_scalar.items()], "items_json", "n_rows", F.col("confidence").cast("decimal(5,4)").alias("t_conf"))
+    results = one.withColumn("vote", N.date_order_vote(F.col("raw"))).unionByName(two.withColumn("vote", F.lit(None).cast("string")))
+    own = [F.max(F.when(F.col("field_id") == f.field_id, F.struct("s_conf", "t_conf", "raw", "items_json", "n_rows"))).alias(f"r{i}") for i, f in enumerate(template.fields)]
+    rows = results.groupBy("doc_id").agg(F.min_by("vote", F.when(F.col("vote").isNotNull(), F.col("field_id"))).alias("order"), *own)
+    regions = [(i, f.target_property.lower()) for i, f in enumerate(template.fields) if f.source_type == "TABLE_CELL"]
+    entries = []
+    for i, f in enumerate(template.fields):
+        r = F.col(f"r{i}")
+        missing = r["s_conf"].isNull() & r["n_rows"].isNull()
+        if f.source_type == "TABLE_CELL":
+            value, ref = F.when(r["n_rows"] > 0, r["items_json"]), F.concat(F.lit("ZoneTable/rows:"), r["n_rows"])
+        else:
+            value, ref = N.typed_text(r["raw"], f.data_type, F.col("order")), F.lit(f"Zone:{f.field_id}")
+        confidence = F.when(missing, F.lit(0)).otherwise(F.coalesce(r["s_conf"], r["t_conf"])).cast("decimal(5,4)")
+        entry = F.struct(
+            F.lit(f.field_id).alias("field_id"), F.lit(f.target_property).alias("target_property"), r["raw"].alias("raw"), F.when(missing, F.lit(f.default_value)).otherwise(value).alias("normalized"), confidence.alias("confidence"),
+            F.when(~missing, ref).alias("source_ref"), F.coalesce(confidence < F.lit(f.min_confidence), F.lit(False)).alias("below"), F.lit(f.required).alias("required"),
+        )
+        siblings = [F.col(f"r{k}.n_rows").isNotNull() for k, name in regions if name == f.target_property.lower() and k != i]
+        if f.source_type == "TABLE_CELL" and siblings:
+            entry = F.when(r["n_rows"].isNotNull() | ~reduce(lambda a, b: a | b, siblings), entry)
+        entries.append(entry)
+    return rows.select("doc_id", F.inline(F.array_compact(F.array(*entries))))

@@ -22,7 +22,7 @@ def region_role(page: Column, pages: Column, available: Column) -> Column:
     role = primary_role(page, pages)
     pick = lambda chain: F.get(F.filter(F.array(*map(F.lit, chain)), lambda r: F.array_contains(available, r)), F.lit(0))
     found = F.when(role == "LAST", pick(CHAINS["LAST"])).when(role == "CONTINUATION", pick(CHAINS["CONTINUATION"])).otherwise(pick(CHAINS["FIRST"]))
-    return F.when(pages == 1, pick(("FIRST", "CONTINUATION", "LAST"))).otherwise(found)
+    return F.when(pages == 1, pick(("FIRST", "LAST", "CONTINUATION"))).otherwise(found)
 
 
 def scalar_page(role: Column, pages: Column) -> Column:
@@ -30,19 +30,25 @@ def scalar_page(role: Column, pages: Column) -> Column:
     return F.when(role == "LAST", pages).when(role == "CONTINUATION", F.when(pages >= 3, 2)).otherwise(F.lit(1))
 
 
+#: What a column's canonical structure says; its geometry is the region's own.
+STRUCTURE = ("sub_property", "data_type", "is_anchor", "table_header", "line_select", "line_picks", "line_separator", "line_offset")
+
+
 def resolve_structure(canonical: DataFrame, region: DataFrame, key: str) -> DataFrame:
-    """Region geometry with the canonical names and types, paired by ordinal; unequal counts keep the region's own."""
-    order = Window.partitionBy(key).orderBy("sort_order")
-    left = canonical.withColumn("ordinal", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    right = region.withColumn("ordinal", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    left = left.select(key, "ordinal", "n", F.col("sub_property").alias("c_name"), F.col("data_type").alias("c_type"))
-    counts = left.groupBy(key).agg(F.max("n").alias("total"))
-    both = right.join(counts, key, "left").join(left.drop("n"), [key, "ordinal"], "left")
-    same = F.coalesce(F.col("total") == F.col("m"), F.lit(False))
-    return both.select(
-        key, "ordinal", F.when(same, F.col("c_name")).otherwise(F.col("sub_property")).alias("sub_property"), F.when(same, F.col("c_type")).otherwise(F.col("data_type")).alias("data_type"),
-        "x_start", "x_end", (~same).alias("mismatch"),
-    )
+    """The region's columns by ordinal with the canonical structure, as far as both tables carry its columns.
+
+    Unequal counts keep the region's own and say so (``mismatch``); a region without a canonical structure keeps its own too.
+    """
+    order, all_of = Window.partitionBy(key).orderBy("sort_order"), Window.partitionBy(key)
+    said = [c for c in STRUCTURE if c in canonical.columns and c in region.columns]
+    left = canonical.withColumn("ordinal", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(all_of))
+    left = left.select(key, "ordinal", "_n", F.struct(*said, "sort_order").alias("_c"))
+    right = region.withColumn("ordinal", F.row_number().over(order)).withColumn("_m", F.count(F.lit(1)).over(all_of))
+    both = right.join(left, [key, "ordinal"], "left").withColumn("_n", F.max("_n").over(all_of))  # null: no structure to impose
+    same = F.coalesce(F.col("_n") == F.col("_m"), F.lit(False))
+    merged = [F.when(same, F.col(f"_c.{c}")).otherwise(F.col(c)).alias(c) for c in (*said, "sort_order")]
+    others = [c for c in region.columns if c not in (*said, key, "sort_order")]
+    return both.select(key, "ordinal", *merged, *others, F.coalesce(F.col("_n") != F.col("_m"), F.lit(False)).alias("mismatch"))
 
 
 def concatenate(pages: DataFrame, key: str = "doc_id") -> DataFrame:

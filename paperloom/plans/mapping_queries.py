@@ -54,7 +54,7 @@ def kv_first_match(spark, sf):
 @query(
     "full_text_regex",
     f"""WITH {I.BLOCKS_SQL}, t AS (SELECT doc_id, string_agg(content, chr(10) ORDER BY page, block_id) AS text, CAST({avg4_sql('confidence')} AS DOUBLE) AS conf FROM blocks GROUP BY doc_id)
-    SELECT doc_id, regexp_extract(text, 'Due Date: (\\S+)', 1) AS due, CASE WHEN regexp_matches(text, 'Thank \\w+') THEN regexp_extract(text, 'Thank \\w+') END AS thanks, round(conf, 4) AS conf FROM t""",
+    SELECT doc_id, translate(regexp_extract(text, 'Due Date: (\\S+)', 1), '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS due, CASE WHEN regexp_matches(text, 'Thank \\w+') THEN regexp_extract(text, 'Thank \\w+') END AS thanks, round(conf, 4) AS conf FROM t""",
 )
 def full_text_regex(spark, sf):
     fields = [INVOICE.fields[3], FieldSpec(7, "thanks", "REGEX", regex=r"Thank \w+")]
@@ -114,7 +114,7 @@ long AS (
   SELECT ft.doc_id, 1 AS field_id, i.value AS normalized, i.conf AS conf, TRUE AS required FROM ft LEFT JOIN i USING (doc_id)
   UNION ALL SELECT ft.doc_id, 2, {date_sql('dt.value', 'o.ord')}, dt.conf, TRUE FROM ft LEFT JOIN dt USING (doc_id) LEFT JOIN orders_of o USING (doc_id)
   UNION ALL SELECT ft.doc_id, 3, {number_sql('t.value')}, coalesce(t.conf, 0), TRUE FROM ft LEFT JOIN t USING (doc_id)
-  UNION ALL SELECT doc_id, 4, regexp_extract(text, 'Due Date: (\\S+)', 1), conf, FALSE FROM ft
+  UNION ALL SELECT doc_id, 4, translate(regexp_extract(text, 'Due Date: (\\S+)', 1), '๐๑๒๓๔๕๖๗๘๙', '0123456789'), conf, FALSE FROM ft
   UNION ALL SELECT doc_id, 5, 'thb', CAST(1 AS DECIMAL(5,4)), FALSE FROM ft
   UNION ALL SELECT ft.doc_id, 6, CASE WHEN c.n_rows IS NULL THEN '[]' ELSE 'rows:' || c.n_rows END, c.conf, FALSE FROM ft LEFT JOIN table_conf c USING (doc_id)
 ), marked AS (SELECT *, coalesce(conf < CASE WHEN field_id < 5 THEN 0.70 ELSE 0.60 END, FALSE) AS below FROM long)"""
@@ -154,12 +154,10 @@ def needs_review(spark, sf):
 )
 def map_ocr_first(spark, sf):
     """Invoice id, date, total, confidence and routing of every rendered invoice: the flagship."""
-    long = mapped(spark, sf)
-    member = lambda k: F.max(F.when(F.col("field_id") == k, F.col("normalized")))
-    blank = F.col("required") & (F.coalesce(F.trim("normalized"), F.lit("")) == "")
-    return long.groupBy("doc_id").agg(
-        member(1).alias("invoice_id"), member(2).alias("invoice_date"), member(3).alias("total"),
-        M.mean4(F.col("confidence")).cast("double").alias("overall_confidence"), (F.bool_or("below") | F.bool_or(blank)).alias("needs_review"),
+    wide = M.with_outcome(INVOICE, M.map_wide(INVOICE, I.blocks(spark, sf), I.cells(spark, sf)))
+    return wide.select(
+        "doc_id", F.col("e0.normalized").alias("invoice_id"), F.col("e1.normalized").alias("invoice_date"), F.col("e2.normalized").alias("total"),
+        F.col("overall_confidence").cast("double").alias("overall_confidence"), "needs_review",
     )
 
 

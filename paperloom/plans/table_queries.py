@@ -168,7 +168,7 @@ def page_roles(spark, sf):
 @query(
     "table_role_pick",
     f"""WITH {I.PAGES_SQL} SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN 'FIRST' WHEN doc_id % 3 = 1 THEN CASE WHEN page = 1 THEN 'FIRST' ELSE 'CONTINUATION' END
-      ELSE CASE WHEN pages = 1 THEN 'CONTINUATION' WHEN page = 1 THEN NULL WHEN page = pages THEN 'LAST' ELSE 'CONTINUATION' END END AS role, CASE WHEN pages >= 3 THEN 2 END AS middle_page FROM inv_pages""",
+      ELSE CASE WHEN pages = 1 THEN 'LAST' WHEN page = 1 THEN NULL WHEN page = pages THEN 'LAST' ELSE 'CONTINUATION' END END AS role, CASE WHEN pages >= 3 THEN 2 END AS middle_page FROM inv_pages""",
 )
 def table_role_pick(spark, sf):
     third = F.col("doc_id") % 3
@@ -176,12 +176,22 @@ def table_role_pick(spark, sf):
     return I.pages(spark, sf).select("doc_id", "page", P.region_role(F.col("page"), F.col("pages"), available).alias("role"), P.scalar_page(F.lit("CONTINUATION"), F.col("pages")).alias("middle_page"))
 
 
-@query("column_structure_resolve", "SELECT * FROM (VALUES (1, 1, 'qty', 'INT', FALSE), (1, 2, 'amount', 'DECIMAL', FALSE), (2, 1, 'only', 'STRING', TRUE)) v(region, ordinal, sub_property, data_type, mismatch)")
+@query(
+    "column_structure_resolve",
+    """WITH n AS (SELECT p_partkey, p_size % 4 AS canonical, p_size % 3 + 1 AS own FROM part), r AS (SELECT *, unnest(range(1, own + 1)) AS ordinal FROM n)
+    SELECT p_partkey, CAST(ordinal AS INTEGER) AS ordinal, CASE WHEN own = canonical THEN 'c' || ordinal ELSE 'r' || ordinal END AS sub_property, CASE WHEN own = canonical THEN 'INT' ELSE 'STRING' END AS data_type,
+      CASE WHEN own = canonical THEN ordinal = 1 ELSE FALSE END AS is_anchor, CAST(CASE WHEN own = canonical THEN ordinal ELSE 0 END AS INTEGER) AS line_offset, CAST(ordinal AS DOUBLE) / 10 AS x_start, canonical > 0 AND own <> canonical AS mismatch FROM r""",
+)
 def column_structure_resolve(spark, sf):
-    names = "region int, sub_property string, data_type string, sort_order int, x_start double, x_end double"
-    canonical = spark.createDataFrame([(r, *c) for r in (1, 2) for c in (("qty", "INT", 1, 0.0, 0.5), ("amount", "DECIMAL", 2, 0.5, 1.0))], names)
-    region = spark.createDataFrame([(1, "q", "STRING", 1, 0.1, 0.4), (1, "a", "STRING", 2, 0.4, 0.9), (2, "only", "STRING", 1, 0.0, 1.0)], names)
-    return P.resolve_structure(canonical, region, "region").select("region", "ordinal", "sub_property", "data_type", "mismatch")
+    """Canonical structures of 0 to 3 columns on regions of 1 to 3: equal counts merge, other counts mismatch, none imposes nothing."""
+    parts, k = I.table(spark, sf, "part"), F.col("k")
+    def columns(n, prefix, kind, anchor, offset):
+        rows = parts.select("p_partkey", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))).alias("k"))
+        return rows.select("p_partkey", F.concat(F.lit(prefix), k).alias("sub_property"), F.lit(kind).alias("data_type"), anchor.alias("is_anchor"), offset.cast("int").alias("line_offset"), k.alias("sort_order"), (k / 10).alias("x_start"))
+
+    canonical = columns((F.col("p_size") % 4).cast("int"), "c", "INT", k == 1, k).drop("x_start")
+    region = columns((F.col("p_size") % 3 + 1).cast("int"), "r", "STRING", F.lit(False), F.lit(0))
+    return P.resolve_structure(canonical, region, "p_partkey").select("p_partkey", "ordinal", "sub_property", "data_type", "is_anchor", "line_offset", "x_start", "mismatch")
 
 
 @query(

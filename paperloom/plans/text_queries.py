@@ -154,12 +154,27 @@ _CLAMP = "greatest(0, least(1, {x}))"
 
 @query(
     "zone_pixel_rect",
-    f"""WITH {I.WORDS_SQL}, e AS (SELECT doc_id, word_id, CAST(greatest(0, least(round_even(x * 2480, 0), 2479)) AS INTEGER) AS px, CAST(greatest(0, least(round_even(y * 3508, 0), 3507)) AS INTEGER) AS py,
-      round_even((x + w) * 2480, 0) AS r, round_even((y + h) * 3508, 0) AS b FROM words)
-    SELECT doc_id, word_id, px, py, CAST(greatest(1, least(r, 2480) - px) AS INTEGER) AS pw, CAST(greatest(1, least(b, 3508) - py) AS INTEGER) AS ph FROM e""",
+    f"""WITH {I.WORDS_SQL}, e AS (SELECT doc_id, word_id, CAST(greatest(0, least(round_even(x * 248, 0), 247)) AS INTEGER) AS px, CAST(greatest(0, least(round_even(y * 351, 0), 350)) AS INTEGER) AS py,
+      CAST(round_even(w * 248, 0) AS INTEGER) AS pw, CAST(round_even(h * 351, 0) AS INTEGER) AS ph FROM words)
+    SELECT doc_id, word_id, px, py, CASE WHEN pw < 1 THEN 1 WHEN pw > 248 - px THEN 248 - px ELSE pw END AS pw, CASE WHEN ph < 1 THEN 1 WHEN ph > 351 - py THEN 351 - py ELSE ph END AS ph FROM e""",
 )
 def zone_pixel_rect(spark, sf):
-    rect = S.zone_pixels(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(2480), F.lit(3508))
+    """On a page of 248 x 351 pixels, where a side's own rounding and that of its ends differ."""
+    rect = S.zone_pixels(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(248), F.lit(351))
+    made = I.words(spark, sf).withColumn("r", rect)
+    return made.select("doc_id", "word_id", F.col("r.left").alias("px"), F.col("r.top").alias("py"), F.col("r.width").alias("pw"), F.col("r.height").alias("ph"))
+
+
+@query(
+    "cell_pixel_rect",
+    f"""WITH {I.WORDS_SQL}, e AS (SELECT doc_id, word_id, 100 + CAST(round_even(x * 200, 0) AS INTEGER) AS px, 50 + CAST(round_even(y * 300, 0) AS INTEGER) AS py,
+      CAST(round_even((x + w - x) * 200, 0) AS INTEGER) AS pw, CAST(round_even((y + h - y) * 300, 0) AS INTEGER) AS ph FROM words)
+    SELECT doc_id, word_id, px, py, greatest(1, least(greatest(1, pw), 300 - px)) AS pw, greatest(1, least(greatest(1, ph), 350 - py)) AS ph FROM e""",
+)
+def cell_pixel_rect(spark, sf):
+    """Word boxes as cells of a zone of 200 x 300 pixels at (100, 50), their ends given the wrong way round."""
+    zone = F.struct(F.lit(100).alias("left"), F.lit(50).alias("top"), F.lit(200).alias("width"), F.lit(300).alias("height"))
+    rect = S.cell_pixels(zone, F.col("x") + F.col("w"), F.col("x"), F.col("y") + F.col("h"), F.col("y"))
     made = I.words(spark, sf).withColumn("r", rect)
     return made.select("doc_id", "word_id", F.col("r.left").alias("px"), F.col("r.top").alias("py"), F.col("r.width").alias("pw"), F.col("r.height").alias("ph"))
 
@@ -174,16 +189,31 @@ def batch_routing(spark, sf):
     return I.pages(spark, sf).where("page = 1").select("doc_id", S.batch_route(F.col("pages"), 1, F.when(F.col("doc_id") % 2 == 0, "b").otherwise("")).alias("route"))
 
 
-@query("failure_messages", "SELECT doc_id, 'OCR: ' || left(split_part(text, chr(10), 1), 200) AS message FROM documents")
+@query(
+    "failure_messages",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Classification' WHEN 1 THEN 'Extraction' WHEN 2 THEN 'Mapping' ELSE 'EXPORT' END || ' failed: ' ||
+      left(regexp_extract(replace(replace(text, ' ', CASE WHEN doc_id % 3 = 0 THEN chr(13) ELSE ' ' END), '. ', '.' || chr(10)), '^[^\r\n]*'), 200) AS message FROM documents""",
+)
 def failure_messages(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", S.failure_message("OCR", F.col("text")).alias("message"))
+    """Messages that end their first line in either way, or not within 200 characters."""
+    stage = F.element_at(F.array(*map(F.lit, ("CLASSIFY", "EXTRACT", "MAP", "EXPORT"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text = F.replace(F.col("text"), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, F.lit("\r")).otherwise(F.lit(" ")))
+    return I.table(spark, sf, "documents").select("doc_id", S.failure_message(stage, F.replace(text, F.lit(". "), F.lit(".\n"))).alias("message"))
 
 
-@query("scale_factor", "SELECT p_partkey, greatest(CAST(1 AS DOUBLE), least(greatest(CAST(1 AS DOUBLE), CASE WHEN p_size % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(300 AS DOUBLE) / (p_size * 10) END, CAST(1000 AS DOUBLE) / (p_size * 40)), CAST(12000 AS DOUBLE) / greatest(p_size * 40, p_size * 60))) AS factor FROM part")
+@query(
+    "scale_factor",
+    """WITH e AS (SELECT p_partkey, p_size * 40 AS wide, p_size * 60 AS high, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size * 10 END AS dpi FROM part), f AS (
+      SELECT *, CASE WHEN dpi >= 1 THEN CASE WHEN dpi < 300 THEN CAST(300 AS DOUBLE) / dpi ELSE 1.0 END WHEN wide < 1000 THEN CAST(1000 AS DOUBLE) / wide ELSE 1.0 END AS scale FROM e), g AS (
+      SELECT *, least(scale, CAST(12000 AS DOUBLE) / greatest(wide, high)) AS factor FROM f)
+    SELECT p_partkey, factor, CAST(round_even(wide * factor, 0) AS INTEGER) AS new_width, CAST(round_even(high * factor, 0) AS INTEGER) AS new_height FROM g""",
+)
 def scale_factor(spark, sf):
     size = F.col("p_size")
     dpi = F.when(size % 3 == 0, 0).otherwise(size * 10)
-    return I.table(spark, sf, "part").select("p_partkey", S.target_size(size * 40, size * 60, dpi).alias("factor"))
+    factor = S.target_size(size * 40, size * 60, dpi)
+    made = I.table(spark, sf, "part").select("p_partkey", factor.alias("factor"), S.enlarged(size * 40, size * 60, factor).alias("to"))
+    return made.select("p_partkey", "factor", F.col("to.width").alias("new_width"), F.col("to.height").alias("new_height"))
 
 
 @query("block_binding", f"WITH {I.BLOCKS_SQL} SELECT doc_id, block_id, CASE WHEN block_id % 2 = 0 THEN 'TABLE_CELL' ELSE 'KEY_VALUE' END AS source_type, trim(split_part(content, ':', 1)) AS label, CASE WHEN block_id % 3 = 0 THEN 'block-' || block_id END AS anchor FROM blocks")

@@ -42,11 +42,14 @@ def test_english_invoice(spark):
 def test_thai_invoice_and_a_missing_field(spark):
     keys = [("invoice_id", "STRING", "เลขที่"), ("invoice_date", "DATE", "วันที่"), ("due_date", "DATE", "ครบกำหนด"), ("total", "DECIMAL", "รวมทั้งสิ้น"), ("missing", "STRING", "nothing")]
     blocks = ["เลขที่: INV-๒๕๖๒-๐๐๑", "วันที่: ๑๑/๐๒/๒๕๖๒", "ครบกำหนด: ๒๖/๐๒/๒๕๖๒", "รวมทั้งสิ้น: ๑,๓๒๐.๙๘"]
-    long = M.map_documents(template(keys, [("qty", "INT", "QTY")]), *frames(spark, blocks, [["OTHER"], ["1"]])).cache()
+    t, (b, cells) = template(keys, [("qty", "INT", "QTY")]), frames(spark, blocks, [["OTHER"], ["1"]])
+    long = M.map_documents(t, b, cells).cache()
     got = {r.target_property: r for r in long.collect()}
-    assert [got[k].normalized for k in ("invoice_date", "due_date", "total")] == ["2019-02-11", "2019-02-26", "1320.98"]
+    assert [got[k].normalized for k in ("invoice_id", "invoice_date", "due_date", "total")] == ["INV-2562-001", "2019-02-11", "2019-02-26", "1320.98"]
     assert got["missing"].confidence == 0 and got["missing"].below and got["line_item"].normalized == "[]" and not got["line_item"].below
     assert M.outcomes(long).first().needs_review
+    wide = M.with_outcome(t, M.map_wide(t, b, cells)).first()
+    assert (wide.overall_confidence, wide.needs_review) == (M.outcomes(long).first().overall_confidence, True)
 
 
 def test_first_match_last_property_and_selectors(spark):
@@ -64,6 +67,11 @@ def test_steps(spark):
         T.apply_steps(F.col("d"), [StepSpec("date_normalize")]).alias("d"), T.apply_steps(F.col("s"), [StepSpec("ai_summary")]).alias("s"), T.apply_steps(F.lit(" "), [StepSpec("default", {"value": "z"})]).alias("z"),
     ).first()
     assert (got.t, got.n, got.d, got.z) == ("A-B Cd", "2.35", "2019-11-02", "z") and got.s == "[summary] " + "x" * 120 + "…"
+    signs = spark.createDataFrame([("12-", "12.00-"), ("-3.456", "a\\b")], "n string, r string").select(
+        T.apply_steps(F.col("n"), [StepSpec("number_clean")]).alias("n"), T.apply_steps(F.col("r"), [StepSpec("regex_replace", {"pattern": "[0-9.]+", "replacement": "\\"})]).alias("r"),
+        T.apply_steps(F.col("r"), [StepSpec("case", {"mode": "UPPER"})]).alias("c"),
+    ).collect()
+    assert [(r.n, r.r, r.c) for r in signs] == [("-12.00", "\\-", "12.00-"), ("-3.46", "a\\b", "a\\b")]
     steps = T.parse_steps('trim\ncase|{"mode": "upper"}\nbroken|{')
     assert [s.kind for s in steps] == ["trim", "case", "broken"] and steps[1].config == {"mode": "upper"} and steps[2].config == {}
     assert T.format_steps(steps).splitlines()[:2] == ["trim", 'case|{"mode": "upper"}']

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import normalize as N
+from paperloom.functions import scalars as S
+from paperloom.operators import multipage as P
 
 
 def one(spark, column, value, **more):
@@ -49,8 +51,33 @@ def test_dispatch_and_typed_values(spark):
     assert tuple(one(spark, N.normalized(F.col("s"), F.lit(None).cast("string")), "abc")) == (None, "Text")
     for kind, text, want in [
         ("DECIMAL", "๑.๒.๓", "1.2.3"), ("INT", "๑.๒.๓", "1.2.3"), ("DATE", "๑๑/๐เท/๒๕๒๓", "11/0เท/2523"), ("DECIMAL", "๑,๒๓๔.๕๖", "1234.56"), ("DATE", "๑๑/๐๒/๒๕๖๒", "2019-02-11"),
-        ("INT", "-7.9", "-7"), ("BOOL", " Yes", "True"), ("BOOL", "no", "False"), ("STRING", "  a b ", "a b"), ("STRING", " \t", None), ("DECIMAL", "145.00", "145.00"),
+        ("INT", "-7.9", "-7"), ("BOOL", " Yes", "True"), ("BOOL", "no", "False"), ("STRING", "  a b ", "a b"), ("STRING", " \t", None), ("STRING", "INV-๒๕๖๒-๐๐๑", "INV-2562-001"), ("INT", "-0.5", "0"), ("DECIMAL", "-.5", "-0.5"), ("DECIMAL", "-0.00", "0.00"), ("DECIMAL", "145.00", "145.00"),
     ]:
         assert one(spark, N.typed_text(F.col("s"), kind, F.lit(None).cast("string")), text) == want, (kind, text)
     cell = one(spark, N.typed_cell(F.col("s"), "INT", F.lit(None).cast("string")), "12")
     assert (cell.kind, cell.text, cell.lng, cell.dec) == ("INT", "12", 12, None)
+
+
+def test_image_and_zone_rules(spark):
+    """The golden cases of enlarging, of zones and cells in pixels, of page regions and of failure messages."""
+    c = F.lit
+    row = spark.range(1).select(
+        S.enlarged(c(1000), c(1300), S.target_size(c(1000), c(1300), c(150.0), 300, 2200)).alias("low"), S.enlarged(c(2480), c(3508), S.target_size(c(2480), c(3508), c(300.0), 300, 2200)).alias("enough"),
+        S.enlarged(c(100), c(200), S.target_size(c(100), c(200), c(0.0), 300, 50_000)).alias("capped"), S.zone_pixels(c(0.14), c(0.0), c(0.12), c(1.0), c(10), c(10)).alias("zone"),
+        S.dots_per_inch(c(11811.0), c("PixelsPerMeter")).alias("dpi"), S.failure_message("MAP", c("a\rb\nc")).alias("cr"), S.failure_message("EXTRACT", c("x" * 300)).alias("long"),
+        P.region_role(c(1), c(1), F.array(c("CONTINUATION"), c("LAST"))).alias("single"), P.region_role(c(1), c(3), F.array(c("CONTINUATION"), c("LAST"))).alias("first"),
+        S.cell_pixels(F.struct(c(10).alias("left"), c(20).alias("top"), c(100).alias("width"), c(50).alias("height")), c(0.5), c(0.25), c(0.9), c(1.4)).alias("cell"),
+    ).first()
+    assert tuple(row.low) == (2000, 2600) and tuple(row.enough) == (2480, 3508) and tuple(row.capped) == (6000, 12000)
+    assert tuple(row.zone) == (1, 0, 1, 10) and abs(row.dpi - 300) < 0.01 and row.cr == "Mapping failed: a" and row.long == "Extraction failed: " + "x" * 200
+    assert row.single == "LAST" and row["first"] is None and tuple(row.cell) == (35, 65, 25, 5)
+
+
+def test_column_structures(spark):
+    names = "k int, sub_property string, data_type string, line_offset int, sort_order int, x_start double"
+    canonical = spark.createDataFrame([(1, "qty", "INT", 0, 1, 0.0), (1, "size", "STRING", 1, 2, 0.5), (3, "a", "INT", 0, 1, 0.0)], names)
+    region = spark.createDataFrame([(1, "q", "STRING", 0, 7, 0.1), (1, "s", "STRING", 0, 8, 0.4), (2, "own", "DATE", 2, 1, 0.2), (3, "x", "STRING", 0, 1, 0.1), (3, "y", "STRING", 0, 2, 0.2)], names)
+    got = [tuple(r) for r in P.resolve_structure(canonical, region, "k").orderBy("k", "ordinal").collect()]
+    assert got == [
+        (1, 1, "qty", "INT", 0, 1, 0.1, False), (1, 2, "size", "STRING", 1, 2, 0.4, False), (2, 1, "own", "DATE", 2, 1, 0.2, False), (3, 1, "x", "STRING", 0, 1, 0.1, True), (3, 2, "y", "STRING", 0, 2, 0.2, True),
+    ]
