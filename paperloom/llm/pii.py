@@ -1,13 +1,18 @@
 """Surrogates for personal data, with built-in column functions only.
 
-Entities are found by one pattern of alternatives, so that matches never overlap.  A surrogate is drawn from a
-digest of (key, type, normalised value, attempt): it keeps the type and the format (separators, letter case,
-country code, card network and checksum, address shape, a name's gender and script), the same value gets the
-same surrogate in every document and in every way of writing it, and different values get different ones.
-
-Distinctness is checked over all documents: where two values drew the same surrogate, or a surrogate is itself
-a value that occurs, the later value draws again with the next attempt.  Only such exceptions need a lookup;
-up to ``INLINE`` of them travel as a map, more are joined by entity.
+Entities are found by one pattern of alternatives, so that matches never overlap: by their own form (e-mails, phones,
+IP addresses, cards, social security numbers, IBANs, key formats), by a key word before them (secrets, dates of
+birth, names after a label), by a title or given name and a run of capitals (persons), and by the kind of street
+(addresses).  No quantified group backtracks, so a text of any length needs a bounded stack.
+
+A surrogate keeps the type and the format (separators, letter case, country code, card network and checksum, a
+name's gender and script), the same value gets the same surrogate in every document and way of writing it, and
+different values get different ones.  Numbers are permuted: a keyed Feistel network over all numbers of one form,
+and its inverse after a step of one, is a cycle through all of them, so that no two meet and none stays.  Dates of
+birth are moved by keyed steps within their decade.  Other surrogates are drawn from a digest of (key, type,
+normalised value, attempt) and checked over all documents: where two values drew the same, or a surrogate is itself
+a value that occurs, the later value draws again with the next attempt, whose space is larger.  Only such
+exceptions need a lookup; up to ``INLINE`` of them travel as a map, more are joined by entity.
 
 Defined results: null stays null and empty text stays empty, with 0 entities; rows that share an id are treated
 one by one; extra columns are ignored; an empty input gives an empty output.
@@ -23,7 +28,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import discard, documents, staged
 
 INLINE = 500
-ATTEMPTS = 12
+ATTEMPTS = 60
+ROUNDS = 6  # of the Feistel network
 
 #: Given names by gender and script, and the syllables that surnames are made of.
 GIVEN = {
@@ -35,8 +41,17 @@ GIVEN = {
 SYLLABLES = {"latin": "ba del mor ten vin lar ros kim sto wel har nor gal fen dur pel", "cyrillic": "ба дел мор тен вин лар рос ким сто вел гар нор гал фен дур пел"}
 TITLES = {"f": "Mrs Ms Miss Madame Frau Señora Sra", "m": "Mr Monsieur Herr Señor"}
 
+#: Further given names that mark a person; surrogates are drawn from GIVEN.
+KNOWN = {
+    "f": "Amanda Amy Angela Barbara Betty Carol Charlotte Christine Deborah Dorothy Elizabeth Emily Hannah Heather Jennifer Jessica Karen Kate Katherine Kathleen Kelly Kimberly Lisa Linda Lucy Margaret Megan Melissa Michelle Nancy Nicole Pamela Patricia Rachel Rebecca Ruth Sandra Sharon Sophie Stephanie",
+    "m": "Alan Alex Andrew Anthony Ben Benjamin Bill Bob Brian Charles Christopher Donald Edward Eric Frank Gary Gregory Jacob Jason Jeffrey Jonathan Joseph Joshua Justin Kenneth Kevin Larry Mark Matthew Michael Nicholas Patrick Richard Ronald Ryan Scott Stephen Steven Thomas Timothy William",
+}
+#: What stands before a name, or a date of birth.
+NAME_LABELS = "name Name signed Signed contact Contact attn Attn author Author patient Patient customer Customer"
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct Place Pl Square Sq Terrace Way"
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_NAMES = "|".join(n for names in GIVEN.values() for n in names.split())
+_NAMES = "|".join(n for names in (*GIVEN.values(), *KNOWN.values()) for n in names.split())
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles.split())
 #: Lengths of IBANs by country (ISO 13616 registry).
 IBAN_LENGTHS = {
@@ -74,26 +89,39 @@ _INTERNATIONAL = (
     r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])"
     rf"|\+[0-9]{{1,3}}[ .\-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .\-]?[0-9]{{2,4}}{_MORE}(?:{_MORE}(?<!{_TOO_LONG}))?"
 )
+_LABEL = "(?:" + NAME_LABELS.replace(" ", "|") + ")"
+_CAPITAL = r"\p{Lu}[\p{L}'\-]{1,30}+"
+_BIRTH = r"(?:[Bb]orn(?: on)?|[Dd]ate of [Bb]irth|[Bb]irth ?[Dd]ate|DOB|dob|[Gg]eboren am|[Nn]ée? le|[Ff]echa de nacimiento)"
+_DATE = r"(?:[0-9]{1,2}([./\-])[0-9]{1,2}\%d(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?:(?::{_HEX}){{1,4}}|:))(?![\p{{L}}\p{{N}}:])"
 PATTERNS = {
     "SECRET": r"(?=[TtSsPpAa])" + _SECRET + r"[A-Za-z0-9_\-/+]{16,}+",
-    "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "KEY": r"(?<![A-Za-z0-9])(?=[AgsxeB])(?:A[KS]IA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_\-]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+)",
+    "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9.\-]*?\.[A-Za-z]{2})[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+",
     "IBAN": r"(?<![A-Za-z0-9])" + _iban(),
-    "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]+",
+    "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]++|(?<=(?<!\p{{L}}){_LABEL}: {{0,2}}|[Mm]y name is )(?=\p{{Lu}}){_CAPITAL}(?: {_CAPITAL}){{1,2}}+",
+    "ADDRESS": rf"(?<![\p{{L}}\p{{N}}])(?:[0-9]{{1,5}}[A-Za-z]? (?=\p{{Lu}})(?:(?!(?:{STREETS.replace(' ', '|')})(?!\p{{L}})){_CAPITAL} ){{1,3}}+(?:{STREETS.replace(' ', '|')})(?!\p{{L}})|(?=\p{{Lu}})\p{{L}}{{2,30}}?(?:straße|strasse|weg|platz|allee) [0-9]{{1,4}}(?![\p{{L}}0-9]))",
+    "BIRTH": rf"(?<={_BIRTH}[:=]?\s{{0,2}})" + _DATE,
+    "IPV6": _IPV6,
     "IPV4": _IPV4,
     "SSN": _SSN,
     "PHONE": rf"(?<![0-9+])(?:{_INTERNATIONAL}|{_NATIONAL})(?![0-9])",
     "CARD": _CARD + r"(?![0-9])",
 }
+#: Types whose surrogates are drawn from a digest and checked; those of numbers are permuted.
+DRAWN = ("SECRET", "KEY", "EMAIL", "IBAN", "PERSON", "ADDRESS", "IPV6")
 #: Each type has its own left boundary; what the alternatives share is decided first, so that most positions of a
 #: text cost a few comparisons.  A secret's key word may follow anything ('client_secret', 'DB_PASSWORD').
-_WORDS, _NUMBERS = ("EMAIL", "IBAN", "PERSON"), ("IPV4", "SSN", "PHONE", "CARD")
-COMBINED = PATTERNS["SECRET"] + r"|(?<![A-Za-z0-9])(?=[\p{Lu}A-Za-z0-9._%+\-])(?:" + "|".join(PATTERNS[k] for k in _WORDS) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERS) + ")"
+_WORDS, _NUMBERS = ("KEY", "EMAIL", "IBAN", "PERSON", "ADDRESS", "IPV6"), ("BIRTH", "IPV4", "SSN", "PHONE", "CARD")
+COMBINED = PATTERNS["SECRET"] + r"|(?<![A-Za-z0-9])(?=[\p{Lu}A-Za-z0-9._%+\-])(?:" + "|".join(PATTERNS[k] for k in _WORDS) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERS).replace("%d", "1") + ")"
 _CYRILLIC = r"[Ѐ-ӿ]"
 
 
 def kind_of(raw: Column) -> Column:
     """The type of one match: the first alternative that it fits as a whole."""
-    return reduce(lambda rest, item: F.when(raw.rlike(f"^(?:{item[1]})$"), F.lit(item[0])).otherwise(rest), reversed(PATTERNS.items()), F.lit("PERSON"))
+    shapes = [(kind, _DATE if kind == "BIRTH" else pattern) for kind, pattern in PATTERNS.items() if kind != "PERSON"]
+    return reduce(lambda rest, item: F.when(raw.rlike(f"^(?:{item[1].replace('%d', '1')})$"), F.lit(item[0])).otherwise(rest), reversed(shapes), F.lit("PERSON"))
 
 
 def _digits(raw: Column) -> Column:
@@ -104,7 +132,7 @@ def _person_parts(raw: Column) -> tuple[Column, Column, Column]:
     """Title with its blank, given name, surname; absent parts are empty."""
     title = F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1)
     rest = F.substring(raw, F.length(title) + 1, F.length(raw))
-    given = F.regexp_extract(rest, rf"^({_NAMES}) ", 1)
+    given = F.regexp_extract(rest, r"^(\p{L}[\p{L}'\-]*+) ", 1)
     surname = F.when(given == "", rest).otherwise(F.substring(rest, F.length(given) + 2, F.length(rest)))
     return title, given, surname
 
@@ -117,16 +145,17 @@ def normalised(kind: Column, raw: Column) -> Column:
     return (
         F.when(kind == "PHONE", number).when(kind.isin("CARD", "SSN"), _digits(raw)).when(kind == "EMAIL", F.lower(raw))
         .when(kind == "IBAN", F.regexp_replace(raw, " ", "")).when(kind == "SECRET", F.regexp_replace(raw, "^" + _SECRET, ""))
-        .when(kind == "PERSON", F.concat(_gender(raw), F.lit("|"), given, F.lit("|"), surname)).otherwise(raw)
+        .when(kind == "PERSON", F.concat(_gender(raw), F.lit("|"), given, F.lit("|"), surname)).when(kind == "IPV6", F.lower(raw)).otherwise(raw)
     )
 
 
 def _gender(raw: Column) -> Column:
+    """f, m, or n if neither the given name nor a title tells."""
     title, given, _ = _person_parts(raw)
-    female = [n for (g, _), names in GIVEN.items() if g == "f" for n in names.split()]
-    male = [n for (g, _), names in GIVEN.items() if g == "m" for n in names.split()]
+    names = {g: [n for (of, _), more in GIVEN.items() if of == g for n in more.split()] + KNOWN[g].split() for g in "fm"}
     plain = F.regexp_replace(title, r"\.? $", "")
-    return F.when(given.isin(female) | ((given == "") & plain.isin(TITLES["f"].split())), "f").when(given.isin(male) | plain.isin(TITLES["m"].split()), "m").otherwise("f")
+    first = F.when(given.isin(names["f"]), "f").when(given.isin(names["m"]), "m")
+    return F.coalesce(first, F.when(plain.isin(TITLES["f"].split()), "f").when(plain.isin(TITLES["m"].split()), "m"), F.lit("n"))
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -152,9 +181,51 @@ def _scrambled(value: Column, digest: Column, hexadecimal: bool = False) -> Colu
     return F.array_join(F.transform(_letters(value), one), "")
 
 
-def _number(digits: Column, digest: Column) -> Column:
-    """As many digits, the first of them not zero."""
-    return F.array_join(F.transform(_letters(digits), lambda c, i: F.when(i == 0, _byte(digest, i) % 9 + 1).otherwise(_byte(digest, i) % 10).cast("string")), "")
+def _cycled(a: Column, b: Column, ma: Column, mb: Column, seed: Column) -> Column:
+    """The next pair (a, b) below (ma, mb) on a keyed cycle through all of them: forward rounds, a step of one, rounds back."""
+    def draw(r, x, modulus):
+        return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", seed, r.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("bigint") % modulus
+
+    def step(s, k):
+        back = k > ROUNDS
+        r = F.when(back, 2 * ROUNDS - k).otherwise(k)
+        sign = F.when(back, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+        first = F.struct(F.pmod(s["a"] + sign * draw(r, s["b"], ma), ma).alias("a"), s["b"].alias("b"))
+        second = F.struct(s["a"].alias("a"), F.pmod(s["b"] + sign * draw(r, s["a"], mb), mb).alias("b"))
+        next_one = F.struct(F.when(s["b"] + 1 == mb, (s["a"] + 1) % ma).otherwise(s["a"]).alias("a"), ((s["b"] + 1) % mb).alias("b"))
+        return F.when(k == ROUNDS, next_one).when(r % 2 == 0, first).otherwise(second)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS)), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), step)
+
+
+def _ten(power: Column) -> Column:
+    return F.pow(F.lit(10.0), power).cast("bigint")
+
+
+def _number(digits: Column, seed: Column) -> Column:
+    """As many digits (20 at most), the first of them zero only if it was: another number for each, by a keyed cycle."""
+    zero = F.substring(digits, 1, 1) == "0"
+    return _permuted(digits, seed, zero)
+
+
+def _any_digits(digits: Column, seed: Column) -> Column:
+    """As many digits, whatever the first is."""
+    return _permuted(digits, seed, None)
+
+
+def _permuted(digits: Column, seed: Column, zero: Column | None) -> Column:
+    n = F.length(digits)
+    low = F.floor(n / 2).cast("int")
+    high = n - low
+    none = F.lit(0).cast("bigint")
+    base = none if zero is None else F.when(zero, none).otherwise(_ten(high - 1))
+    span = _ten(high) if zero is None else F.when(zero, _ten(high - 1)).otherwise(9 * _ten(high - 1))
+    a = F.substr(digits, F.lit(1), high).cast("bigint") - base
+    b = F.when(low > 0, F.substr(digits, high + 1, F.greatest(low, F.lit(1))).cast("bigint")).otherwise(none)
+    new = _cycled(a, b, span, _ten(low), F.concat_ws("\x1f", seed, n.cast("string")))
+    # bound once: the pair is read twice
+    made = F.transform(F.array(new), lambda s: F.concat(F.lpad((s["a"] + base).cast("string"), high, "0"), F.when(low > 0, F.lpad(s["b"].cast("string"), low, "0")).otherwise(F.lit(""))))
+    return F.when(n > 0, F.get(made, F.lit(0))).otherwise(digits)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -165,12 +236,12 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(_letters(digits)), value), F.lit(0), lambda a, x: a + x)
 
 
-def _card(digits: Column, digest: Column) -> Column:
-    """The same first digit and length; a valid checksum if the original has one."""
-    body = F.concat(F.substring(digits, 1, 1), F.substr(_number(digits, digest), F.lit(2), F.length(digits) - 2))
-    check = ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    other = ((_luhn_sum(F.concat(body, F.lit("0"))) * 9 + 1 + _byte(digest, F.lit(40)) % 9) % 10).cast("string")
-    return F.concat(body, F.when(_luhn_sum(digits) % 10 == 0, check).otherwise(other))
+def _card(digits: Column, seed: Column) -> Column:
+    """The same first digit and length, and a check digit as far from the valid one as the original's was."""
+    first, middle = F.substring(digits, 1, 1), F.substr(digits, F.lit(2), F.length(digits) - 2)
+    body = F.concat(first, _any_digits(middle, F.concat(seed, first)))
+    off = _luhn_sum(digits) % 10  # 0: valid
+    return F.get(F.transform(F.array(body), lambda x: F.concat(x, ((10 - _luhn_sum(F.concat(x, F.lit("0"))) % 10 + off) % 10).cast("string"))), F.lit(0))
 
 
 def digest_of(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -179,17 +250,44 @@ def digest_of(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256))
 
 
-def surrogate_value(kind: Column, norm: Column, attempt: Column, digest: Column) -> Column:
-    """The surrogate in normalised form."""
+def _address(octets: Column, seed: Column) -> Column:
+    """Another IPv4 address, by a keyed cycle through all."""
+    part = [F.get(octets, F.lit(i)).cast("bigint") for i in range(4)]
+    half = F.lit(65536).cast("bigint")
+    new = _cycled(part[0] * 256 + part[1], part[2] * 256 + part[3], half, half, seed)
+    text = F.transform(F.array(new), lambda s: F.concat_ws(".", *[x.cast("string") for h in "ab" for x in (F.shiftright(s[h], 8), s[h] % 256)]))
+    return F.get(text, F.lit(0))
+
+
+def _moved(date: Column, key: str) -> Column:
+    """A date whose day and month move within 1-12 or 13-28 and whose year moves within its decade, by keyed steps; the last always does."""
+    shift = F.conv(F.substring(F.sha2(F.lit(key + "birth"), 256), 1, 6), 16, 10).cast("int")
+    def field(text):
+        x = text.cast("int")
+        low, high = (x - 1 + shift % 12) % 12 + 1, (x - 13 + shift % 16) % 16 + 13
+        new = F.when(F.length(text) == 4, F.floor(x / 10).cast("int") * 10 + (x % 10 + shift % 9 + 1) % 10).when(x.between(1, 12), low).when(x.between(13, 28), high).otherwise(x)
+        return F.lpad(new.cast("string"), F.greatest(F.length(text), F.length(new.cast("string"))), "0")
+
+    mark = F.regexp_extract(date, "[^0-9]", 0)
+    return F.replace(F.array_join(F.transform(F.split(date, "[^0-9]"), field), "|"), F.lit("|"), mark)
+
+
+def surrogate_value(kind: Column, norm: Column, attempt: Column, digest: Column, key: str) -> Column:
+    """The surrogate in normalised form; a later attempt draws from a larger space, where the form allows it."""
+    more = F.substr(F.reverse(digest), F.lit(1), attempt)  # as many characters as there were attempts before
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     top = F.substring_index(domain, ".", -1)
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_scrambled(local, digest), F.lit("@"), _scrambled(host, F.reverse(digest)), top)
-    phone = F.concat(F.substring_index(norm, "|", 1), F.lit("|"), _number(F.substring_index(norm, "|", -1), digest))
-    ip = F.array_join(F.array(*[(_byte(digest, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]), ".")
+    email = F.concat(_scrambled(local, digest), more, F.lit("@"), _scrambled(host, F.reverse(digest)), top)
+    seed = F.concat_ws("\x1f", F.lit(key), kind)
+    country = F.substring_index(norm, "|", 1)
+    phone = F.concat(country, F.lit("|"), _number(F.substring_index(norm, "|", -1), F.concat_ws("\x1f", seed, country)))
     iban = F.concat(F.substring(norm, 1, 2), _scrambled(F.substring(norm, 3, 60), digest))
-    secret = F.when(norm.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), _scrambled(norm, digest, True)).otherwise(_scrambled(norm, digest))
+    secret = F.concat(F.when(norm.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), _scrambled(norm, digest, True)).otherwise(_scrambled(norm, digest)), more)
+    prefix = F.regexp_extract(norm, "^(A[KS]IA|gh[pousr]_|sk-|xox[abprs]-|eyJ)", 1)
+    token = F.concat(prefix, _scrambled(F.substr(norm, F.length(prefix) + 1), digest), F.when(prefix.rlike("IA"), F.upper(more)).otherwise(more))
     gender, given, surname = F.substring_index(norm, "|", 1), F.substring_index(F.substring_index(norm, "|", 2), "|", -1), F.substring_index(norm, "|", -1)
+    gender = F.when(gender == "n", F.when(_byte(digest, F.lit(19)) % 2 == 0, "f").otherwise("m")).otherwise(gender)
     cyrillic = F.concat(given, surname).rlike(_CYRILLIC)
     new_given = F.lit("")
     for (g, script), names in GIVEN.items():
@@ -197,14 +295,18 @@ def surrogate_value(kind: Column, norm: Column, attempt: Column, digest: Column)
         new_given = F.when(fits, _pick(digest, F.lit(20), names)).otherwise(new_given)
     new_given = F.when(given == "", F.lit("")).otherwise(new_given)
     def family(words):
-        more = F.transform(F.sequence(F.lit(0), attempt + 2), lambda k: _pick(digest, k * 3 + 24, words))
-        return F.initcap(F.array_join(more, ""))
+        syllables = F.transform(F.sequence(F.lit(0), attempt + 2), lambda k: _pick(digest, k * 3 + 24, words))
+        return F.initcap(F.array_join(syllables, ""))
 
     new_surname = F.when(cyrillic, family(SYLLABLES["cyrillic"])).otherwise(family(SYLLABLES["latin"]))
-    person = F.concat(gender, F.lit("|"), new_given, F.lit("|"), new_surname)
+    person = F.concat(F.substring_index(norm, "|", 1), F.lit("|"), new_given, F.lit("|"), new_surname)
+    number, kind_of_street = F.regexp_extract(norm, "[0-9]+", 0), F.regexp_extract(norm, "( \\p{L}+|straße|strasse|weg|platz|allee)(?: [0-9]+)?$", 1)
+    house = _number(number, F.concat_ws("\x1f", seed, norm))
+    address = F.when(norm.rlike("^[0-9]"), F.concat(house, F.lit(" "), family(SYLLABLES["latin"]), kind_of_street)).otherwise(F.concat(family(SYLLABLES["latin"]), kind_of_street, F.lit(" "), house))
     return (
-        F.when(kind == "EMAIL", email).when(kind == "PHONE", phone).when(kind == "IPV4", ip).when(kind == "CARD", _card(norm, digest))
-        .when(kind == "SSN", _number(norm, digest)).when(kind == "IBAN", iban).when(kind == "SECRET", secret).otherwise(person)
+        F.when(kind == "EMAIL", email).when(kind == "PHONE", phone).when(kind == "IPV4", _address(F.split(norm, r"\."), seed)).when(kind == "CARD", _card(norm, seed))
+        .when(kind == "SSN", _any_digits(norm, seed)).when(kind == "IBAN", iban).when(kind == "SECRET", secret).when(kind == "KEY", token).when(kind == "ADDRESS", address)
+        .when(kind == "IPV6", _scrambled(norm, digest, True)).when(kind == "BIRTH", _moved(norm, key)).otherwise(person)
     )
 
 
@@ -239,12 +341,12 @@ def found(text: Column) -> Column:
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm, attempt -> adds the value drawn at that attempt."""
     drawn = entities.withColumn("digest", digest_of(F.col("kind"), F.col("norm"), F.col("attempt"), key))
-    return drawn.withColumn("value", surrogate_value(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("digest"))).drop("digest")
+    return drawn.withColumn("value", surrogate_value(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("digest"), key)).drop("digest")
 
 
 def exceptions(texts: DataFrame, key: str) -> DataFrame:
-    """kind, norm, attempt of the entities whose first draw is taken; the rest have attempt 0."""
-    raw = texts.select(F.explode(found(F.col("text"))).alias("raw")).distinct().withColumn("kind", kind_of(F.col("raw")))
+    """kind, norm, attempt of the drawn entities whose first draw is taken; the rest have attempt 0."""
+    raw = texts.select(F.explode(found(F.col("text"))).alias("raw")).distinct().withColumn("kind", kind_of(F.col("raw"))).where(F.col("kind").isin(*DRAWN))
     entities = raw.select("kind", normalised(F.col("kind"), F.col("raw")).alias("norm")).distinct().withColumn("attempt", F.lit(0))
     drawn = staged(_drawn(entities, key), "pii")
     for _ in range(ATTEMPTS):
@@ -287,7 +389,7 @@ def replaced(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", t
         ready = ready.withColumn("_attempt", F.coalesce("_attempt", F.array().cast("array<int>")))
     ready = ready.withColumn("_e", F.arrays_zip("_raw", "_kind", "_norm", "_attempt"))
     ready = ready.withColumn("_e", F.transform("_e", lambda e: F.struct(e["_raw"].alias("raw"), e["_kind"].alias("kind"), e["_norm"].alias("norm"), e["_attempt"].alias("attempt"), digest_of(e["_kind"], e["_norm"], e["_attempt"], key).alias("digest"))))
-    ready = ready.withColumn("_v", F.transform("_e", lambda e: surrogate_value(e["kind"], e["norm"], e["attempt"], e["digest"])))
+    ready = ready.withColumn("_v", F.transform("_e", lambda e: surrogate_value(e["kind"], e["norm"], e["attempt"], e["digest"], key)))
     ready = ready.withColumn("_new", F.zip_with("_e", "_v", lambda e, v: rendered(e["kind"], e["raw"], v)))
     gaps = F.split("text", COMBINED, -1)
     whole = F.array_join(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")

@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from paperloom.llm import pii
 from paperloom.llm.pii import replaced
 
@@ -109,3 +112,56 @@ def test_phones_end_where_the_next_entity_starts(spark):
             assert a not in out.text and b not in out.text
     assert got[1000].text == got[2000].text + " 190 apples" and got[1001].text == got[2000].text + ".5" and got[1002].text == got[2003].text + " 2024"
     assert got[1003].n_entities == 1 and len(got[1003].text) == 19
+
+
+def test_planted_entities_are_replaced_and_nothing_else(spark):
+    """Texts around planted values come out as they were; each value has one surrogate, and no two have the same."""
+    draw = random.Random(1)
+    pick = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    makers = {
+        "email": lambda: f"{pick(lower, 2)}@{pick(lower, 4)}.co.uk", "phone": lambda: f"+1 ({draw.randrange(200, 1000)}) {draw.randrange(100, 1000)}-{pick(digits, 4)}",
+        "ip": lambda: ".".join(str(draw.randrange(256)) for _ in range(4)), "ipv6": lambda: f"2001:db8:{draw.randrange(16**4):x}::{draw.randrange(16**4):x}", "ssn": lambda: f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}",
+        "aws": lambda: "AKIA" + pick(upper + digits, 16), "token": lambda: "ghp_" + pick(lower + digits, 36), "name": lambda: f"{draw.choice(['Bob', 'Jessica', 'Mary'])} {pick(upper, 1)}{pick(lower, 5)}",
+        "label": lambda: f"{pick(upper, 1)}{pick(lower, 4)} {pick(upper, 1)}{pick(lower, 6)}", "street": lambda: f"{draw.randrange(1, 9999)} {pick(upper, 1)}{pick(lower, 5)} Street", "birth": lambda: f"{draw.randrange(1, 29):02}/{draw.randrange(1, 13):02}/{draw.randrange(1930, 2010)}",
+    }
+    before = {"label": "name: ", "birth": "born on "}
+    fillers = ["the cat sat,", "a lot of 12 apples;", "see page 7 of the book:", "und so weiter"]
+    rows, planted = [], []
+    for i in range(400):
+        kinds = draw.sample(sorted(makers), 3)
+        values, gaps = [makers[k]() for k in kinds], [" , " + draw.choice(fillers) + " " + before.get(k, "") for k in kinds] + [" and more"]
+        planted.append((kinds, values, gaps))
+        rows.append((i, "".join(g + v for g, v in zip(gaps, [*values, ""]))))
+    rows += [(1000 + i, text) for i, (_, text) in enumerate(rows[:50])]
+    got = {r.doc_id: r for r in run(spark, rows).collect()}
+    surrogate, missed = {}, []
+    for i, (kinds, values, gaps) in enumerate(planted):
+        found = re.fullmatch("(.+?)".join(map(re.escape, gaps)), got[i].text)
+        assert found, got[i].text
+        for kind, value, new in zip(kinds, values, found.groups()):
+            if value == new:
+                missed.append((kind, value))
+            assert surrogate.setdefault((kind, value), new) == new
+    assert not missed and len({(k, new) for (k, _), new in surrogate.items()}) == len(surrogate)
+    assert all(got[1000 + i].text == got[i].text for i in range(50))
+
+
+def test_numbers_are_permuted(spark):
+    """All numbers of one length: each has another, none is met twice, and a leading zero stays one."""
+    for n in (1, 2, 3, 5):
+        df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+        got = {r.d: (r.a, r.b) for r in df.select("d", pii._number(F.col("d"), F.lit("k")).alias("a"), pii._any_digits(F.col("d"), F.lit("k")).alias("b")).collect()}
+        assert {b for _, b in got.values()} == set(got) and all(b != d for d, (_, b) in got.items())
+        assert {a for a, _ in got.values()} == set(got) and all((a[0] == "0") == (d[0] == "0") and (a != d or d == "0") for d, (a, _) in got.items())
+
+
+def test_dense_numbers_and_long_texts(spark):
+    numbers = [f"(555) 010-{i:04}" for i in range(10000)] + [f"(555) 011-{i:04}" for i in range(10000)]
+    rows = [(i, " ".join(numbers[i * 200 : i * 200 + 200])) for i in range(100)]
+    long = ["x@" + "ab." * 200_000, "a." * 500_000 + "@b.io", "1 " * 500_000, "Mr. " * 250_000, "token=" + "k" * 1_000_000, "AA" * 400_000 + "12", "1:" * 300_000, "+1 " * 300_000, "A Street " * 100_000, "----------------"]
+    got = {r.doc_id: r for r in run(spark, rows + [(1000 + i, t) for i, t in enumerate(long)] + [(2000, "password=----------------")]).collect()}
+    new = [x for i in range(100) for x in re.findall(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", got[i].text)]
+    assert len(new) == len(set(new)) == len(numbers) and all(a != b for a, b in zip(new, numbers))
+    assert got[1000].n_entities == 1 and got[1004].n_entities == 1 and len(got[1004].text) == 1_000_006 and got[1009].text == "-" * 16
+    assert got[2000].text != "password=----------------"
