@@ -1,12 +1,14 @@
 """Nearest neighbours by inner product with multi-index hashing.
 
-Vectors are centred, turned to their principal axes and rotated so that signs lose least (iterative
-quantisation, learned on at most ``SAMPLE_ROWS`` rows); the signs are a code of up to 64 bits.  Codes are split
-into ``PARTS`` substrings, and a block of rows has a table for each: the rows sorted by that substring.  Codes
-within ``radius`` of a query's differ from it by at most radius / PARTS bits in one substring at least, so
-probing every table for substrings that near retrieves each of them; the full code confirms the radius, and
-the original vectors rank what is left in double precision.  A query with fewer than k codes in its radius
-looks again in a wider one.
+A coordinate that brings every vector to the length of the longest turns inner products into angles.  Vectors are
+centred, turned to their principal axes and rotated so that signs lose least (iterative quantisation, learned on at
+most ``SAMPLE_ROWS`` rows); the signs are a code of up to 64 bits.  Codes are split into ``PARTS`` substrings, and a
+block of rows has a table for each: the rows sorted by that substring.  Codes within ``radius`` of a query's differ
+from it by at most radius / PARTS bits in one substring at least, so probing every table for substrings that near
+retrieves each of them: by looking up every such substring, or where the table holds fewer, by comparing all that it
+holds.  The full code confirms the radius, and the original vectors rank what is left in double precision.  The radius
+is the least one that finds ``RECALL`` of the sample's own neighbours, by brute force over the sample; more rows only
+bring neighbours nearer.  A query with fewer than k codes in its radius looks again in a wider one.
 
 Every row is indexed.  Rows and queries are dealt to a grid of bounded blocks; a cell of the grid gives at most
 k rows a query, and the best k over all cells are the result.
@@ -19,6 +21,7 @@ are candidates each, but never of a query with their id; an empty input gives an
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +32,37 @@ from paperloom.session import ship
 
 SAMPLE_ROWS = 20_000
 MAX_BITS, PARTS = 64, 4
-RADIUS = 28
+RECALL, RECALL_QUERIES = 0.96, 400
 ROW_BLOCK, QUERY_BLOCK = 16_384, 2048
 
 
 @dataclass
 class Encoder:
+    longest: float  # norm of the longest vector
     centre: np.ndarray
-    turn: np.ndarray  # (dimensions, bits)
+    turn: np.ndarray  # (dimensions + 1, bits)
+    radius: int = MAX_BITS
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        bits = (x - self.centre) @ self.turn > 0
+    def codes(self, x: np.ndarray, queries: bool = False) -> np.ndarray:
+        bits = (_lengthened(x, self.longest, queries) - self.centre) @ self.turn > 0
         padded = np.zeros((len(x), MAX_BITS), bool)
         padded[:, : bits.shape[1]] = bits
         return np.packbits(padded, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def learn(x: np.ndarray, rounds: int = 40, seed: int = 1) -> Encoder:
-    """Principal axes and the rotation that iterative quantisation finds for them."""
+def _lengthened(x: np.ndarray, longest: float, queries: bool) -> np.ndarray:
+    """Rows get a coordinate that makes them as long as the longest; queries are stretched to that length."""
+    squares = (x * x).sum(axis=1)
+    if queries:
+        return np.c_[x * (longest / np.sqrt(squares))[:, None], np.zeros(len(x))]
+    return np.c_[x, np.sqrt(np.maximum(longest * longest - squares, 0))]
+
+
+def learn(sample: np.ndarray, longest: float, k: int = 20, rounds: int = 40, seed: int = 1) -> Encoder:
+    """Principal axes, the rotation that iterative quantisation finds for them, and the radius that finds enough neighbours."""
+    x = _lengthened(sample, longest, False)
     centre = x.mean(axis=0)
-    bits = min(MAX_BITS, x.shape[1])
+    bits = min(MAX_BITS, sample.shape[1])
     _, axes = np.linalg.eigh((x - centre).T @ (x - centre))
     axes = axes[:, ::-1][:, :bits]
     projected = (x - centre) @ axes
@@ -56,7 +70,25 @@ def learn(x: np.ndarray, rounds: int = 40, seed: int = 1) -> Encoder:
     for _ in range(rounds):
         u, _, vt = np.linalg.svd(np.where(projected @ rotation > 0, 1.0, -1.0).T @ projected)
         rotation = (u @ vt).T
-    return Encoder(centre, axes @ rotation)
+    encoder = Encoder(longest, centre, axes @ rotation)
+    codes, at = encoder.codes(sample), np.arange(min(RECALL_QUERIES, len(sample)))
+    distances = []
+    for i, code in zip(at, encoder.codes(sample[at], True)):
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        nearest_k = np.argpartition(-score, min(k, len(score) - 1))[:k]
+        distances.append(np.bitwise_count(codes[nearest_k[nearest_k != i]] ^ code))
+    found = np.sort(np.concatenate([*distances, np.zeros(0, np.uint8)]))
+    if len(found):
+        encoder.radius = int(found[min(len(found) - 1, int(RECALL * len(found)))])
+    return encoder
+
+
+@lru_cache(maxsize=None)
+def _flips(radius: int) -> np.ndarray:
+    """Every change of up to ``radius`` bits of a substring."""
+    masks = np.arange(1 << MAX_BITS // PARTS, dtype=np.uint64)
+    return masks[np.bitwise_count(masks) <= radius]
 
 
 class BlockIndex:
@@ -80,7 +112,12 @@ class BlockIndex:
         """Every row whose code is within the radius: those of near substrings in any table, then confirmed."""
         hit = np.zeros(len(self.codes), bool)
         for part, (order, values, first, n) in enumerate(self.tables):
-            near = np.bitwise_count(values ^ self.substring(code, part)) <= radius // PARTS
+            flips, own = _flips(radius // PARTS), self.substring(code, part)
+            if len(flips) < len(values):  # look up each substring in reach
+                slot = np.minimum(np.searchsorted(values, own ^ flips), len(values) - 1)
+                near = slot[values[slot] == own ^ flips]
+            else:  # the table holds fewer: compare all of them
+                near = np.flatnonzero(np.bitwise_count(values ^ own) <= radius // PARTS)
             lengths = n[near]
             total = int(lengths.sum())
             if total:
@@ -90,7 +127,7 @@ class BlockIndex:
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
 
-def _search(encoder: Encoder, k: int, radius: int):
+def _search(encoder: Encoder, k: int):
     names = ["query_id", "vec_id", "score"]
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -102,8 +139,8 @@ def _search(encoder: Encoder, k: int, radius: int):
             x, q = matrix(rows), matrix(queries)
             ids, query_ids = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
             index = BlockIndex(encoder.codes(x))
-            for query, code, own in zip(q, encoder.codes(q), query_ids):
-                reach = radius
+            for query, code, own in zip(q, encoder.codes(q, True), query_ids):
+                reach = encoder.radius
                 while True:
                     found = index.within(code, reach)
                     found = found[ids[found] != own]
@@ -125,10 +162,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(v.isNotNull() & F.col(id_col).isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
-    return rows.select(F.col(id_col).cast("bigint").alias("vec_id"), v.cast("array<float>").alias("vector"))
+    return rows.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("vector") if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else v.cast("array<double>").alias("vector"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, radius: int = RADIUS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found among all other rows."""
     spark = vectors.sparkSession
     ship(spark)
@@ -138,18 +175,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, radius: int = RADIUS, id_
     if not sizes["n"] or not sizes["q"]:
         return empty
     rows = rows.where(F.size("vector") == sizes["d"])
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    longest = float(np.sqrt(rows.agg(F.max(square)).first()[0]))
     h = F.pmod(F.xxhash64(F.lit("itq"), "vec_id"), F.lit(1 << 40))
     sample = rows.where(h <= F.lit(int(min(1.0, SAMPLE_ROWS / sizes["n"]) * (1 << 40)))).orderBy(h, "vec_id").limit(SAMPLE_ROWS)
     found = sample.select("vector").toPandas()["vector"]
     if not len(found):
         found = rows.limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
-    encoder = learn(np.stack(found.to_numpy()).astype(np.float64))
+    encoder = learn(np.stack(found.to_numpy()).astype(np.float64), longest, k)
     row_blocks, query_blocks = -(-sizes["n"] // ROW_BLOCK), -(-sizes["q"] // QUERY_BLOCK)
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(1 << 40))
     right = rows.withColumn("rb", (block % row_blocks).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     left = rows.where(is_query).withColumn("qb", (block % query_blocks).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
     pairs = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb"))
-    best = pairs.applyInArrow(_search(encoder, k, radius), "query_id bigint, vec_id bigint, score double")
+    best = pairs.applyInArrow(_search(encoder, k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

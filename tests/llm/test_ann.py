@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm.ann import BlockIndex, nearest
@@ -23,6 +24,33 @@ def brute(x, k=20):
     return out
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.6, 1.0])
+def test_recall_at_64_dimensions(spark, spread):
+    """Vectors without any structure, of equal and of very unequal lengths; several ids repeat."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(6000, 64))
+    x *= (np.exp(draw.normal(size=6000) * spread) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist()), (40, x[7].tolist())], "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = []
+    for q, found in got.items():
+        score = x @ x[q]
+        assert all(abs(s - float((x[i] * x[q]).sum())) < 1e-12 for _, i, s in found if i != 40)
+        best = {i for i in np.argsort(-score, kind="stable")[:21] if i != q}
+        hits.append(len(best & {i for _, i, _ in found}) / 20)
+    assert set(got) == set(range(0, 6000, 100)) and all(sorted(r for r, *_ in f) == list(range(1, 21)) for f in got.values())
+    assert np.mean(hits) >= 0.9
+
+
+def test_double_vectors_are_ranked_as_they_are(spark):
+    """Differences that single precision would lose decide."""
+    rows = [(i, [1.0 + 1e-9 * i, 0.5]) for i in range(60)]
+    got = nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 59, k=3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [58, 57, 56]
+
+
 def test_recall_and_odd_vectors(spark):
     draw = np.random.default_rng(2)
     x = draw.normal(size=(1500, 32)).astype(np.float32)
