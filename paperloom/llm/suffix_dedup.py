@@ -3,14 +3,18 @@
 Only strings that may repeat reach a suffix array.  Each 200-byte window picks the least hash of the 32-byte
 grams inside it, a choice that depends on the window's bytes alone; so equal windows pick equal grams, and a
 gram that occurs once in the corpus rules out all windows that picked it.  The windows that picked one gram
-occurrence are consecutive; the bytes they span are its context.  Equal contexts are one context with a count.
+occurrence are consecutive; the bytes they span are its context.  Contexts of equal 128-bit digests (and equal
+grams) are one context with a count.
 
-Contexts of grams with several different contexts are dealt to shards by gram.  A shard builds the suffix array
-of its contexts by Larsson and Sadakane's refinement (ranks double their depth each round, and only groups that
-are still tied are sorted again), takes common prefixes of neighbours by Kasai's walk, a lane for each context,
-and marks windows whose neighbour shares ``LENGTH`` bytes.  A gram with more than ``SHARD_CONTEXTS`` contexts is
-split over several shards, and each pair of those is merged by binary search of one's windows in the other's
-array.
+Contexts of every gram that occurs twice are dealt to shards by gram.  A shard builds the suffix array of its
+contexts by Larsson and Sadakane's refinement (ranks double their depth each round, and only groups that are still
+tied are sorted again), takes common prefixes of neighbours by Kasai's walk, a lane for each context, and marks
+windows whose neighbour shares ``LENGTH`` bytes or whose context counts more than once.
+
+A gram with more than ``SHARD_CONTEXTS`` contexts is a short passage in many surroundings.  Its windows are told apart
+by how far into them the gram begins, ``STEP`` places together, and by the bytes that all windows of such a range
+have: equal windows agree in both.  What is still too large for a shard is split over several, and each pair of
+those is merged by binary search of one's windows in the other's array.
 
 Defined results: null text is empty; texts shorter than the window lose nothing; strings never cross documents;
 repeated rows are copies of each other; rows with a null id are treated like others; extra columns are ignored;
@@ -31,6 +35,7 @@ LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 2 << 20
 SHARD_CONTEXTS = 4000
+STEP = 8
 BLOCK = 1 << 22  # bytes of a text looked at together; positions in a block take 24 bits
 _DRAW = np.random.default_rng(11)
 _TABLE = _DRAW.integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -64,28 +69,26 @@ def anchors(data: bytes):
         yield picked[first] + begin, (least[first] >> np.uint64(24)).astype(np.int64), first + begin, last + begin
 
 
-ANCHORS = "doc_id bigint, text_hash bigint, gram bigint, context bigint, first int, last int"
+CONTEXT = ["gram", "context", "context2"]
+ANCHORS = "doc_id bigint, text_hash bigint, gram bigint, context bigint, context2 bigint, first int, last int"
 
 
 def _anchors(batches):
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
+        rows, columns = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(5)]
         for k, text in enumerate(batch.column(2)):
             data = (text.as_py() or "").encode("utf-8")
             for at, _, first, last in anchors(data) if len(data) >= LENGTH else ():
-                view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-                columns[0].append(np.full(len(at), k))
-                columns[2].append(np.fromiter((digest(view[a : a + GRAM]) for a in at.tolist()), np.uint64, len(at)).view(np.int64))
+                view = memoryview(data)
                 spans = zip(at.tolist(), first.tolist(), last.tolist())
-                columns[3].append(np.fromiter((digest(view[f : t + LENGTH], a - f) for a, f, t in spans), np.uint64, len(at)).view(np.int64))
-                columns[4].append(first)
-                columns[5].append(last)
-        row = np.concatenate([*columns[0], np.zeros(0, np.int64)]).astype(np.int64)
-        made = [np.concatenate([*c, np.zeros(0, np.int64)]) for c in columns[2:]]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(made[0]), pa.array(made[1]), pa.array(made[2].astype(np.int32)), pa.array(made[3].astype(np.int32))],
-            ["doc_id", "text_hash", "gram", "context", "first", "last"],
-        )
+                whole = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[f : t + LENGTH], a - f) for a, f, t in spans]), np.int64).reshape(-1, 2)
+                rows.append(np.full(len(at), k))
+                gram = np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + GRAM]) for a in at.tolist()), np.uint64, len(at)).view(np.int64)
+                for column, values in zip(columns, (gram, whole[:, 0], whole[:, 1], first, last)):
+                    column.append(values)
+        row, made = pa.array(np.concatenate(rows).astype(np.int64)), [np.concatenate(c) for c in columns]
+        arrays = [*map(pa.array, made[:3]), *(pa.array(c.astype(np.int32)) for c in made[3:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *arrays], ["doc_id", "text_hash", *CONTEXT, "first", "last"])
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -141,9 +144,9 @@ def _common(words: np.ndarray, i: np.ndarray, j: np.ndarray, h: np.ndarray) -> n
 
 
 class Shard:
-    """The windows of some contexts, in suffix order, with the common prefix of each with the one before."""
+    """The windows of some contexts, in suffix order, with the common prefix of each with the one before; a context may count for several."""
 
-    def __init__(self, contexts: list[bytes]):
+    def __init__(self, contexts: list[bytes], counts: list[int] | None = None):
         sizes = np.array([len(c) for c in contexts], np.int64)
         self.base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.windows = sizes - LENGTH + 1
@@ -161,6 +164,7 @@ class Shard:
         common = self._kasai(before, rank)[self.order]
         self.group = np.cumsum(common < LENGTH) - 1  # windows of equal bytes
         self.heads = np.flatnonzero(common < LENGTH)
+        self.counts = np.ones(len(contexts)) if counts is None else np.array(counts, float)
 
     def _kasai(self, before: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Along each context, a window shares at least one byte less with its neighbour than the last one did."""
@@ -184,7 +188,8 @@ class Shard:
 
     def repeated(self) -> np.ndarray:
         """Groups of more than one window."""
-        return np.bincount(self.group, minlength=len(self.heads)) > 1
+        of = self.counts[np.searchsorted(self.base, self.order, "right") - 1]
+        return np.bincount(self.group, of, minlength=len(self.heads)) > 1
 
     def search(self, other: Shard) -> tuple[np.ndarray, np.ndarray]:
         """Which groups of this shard and of the other have equal bytes: other's windows by binary search here."""
@@ -239,59 +244,81 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RESOLVED = "gram bigint, context bigint, low array<int>, high array<int>"
+RESOLVED = "gram bigint, context bigint, context2 bigint, low array<int>, high array<int>"
 
 
-def _solve(rows: list[tuple[int, int, int, bytes]], pair: tuple[int, int]):
-    """rows: (gram, context, part, bytes), of one shard or of two parts to be merged."""
+def _solve(rows: list[dict], pair: tuple[int, int]):
+    """The rows' contexts, of one shard or of two parts to be merged."""
+    def shard(some):
+        return Shard([r["data"] for r in some], [r["n"] for r in some])
+
     if pair[0] == pair[1]:
-        shard = Shard([r[3] for r in rows])
-        results = [(rows, shard.spans(shard.repeated()))]
+        whole = shard(rows)
+        results = [(rows, whole.spans(whole.repeated()))]
     else:
-        halves = [[r for r in rows if r[2] == part] for part in pair]
+        halves = [[r for r in rows if r["part"] == part] for part in pair]
         if not all(halves):
             return
-        one, two = (Shard([r[3] for r in half]) for half in halves)
+        one, two = map(shard, halves)
         mine, theirs = one.search(two)
         results = [(halves[0], one.spans(mine)), (halves[1], two.spans(theirs))]
     for half, spans in results:
-        for (gram, context, _, _), runs in zip(half, spans):
+        for r, runs in zip(half, spans):
             if runs:
-                yield gram, context, [a for a, _ in runs], [b for _, b in runs]
+                yield r["gram"], r["context"], r["context2"], [a + r["shift"] for a, _ in runs], [b + r["shift"] for _, b in runs]
 
 
 def _solved_batch(rows, pair) -> pa.RecordBatch:
-    columns = list(zip(*_solve(rows, pair or (0, 0)))) or [[], [], [], []]
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["gram", "context", "low", "high"])
+    columns = list(zip(*_solve(rows, pair or (0, 0)))) or [[]] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*CONTEXT, "low", "high"])
 
 
 def _solve_all(batches):
-    """Rows come sorted by (gram, i, j): whole grams are packed into shards; a pair of parts stands alone."""
+    """Rows come sorted by (key, i, j): whole keys are packed into shards; a pair of parts stands alone."""
     held, size, current, pair = [], 0, None, None
     for batch in batches:
-        for gram, context, part, i, j, split, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and current != (gram, i, j) and (size > SHARD_BYTES or split or pair):
+        for r in batch.to_pylist():
+            own = (r["key"], r["i"], r["j"])
+            if held and current != own and (size > SHARD_BYTES or r["split"] or pair):
                 yield _solved_batch(held, pair)
                 held, size = [], 0
-            current, pair = (gram, i, j), (i, j) if split else None
-            held.append((gram, context, part, data))
-            size += len(data)
+            current, pair = own, own[1:] if r["split"] else None
+            held.append(r)
+            size += len(r["data"])
     if held:
         yield _solved_batch(held, pair)
 
 
+PIECES = "key bigint, gram bigint, context bigint, context2 bigint, n bigint, shift int, data binary"
+_PIECES = pa.schema([*[(k, pa.int64()) for k in ("key", *CONTEXT, "n")], ("shift", pa.int32()), ("data", pa.binary())])
+
+
 def _cut(batches):
-    """Contexts' bytes: rows (text, grams, contexts, firsts, lasts) of a document."""
+    """Contexts' bytes: rows (text, contexts with their counts and places) of a document."""
     for batch in batches:
-        gram, context, data = [], [], []
+        made = []
         for text, rows in zip(batch.column(0), batch.column(1).to_pylist()):
             whole = (text.as_py() or "").encode("utf-8")
-            for r in rows:
-                gram.append(r["gram"])
-                context.append(r["context"])
-                data.append(whole[r["first"] : r["last"] + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(data, pa.binary())], ["gram", "context", "data"])
+            made += [{"key": r["gram"], **{k: r[k] for k in (*CONTEXT, "n")}, "shift": 0, "data": whole[r["first"] : r["last"] + LENGTH]} for r in rows]
+        yield pa.RecordBatch.from_pylist(made, _PIECES)
+
+
+def _refine(batches):
+    """Contexts of a frequent gram in ranges of windows, under keys of the range and of the bytes that its windows share."""
+    for batch in batches:
+        made = []
+        for r in batch.to_pylist():
+            data = r["data"]
+            grams = (k for k in range(len(data) - GRAM + 1) if xxhash.xxh3_64_intdigest(data[k : k + GRAM]) == r["gram"] % (1 << 64))
+            at = next(grams)  # the leftmost is the one that the windows picked
+            last = len(data) - LENGTH
+            for place in range((at - last) // STEP, at // STEP + 1):
+                low, high = max(0, at - STEP * place - STEP + 1), min(last, at - STEP * place)
+                shared = xxhash.xxh3_64_intdigest(data[at - STEP * place : at - STEP * place - STEP + 1 + LENGTH], place)
+                key = (shared * 0x9E3779B97F4A7C15 + r["gram"]) % (1 << 64) - (1 << 63)
+                made.append(r | {"key": key, "shift": low, "data": data[low : high + LENGTH]})
+        yield pa.RecordBatch.from_pylist(made, _PIECES)
 
 
 def _remove(batches):
@@ -315,21 +342,31 @@ def _remove(batches):
         )
 
 
-def _contested(repeated: DataFrame, docs: DataFrame) -> DataFrame:
-    """gram, context, low, high: what the suffix arrays find in grams with several contexts."""
-    one = repeated.where("not same").groupBy("gram", "context").agg(F.min(F.struct("doc_id", "text_hash", "first", "last")).alias("o"))
-    one = staged(one.select("gram", "context", "o.*"), "contexts")
-    per_doc = one.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("gram", "context", "first", "last")).alias("rows"))
+def _solved(repeated: DataFrame, docs: DataFrame) -> DataFrame:
+    """gram, context, context2, low, high: what the suffix arrays find in the contexts of repeated grams."""
+    one = repeated.groupBy(*CONTEXT).agg(F.min(F.struct("doc_id", "text_hash", "first", "last")).alias("o"), F.count(F.lit(1)).alias("n"))
+    one = staged(one.select(*CONTEXT, "n", "o.*"), "contexts")
+    per_doc = one.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*CONTEXT, "n", "first", "last")).alias("rows"))
     per_doc = per_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
     ids = one.select(F.col("text_hash").alias("_wanted")).distinct()
     texts = docs.join(small(ids), F.col("text_hash") == F.col("_wanted"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     found = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "rows")
-    pieces = python_map(found, _cut, "gram bigint, context bigint, data binary")
-    parts = one.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / SHARD_CONTEXTS).cast("int").alias("parts"))
-    pieces = pieces.join(parts, "gram").withColumn("part", F.pmod("context", "parts").cast("int"))
+    pieces = python_map(found, _cut, PIECES)
+    crowded = staged(one.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SHARD_CONTEXTS).select("gram"), "crowded")
+    if not crowded.isEmpty():
+        pieces = staged(pieces, "pieces")
+        crowded = small(crowded)
+        fine = staged(python_map(pieces.join(crowded, "gram", "left_semi"), _refine, PIECES), "pieces")
+        alone = staged(fine.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "keys")
+        pieces = pieces.join(crowded, "gram", "left_anti").unionByName(fine.join(small(alone), "key", "left_semi").select(*pieces.columns))
+        sizes = fine.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHARD_CONTEXTS).cast("int").alias("parts")).where("parts > 1")
+        pieces = pieces.join(small(staged(sizes, "parts")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        pieces = pieces.withColumn("parts", F.lit(1))
+    pieces = pieces.withColumn("part", F.pmod("context", "parts").cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    dealt = pieces.withColumn("ij", F.explode(others)).select("gram", "context", "part", "ij.i", "ij.j", (F.col("parts") > 1).alias("split"), "data")
-    dealt = dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    dealt = pieces.withColumn("ij", F.explode(others)).select("key", *CONTEXT, "n", "shift", "part", "ij.i", "ij.j", (F.col("parts") > 1).alias("split"), "data")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return python_map(dealt, _solve_all, RESOLVED)
 
 
@@ -338,19 +375,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     picked = staged(python_map(docs.select("doc_id", "text_hash", "text"), _anchors, ANCHORS), "anchors")
-    grams = picked.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("context") == F.max("context")).alias("same")).where("n > 1")
-    repeated = staged(picked.join(grams.drop("n"), "gram"), "repeated")
+    grams = staged(picked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+    repeated = staged(picked.join(small(grams), "gram", "left_semi"), "repeated")  # of two tables: a frequent gram may be split
     discard(picked)
-    solved = staged(_contested(repeated, docs), "solved")
-    everything = F.struct(F.col("first").alias("low"), (F.col("last") + LENGTH).alias("high"))
-    twice = repeated.where("not same").groupBy("gram", "context").count().where("count > 1").select("gram", "context")
-    whole = repeated.where("same").select("doc_id", "text_hash", everything.alias("span")).unionByName(
-        repeated.where("not same").join(twice, ["gram", "context"], "left_semi").select("doc_id", "text_hash", everything.alias("span"))
-    )
-    partly = repeated.where("not same").select("gram", "context", "doc_id", "text_hash", "first").join(solved, ["gram", "context"])
-    partly = partly.select("doc_id", "text_hash", "first", F.explode(F.arrays_zip("low", "high")).alias("s"))
-    partly = partly.select("doc_id", "text_hash", F.struct((F.col("first") + F.col("s.low")).alias("low"), (F.col("first") + F.col("s.high")).alias("high")).alias("span"))
-    spans = whole.unionByName(partly).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
+    solved = staged(_solved(repeated, docs), "solved")
+    spans = repeated.select(*CONTEXT, "doc_id", "text_hash", "first").join(solved, CONTEXT)
+    spans = spans.select("doc_id", "text_hash", "first", F.explode(F.arrays_zip("low", "high")).alias("s"))
+    spans = spans.select("doc_id", "text_hash", F.struct((F.col("first") + F.col("s.low")).alias("low"), (F.col("first") + F.col("s.high")).alias("high")).alias("span"))
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
     spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
     marked = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
     return python_map(marked, _remove, "doc_id bigint, n_bytes bigint, low array<int>, high array<int>, kept binary")

@@ -57,6 +57,25 @@ def test_split_grams_and_small_shards(spark, monkeypatch):
     assert run(spark, texts) == brute([(t or "").encode() for t in texts])
 
 
+def test_crowded_grams_at_the_usual_constants(spark):
+    """A line in thousands of surroundings is told apart by its surroundings; one passage with thousands of different ends is merged."""
+    draw = random.Random(2)
+    word = lambda k: "".join(draw.choice("abcdefgh ") for _ in range(k))
+    line, passage = word(90), word(199)
+    texts = [word(150) + line + word(150) for _ in range(4300)] + [word(6) + passage + word(6) for _ in range(4300)]
+    texts += [texts[3][20:330], texts[4400], texts[4500][1:], texts[7]]
+    assert len(texts) > 2 * suffix_dedup.SHARD_CONTEXTS
+    assert run(spark, texts) == brute([t.encode() for t in texts])
+
+
+def test_texts_of_several_blocks(spark):
+    long = "".join(chr(97 + (i * i // 7) % 26) + str(i % 97) for i in range(2_200_000))
+    assert len(long) > suffix_dedup.BLOCK
+    cut = long[suffix_dedup.BLOCK - 300 : suffix_dedup.BLOCK + 300]
+    (n, gone, runs, _), other = run(spark, [long, "x" + cut + "y"])
+    assert n == len(long) and gone >= 600 and runs >= 1 and other[1] == 600 and other[2] == 1
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = repeated_passages(odd_docs).collect()
     assert len(got) == odd_docs.count() and {r.doc_id: r.n_bytes for r in got}[3] == 0
