@@ -23,7 +23,7 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows of ids that may be broadcast, at some tens of bytes each.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 #: Bytes of an Arrow batch on its way to a Python worker; a single longer row is a batch of its own.
 BATCH_BYTES = "4m"
