@@ -8,7 +8,8 @@ hash), and a temperature fitted on the sample's calibration fold makes its score
 
 Defined results: text that is null or has no letter is ``und`` with score 0, and so is every text if there is
 no labelled row; ties of the score go to the language first by code point; rows with null language are
-predicted but never learned from; a null id counts as the empty text for the fold; extra columns are ignored.
+predicted but never learned from; more than ``LANGUAGES`` different labels raise; a null id counts as the empty text
+for the fold; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +28,7 @@ from paperloom.llm.common import appended, documents, python_map
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS, LANGUAGES = 4000, 1000
 CALIBRATION_SHARE = 5  # one sampled row in this many
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 2e-4, 1e-4
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -158,8 +159,10 @@ def train(learnable: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     The driver holds one number a bucket, one a language, and the sparse counts of the sampled rows.
     """
     learnable = learnable.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per_language = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per_language = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
     languages = sorted(per_language)
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} different values of lang are no languages; {LANGUAGES} at most")
     if not languages:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)))
     df = python_map(learnable.select("text"), _document_frequency, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -172,7 +175,10 @@ def train(learnable: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     h = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40))
     share = F.create_map(*[x for lang, n in per_language.items() for x in (F.lit(lang), F.lit(min(1.0, quota / n)))])
     drawn = learnable.select("lang", h.alias("h"), "text").where(F.col("h") <= share[F.col("lang")] * float(1 << 40))
-    rows = python_map(drawn.orderBy("h").limit(sample_rows), _sparse_rows, "lang string, h bigint, at binary, tf binary").collect()
+    # at most the quota of each language: what a threshold drew beyond it is a few rows
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    drawn = drawn.withColumn("at", first).where(F.col("at") <= quota).select("lang", "h", "text")
+    rows = python_map(drawn, _sparse_rows, "lang string, h bigint, at binary, tf binary").collect()
     rows.sort(key=lambda r: (r["h"], r["lang"]))
     model, fit, held = Model(languages, idf, np.zeros((BUCKETS + 1, len(languages)))), [], []
     for k, r in enumerate(rows):
