@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import documents, staged, unit_hash
 
-CELLS = 4096
+CELLS, CELL_ROWS = 4096, 100_000  # at least so many cells, and more of them for more rows
 
 
 def ranked(rows: DataFrame, groups: list[str], place: str, ties: list, name: str) -> DataFrame:
     """Add the rank (from 1) of each row by ``place`` in (0, 1) within its group, and the group's rows."""
-    rows = rows.withColumn("_cell", F.least(F.floor(F.col(place) * CELLS), F.lit(CELLS - 1)))
+    cells = max(CELLS, rows.count() // CELL_ROWS)
+    rows = rows.withColumn("_cell", F.least(F.floor(F.col(place) * cells), F.lit(cells - 1)))
     counts = rows.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     group = Window.partitionBy(*(groups or [F.lit(1)]))
     counts = counts.select(
@@ -64,5 +65,21 @@ def op4_stratified_shards(spark, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+SQL = """
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+    (CAST(CAST('0x' || substr(md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+  FROM documents, crc
+), a AS (
+  SELECT *, (CAST(row_number() OVER (PARTITION BY source ORDER BY u, doc_id NULLS LAST) AS DOUBLE) - CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS place FROM d
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY place, u, doc_id NULLS LAST, source NULLS LAST) - 1 AS pos, count(*) OVER () AS n FROM a
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(pos * 8 // n AS INTEGER) AS shard, pos - (pos * 8 // n * n + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM o
+"""
+
 QUERIES = {"op4_stratified_shards": op4_stratified_shards}
-ORACLES = {}
+ORACLES = {"op4_stratified_shards": SQL}

@@ -91,3 +91,18 @@ def test_a_class_that_lies_in_the_calibration_fold(spark):
     rows = [(i, found) for i in range(5)] + [(10 + i, f"http://b.org/es/{i}") for i in range(20)] + [(50, "http://b.org/fs/7")]
     got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
     assert got[50].rule is None and got[50].difference < 0 and got[50].verdict == "block"
+
+
+def test_held_out_verdicts(spark):
+    """URLs whose rules are hidden from the method get the verdict that their rule would give, mostly."""
+    draw = random.Random(12)
+    def made(kind):
+        allowed = [f"docs.{draw.choice(['alpha', 'beta'])}.net/de/guide/{draw.choice(['intro', 'setup', 'usage'])}-{draw.randrange(99)}"]
+        blocked = [f"win.{draw.choice(['prize', 'casino'])}.org/es/bonus?id={draw.randrange(9999)}"]
+        return draw.choice(allowed if kind else blocked)
+
+    labelled = [(i, "http://" + made(i % 2)) for i in range(400)]
+    hidden = [(1000 + i, "http://" + made(i % 2).replace(".net/de/", ".info/xx/").replace(".org/es/", ".info/xx/")) for i in range(200)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(labelled + hidden, "page_id bigint, url string")).collect()}
+    assert all(got[i].rule is None for i, _ in hidden)
+    assert sum(got[i].verdict == ("allow" if i % 2 else "block") for i, _ in hidden) >= 190
