@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.normalize import trimmed, typed_text
+from paperloom.functions.scalars import block_anchor, confidence_band
 
 #: Allowed (from, to) steps of a document's status; a failure may follow anything.
 TRANSITIONS = (
@@ -55,6 +56,69 @@ def grouped(children: DataFrame, parent: str, order: str, columns: list[str], na
     return rows.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name))
 
 
+def children_of(children: DataFrame, key: str, value, order: list[str], active: str | None = None) -> DataFrame:
+    """One parent's rows in order (pages of a document, properties, fields of a template)."""
+    rows = children.where(F.col(key) == value)
+    return (rows.where(F.col(active)) if active else rows).orderBy(*order)
+
+
+def active_types(types: DataFrame, name: str = "name") -> DataFrame:
+    return types.where("is_active").orderBy(name)
+
+
+def first_active(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Each key's active row of the least order: the processor of an engine, the template of a type."""
+    columns = [c for c in rows.columns if c != key]
+    return rows.where("is_active").groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def with_event(events: DataFrame, fresh: DataFrame, key: str = "doc_id", number: str = "event_id") -> DataFrame:
+    """The log with further events (key, ...), numbered on from each key's last."""
+    last = events.groupBy(key).agg(F.max(number).alias("_last"))
+    columns = [c for c in fresh.columns if c != key]
+    over = Window.partitionBy(key).orderBy(*columns)
+    added = fresh.join(last, key, "left").withColumn(number, F.coalesce("_last", F.lit(0)) + F.row_number().over(over)).drop("_last")
+    return events.unionByName(added, allowMissingColumns=True)
+
+
+def newest(documents: DataFrame, kind: str, document_id: str, order: list[str]) -> DataFrame:
+    """kind, document: of each kind the newest document, by several keys in turn."""
+    return documents.groupBy(kind).agg(F.max_by(document_id, F.struct(*order)).alias(document_id))
+
+
+def resolved_template(picks: DataFrame, candidates: DataFrame, kind: str = "doc_type", template: str = "template_id") -> DataFrame:
+    """Picks with their template if it is a candidate of the document's type, else with null: nothing is guessed."""
+    known = candidates.select(kind, template).distinct().withColumn("_known", F.lit(True))
+    return picks.join(known, [kind, template], "left").withColumn(template, F.when(F.col("_known"), F.col(template))).drop("_known")
+
+
+def processing_route(mode: Column) -> Column:
+    return F.when(F.upper(trimmed(mode)) == "REALTIME", "INLINE").otherwise("QUEUE")
+
+
+def valid_uploads(uploads: DataFrame, templates: DataFrame, length: str = "length", template: str = "template_id") -> DataFrame:
+    """Uploads of files that are not empty and that name an existing template."""
+    return with_any(uploads.where(F.col(length) > 0), templates, template)
+
+
+def review_values(values: DataFrame, fields: DataFrame, cutoff: float = 0.60) -> DataFrame:
+    """Mapped values with their field's zone, the band of their confidence and the block that they came from; a field that is gone leaves its zone empty."""
+    zones = fields.select("field_id", *[c for c in fields.columns if c.startswith("zone_")])
+    rows = values.join(F.broadcast(zones), "field_id", "left")  # a template's fields
+    return rows.withColumn("band", confidence_band(F.col("confidence"), cutoff)).withColumn("anchor", block_anchor(F.col("source_ref")))
+
+
+def document_detail(documents: DataFrame, results: DataFrame, extraction: DataFrame, properties: DataFrame, logs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents with their latest result and, as arrays in order, blocks, properties and export attempts."""
+    def gathered(rows, order, name):
+        return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c not in (key, order)]))).alias(name))
+
+    out = documents.join(latest(results, key, "result_id").select(key, F.struct("result_id", *[c for c in results.columns if c not in (key, "result_id")]).alias("result")), key, "left")
+    for rows, order, name in ((extraction, "block_id", "blocks"), (properties, "property", "properties"), (logs, "attempt", "exports")):
+        out = out.join(gathered(rows, order, name), key, "left")
+    return out
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return without_any(current, changes, key).unionByName(changes, allowMissingColumns=True)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from paperloom.functions import scalars as S
 from paperloom.operators import records as R
 from paperloom.plans import invoices as I
 from paperloom.plans.catalog import Catalog
+from paperloom.session import fresh_folder
 from paperloom.sources import capture as C
 from paperloom.streaming import capture as Z
 
@@ -275,10 +274,11 @@ def review_items(spark, sf):
     return rows.select("doc_id", F.posexplode("r").alias("at", "x")).select("doc_id", (F.col("at") + 1).alias("row_idx"), "x.price", "x.page")
 
 
-@query("template_resolve", "SELECT o_orderkey, c_custkey AS template_id FROM orders JOIN customer ON c_custkey = o_custkey AND c_nationkey = o_orderkey % 25")
+@query("template_resolve", "SELECT o_orderkey, c_custkey AS template_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey = o_orderkey % 25")
 def template_resolve(spark, sf):
-    picks = I.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 25).cast("int").alias("c_nationkey"))
-    return picks.join(I.table(spark, sf, "customer").select("c_custkey", "c_nationkey"), ["c_custkey", "c_nationkey"]).select("o_orderkey", F.col("c_custkey").alias("template_id"))
+    picks = I.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("template_id"), (F.col("o_orderkey") % 25).cast("int").alias("doc_type"))
+    candidates = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("template_id"), F.col("c_nationkey").cast("int").alias("doc_type"))
+    return R.resolved_template(picks, candidates).select("o_orderkey", "template_id")
 
 
 @query("save_validation", "SELECT n_regionkey AS template_id, lower(trim(left(n_name, 1))) AS name FROM nation GROUP BY 1, 2 HAVING count(*) > 1 AND (count(CASE WHEN n_nationkey % 5 <> 0 THEN 1 END) < count(*) OR count(DISTINCT CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey % 5 END) < count(*))")
@@ -290,7 +290,7 @@ def save_validation(spark, sf):
 @query("newest_sample", "SELECT c_mktsegment, arg_max(c_custkey, c_acctbal) AS doc_id FROM customer WHERE c_name LIKE '%1%' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1")
 def newest_sample(spark, sf):
     docs = R.with_any(I.table(spark, sf, "customer").where("c_name like '%1%'"), I.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
-    return docs.groupBy("c_mktsegment").agg(F.max_by("c_custkey", "c_acctbal").alias("doc_id"))
+    return R.newest(docs.withColumn("doc_id", F.col("c_custkey")), "c_mktsegment", "doc_id", ["c_acctbal", "c_custkey"])
 
 
 @query("language_allow_list", "SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'tha+eng' WHEN 'fr' THEN 'tha' END AS ocr, CASE lang WHEN 'en' THEN 'CONTINUATION' WHEN 'de' THEN 'LAST' ELSE 'FIRST' END AS role FROM documents")
@@ -313,28 +313,26 @@ def strip_internal_keys(spark, sf):
 
 @query("stream_capture", f"WITH {I.BLOCKS_SQL} SELECT doc_id, count(*) AS n_blocks FROM blocks GROUP BY doc_id")
 def stream_capture(spark, sf):
-    """Blocks land as files, are mapped in micro-batches and read back; the result is that of the batch."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-stream-")
-    root = tempfile.mkdtemp(prefix="run-", dir=base.removeprefix("file://")) if not base.startswith(("hdfs", "s3", "viewfs")) else f"{base}/stream-{sf.rsplit('/', 1)[-1]}"
-    rows = I.blocks(spark, sf)
-    rows.repartition(3, "doc_id").write.mode("overwrite").parquet(f"{root}/landing")
+    """Blocks land as files that cut through documents, are mapped in micro-batches and read back; the result is that of the batch."""
+    root, rows = fresh_folder(spark, "stream"), I.blocks(spark, sf)
+    rows.repartition(3, "block_id").write.parquet(f"{root}/landing")
     stream = Z.read_landing(spark, f"{root}/landing", rows.schema, 2)
     mapper = lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"))
     Z.write_mapped(stream, mapper, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return Z.read_mapped(spark, f"{root}/out")
 
 
 @query("mode_routing", f"WITH {ORDERS_SQL} SELECT doc_type, CASE WHEN doc_type = 0 THEN 'INLINE' ELSE 'QUEUE' END AS route, count(*) AS n FROM docs GROUP BY 1, 2")
 def mode_routing(spark, sf):
     mode = F.when(F.col("doc_type") == 0, "REALTIME").otherwise("QUEUE")
-    return orders(spark, sf).groupBy("doc_type", F.when(mode == "REALTIME", "INLINE").otherwise("QUEUE").alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    return orders(spark, sf).groupBy("doc_type", R.processing_route(mode).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("upload_validation", "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 500 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = doc_id % 40)")
+@query("upload_validation", "SELECT p_partkey FROM part WHERE p_size % 5 > 0 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = p_partkey % 40)")
 def upload_validation(spark, sf):
-    """Files that are not empty (here: over 500 bytes) and name an existing template."""
-    rows = I.table(spark, sf, "documents").where(F.octet_length("text") > 500).select("doc_id", (F.col("doc_id") % 40).cast("int").alias("n_nationkey"))
-    return R.with_any(rows, I.table(spark, sf, "nation"), "n_nationkey").select("doc_id")
+    """Files that are not empty and name an existing template."""
+    rows = I.table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 5).alias("length"), (F.col("p_partkey") % 40).cast("int").alias("template_id"))
+    return R.valid_uploads(rows, I.table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("template_id"))).select("p_partkey")
 
 
 @query(
@@ -343,17 +341,24 @@ def upload_validation(spark, sf):
       'block-' || block_id AS anchor FROM blocks JOIN f ON field_id = block_id""",
 )
 def review_hydrate(spark, sf):
-    fields = spark.createDataFrame([(1, "invoice_id"), (2, "invoice_date"), (4, "total")], "field_id int, label string")
-    values = I.blocks(spark, sf).withColumn("field_id", F.col("block_id").cast("int")).join(F.broadcast(fields), "field_id")  # a template's fields
-    anchor = S.block_anchor(F.concat(F.lit("TextBlock:"), F.col("block_id")))
-    return values.select("doc_id", "field_id", "label", "content", S.confidence_band(F.col("confidence"), 0.70).alias("band"), anchor.alias("anchor"))
+    fields = spark.createDataFrame([(1, "invoice_id"), (2, "invoice_date"), (4, "total")], "field_id int, zone_label string")
+    ref = F.concat(F.lit("TextBlock:"), F.col("block_id"))
+    values = I.blocks(spark, sf).where("block_id in (1, 2, 4)").select("doc_id", F.col("block_id").cast("int").alias("field_id"), "content", "confidence", ref.alias("source_ref"))
+    return R.review_values(values, fields, 0.70).select("doc_id", "field_id", F.col("zone_label").alias("label"), "content", "band", "anchor")
 
 
-@query("document_detail", f"WITH {I.BLOCKS_SQL} SELECT o_orderkey AS doc_id, (SELECT count(*) FROM blocks WHERE doc_id = o_orderkey) AS blocks, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS cells FROM orders WHERE o_orderkey IN (7, 11, 13)")
+@query(
+    "document_detail",
+    f"""WITH {I.BLOCKS_SQL} SELECT o_orderkey AS doc_id, (SELECT count(*) FROM blocks WHERE doc_id = o_orderkey) AS blocks, (SELECT string_agg(content, '|' ORDER BY block_id) FROM blocks WHERE doc_id = o_orderkey AND block_id < 4) AS properties,
+      (SELECT max(l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey) AS result_id, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS exports FROM orders""",
+)
 def document_detail(spark, sf):
-    ids = I.table(spark, sf, "orders").where(F.col("o_orderkey").isin(7, 11, 13)).select(F.col("o_orderkey").alias("doc_id"))
-    with_blocks = R.counted(ids, I.blocks(spark, sf), "doc_id", "blocks")
-    return R.counted(with_blocks, I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "cells")
+    docs, own = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), I.blocks(spark, sf)
+    lines = I.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_quantity")
+    results = lines.withColumnRenamed("l_linenumber", "result_id")
+    detail = R.document_detail(docs, results, own.select("doc_id", "block_id", "content"), own.where("block_id < 4").select("doc_id", F.col("block_id").alias("property"), "content"), lines.withColumnRenamed("l_linenumber", "attempt"))
+    count = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0)).cast("bigint")
+    return detail.select("doc_id", count("blocks").alias("blocks"), F.array_join(F.transform("properties", lambda p: p["content"]), "|").alias("properties"), F.col("result.result_id").alias("result_id"), count("exports").alias("exports"))
 
 
 @query("save_result", f"WITH {I.BLOCKS_SQL} SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT * FROM blocks UNION ALL SELECT doc_id, page, 99, content, confidence FROM blocks WHERE block_id = 1)")

@@ -235,16 +235,3 @@ def pixel_columns(spark, sf):
     cells = I.words(spark, sf).select((F.col("doc_id") % 2).cast("int").alias("grp"), F.when(F.col("word_id") == 4, F.array(F.lit(1.0))).otherwise(box).alias("box"))
     found = T.pixel_columns(cells, ["grp"], 1000.0, 500.0, 0.1, 0.8)
     return found.select("grp", F.col("column").alias("col"), F.round("separator", 6).alias("separator"))
-
-
-@query(
-    "multipage_build",
-    f"WITH {I.PAGES_SQL}, n AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT doc_id, page, CASE WHEN page = 1 THEN 10 ELSE 11 END AS field_id, least(5, n - 5 * (page - 1)) AS n_rows FROM inv_pages JOIN n USING (doc_id)",
-)
-def multipage_build(spark, sf):
-    """Each page's region of a table with a FIRST and a CONTINUATION region, and the rows that it reads."""
-    available = F.array(F.lit("FIRST"), F.lit("CONTINUATION"))
-    role = P.region_role(F.col("page"), F.col("pages"), available)
-    regions = I.pages(spark, sf).select("doc_id", "page", F.when(role == "FIRST", 10).otherwise(11).alias("field_id"))
-    rows = I.lines(spark, sf).groupBy(F.col("l_orderkey").alias("doc_id"), F.expr("cast(div(row_idx - 1, 5) + 1 as int)").alias("page")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return regions.join(rows, ["doc_id", "page"])

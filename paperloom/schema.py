@@ -51,6 +51,7 @@ class FieldSpec:
     columns: tuple[ColumnSpec, ...] = ()
     steps: tuple[StepSpec, ...] = ()
     page_role: str | None = None
+    zone: tuple[float, float, float, float] | None = None  # x, y, width, height on the page, in 0..1
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.scalars import anchored_text, polygon_box
 from paperloom.session import ship
 
 
@@ -78,6 +79,66 @@ def form_block(key: Column, value: Column) -> Column:
     return F.when(clean != "", F.concat(clean, F.lit(": "), F.trim(F.coalesce(value, F.lit("")))))
 
 
+_LAYOUT = "struct<segments: array<struct<start: bigint, end: bigint>>, confidence: double, box: array<struct<x: double, y: double>>>"
+#: A recognizer's document: its text, and by page the form fields, lines and tables as layouts over that text.
+PAYLOAD = (
+    "struct<text: string, pages: array<struct<"
+    f"fields: array<struct<name: {_LAYOUT}, value: {_LAYOUT}>>, lines: array<{_LAYOUT}>, "
+    f"tables: array<struct<confidence: double, header: array<array<struct<layout: {_LAYOUT}, row_span: int, col_span: int>>>, body: array<array<struct<layout: {_LAYOUT}, row_span: int, col_span: int>>>>>>>>"
+)
+
+
+def _layout_text(text: Column, layout: Column) -> Column:
+    return F.coalesce(F.trim(anchored_text(text, layout["segments"])), F.lit(""))
+
+
+def payload_blocks(payloads: DataFrame) -> DataFrame:
+    """doc_id, page, at, block_type, content, confidence, box of payloads (doc_id, doc, page_offset).
+
+    Form fields come first, as ``Key: Value`` blocks (fields without a key are left out), then the page's lines that hold
+    text; shards of one document follow each other by their page offset.
+    """
+    text = F.col("doc.text")
+    def of(page):
+        fields = F.transform(page["fields"], lambda f: F.struct(F.lit("VALUE").alias("block_type"), form_block(_layout_text(text, f["name"]), _layout_text(text, f["value"])).alias("content"), f["value"]["confidence"].alias("confidence"), polygon_box(f["value"]["box"]).alias("box")))
+        lines = F.transform(page["lines"], lambda x: F.struct(F.lit("LINE").alias("block_type"), F.nullif(_layout_text(text, x), F.lit("")).alias("content"), x["confidence"].alias("confidence"), polygon_box(x["box"]).alias("box")))
+        none = F.array().cast("array<struct<block_type:string,content:string,confidence:double,box:struct<x0:double,y0:double,x1:double,y1:double>>>")
+        return F.filter(F.concat(F.coalesce(fields, none), F.coalesce(lines, none)), lambda b: b["content"].isNotNull())
+
+    pages = payloads.select("doc_id", "page_offset", F.posexplode(F.transform("doc.pages", of)).alias("p", "blocks"))
+    rows = pages.select("doc_id", (F.col("page_offset") + F.col("p") + 1).cast("int").alias("page"), F.posexplode("blocks").alias("at", "b"))
+    return rows.select("doc_id", "page", "at", "b.block_type", "b.content", F.col("b.confidence").cast("decimal(5,4)").alias("confidence"), "b.box")
+
+
+def payload_cells(payloads: DataFrame) -> DataFrame:
+    """doc_id, page, table_idx, row_idx, col_idx, row_span, col_span, is_header, content, confidence: header rows before body rows, columns by the spans before them."""
+    pages = payloads.select("doc_id", F.col("doc.text").alias("text"), "page_offset", F.posexplode("doc.pages").alias("p", "page"))
+    tables = pages.select("doc_id", "text", (F.col("page_offset") + F.col("p") + 1).cast("int").alias("page"), F.posexplode("page.tables").alias("table_idx", "t"))
+    none = F.array().cast("array<struct<header:boolean,cells:array<struct<layout:" + _LAYOUT + ",row_span:int,col_span:int>>>>")
+    part = lambda rows, head: F.coalesce(F.transform(rows, lambda r: F.struct(F.lit(head).alias("header"), r.alias("cells"))), none)
+    rows = tables.select("doc_id", "text", "page", "table_idx", F.posexplode(F.concat(part(F.col("t.header"), True), part(F.col("t.body"), False))).alias("row_idx", "r"))
+    cells = rows.select("doc_id", "text", "page", "table_idx", "row_idx", F.col("r.header").alias("is_header"), F.col("r.cells").alias("cells"), F.posexplode("r.cells").alias("k", "c"))
+    span = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1)))
+    before = F.aggregate(F.slice("cells", F.lit(1), F.col("k")), F.lit(0), lambda n, c: n + span(c["col_span"]))
+    return cells.select(
+        "doc_id", "page", "table_idx", "row_idx", before.alias("col_idx"), span(F.col("c.row_span")).alias("row_span"), span(F.col("c.col_span")).alias("col_span"), "is_header",
+        _layout_text(F.col("text"), F.col("c.layout")).alias("content"), F.col("c.layout.confidence").cast("decimal(5,4)").alias("confidence"),
+    )
+
+
+def save_extraction(path: str, runs: DataFrame, **relations: DataFrame) -> None:
+    """Append an extraction's relations (blocks, tables, cells, ... with run_id), and its runs last: a run that is not there was not saved."""
+    for name, rows in relations.items():
+        rows.write.mode("append").parquet(f"{path}/{name}")
+    runs.write.mode("append").parquet(f"{path}/runs")
+
+
+def load_latest(spark: SparkSession, path: str, names: tuple[str, ...] = ("blocks", "cells")) -> dict[str, DataFrame]:
+    """The relations of each document's last successful run."""
+    runs = spark.read.parquet(f"{path}/runs")
+    return {name: latest_run(runs, spark.read.parquet(f"{path}/{name}")) for name in names}
+
+
 def extraction_json(blocks: DataFrame) -> DataFrame:
     """doc_id, json: the blocks of a document as the API nests them; words are left out."""
     kind = F.when(F.col("block_type").isin("KEY", "VALUE"), F.col("block_type")).otherwise("LINE")

@@ -1,7 +1,9 @@
-"""Capture as a stream: extraction files land in a folder, each micro-batch is mapped once and appended.
+"""Capture as a stream: extraction files land in a folder, and each micro-batch maps the documents that it touches.
 
-The checkpoint takes the place of a startup requeue, ``maxFilesPerTrigger`` that of a bounded queue; documents
-that have a result are left out, so a replayed batch adds nothing.
+The checkpoint takes the place of a startup requeue, ``maxFilesPerTrigger`` that of a bounded queue.  A document's rows
+may land in several files: what has landed is kept by buckets of the key, and a batch maps all rows of its documents
+anew.  Rows and results are written by batch, over what a failed try of that batch wrote, so a replay adds nothing;
+of several results of a document the last batch's holds.
 """
 
 from __future__ import annotations
@@ -16,23 +18,32 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+BUCKETS = 64
+
+
 def write_mapped(stream: DataFrame, mapper: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id"):
-    """Map each micro-batch and append what is new; returns the query, which ends when the folder is read."""
+    """Map the documents of each micro-batch whole; returns the query, which ends when the folder is read."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        fresh = mapper(rows)
-        try:
-            done = spark.read.parquet(out).select(key).distinct()
-            fresh = fresh.join(done, key, "left_anti")
-        except Exception as missing:  # the first batch finds no results
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-        fresh.write.mode("append").parquet(out)
+        placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows/batch={batch_id}")
+        written = spark.read.parquet(f"{out}/rows")
+        now = written.where(F.col("batch") == batch_id)
+        touched = [r.bucket for r in now.select("bucket").distinct().collect()]  # BUCKETS at most
+        landed = written.where(F.col("bucket").isin(touched) & (F.col("batch") <= batch_id)).join(now.select(key).distinct(), key, "left_semi")
+        mapper(landed.select(rows.columns)).write.mode("overwrite").parquet(f"{out}/mapped/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_mapped(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
+    """Each document's rows of the last batch that mapped it."""
+    rows = spark.read.parquet(f"{out}/mapped")
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
 def with_retry(attempts: DataFrame, most: int = 3, base_seconds: float = 2.0) -> DataFrame:
     """doc_id, attempts, status, waited of a log of attempts (doc_id, attempt, succeeded).
 
