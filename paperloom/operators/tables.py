@@ -75,11 +75,28 @@ def segment_rows(words: DataFrame, keys: list[str], x_start: float, x_end: float
     return zones.select(*keys, F.inline(F.transform("c", band)))
 
 
+def matched(words: DataFrame, marks: DataFrame, keys: list[str], columns: list[str], hit) -> DataFrame:
+    """Words with each of their zone's marks (bands, anchors) for which ``hit(mark)`` holds.
+
+    A zone's marks travel as one array, so that a word is compared with them in its own row and not joined to each.
+    """
+    zones = marks.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_marks"))
+    rows = words.join(zones, keys).withColumn("_m", F.explode(F.filter("_marks", hit)))
+    return rows.select(*words.columns, *[F.col(f"_m.{c}").alias(c) for c in columns])
+
+
+def in_bands(words: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """Centred words with the band (or, on an edge, the bands) of their centre."""
+    inside = lambda m: F.col("yc").between(m["y_start"], m["y_end"])
+    return matched(centred(words), bands, keys, ["band", "y_start", "y_end"], inside)
+
+
 def assign_cells(words: DataFrame, bands: DataFrame, keys: list[str], columns: list[tuple[str, float, float]]) -> DataFrame:
     """Words with band and column: centres inside both, ends included, so a word on an edge is in both cells."""
     spans = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in columns])
     placed = centred(words).withColumn("_c", F.explode(F.filter(spans, lambda c: F.col("xc").between(c["a"], c["b"])))).withColumn("column", F.col("_c.column")).drop("_c")
-    return placed.join(bands.select(*keys, "band", "y_start", "y_end"), keys).where(F.col("yc").between(F.col("y_start"), F.col("y_end")))
+    inside = lambda m: F.col("yc").between(m["y_start"], m["y_end"])
+    return matched(placed, bands, keys, ["band", "y_start", "y_end"], inside)
 
 
 def with_lines(words: DataFrame, keys: list[str], tie: str = "word_id") -> DataFrame:
@@ -141,17 +158,25 @@ def anchored_cell(words: DataFrame, found: DataFrame, keys: list[str], x_start:
 
     A follower (closer than three line heights to the anchor before) reads nothing, nor does an offset past the lines.
     """
-    rows = centred(words).join(found.withColumnRenamed("bottom", "a_bottom"), keys)
+    rows = centred(words)
+    marks = found.withColumnsRenamed({"top": "a_top", "bottom": "a_bottom"})
     inside = F.col("xc").between(x_start, x_end)
+    columns = ["band", "a_top", "a_bottom", "centre", "before", "after", "line_height"]
+
+    def beside(a):
+        if offset == 0:
+            shared = F.least(a["a_bottom"], F.col("bottom")) - F.greatest(a["a_top"], F.col("y"))
+            smaller = F.least(a["a_bottom"] - a["a_top"], F.col("h"))
+            return (smaller > 0) & (shared / smaller >= SAME_LINE)
+        follower = a["before"].isNotNull() & (a["line_height"] > 0) & (a["centre"] - a["before"] < FOLLOWER_LINES * a["line_height"])
+        if offset < 0:
+            return ~follower & (F.col("yc") < a["a_top"]) & (F.col("yc") > F.coalesce((a["before"] + a["centre"]) / 2, F.lit(0.0)))
+        return ~follower & (F.col("yc") > a["a_bottom"]) & (F.col("yc") < F.coalesce((a["centre"] + a["after"]) / 2, F.lit(1.0)))
+
     if offset == 0:
-        shared = F.least("a_bottom", "bottom") - F.greatest("top", "y")
-        smaller = F.least(F.col("a_bottom") - F.col("top"), F.col("h"))
-        picked = rows.where(inside & (smaller > 0) & (shared / smaller >= SAME_LINE))
-    else:
-        follower = F.col("before").isNotNull() & (F.col("line_height") > 0) & (F.col("centre") - F.col("before") < FOLLOWER_LINES * F.col("line_height"))
-        above = (F.col("yc") < F.col("top")) & (F.col("yc") > F.coalesce((F.col("before") + F.col("centre")) / 2, F.lit(0.0)))
-        below = (F.col("yc") > F.col("a_bottom")) & (F.col("yc") < F.coalesce((F.col("centre") + F.col("after")) / 2, F.lit(1.0)))
-        side = with_lines(rows.where(~follower & (above if offset < 0 else below)), [*keys, "band"])
+        picked = matched(rows.where(inside), marks, keys, columns, beside)
+    else:  # lines are those of all columns
+        side = with_lines(matched(rows, marks, keys, columns, beside), [*keys, "band"])
         last = F.max("line").over(Window.partitionBy(*keys, "band"))
         side = side.withColumn("_wanted", last + offset + 1 if offset < 0 else F.lit(offset))
         picked = side.where((F.col("line") == F.col("_wanted")) & inside).drop("line", "_wanted")
@@ -167,7 +192,7 @@ def has_any(text: Column, needles: tuple[str, ...]) -> Column:
 
 def consolidate(words: DataFrame, bands: DataFrame, keys: list[str], x_start: float, x_end: float, footers: tuple[str, ...] = FOOTER_KEYWORDS) -> DataFrame:
     """keys, band, qty, footer, corroborated: footer bands go; a quantity equal to the sum kept above only corroborates."""
-    placed = centred(words).join(bands.select(*keys, "band", "y_start", "y_end"), keys).where(F.col("yc").between(F.col("y_start"), F.col("y_end")))
+    placed = in_bands(words, bands, keys)
     digits = F.when(F.col("xc").between(x_start, x_end), F.regexp_replace("text", r"[^\p{Nd}]", ""))
     rows = placed.groupBy(*keys, "band").agg(
         F.array_sort(F.collect_list(F.struct("yc", "x", "word_id", "text"))).alias("t"),

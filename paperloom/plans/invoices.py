@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.normalize import ARABIC_DIGITS, THAI_DIGITS
+from paperloom.session import fresh_folder
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 PAGE_ROWS = 5
@@ -105,6 +106,13 @@ raw_cells AS (
 )
 
 
+def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word boxes as a table of their own, as a recognizer leaves them: plans that read them often do not render them again."""
+    path, rows = fresh_folder(spark, "words"), words(spark, sf_dir)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, word_id, text, x, y, w, h: a quantity and description a line, a wrapped second line in even rows,
     and a footer band whose quantity is the sum of the lines' quantities."""

@@ -27,13 +27,13 @@ CELLED_SQL = f"""{BANDS_SQL}, celled AS (
 )"""
 
 
-def bands(spark, sf):
-    return T.segment_rows(I.words(spark, sf), KEYS, *ANCHOR)
+def bands_of(words):
+    return T.segment_rows(words, KEYS, *ANCHOR)
 
 
 @query("segment_rows", f"WITH {BANDS_SQL} SELECT doc_id, band, y_start, y_end FROM bands")
 def segment_rows(spark, sf):
-    return bands(spark, sf).select("doc_id", "band", "y_start", "y_end")
+    return bands_of(I.words(spark, sf)).select("doc_id", "band", "y_start", "y_end")
 
 
 @query("boundary_ink_snap")
@@ -46,14 +46,15 @@ def boundary_ink_snap(spark, sf):
 
 @query("assign_cells", f"WITH {CELLED_SQL} SELECT doc_id, band, col AS column_name, count(*) AS words FROM celled GROUP BY 1, 2, 3")
 def assign_cells(spark, sf):
-    words = I.words(spark, sf)
-    placed = T.assign_cells(words, bands(spark, sf), KEYS, COLUMNS)
+    words = I.placed_words(spark, sf)
+    placed = T.assign_cells(words, bands_of(words), KEYS, COLUMNS)
     return placed.groupBy("doc_id", "band", F.col("column").alias("column_name")).agg(F.count(F.lit(1)).alias("words"))
 
 
 @query("cell_texts", f"WITH {CELLED_SQL} SELECT doc_id, band, col AS column_name, string_agg(text, chr(10) ORDER BY yc, x) AS text FROM celled GROUP BY 1, 2, 3")
 def cell_texts(spark, sf):
-    placed = T.assign_cells(I.words(spark, sf), bands(spark, sf), KEYS, COLUMNS)
+    words = I.placed_words(spark, sf)
+    placed = T.assign_cells(words, bands_of(words), KEYS, COLUMNS)
     return T.cell_texts(placed, KEYS).select("doc_id", "band", F.col("column").alias("column_name"), "text")
 
 
@@ -80,8 +81,8 @@ def reading_order(spark, sf):
 def _anchored(name, offset, sql):
     @query(name, f"WITH {BANDS_SQL}, cnt AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM numbered GROUP BY 1) SELECT a.doc_id, a.band, {sql} AS text FROM bands a JOIN cnt USING (doc_id) LEFT JOIN numbered r ON r.l_orderkey = a.doc_id AND r.row_idx = a.band LEFT JOIN numbered q ON q.l_orderkey = a.doc_id AND q.row_idx = a.band - 1")
     def run(spark, sf):
-        words = I.words(spark, sf)
-        found = T.anchors(words, bands(spark, sf), KEYS, *ANCHOR)
+        words = I.placed_words(spark, sf)
+        found = T.anchors(words, bands_of(words), KEYS, *ANCHOR)
         return T.anchored_cell(words, found, KEYS, 0.15, 0.6, offset).select("doc_id", "band", "text")
 
 
@@ -95,7 +96,8 @@ _anchored("anchor_offset_past", 2, "''")
 @query("anchor_follower", f"WITH {BANDS_SQL} SELECT doc_id, count(*) AS anchors, CAST(0 AS BIGINT) AS followers FROM bands GROUP BY doc_id")
 def anchor_follower(spark, sf):
     """How many anchors stand closer than three line heights to the one before (none in this layout)."""
-    found = T.anchors(I.words(spark, sf), bands(spark, sf), KEYS, *ANCHOR)
+    words = I.placed_words(spark, sf)
+    found = T.anchors(words, bands_of(words), KEYS, *ANCHOR)
     close = F.col("centre") - F.col("before") < T.FOLLOWER_LINES * F.col("line_height")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors"), F.count_if(close).alias("followers"))
 
@@ -119,13 +121,15 @@ _CONS = f"""WITH {BANDS_SQL}, f AS (SELECT a.doc_id, a.band, c.n, a.band > c.n A
 
 @query("consolidate_rows", f"{_CONS} SELECT doc_id, count(*) FILTER (NOT footer) AS kept, count(*) FILTER (footer) AS dropped FROM f GROUP BY doc_id")
 def consolidate_rows(spark, sf):
-    rows = T.consolidate(I.words(spark, sf), bands(spark, sf), KEYS, *ANCHOR)
+    words = I.placed_words(spark, sf)
+    rows = T.consolidate(words, bands_of(words), KEYS, *ANCHOR)
     return rows.groupBy("doc_id").agg(F.count_if(~F.col("footer")).alias("kept"), F.count_if("footer").alias("dropped"))
 
 
 @query("running_sum_corroboration", f"{_CONS} SELECT doc_id, band, CAST(qty AS BIGINT) AS qty, footer AS corroborated FROM f")
 def running_sum_corroboration(spark, sf):
-    return T.consolidate(I.words(spark, sf), bands(spark, sf), KEYS, *ANCHOR).select("doc_id", "band", "qty", "corroborated")
+    words = I.placed_words(spark, sf)
+    return T.consolidate(words, bands_of(words), KEYS, *ANCHOR).select("doc_id", "band", "qty", "corroborated")
 
 
 @query("clean_lines", f"WITH l AS (SELECT doc_id, {_SPLIT} AS lines FROM documents) SELECT doc_id, len([s FOR s IN lines IF NOT (starts_with(lower(s), 'the') OR contains(lower(s), 'tion'))]) AS kept FROM l")
@@ -218,13 +222,14 @@ def page_runs(spark, sf):
     SELECT doc_id, band, col AS column_name, CASE WHEN band % 2 = 0 AND col = 'qty' THEN 'read ' || band ELSE text END AS text, CASE WHEN band % 2 = 0 AND col = 'qty' THEN CAST(0.99 AS DOUBLE) ELSE conf END AS confidence FROM w""",
 )
 def cell_assembly(spark, sf):
-    found = bands(spark, sf)
-    placed = T.assign_cells(I.words(spark, sf), found, KEYS, COLUMNS)
+    words = I.placed_words(spark, sf)
+    found = bands_of(words)
+    placed = T.assign_cells(words, found, KEYS, COLUMNS)
     confidence = placed.groupBy("doc_id", "band", "column").agg((F.max(F.col("word_id") % 40 + 60) / 100).alias("confidence"))
-    words = T.cell_texts(placed, KEYS).join(confidence, ["doc_id", "band", "column"])
+    inside = T.cell_texts(placed, KEYS).join(confidence, ["doc_id", "band", "column"])
     text = F.when(F.col("band") % 2 == 0, F.concat(F.lit(" \nread "), F.col("band"))).otherwise(F.lit(" \n"))
     read = found.select("doc_id", "band", F.lit("qty").alias("column"), text.alias("text"), F.lit(0.99).alias("confidence"))
-    return T.assemble_cells(read, words, KEYS).withColumnRenamed("column", "column_name")
+    return T.assemble_cells(read, inside, KEYS).withColumnRenamed("column", "column_name")
 
 
 @query("pixel_columns", "SELECT grp, col, CAST(s AS DOUBLE) AS separator FROM (VALUES (0, 1, 0.216), (0, 2, 0.64), (1, 1, 0.216), (1, 2, 0.64)) v(grp, col, s)")

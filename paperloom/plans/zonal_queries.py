@@ -33,7 +33,7 @@ LAST_SQL = ITEM_SQL.replace("ELSE 'null' END", "WHEN row_idx = n THEN '\"FCA FAC
 
 def words(spark, sf):
     conf = ((F.col("word_id") % 40 + 60).cast("decimal(10,0)") / 100).cast("decimal(5,4)")
-    return I.words(spark, sf).withColumn("conf", conf)
+    return I.placed_words(spark, sf).withColumn("conf", conf)
 
 
 def scalars(spark, sf):
