@@ -4,7 +4,7 @@ Each match of the splitting pattern is encoded separately.  A segment tree over
 holds, at every node, the least rank of the pairs that start below it; the leftmost least pair is found from
 the root, and a merge makes three point updates (the pair before, the merged pair, the position that vanished),
 so a piece of n bytes takes O(n log n) whatever its length.  Pieces are remembered in a bounded cache of two
-generations (some 25 MB a worker), which a worker forgets when it goes on to another operator.
+generations (some 70 MB a worker), which a worker forgets when it goes on to another operator.
 
 Defined results: null text is encoded as empty text; an empty text has no ids; ids are little-endian unsigned
 32-bit integers in a binary column; other columns pass through untouched.
@@ -28,7 +28,7 @@ from paperloom.llm.common import CACHES, appended, documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NONE = 1 << 62
-CACHED_PIECES, CACHED_BYTES = 60_000, 64  # a generation of pieces, and the longest piece that is remembered
+CACHED_PIECES, CACHED_BYTES = 200_000, 64  # a generation of pieces, and the longest piece that is remembered
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
