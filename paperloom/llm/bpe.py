@@ -84,9 +84,9 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Pieces(dict):
     """piece (str) -> its packed ids.  A full generation becomes the old one, of which only what is used again stays."""
 
-    def __init__(self, ranks):
+    def __init__(self, ranks, most: int):
         super().__init__()
-        self.ranks, self.old = ranks, {}
+        self.ranks, self.old, self.most = ranks, {}, most
 
     def __missing__(self, piece: str) -> bytes:
         if (packed := self.old.get(piece)) is None:
@@ -95,7 +95,7 @@ class _Pieces(dict):
             packed = struct.pack(f"<{len(ids)}I", *ids)
             if len(data) > CACHED_BYTES:
                 return packed
-        if len(self) >= CACHED_PIECES:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = packed
@@ -105,7 +105,7 @@ class _Pieces(dict):
 class Codec:
     """Encoder and decoder of one vocabulary file of base64 token and rank lines."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, pieces: int = CACHED_PIECES):
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
@@ -114,7 +114,7 @@ class Codec:
             self.tokens[rank] = token
         # the library's \s is Unicode's White_Space, without the four information separators
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.pieces = _Pieces(self.ranks)
+        self.pieces = _Pieces(self.ranks, pieces)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -124,8 +124,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, pieces: int = CACHED_PIECES) -> Codec:
+    return Codec(path, pattern, pieces)
 
 
 CACHES["bpe"] = codec.cache_clear
@@ -143,20 +143,21 @@ def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded"
     return appended(df, ids_col, [(bytes_col, T.BinaryType(), pa.binary())], lambda packed: (codec(path, pattern).decode(packed or b""),), "bpe")
 
 
-def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Add the ids of each whole text and the bytes that they decode to, in one pass."""
+def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN, pieces: int = CACHED_PIECES) -> DataFrame:
+    """Add the ids of each whole text and the bytes that they decode to, in one pass; ``pieces`` bounds a worker's cache."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def both(text):
-        packed = codec(path, pattern).encode(text or "")
-        return packed, codec(path, pattern).decode(packed)
+        own = codec(path, pattern, pieces)
+        packed = own.encode(text or "")
+        return packed, own.decode(packed)
 
     return appended(df, text_col, [(ids_col, T.BinaryType(), pa.binary()), (bytes_col, T.BinaryType(), pa.binary())], both, "bpe")
 
 
-def digests(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+def digests(docs: DataFrame, keep: list[str] = (), pieces: int = CACHED_PIECES) -> DataFrame:
     """doc_id, the kept columns, n_tokens, ids_sha256, decoded_sha256 of documents."""
-    back = round_trip(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")))
+    back = round_trip(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").cast("string").alias("text")), pieces=pieces)
     return back.select(
         "doc_id", *keep, F.expr("div(octet_length(token_ids), 4)").cast("bigint").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
