@@ -22,6 +22,8 @@ from paperloom.llm.common import documents, scope, small, staged
 
 #: A language is accepted if its calibrated probability is at least this; text without letters has none.
 LEAST_SCORE = 0.5
+#: Pieces that a worker remembers while it encodes: fewer than alone, since executors hold what earlier stages left.
+PIECES = 60_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids_sha256, decoded_sha256 of every row; a null text has no tokens."""
-    return bpe.digests(docs, ["source", "lang"])
+    return bpe.digests(docs, ["source", "lang"], PIECES)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_duplicates), ("near_dedup", near_duplicates), ("mixing", mixture), ("byte_bpe", token_ids)]
