@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from paperloom.functions.scalars import key_pattern
 from paperloom.schema import ColumnSpec, FieldSpec, StepSpec, TemplateSpec
 
 ROLES = {"FIRST": "FIRST", "CONTINUATION": "CONTINUATION", "CONT": "CONTINUATION", "LAST": "LAST"}
@@ -73,6 +74,42 @@ def saved_fields(rows: list[dict]) -> tuple[FieldSpec, ...]:
     return tuple(out)
 
 
+def visual_save(template: TemplateSpec, rows: list[dict]) -> tuple[TemplateSpec, int]:
+    """The template after a designer's partial save, and how many rows were saved.
+
+    Fields that no row names stay as they are.  A new field (no id) gets its binding; a known one gets it only where
+    ``binding_changed`` is set, else its name, type, duty and threshold alone.  The key pattern comes from the key that
+    was clicked, never from the row.  Columns are replaced only where ``columns_changed`` is set; steps always stay.
+    """
+    blank = lambda text: (text or "").strip() or None
+    fields = {f.field_id: f for f in template.fields}
+    saved = 0
+    for row in rows:
+        name = blank(row.get("target_property"))
+        if not name:
+            continue
+        saved += 1
+        number = row.get("field_id") or 0
+        fresh = number <= 0
+        if fresh:
+            number = max(fields, default=0) + 1
+        elif number not in fields:
+            continue
+        old = fields.get(number) or FieldSpec(number, name)
+        new = replace(old, target_property=name, data_type=row.get("data_type") or old.data_type, required=bool(row.get("required")), min_confidence=row.get("min_confidence", old.min_confidence))
+        if fresh or row.get("binding_changed"):
+            kind, clicked = row.get("source_type") or "KEY_VALUE", blank(row.get("binding_key"))
+            new = replace(
+                new, source_type=kind, key_pattern=key_pattern(clicked) if kind == "KEY_VALUE" and clicked else None, regex=None,
+                table_header=blank(row.get("table_header")), row_selector=blank(row.get("row_selector")), default_value=blank(row.get("default_value")),
+            )
+        if row.get("columns_changed"):
+            named = [c for c in row.get("columns") or () if blank(c.get("sub_property"))]
+            new = replace(new, columns=tuple(ColumnSpec(c["sub_property"].strip(), c.get("data_type") or "STRING", blank(c.get("table_header")), c.get("sort_order") or i) for i, c in enumerate(named)))
+        fields[number] = new
+    return replace(template, fields=tuple(fields.values())), saved
+
+
 def anchor_column(columns: tuple[ColumnSpec, ...]) -> ColumnSpec | None:
     """The first anchor, else the first column."""
     return next((c for c in columns if c.is_anchor), columns[0] if columns else None)

@@ -76,11 +76,62 @@ def with_event(events: DataFrame, fresh: DataFrame, key: str = "doc_id", number:
     """The log with further events (key, ...), numbered on from each key's last."""
     last = events.groupBy(key).agg(F.max(number).alias("_last"))
     columns = [c for c in fresh.columns if c != key]
-    over = Window.partitionBy(key).orderBy(*columns)
+    over = Window.partitionBy(key).orderBy(*(columns or [key]))
     added = fresh.join(last, key, "left").withColumn(number, F.coalesce("_last", F.lit(0)) + F.row_number().over(over)).drop("_last")
     return events.unionByName(added, allowMissingColumns=True)
 
 
+def saved_results(results: DataFrame, values: DataFrame, headers: DataFrame, lines: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Results and values with a further result a document: headers (key, ...) are numbered on, lines (key, ...) carry that number; one header a key."""
+    numbered = with_event(results, headers, key, "result_id")
+    last = results.groupBy(key).agg(F.max("result_id").alias("_last"))
+    added = lines.join(last, key, "left").withColumn("result_id", F.coalesce("_last", F.lit(0)) + 1).drop("_last")
+    return numbered, values.unionByName(added, allowMissingColumns=True)
+
+
+def template_list(templates: DataFrame, types: DataFrame, fields: DataFrame) -> DataFrame:
+    """Templates with their type's name and their number of fields, by name and then the newest version first."""
+    named = templates.join(types.select("type_id", F.col("name").alias("type_name")), "type_id")
+    return counted(named, fields, "template_id", "field_count").orderBy("name", F.desc("version"))
+
+
+def template_columns(fields: DataFrame, columns: DataFrame, template_id: int, names: list[str]) -> DataFrame:
+    """field_id, columns: the active sub-columns of a template's fields, in order."""
+    own = with_any(columns, fields.where(F.col("template_id") == template_id), "field_id")
+    return grouped(own, "field_id", "sort_order", names, "columns", "is_active")
+
+
+def created_templates(templates: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Templates with new ones (columns but an id): ids go on from the largest, version 1, active; designers add a few at a time."""
+    last = templates.agg(F.coalesce(F.max("template_id"), F.lit(0)).alias("_last"))
+    added = fresh.crossJoin(F.broadcast(last)).withColumn("template_id", F.col("_last") + F.row_number().over(Window.orderBy(*fresh.columns)))  # one row
+    return templates.unionByName(added.drop("_last").withColumns({"version": F.lit(1), "is_active": F.lit(True)}), allowMissingColumns=True)
+
+
+def bound_newest_sample(templates: DataFrame, documents: DataFrame, pages: DataFrame, file_part: str, name_part: str) -> DataFrame:
+    """Templates whose name holds a part and that have no sample get the newest document with pages whose file name holds another; if there is none, nothing changes."""
+    found = with_any(documents.where(F.contains(F.lower("file_name"), F.lit(file_part.lower()))), pages, "doc_id")
+    newest_one = found.agg(F.max_by("doc_id", F.struct("created", "doc_id")).alias("_sample"))
+    free = F.col("sample_doc_id").isNull() & F.contains(F.lower("name"), F.lit(name_part.lower()))
+    rows = templates.crossJoin(F.broadcast(newest_one))  # one row
+    return rows.withColumn("sample_doc_id", F.when(free, F.col("_sample")).otherwise(F.col("sample_doc_id"))).drop("_sample")
+
+
+def user_by_email(users: DataFrame, email: str) -> DataFrame:
+    return users.where(F.col("is_active") & (F.col("email") == email))
+
+
+def role_names(user_roles: DataFrame, roles: DataFrame) -> DataFrame:
+    """user_id, role_name of every role that a user holds."""
+    return user_roles.join(roles, "role_id").select("user_id", "role_name")
+
+
+def ensure_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The frame with each column (name: type), null where it was not there; names are case-blind, and doing it twice changes nothing."""
+    present = {c.lower() for c in df.columns}
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name.lower() not in present})
+
+
 def newest(documents: DataFrame, kind: str, document_id: str, order: list[str]) -> DataFrame:
     """kind, document: of each kind the newest document, by several keys in turn."""
     return documents.groupBy(kind).agg(F.max_by(document_id, F.struct(*order)).alias(document_id))
@@ -164,6 +215,12 @@ def matching_targets(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("target_id", F.explode(both)).drop("_type", "_own", "_every")
 
 
+def reexported(documents: DataFrame, targets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sends of a manual re-export (wanted: doc_id): only documents that are ready by now go out, once to each target."""
+    ready = documents.where(F.col("status").isin("VALIDATED", "CONSUMED"))
+    return matching_targets(with_any(ready, wanted, "doc_id"), targets)
+
+
 def consumed(documents: DataFrame, attempts: DataFrame) -> DataFrame:
     """doc_id, status after export: CONSUMED only if at least one target ran and all succeeded."""
     done = attempts.groupBy("doc_id").agg(F.bool_and("succeeded").alias("_all"))

@@ -359,10 +359,3 @@ def document_detail(spark, sf):
     detail = R.document_detail(docs, results, own.select("doc_id", "block_id", "content"), own.where("block_id < 4").select("doc_id", F.col("block_id").alias("property"), "content"), lines.withColumnRenamed("l_linenumber", "attempt"))
     count = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0)).cast("bigint")
     return detail.select("doc_id", count("blocks").alias("blocks"), F.array_join(F.transform("properties", lambda p: p["content"]), "|").alias("properties"), F.col("result.result_id").alias("result_id"), count("exports").alias("exports"))
-
-
-@query("save_result", f"WITH {I.BLOCKS_SQL} SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT * FROM blocks UNION ALL SELECT doc_id, page, 99, content, confidence FROM blocks WHERE block_id = 1)")
-def save_result(spark, sf):
-    rows = I.blocks(spark, sf)
-    added = rows.where("block_id = 1").withColumn("block_id", F.lit(99).cast("bigint"))
-    return rows.unionByName(added).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,11 +21,74 @@ from paperloom.session import ship
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, sha256, length, modified of stored files."""
+    """path, sha256, length, modified of stored files; empty files are no uploads, and the scan leaves them out."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return rows.select("path", F.sha2("content", 256).alias("sha256"), "length", F.col("modificationTime").alias("modified"))
 
 
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 32, **options: str) -> DataFrame:
+    """A table of a relational store; with a numeric key and its bounds, read in ranges of the key by as many tasks."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
+    return reader.load()
+
+
+def captured(stored: DataFrame, channel: str, status: str = "CAPTURED", template_id: int | None = None, user: str | None = None, languages: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents and their first events of stored files (path, sha256, length, modified): an id by path, so that a rerun makes the same rows."""
+    about = {"channel": channel, "status": status, "template_id": template_id, "captured_by": user, "languages": languages}
+    kinds = {"template_id": "int"}
+    documents = stored.select(F.md5("path").alias("doc_id"), *stored.columns, *[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in about.items()])
+    events = documents.select("doc_id", F.lit(1).alias("event_id"), "status", F.col("modified").alias("at"))
+    return documents, events
+
+
+def is_pdf(path: Column, content_type: Column) -> Column:
+    return F.coalesce(F.contains(F.lower(content_type), F.lit("pdf")), F.lit(False)) | F.coalesce(F.endswith(F.lower(path), F.lit(".pdf")), F.lit(False))
+
+
+def page_counts(stored: DataFrame, counter: Callable[[bytes], int]) -> DataFrame:
+    """Files (path, content_type, content, ...) with page_count: what the counter says of a PDF, 1 of anything else, which no Python sees."""
+    ship(stored.sparkSession)
+
+    @F.pandas_udf("int")
+    def count(contents: pd.Series) -> pd.Series:
+        return contents.map(counter).astype("int32")
+
+    pdf = is_pdf(F.col("path"), F.col("content_type"))
+    return stored.where(pdf).withColumn("page_count", count("content")).unionByName(stored.where(~pdf).withColumn("page_count", F.lit(1)))
+
+
+def rendered(pages: DataFrame, renderer: Callable[[bytes, int, int], bytes], dpi: int = 300, best_effort: bool = False) -> DataFrame:
+    """Pages (path, content_type, content, page, ...) with image: a PDF's page at a resolution, any other file as it is.
+
+    A page that cannot be rendered raises; with ``best_effort``, as for previews, its image is null.
+    """
+    ship(pages.sparkSession)
+
+    def draw(content: bytes, page: int) -> bytes | None:
+        try:
+            return renderer(content, max(1, page), dpi)
+        except Exception:  # noqa: BLE001 - a preview may be missing, whatever the reason
+            if not best_effort:
+                raise
+            return None
+
+    @F.pandas_udf("binary")
+    def image(contents: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([draw(c, int(n)) for c, n in zip(contents, numbers)], dtype=object)
+
+    pdf = is_pdf(F.col("path"), F.col("content_type"))
+    return pages.where(pdf).withColumn("image", image("content", "page")).unionByName(pages.where(~pdf).withColumn("image", F.col("content")))
+
+
+def page_images(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, page, path of wanted pages (doc_id, page) that exist: from 1 to the document's page_count, or any where that is unknown (0); paths come from the documents alone."""
+    rows = wanted.join(documents.select("doc_id", "path", "page_count"), "doc_id")
+    there = (F.col("page") >= 1) & ((F.col("page_count") <= 0) | (F.col("page") <= F.col("page_count")))
+    return rows.where(there).select("doc_id", "page", preview_path(F.col("path"), F.col("page")).alias("path"))
+
+
 def preview_path(path: Column, page: Column) -> Column:
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".page-"), page.cast("string"), F.lit(".png"))
 
@@ -205,7 +270,33 @@ def post(df: DataFrame, body: str, send: Callable[[str, str], tuple[bool, str]],
 
     def run(batches):
         for batch in batches:
-            results = [send(b, signature(secret, b)) for b in batch[body]]
+            results = [send(b, signature(secret, b)) for b in batch[body].fillna("")]
             yield batch[names].assign(succeeded=[r[0] for r in results], response=[(r[1] or "")[:500] for r in results])
 
     return df.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", succeeded boolean, response string")
+
+
+def webhook(endpoint: str | None, auth_header: str | None = None, secret: str = "", timeout: float = 30.0) -> Callable[[str, str], tuple[bool, str]]:
+    """A ``send`` for ``post`` over HTTP: the exact UTF-8 body with its signature; failures are answers, never raised."""
+
+    def send(body: str, sign: str) -> tuple[bool, str]:
+        if not (endpoint or "").strip():
+            return False, "No endpoint configured"
+        headers = {"Content-Type": "application/json", "X-Signature": sign} | ({auth_header: secret} if (auth_header or "").strip() else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(endpoint, (body or "").encode(), headers, method="POST"), timeout=max(1.0, timeout)) as got:
+                return True, got.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as refused:
+            return False, refused.read().decode("utf-8", "replace")
+        except TimeoutError:
+            return False, "Request timed out"
+        except OSError as failed:
+            late = isinstance(getattr(failed, "reason", None), TimeoutError)
+            return False, "Request timed out" if late else f"HTTP error: {failed}"
+
+    return send
+
+
+def erp(body: str, sign: str) -> tuple[bool, str]:
+    """The place of an ERP client: a ``send`` that refuses everything."""
+    return False, "no ERP client is configured"

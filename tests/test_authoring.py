@@ -18,3 +18,20 @@ def test_checks():
     assert A.template_errors(" ", "x", {"y"}, 3, {4}) == ["name is required", "document type is unknown", "sample is unknown"] and not A.template_errors("n", "y", {"y"}, None, set())
     assert A.zone_hint("date") == ("0123456789๐๑๒๓๔๕๖๗๘๙/.-", 7) and A.zone_hint(None, 6) == (None, 6) and A.consolidates(12) and not A.consolidates(1)
     assert A.detection_note([0.5], True, 0.3) == "2 columns" and A.detection_note([], False, 1) == "no sample document"
+
+
+def test_visual_save_changes_only_what_was_sent():
+    """A known field without a new binding keeps key, header and columns; a bound one is derived from the clicked key."""
+    step = A.StepSpec("trim")
+    old = TemplateSpec(1, (FieldSpec(1, "no", key_pattern="^A$", table_header="h", columns=(ColumnSpec("q"),), steps=(step,)), FieldSpec(2, "total", regex="x"), FieldSpec(4, "untouched", key_pattern="^U$")))
+    rows = [
+        {"field_id": 1, "target_property": " number ", "data_type": "INT", "required": True, "binding_key": "ignored"},
+        {"field_id": 2, "target_property": "total", "source_type": "KEY_VALUE", "binding_key": " Total (USD) ", "binding_changed": True, "table_header": " "},
+        {"target_property": "items", "source_type": "TABLE_CELL", "binding_key": "x", "columns_changed": True, "columns": [{"sub_property": " "}, {"sub_property": " d ", "sort_order": 3}]},
+        {"field_id": 9, "target_property": "gone"}, {"field_id": 1, "target_property": " "},
+    ]
+    new, saved = A.visual_save(old, rows)
+    one, two, four, fresh = new.fields
+    assert saved == 4 and (one.target_property, one.data_type, one.required, one.key_pattern, one.table_header, one.columns, one.steps) == ("number", "INT", True, "^A$", "h", (ColumnSpec("q"),), (step,))
+    assert two.key_pattern == r"^Total\ \(USD\)$" and two.regex is None and two.table_header is None and four == old.fields[2]
+    assert (fresh.field_id, fresh.source_type, fresh.key_pattern) == (5, "TABLE_CELL", None) and [(c.sub_property, c.sort_order) for c in fresh.columns] == [("d", 3)]
