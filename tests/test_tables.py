@@ -84,3 +84,14 @@ def test_roles(spark):
     assert role(3, ["LAST"]) == [None, None, "LAST"] and role(1, ["LAST"]) == ["LAST"]
     pages = spark.createDataFrame([(1, i, p) for i, p in enumerate([1] * 5 + [2] * 5 + [3] * 2)], "doc_id int, i int, page int")
     assert sorted(tuple(r)[1:] for r in P.page_runs(pages, "doc_id", "i", "page").collect()) == [(1, 0, 5), (2, 5, 5), (3, 10, 2)]
+
+
+def test_pixel_columns_are_the_separators_of_the_unit_boxes_on_the_page(spark):
+    """Two columns whose gap is 0.25 to 0.60 of the crop; malformed, turned and empty boxes change nothing, nor does a crop without size give any."""
+    boxes = [(1, [50.0, 0.0, 250.0, 9.0])] * 12 + [(1, [600.0, 0.0, 900.0, 9.0])] * 12 + [(1, [420.0]), (1, None), (1, [500.0, 0.0, 430.0, 9.0])]
+    df = spark.createDataFrame(boxes, "zone int, box array<double>")
+    unit = spark.createDataFrame([(1, 0.05, 0.25)] * 12 + [(1, 0.60, 0.90)] * 12, "zone int, left double, right double")
+    (want,) = T.detect_columns(unit, ["zone"]).collect()
+    (got,) = T.pixel_columns(df, ["zone"], 1000.0, 10.0, 0.1, 0.8).collect()
+    assert got["column"] == want["column"] and abs(got.separator - (0.1 + 0.8 * want.separator)) < 1e-9 and 0.1 + 0.8 * 0.05 < got.separator <= 0.1 + 0.8 * 0.60
+    assert T.pixel_columns(df, ["zone"], 0.0, 10.0, 0.1, 0.8).count() == 0
