@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -24,14 +27,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared one that ``spark.checkpoint.dir`` names; a local session without it uses its own machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without it a local session gets one of its own, deleted at its end, and a cluster raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="paperloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="paperloom-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        found = _own[app]
+    return found.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
