@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.session import ship
+from paperloom.session import shared_folder, ship
 
 #: Separator bytes of the word contracts: space and \t \n \v \f \r.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -37,14 +36,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     Where the setting is missing, a local session gets a folder of its own, and a cluster raises: its machines share none.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="paperloom-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    folder = f"{found.rstrip('/')}/paperloom-{spark.sparkContext.applicationId}"
+    folder = f"{shared_folder(spark)}/paperloom-{spark.sparkContext.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_delete, spark, folder, True)
