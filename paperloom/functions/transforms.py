@@ -18,7 +18,9 @@ from paperloom.schema import StepSpec
 Step = Callable[[Column, dict], Column]
 REGISTRY: dict[str, Step] = {}
 #: Formats tried in turn when a date step has no list of its own; month-first where both readings exist.
-DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/M/d", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy")
+DATE_FORMATS = (
+    "yyyy-MM-dd", "M/d/yyyy", "yyyy/M/d", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy", "M/d/yy", "yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-dd'T'HH:mm[:ss][.SSS][XXX]", "M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm[:ss] a",
+)
 
 
 def register(name: str) -> Callable[[Step], Step]:
@@ -56,6 +58,12 @@ def _trim(v: Column, config: dict) -> Column:
     return trimmed(v)
 
 
+def title_case(v: Column) -> Column:
+    """Words begin at a letter and go on through letters, marks, digits and apostrophes; all else separates them."""
+    parts = F.regexp_extract_all(F.lower(v), F.lit(r"(\p{L}[\p{L}\p{M}\p{N}']*|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p)), "")
+
+
 @register("case")
 def _case(v: Column, config: dict) -> Column:
     mode = config.get("mode")
@@ -63,9 +71,8 @@ def _case(v: Column, config: dict) -> Column:
         return F.upper(v)
     if mode == "lower":
         return F.lower(v)
-    if mode == "title":  # words end at blanks and hyphens
-        parts = F.transform(F.split(v, "-"), lambda part: F.initcap(part))
-        return F.array_join(parts, "-")
+    if mode == "title":
+        return title_case(v)
     return v
 
 
@@ -76,19 +83,32 @@ def _regex_replace(v: Column, config: dict) -> Column:
     return F.regexp_replace(v, pattern, replacement) if pattern is not None else v
 
 
+def cleaned_number(v: Column) -> Column:
+    """The number in a text; digits of other scripts stay and so do not parse, and a sign may stand before or after it."""
+    kept = F.regexp_replace(F.regexp_replace(v, r"[^\p{Nd}.\-]", ""), r"^([^-]+)-$", "-$1")
+    return F.when(kept.rlike(r"^-?[0-9.]+$"), kept.try_cast("decimal(38,10)"))
+
+
 @register("number_clean")
 def _number_clean(v: Column, config: dict) -> Column:
-    """The number as text with fixed decimals; a sign may stand before or after it, and what does not parse stays."""
-    decimals = int(config.get("decimals", 2))
-    kept = F.regexp_replace(F.regexp_replace(v, r"[^0-9.\-]", ""), r"^([^-]+)-$", "-$1").try_cast("decimal(38,10)")
-    return F.coalesce(kept.cast(f"decimal(38,{decimals})").cast("string"), v)
+    """The number as text with fixed decimals; what does not parse stays."""
+    return F.coalesce(cleaned_number(v).cast(f"decimal(38,{int(config.get('decimals', 2))})").cast("string"), v)
+
+
+def parsed_date(v: Column, formats: Iterable[str] = DATE_FORMATS) -> Column:
+    """The day by the first format that fits; years of two digits end at 2049."""
+    def one(pattern):
+        day = F.try_to_date(trimmed(v), pattern)
+        short = "yy" in pattern and "yyyy" not in pattern
+        return F.when(F.year(day) > 2049, F.add_months(day, -1200)).otherwise(day) if short else day
+
+    return F.coalesce(*[one(f) for f in formats])
 
 
 @register("date_normalize")
 def _date_normalize(v: Column, config: dict) -> Column:
     wanted = str(config.get("format") or "yyyy-MM-dd")
-    days = [F.try_to_date(trimmed(v), f) for f in config.get("formats", DATE_FORMATS)]
-    return F.coalesce(F.date_format(F.coalesce(*days), wanted), v)
+    return F.coalesce(F.date_format(parsed_date(v, config.get("formats", DATE_FORMATS)), wanted), v)
 
 
 @register("default")

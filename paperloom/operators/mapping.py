@@ -1,9 +1,9 @@
 """Templates compiled to plans: fields resolved from blocks, table cells or zones, then scored and routed.
 
-A template is driver data, so every field becomes an aggregate expression: all key/value and regex fields of a
-document come out of one aggregate by ``doc_id``, all table fields out of aggregates that share one partitioning
-by ``doc_id``.  Blocks are never multiplied by fields.  The long form (one row a document and field) is the
-canonical result; the wide form and the JSON model are derived from it.
+Here a template is driver data (``templates`` maps documents of many templates, which are rows).  All key/value and
+regex fields of a document come out of one aggregate by ``doc_id``; its tables are nested once, and every table field is
+an expression over them.  Blocks and cells are never multiplied by fields.  The long form (one row a document and field)
+is the canonical result; the wide form and the JSON model are derived from it.
 """
 
 from __future__ import annotations
@@ -55,118 +55,197 @@ def _full_text() -> Column:
     return F.array_join(F.transform(ordered, lambda b: b["content"]), "\n")
 
 
-def _struct(raw, normalized, confidence, ref) -> Column:
+def result(raw, normalized, confidence, ref) -> Column:
     return F.struct(raw.cast("string").alias("raw"), normalized.cast("string").alias("normalized"), confidence.cast("decimal(5,4)").alias("confidence"), ref.cast("string").alias("source_ref"))
 
 
 def empty_result(field: FieldSpec) -> Column:
     """No match: the default value without confidence, which still counts in the average."""
-    return _struct(F.lit(None), F.lit(field.default_value), F.lit(0), F.lit(None))
+    return result(F.lit(None), F.lit(field.default_value), F.lit(0), F.lit(None))
+
+
+def _without_blocks(field: FieldSpec) -> Column:
+    """What a field is where no block or cell gives it: a constant its value, an unknown source nothing, all others the empty result."""
+    if field.source_type == "CONSTANT":
+        return result(F.lit(field.default_value), F.lit(field.default_value), F.lit(1), F.lit(None))
+    if field.source_type in ("KEY_VALUE", "REGEX", "TABLE_CELL"):
+        return empty_result(field)
+    return result(F.lit(None), F.lit(None), F.lit(0), F.lit(None))
 
 
 def resolve_blocks(fields: list[FieldSpec], blocks: DataFrame) -> DataFrame:
     """doc_id, order (D, M or null), and a column f<id> for each key/value, regex and constant field."""
     rows = split_key(blocks).withColumn("_at", F.struct("page", "block_id")).withColumn("_vote", N.date_order_vote(F.col("content")))
     aggregates = [F.min_by("_vote", F.when(F.col("_vote").isNotNull(), F.col("_at"))).alias("order"), mean4(F.col("confidence")).alias("_mean")]
-    for f in (f for f in fields if f.source_type == "KEY_VALUE"):
-        hit = F.col("key").rlike("(?iu)" + f.key_pattern) & (F.col("key") != "")
+    keyed = {f.field_id for f in fields if f.source_type == "KEY_VALUE" and f.key_pattern is not None}
+    searched = {f.field_id for f in fields if f.source_type == "REGEX" and f.regex is not None}
+    for f in (f for f in fields if f.field_id in keyed):
+        hit = F.col("key").rlike("(?iu)" + f.key_pattern)
         aggregates.append(F.min_by(F.struct("value", "confidence", "block_id"), F.when(hit, F.col("_at"))).alias(f"k{f.field_id}"))
-    if any(f.source_type == "REGEX" for f in fields):
+    if searched:
         aggregates.append(_full_text().alias("_text"))
     wide = rows.groupBy("doc_id").agg(*aggregates)
     out = []
     for f in fields:
-        if f.source_type == "KEY_VALUE":
+        if f.field_id in keyed:
             k = F.col(f"k{f.field_id}")
             value = N.typed_text(k["value"], f.data_type, F.col("order"))
-            found = _struct(F.nullif(k["value"], F.lit("")), value, k["confidence"], F.concat(F.lit("TextBlock:"), k["block_id"]))
+            found = result(k["value"], value, k["confidence"], F.concat(F.lit("TextBlock:"), k["block_id"]))
             out.append(F.when(k.isNotNull(), found).otherwise(empty_result(f)).alias(f"f{f.field_id}"))
-        elif f.source_type == "REGEX":
-            group = 1 if re.compile(f.regex).groups else 0
-            raw = F.regexp_extract("_text", f.regex, group)
-            found = _struct(raw, N.typed_text(raw, f.data_type, F.col("order")), F.coalesce("_mean", F.lit(0)), F.lit("FullText"))
-            out.append(F.when(F.col("_text").rlike(f.regex), found).otherwise(empty_result(f)).alias(f"f{f.field_id}"))
-        elif f.source_type == "CONSTANT":
-            out.append(_struct(F.lit(f.default_value), F.lit(f.default_value), F.lit(1), F.lit("Constant")).alias(f"f{f.field_id}"))
+        elif f.field_id in searched:
+            pattern, group = "(?iu)" + f.regex, 1 if re.compile(f.regex).groups else 0
+            raw = F.regexp_extract("_text", pattern, group)
+            found = result(raw, N.typed_text(raw, f.data_type, F.col("order")), F.coalesce("_mean", F.lit(0)), F.lit("Regex:fulltext"))
+            out.append(F.when(F.col("_text").rlike(pattern), found).otherwise(empty_result(f)).alias(f"f{f.field_id}"))
         elif f.source_type != "TABLE_CELL":
-            out.append(_struct(F.lit(None), F.lit(None), F.lit(0), F.lit(None)).alias(f"f{f.field_id}"))
+            out.append(_without_blocks(f).alias(f"f{f.field_id}"))
     return wide.select("doc_id", "order", *out)
 
 
-def headed(cells: DataFrame) -> DataFrame:
-    """Cells with their column's header, in lower case, partitioned by document."""
-    over = Window.partitionBy("doc_id", "table_idx", "col_idx")
-    header = F.max(F.when(F.col("is_header"), F.lower(N.trimmed(F.col("content"))))).over(over)
-    return cells.repartition("doc_id").withColumn("header", header)
+def nested_tables(cells: DataFrame) -> DataFrame:
+    """doc_id, tables: the document's tables in order, each with its header cells in reading order and its data rows in order.
 
+    One exchange: the groups by row, table and document share the partitioning by document.
+    """
+    header = F.struct("col_idx", F.lower(N.trimmed(F.col("content"))).alias("name"))
+    data = F.struct("col_idx", "content", "confidence")
+    rows = cells.repartition("doc_id").groupBy("doc_id", "table_idx", "row_idx").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_header"), header))).alias("heads"), F.array_sort(F.collect_list(F.when(~F.col("is_header"), data))).alias("cells")
+    )
+    tables = rows.groupBy("doc_id", "table_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", "heads", "cells"))).alias("r"))
+    table = F.struct(
+        "table_idx", F.flatten(F.transform("r", lambda r: r["heads"])).alias("heads"),
+        F.transform(F.filter("r", lambda r: F.size(r["cells"]) > 0), lambda r: F.struct(r["row_idx"].alias("row_idx"), r["cells"].alias("cells"))).alias("rows"),
+    )
+    return tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(table)).alias("tables"))
 
-def _first_column(cells: Column) -> Column:
-    """Of cells in order, those of the first one's table and column."""
-    return F.filter(cells, lambda x: (x["table_idx"] == cells[0]["table_idx"]) & (x["col_idx"] == cells[0]["col_idx"]))
 
+def _first(array: Column) -> Column:
+    return F.get(array, F.lit(0))
 
-def resolve_cells(fields: list[FieldSpec], cells: DataFrame) -> DataFrame:
-    """doc_id and a column f<id> for each single-cell field: of the first table with that header and data."""
-    data = headed(cells).where(~F.col("is_header"))
-    columns = []
-    for f in fields:
-        hit = F.col("header") == (f.table_header or "").strip().lower()
-        which = F.when(hit, F.struct("table_idx", "col_idx", "row_idx"))
-        pick = f.row_selector or "FIRST"
-        cell = F.struct("content", "confidence", "table_idx", "row_idx")
-        if pick == "ALL":  # of the first table only: cells sort by table, and the others are cut off
-            every = F.array_sort(F.collect_list(F.when(hit, F.struct("table_idx", "col_idx", "row_idx", "content", "confidence"))))
-            columns.append(every.alias(f"c{f.field_id}"))  # aggregates drop null entries
-        elif pick == "LAST":
-            backward = F.when(hit, F.struct((-F.col("table_idx")).alias("t"), (-F.col("col_idx")).alias("c"), "row_idx"))
-            columns.append(F.max_by(cell, backward).alias(f"c{f.field_id}"))
-        else:
-            columns.append(F.min_by(cell, which).alias(f"c{f.field_id}"))
-    wide = data.groupBy("doc_id").agg(*columns)
-    out = []
-    for f in fields:
-        c = F.col(f"c{f.field_id}")
-        if f.row_selector == "ALL":
-            first = _first_column(c)
-            text = F.array_join(F.transform(first, lambda x: x["content"]), " | ")
-            total = F.aggregate(first, F.lit(0).cast(_WIDE), lambda a, x: (a + x["confidence"]).cast(_WIDE))
-            mean = round4(total / F.size(first))
-            out.append(F.when(F.size(c) > 0, _struct(text, text, mean, F.concat(F.lit("Table:"), first[0]["table_idx"], F.lit("/all")))).otherwise(empty_result(f)).alias(f"f{f.field_id}"))
-        else:
-            found = _struct(c["content"], N.typed_text(c["content"], f.data_type, F.lit(None).cast("string")), c["confidence"], F.concat(F.lit("Table:"), c["table_idx"], F.lit("/row:"), c["row_idx"]))
-            out.append(F.when(c.isNotNull(), found).otherwise(empty_result(f)).alias(f"f{f.field_id}"))
-    return wide.select("doc_id", *out)
 
+def header_key(header: Column) -> Column:
+    return F.lower(N.trimmed(header))
 
-def resolve_rows(field: FieldSpec, cells: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """doc_id, table_idx, items (array of row_idx and canonical texts), n_rows, confidence of a table field.
 
-    It is the first table with the field's header, a known sub-header and a data row; unknown columns are null.
+def _column_of(table: Column, header: Column) -> Column:
+    """The column of the table's first header cell of that name; null if there is none."""
+    return _first(F.filter(table["heads"], lambda h: h["name"] == header))["col_idx"]
+
+
+def _cell_at(row: Column, column: Column) -> Column:
+    return _first(F.filter(row["cells"], lambda c: c["col_idx"] == column))
+
+
+def array_mean4(values: Column) -> Column:
+    """The mean of an array's values that are not null, to four places; null without any."""
+    def of(known):
+        total = F.aggregate(known, F.lit(0).cast(_WIDE), lambda a, x: (a + x.cast(_WIDE)).cast(_WIDE))
+        return F.when(F.size(known) > 0, round4(total / F.size(known)))
+
+    return N.bound(F.filter(values, lambda x: x.isNotNull()), of)
+
+
+def _selected(items: Column, selector: Column, default: str) -> Column:
+    """The array's first, its last, or all of its items."""
+    pick = F.coalesce(selector, F.lit(default))
+    some = "ALL" if default == "FIRST" else "FIRST"
+    one, all_ = (F.slice(items, 1, 1), items) if default == "FIRST" else (items, F.slice(items, 1, 1))
+    return F.when(pick == "LAST", F.slice(items, -1, 1)).when(pick == some, all_).otherwise(one)
+
+
+def single_cell(tables: Column, header: Column, selector: Column, data_type: Column | str, order: Column, otherwise: Column) -> Column:
+    """The result of a single-cell field: of the first table that has its header over a column with data."""
+    def in_table(t):
+        return N.bound(_column_of(t, header), lambda c: F.struct(t["table_idx"].alias("table_idx"), c.alias("col_idx"), F.filter(F.transform(t["rows"], lambda r: _cell_at(r, c)), lambda x: x.isNotNull()).alias("cells")))
+
+    def found(hit):
+        def of(chosen):
+            raw = F.array_join(F.transform(chosen, lambda x: F.coalesce(x["content"], F.lit(""))), " | ")
+            value = F.when(selector == "ALL", raw).otherwise(N.typed_text(raw, data_type, order))
+            ref = F.concat(F.lit("Table:"), hit["table_idx"], F.lit("/Col:"), hit["col_idx"])
+            return result(raw, value, F.coalesce(array_mean4(F.transform(chosen, lambda x: x["confidence"])), F.lit(0)), ref)
+
+        return F.when(hit.isNotNull(), N.bound(_selected(hit["cells"], selector, "FIRST"), of)).otherwise(otherwise)
+
+    usable = F.filter(F.transform(tables, in_table), lambda t: t["col_idx"].isNotNull() & (F.size(t["cells"]) > 0))
+    return N.bound(_first(usable), found)
+
+
+def table_rows(tables: Column, header: Column, columns: Column, selector: Column, order: Column) -> Column:
+    """A table field's rows: struct(table_idx, rows: array of row_idx and values, confidence), or null if no table fits.
+
+    ``columns`` is an array of struct(header, data_type).  It is the first table with the field's header, a header of a
+    column, and a data row.  Every data row is an item; what has no column or no cell is null.
     """
-    columns = sorted(field.columns, key=lambda c: c.sort_order)
-    wanted = {c.sub_property: (c.table_header or "").strip().lower() for c in columns}
-    rows = headed(cells)
-    own = (field.table_header or "").strip().lower()
-    known = F.col("header").isin(*wanted.values())
-    per_row = rows.where(known | (F.col("header") == own)).groupBy("doc_id", "table_idx", "row_idx").agg(
-        F.bool_or(F.col("header") == own).alias("own"), F.bool_or(known).alias("known"), F.bool_or("is_header").alias("is_header"),
-        *[F.max(F.when(F.col("header") == h, F.col("content"))).alias(f"_{name}") for name, h in wanted.items()],
-        F.sum(F.when(known, F.col("confidence").cast(_WIDE))).alias("conf_sum"), F.count(F.when(known, F.col("confidence"))).alias("conf_n"),
-    )
-    data = per_row.where(~F.col("is_header") & F.col("own") & F.col("known"))
-    if orders is not None:
-        data = data.join(orders, "doc_id", "left")
-    order = F.col("order") if orders is not None else F.lit(None).cast("string")
-    item = F.struct("row_idx", *[N.typed_text(F.col(f"_{c.sub_property}"), c.data_type, order).alias(c.sub_property) for c in columns])
-    tables = data.groupBy("doc_id", "table_idx").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"), (F.sum("conf_sum") / F.sum("conf_n")).alias("mean"))
-    # one aggregate for each, so that those that are not read are pruned
-    first = tables.groupBy("doc_id").agg(F.min("table_idx").alias("table_idx"), F.min_by("items", "table_idx").alias("items"), F.min_by("n", "table_idx").cast("int").alias("n_rows"), F.min_by("mean", "table_idx").alias("mean"))
-    return first.select("doc_id", "table_idx", "items", "n_rows", round4(F.col("mean")).alias("confidence"))
+    def resolved(t):
+        known = F.transform(columns, lambda c: F.struct(_column_of(t, c["header"]).alias("col_idx"), c["data_type"].alias("data_type")))
+        return F.struct(t["table_idx"].alias("table_idx"), t["rows"].alias("rows"), known.alias("columns"))
+
+    def items(t):
+        def of(rows):
+            cells = F.transform(rows, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(t["columns"], lambda c: F.struct(_cell_at(r, c["col_idx"]).alias("cell"), c["data_type"].alias("data_type"))).alias("cells")))
+            made = F.transform(cells, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(r["cells"], lambda c: N.typed_text(c["cell"]["content"], c["data_type"], order)).alias("values")))
+            confidence = array_mean4(F.flatten(F.transform(cells, lambda r: F.transform(r["cells"], lambda c: c["cell"]["confidence"]))))
+            return F.struct(t["table_idx"].alias("table_idx"), made.alias("rows"), confidence.alias("confidence"))
+
+        return F.when(t.isNotNull(), N.bound(_selected(t["rows"], selector, "ALL"), of))
+
+    anchored = F.filter(tables, lambda t: F.exists(t["heads"], lambda h: h["name"] == header) & (F.size(t["rows"]) > 0))
+    usable = F.filter(F.transform(anchored, resolved), lambda t: F.exists(t["columns"], lambda c: c["col_idx"].isNotNull()))
+    return N.bound(_first(usable), items)
+
+
+def _lit(value) -> Column:
+    return F.lit(value).cast("string")
+
+
+def _key(header: str | None) -> Column:
+    return _lit(header if header is None else header.strip().lower())
+
+
+def _sub_columns(field: FieldSpec) -> list:
+    return sorted(field.columns, key=lambda c: c.sort_order)
+
+
+def _rows_of(field: FieldSpec, order: Column) -> Column:
+    columns = F.array(*[F.struct(_key(c.table_header).alias("header"), F.lit(c.data_type).alias("data_type")) for c in _sub_columns(field)])
+    return table_rows(F.col("tables"), _key(field.table_header), columns, _lit(field.row_selector), order)
+
+
+def _with_order(cells: DataFrame, orders: DataFrame | None) -> DataFrame:
+    tables = nested_tables(cells)
+    return tables.withColumn("order", _lit(None)) if orders is None else tables.join(orders.select("doc_id", "order"), "doc_id", "left")
+
+
+def resolve_cells(fields: list[FieldSpec], cells: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """doc_id and a column f<id> for each single-cell field."""
+    found = [single_cell(F.col("tables"), _key(f.table_header), _lit(f.row_selector), f.data_type, F.col("order"), empty_result(f)).alias(f"f{f.field_id}") for f in fields]
+    return _with_order(cells, orders).select("doc_id", *found)
+
+
+def resolve_rows(field: FieldSpec, cells: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """doc_id, table_idx, items (array of row_idx and canonical texts), n_rows, confidence of a table field, for documents that have such a table."""
+    found = _with_order(cells, orders).select("doc_id", _rows_of(field, F.col("order")).alias("t")).where("t is not null")
+    names = [c.sub_property for c in _sub_columns(field)]
+    items = F.transform("t.rows", lambda r: F.struct(r["row_idx"].alias("row_idx"), *[F.get(r["values"], F.lit(k)).alias(n) for k, n in enumerate(names)]))
+    return found.select("doc_id", F.col("t.table_idx").alias("table_idx"), items.alias("items"), F.size("t.rows").alias("n_rows"), F.col("t.confidence").alias("confidence"))
+
+
+def json_string(value: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+
+
+def json_of(value: Column, data_type: Column) -> Column:
+    """``json_text`` with the type in a column."""
+    kind = F.upper(data_type)
+    plain = kind.isin("DECIMAL", "INT") & value.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
+    return F.when(value.isNull(), "null").when(plain, value).when((kind == "BOOL") & value.isin("True", "False"), F.lower(value)).otherwise(json_string(value))
 
 
 def json_text(value: Column, data_type: str) -> Column:
     """A JSON member value: canonical numbers keep their scale, null stays null."""
-    quoted = F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    quoted = json_string(value)
     if data_type in ("DECIMAL", "INT"):
         quoted = F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), value).otherwise(quoted)
     if data_type == "BOOL":
@@ -182,34 +261,41 @@ def items_json(items: Column, columns) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, one), ","), F.lit("]"))
 
 
-def map_wide(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+def rows_json(rows: Column, columns: Column) -> Column:
+    """Rows of values as a JSON array of objects; ``columns`` is an array of struct(name, data_type)."""
+    def one(row):
+        pairs = F.arrays_zip(F.transform(columns, lambda c: c["name"]).alias("name"), F.transform(columns, lambda c: c["data_type"]).alias("data_type"), row["values"].alias("value"))
+        return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(json_string(p["name"]), F.lit(":"), json_of(p["value"], p["data_type"]))), ","), F.lit("}"))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(rows, one), ","), F.lit("]"))
+
+
+def map_wide(template: TemplateSpec, blocks: DataFrame, cells: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """doc_id and, for each field in template order, a struct e0, e1, ... of what the long form has of it.
 
-    Parts of a struct that nobody reads are pruned, a table field's JSON among them.
+    Documents are those with blocks or cells, or those of ``documents`` (doc_id), where some may have neither.  Parts of a struct that nobody reads are pruned, a table field's JSON among them.
     """
     singles = [f for f in template.fields if f.source_type == "TABLE_CELL" and not f.columns]
     arrays = [f for f in template.fields if f.source_type == "TABLE_CELL" and f.columns]
     wide = resolve_blocks(list(template.fields), blocks)
-    orders = wide.select("doc_id", "order")
-    if singles:
-        wide = wide.join(resolve_cells(singles, cells), "doc_id", "left")
-    for f in arrays:
-        dated = any(c.data_type == "DATE" for c in f.columns)  # only dates need the order, and the second pass for it
-        found = resolve_rows(f, cells, orders if dated else None)
-        text = items_json(F.col("items"), sorted(f.columns, key=lambda c: c.sort_order))
-        ref = F.concat(F.lit("Table:"), F.col("table_idx"), F.lit("/rows:"), F.col("n_rows"))
-        parts = {"t": text, "c": F.col("confidence"), "r": ref}
-        wide = wide.join(found.select("doc_id", *[c.alias(f"{k}{f.field_id}") for k, c in parts.items()]), "doc_id", "left")
+    if documents is not None:
+        wide = documents.select("doc_id").join(wide, "doc_id", "left")
+    if singles or arrays:
+        wide = wide.join(nested_tables(cells), "doc_id", "outer" if documents is None else "left").withColumns(
+            {f"f{f.field_id}": single_cell(F.col("tables"), _key(f.table_header), _lit(f.row_selector), f.data_type, F.col("order"), empty_result(f)) for f in singles}
+            | {f"t{f.field_id}": _rows_of(f, F.col("order")) for f in arrays}
+        )
     entries = []
     for i, f in enumerate(template.fields):
         if f in arrays:  # a missing table is an empty list without confidence
-            text, confidence, ref = (F.col(f"{k}{f.field_id}") for k in "tcr")
-            raw = normalized = F.coalesce(text, F.lit("[]"))
-            ref = F.coalesce(ref, F.lit("Table:none/rows:0"))
+            t = F.col(f"t{f.field_id}")
+            names = F.array(*[F.struct(F.lit(c.sub_property).alias("name"), F.lit(c.data_type).alias("data_type")) for c in _sub_columns(f)])
+            raw, value, confidence = _lit(None), F.coalesce(rows_json(t["rows"], names), F.lit("[]")), t["confidence"]
+            ref = F.concat(F.lit("Table:"), t["table_idx"], F.lit("/rows:"), F.size(t["rows"]))
         else:
-            c = F.coalesce(F.col(f"f{f.field_id}"), empty_result(f)) if f in singles else F.col(f"f{f.field_id}")
-            raw, normalized, confidence, ref = c["raw"], c["normalized"], c["confidence"], c["source_ref"]
-        value = apply_steps(F.coalesce(normalized, raw), f.steps) if f.steps else normalized
+            c = F.coalesce(F.col(f"f{f.field_id}"), _without_blocks(f))
+            raw, value, confidence, ref = c["raw"], c["normalized"], c["confidence"], c["source_ref"]
+            value = apply_steps(F.coalesce(value, raw), f.steps) if f.steps else value
         entries.append(F.struct(
             F.lit(f.field_id).alias("field_id"), F.lit(f.target_property).alias("target_property"), raw.alias("raw"), value.alias("normalized"), confidence.alias("confidence"),
             ref.alias("source_ref"), F.coalesce(confidence < F.lit(f.min_confidence), F.lit(False)).alias("below"), F.lit(f.required).alias("required"), F.lit(f.data_type if f not in arrays else "JSON").alias("data_type"),
@@ -217,9 +303,9 @@ def map_wide(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -> Dat
     return wide.select("doc_id", *entries)
 
 
-def map_documents(template: TemplateSpec, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+def map_documents(template: TemplateSpec, blocks: DataFrame, cells: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """The long form: doc_id, field_id, target_property, raw, normalized, confidence, source_ref, below, required, data_type."""
-    return map_wide(template, blocks, cells).select("doc_id", F.inline(F.array(*[f"e{i}" for i in range(len(template.fields))])))
+    return map_wide(template, blocks, cells, documents).select("doc_id", F.inline(F.array(*[f"e{i}" for i in range(len(template.fields))])))
 
 
 def with_outcome(template: TemplateSpec, wide: DataFrame) -> DataFrame:
@@ -271,7 +357,8 @@ def map_zonal(template: TemplateSpec, scalars: DataFrame, tables: DataFrame) ->
         if f.source_type == "TABLE_CELL":
             value, ref = F.when(r["n_rows"] > 0, r["items_json"]), F.concat(F.lit("ZoneTable/rows:"), r["n_rows"])
         else:
-            value, ref = N.typed_text(r["raw"], f.data_type, F.col("order")), F.lit(f"Zone:{f.field_id}")
+            value, ref = N.typed_text(r["raw"], f.data_type, F.col("order")), F.lit("Zone")
+            value = apply_steps(F.coalesce(value, r["raw"]), f.steps) if f.steps else value
         confidence = F.when(missing, F.lit(0)).otherwise(F.coalesce(r["s_conf"], r["t_conf"])).cast("decimal(5,4)")
         entry = F.struct(
             F.lit(f.field_id).alias("field_id"), F.lit(f.target_property).alias("target_property"), r["raw"].alias("raw"), F.when(missing, F.lit(f.default_value)).otherwise(value).alias("normalized"), confidence.alias("confidence"),
