@@ -337,10 +337,10 @@ def mapped_json(long: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit("{"), F.array_join(F.transform("members", lambda x: x["e"]), ","), F.lit("}")).alias("mapped_json"))
 
 
-def map_zonal(template: TemplateSpec, scalars: DataFrame, tables: DataFrame) -> DataFrame:
+def map_zonal(template: TemplateSpec, scalars: DataFrame, tables: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """The long form from zone results (doc_id, field_id, raw, confidence) and zone tables (doc_id, field_id, items_json, n_rows, confidence).
 
-    A field without a result takes its default at confidence 0; a table region without rows whose property
+    With ``documents`` (doc_id) those without any result are mapped too.  A field without a result takes its default at confidence 0; a table region without rows whose property
     another region has produced emits nothing; a table without rows has no value, which a required field shows.
     """
     no_scalar, no_table = {"raw": "string", "s_conf": "decimal(5,4)"}, {"items_json": "string", "n_rows": "int", "t_conf": "decimal(5,4)"}
@@ -349,6 +349,8 @@ def map_zonal(template: TemplateSpec, scalars: DataFrame, tables: DataFrame) ->
     results = one.withColumn("vote", N.date_order_vote(F.col("raw"))).unionByName(two.withColumn("vote", F.lit(None).cast("string")))
     own = [F.max(F.when(F.col("field_id") == f.field_id, F.struct("s_conf", "t_conf", "raw", "items_json", "n_rows"))).alias(f"r{i}") for i, f in enumerate(template.fields)]
     rows = results.groupBy("doc_id").agg(F.min_by("vote", F.when(F.col("vote").isNotNull(), F.col("field_id"))).alias("order"), *own)
+    if documents is not None:
+        rows = documents.select("doc_id").join(rows, "doc_id", "left")
     regions = [(i, f.target_property.lower()) for i, f in enumerate(template.fields) if f.source_type == "TABLE_CELL"]
     entries = []
     for i, f in enumerate(template.fields):

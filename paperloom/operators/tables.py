@@ -153,9 +153,10 @@ def anchors(words: DataFrame, bands: DataFrame, keys: list[str], x_start: float,
     return rows.join(heights, keys).where("centre is not null")
 
 
-def anchored_cell(words: DataFrame, found: DataFrame, keys: list[str], x_start: float, x_end: float, offset: int) -> DataFrame:
-    """keys, band, text: the anchor's own line, or the Nth line above (-N) or below (+N) within its half of the gap.
+def anchored_cell(words: DataFrame, found: DataFrame, keys: list[str], x_start: float, x_end: float, offset: int, separator: str = " ") -> DataFrame:
+    """keys, band, text, confidence (if words have ``conf``): the anchor's own line, or the Nth line above (-N) or below (+N) within its half of the gap.
 
+    The confidence is the mean of the words that were read, wherever they stand; lines are put together by the separator.
     A follower (closer than three line heights to the anchor before) reads nothing, nor does an offset past the lines.
     """
     rows = centred(words)
@@ -181,7 +182,11 @@ def anchored_cell(words: DataFrame, found: DataFrame, keys: list[str], x_start:
         side = side.withColumn("_wanted", last + offset + 1 if offset < 0 else F.lit(offset))
         picked = side.where((F.col("line") == F.col("_wanted")) & inside).drop("line", "_wanted")
     texts = line_texts(picked, [*keys, "band"]).groupBy(*keys, "band").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
-    texts = texts.select(*keys, "band", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"))
+    lines = F.filter(F.transform("l", lambda x: trimmed(x["text"])), lambda s: s != "")
+    texts = texts.select(*keys, "band", F.array_join(lines, separator).alias("text"))
+    if "conf" in words.columns:
+        mean = F.bround(F.avg(F.col("conf").cast("decimal(38,18)")), 4).cast("decimal(5,4)")
+        texts = texts.join(picked.groupBy(*keys, "band").agg(mean.alias("confidence")), [*keys, "band"])
     return found.select(*keys, "band").join(texts, [*keys, "band"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

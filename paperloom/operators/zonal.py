@@ -84,9 +84,8 @@ def table_rows(words: DataFrame, keys: list[str], zone, columns: list[ColumnSpec
     if anchored:
         found = T.anchors(words, bands, keys, *anchor)
         for c in anchored:
-            texts = T.anchored_cell(words, found, keys, *_range(c, zone), c.line_offset)
-            inside = T.assign_cells(words, bands, keys, [(c.sub_property, *_range(c, zone))]).groupBy(*keys, "band").agg(M.mean4(F.col("conf")).alias("confidence"))
-            cells.append(texts.join(inside, [*keys, "band"], "left").select(*keys, "band", F.lit(c.sub_property).alias("column"), "text", "confidence"))
+            texts = T.anchored_cell(words, found, keys, *_range(c, zone), c.line_offset, c.line_separator)
+            cells.append(texts.select(*keys, "band", F.lit(c.sub_property).alias("column"), "text", "confidence"))
     every = reduce(DataFrame.unionByName, cells)
     counts = F.col("text") != ""
     wide = every.groupBy(*keys, "band").agg(
@@ -112,21 +111,33 @@ def _joined(items):
     return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["json"]), ","), F.lit("]"))
 
 
-def single_page(template: TemplateSpec, scalars: DataFrame, words: DataFrame, consolidate: bool = False) -> DataFrame:
+TABLES = "doc_id bigint, field_id int, items_json string, n_rows int, confidence decimal(5,4)"
+
+
+def _of_every(documents: DataFrame, tables: DataFrame | None, field_id: int) -> DataFrame:
+    """A region's table (doc_id, items_json, n_rows, confidence) for every document: without rows it is empty, and no confidence is known."""
+    found = documents.select("doc_id")
+    found = found.join(tables, "doc_id", "left") if tables is not None else found.select("doc_id", F.lit(None).cast("string").alias("items_json"), F.lit(0).alias("n_rows"), F.lit(None).cast("decimal(5,4)").alias("confidence"))
+    return found.select("doc_id", F.lit(field_id).alias("field_id"), F.coalesce("items_json", F.lit("[]")).alias("items_json"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "confidence")
+
+
+def single_page(template: TemplateSpec, scalars: DataFrame, words: DataFrame, consolidate: bool = False, documents: DataFrame | None = None) -> DataFrame:
     """The long form of documents of one page, from zone reads (doc_id, field_id, raw, confidence) and region words (doc_id, field_id, ...).
 
-    Fields without a zone take no part, nor do tables without columns.
+    Documents are those with reads or words, or those of ``documents`` (doc_id), where some may have neither.  A region
+    in which no row is found is an empty table.  Fields without a zone take no part, nor do tables without columns.
     """
+    documents = scalars.select("doc_id").unionByName(words.select("doc_id")).distinct() if documents is None else documents
     zoned = [f for f in template.fields if f.zone is not None]
     regions = [f for f in zoned if f.source_type == "TABLE_CELL" and f.columns]
     tables = []
     for f in regions:
         columns = ordered_columns(f)
         rows = table_rows(words.where(F.col("field_id") == f.field_id), ["doc_id"], f.zone, columns, consolidate=consolidate)
-        tables.append(_as_table(rows, ["doc_id"], columns).select("doc_id", F.lit(f.field_id).alias("field_id"), _joined(F.col("items")).alias("items_json"), "n_rows", "confidence"))
+        tables.append(_of_every(documents, _as_table(rows, ["doc_id"], columns).select("doc_id", _joined(F.col("items")).alias("items_json"), "n_rows", "confidence"), f.field_id))
     own = [f.field_id for f in zoned if f.source_type != "TABLE_CELL"]
-    empty = scalars.sparkSession.createDataFrame([], "doc_id bigint, field_id int, items_json string, n_rows int, confidence decimal(5,4)")
-    return M.map_zonal(replace(template, fields=tuple(zoned)), scalars.where(F.col("field_id").isin(own)), reduce(DataFrame.unionByName, tables, empty))
+    empty = scalars.sparkSession.createDataFrame([], TABLES)
+    return M.map_zonal(replace(template, fields=tuple(zoned)), scalars.where(F.col("field_id").isin(own)), reduce(DataFrame.unionByName, tables, empty), documents)
 
 
 def multi_page(template: TemplateSpec, pages: DataFrame, scalars: DataFrame, words: DataFrame, consolidate: bool = False) -> DataFrame:
@@ -161,10 +172,12 @@ def multi_page(template: TemplateSpec, pages: DataFrame, scalars: DataFrame, wor
                 continue
             own = words.where(F.col("field_id") == region.field_id).join(sized, "doc_id").where(P.region_role(F.col("page"), F.col("_pages"), available) == role).drop("_pages")
             per_page.append(_as_table(table_rows(own, ["doc_id", "page"], region.zone, columns, consolidate=consolidate), ["doc_id", "page"], columns, "page"))
+        whole = None
         if per_page:
             every = reduce(DataFrame.unionByName, per_page)
             whole = every.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "items"))).alias("p"), F.sum("n_rows").cast("int").alias("n_rows"), M.mean4(F.col("confidence")).alias("confidence"))
             items = F.flatten(F.transform("p", lambda x: x["items"]))
-            tables.append(whole.select("doc_id", F.lit(canonical.field_id).alias("field_id"), _joined(items).alias("items_json"), "n_rows", "confidence"))
-    empty = scalars.sparkSession.createDataFrame([], "doc_id bigint, field_id int, items_json string, n_rows int, confidence decimal(5,4)")
-    return M.map_zonal(replace(template, fields=tuple(zoned)), reads, reduce(DataFrame.unionByName, tables, empty))
+            whole = whole.select("doc_id", _joined(items).alias("items_json"), "n_rows", "confidence")
+        tables.append(_of_every(pages, whole, canonical.field_id))
+    empty = scalars.sparkSession.createDataFrame([], TABLES)
+    return M.map_zonal(replace(template, fields=tuple(zoned)), reads, reduce(DataFrame.unionByName, tables, empty), pages)

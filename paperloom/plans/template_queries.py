@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.operators import mapping as M
@@ -223,14 +222,14 @@ _ROUND = ", ".join(f"({', '.join(map(_value, (t.template_id, f.field_id, f.targe
 
 @query(
     "template_round_trip",
-    f"""WITH t(template_id, field_id, target_property, source_type, table_header, sub_property, sort_order, kind, step_order) AS (VALUES {_ROUND}), n AS (SELECT CAST(count(*) AS BIGINT) AS types FROM nation)
-    SELECT CAST(template_id + 10 * k AS INTEGER) AS template_id, CAST(field_id + 10 * template_id + 100 * k AS INTEGER) AS field_id, target_property, source_type, table_header, sub_property, CAST(sort_order AS INTEGER) AS sort_order, kind, CAST(step_order AS INTEGER) AS step_order FROM t, (SELECT unnest(range(0, types)) AS k FROM n)""",
+    f"""WITH t(template_id, field_id, target_property, source_type, table_header, sub_property, sort_order, kind, step_order) AS (VALUES {_ROUND}), n AS (SELECT n_nationkey AS k FROM nation)
+    SELECT CAST(template_id + 10 * k AS INTEGER) AS template_id, CAST(field_id + 10 * template_id + 100 * k AS INTEGER) AS field_id, target_property, source_type, table_header, sub_property, CAST(sort_order AS INTEGER) AS sort_order, kind, CAST(step_order AS INTEGER) AS step_order FROM t, n""",
 )
 def template_round_trip(spark, sf):
     """Templates of every nation: nested rows taken apart into relational ones, nested again from them, and taken apart once more."""
-    k = I.table(spark, sf, "nation").select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).alias("k"))
+    k = I.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
     own = F.transform("fields", lambda f: f.withField("field_id", (f["field_id"] + F.col("template_id") * 10 + F.col("k") * 100).cast("int")))
-    given = _templates(spark).crossJoin(k).select((F.col("template_id") + F.col("k") * 10).cast("int").alias("template_id"), "mode", "document_type", "version", "is_active", own.alias("fields"))
+    given = _templates(spark).crossJoin(k).withColumn("fields", own).withColumn("template_id", (F.col("template_id") + F.col("k") * 10).cast("int")).drop("k")
     again = X.nested(given.drop("fields"), *X.flattened(given))
     fields, columns, steps = X.flattened(again)
     rows = fields.join(columns.select("field_id", "sub_property", "sort_order"), "field_id", "left").join(steps.select("field_id", "kind", "step_order"), "field_id", "left")

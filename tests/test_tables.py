@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import multipage as P
@@ -95,3 +97,46 @@ def test_pixel_columns_are_the_separators_of_the_unit_boxes_on_the_page(spark):
     (got,) = T.pixel_columns(df, ["zone"], 1000.0, 10.0, 0.1, 0.8).collect()
     assert got["column"] == want["column"] and abs(got.separator - (0.1 + 0.8 * want.separator)) < 1e-9 and 0.1 + 0.8 * 0.05 < got.separator <= 0.1 + 0.8 * 0.60
     assert T.pixel_columns(df, ["zone"], 0.0, 10.0, 0.1, 0.8).count() == 0
+
+
+ZONE = (0.0, 0.0, 1.0, 1.0)
+REGION_WORDS = "doc_id bigint, page int, field_id int, word_id bigint, text string, x double, y double, w double, h double, conf double"
+
+
+def _zonal(spark, columns, words, pages, role=None, scalars=()):
+    from paperloom.operators.zonal import multi_page, single_page
+    from paperloom.schema import FieldSpec, TemplateSpec
+
+    spec = TemplateSpec(1, (FieldSpec(1, "id", "ZONE", zone=ZONE, default_value="d"), FieldSpec(10, "line_item", "TABLE_CELL", required=True, zone=ZONE, page_role=role, columns=columns)))
+    read = spark.createDataFrame(list(scalars), "doc_id bigint, field_id int, page int, raw string, confidence decimal(5,4)")
+    given = spark.createDataFrame(words, REGION_WORDS)
+    docs = spark.createDataFrame(pages, "doc_id bigint, pages int")
+    one = {(r.doc_id, r.field_id): r for r in single_page(spec, read.drop("page"), given.drop("page"), documents=docs).collect()}
+    two = {(r.doc_id, r.field_id): r for r in multi_page(spec, docs, read, given).collect()}
+    return one, two
+
+
+def test_regions_without_rows_and_documents_without_reads(spark):
+    from paperloom.schema import ColumnSpec
+
+    columns = (ColumnSpec("qty", "INT", x_start=0.0, x_end=0.2, is_anchor=True), ColumnSpec("d", x_start=0.2, x_end=1.0, sort_order=1))
+    words = [(1, 1, 10, 1, "4", 0.05, 0.1, 0.05, 0.1, 0.9), (1, 1, 10, 2, "bolt", 0.3, 0.1, 0.1, 0.1, 0.7)]
+    for got in _zonal(spark, columns, words, [(1, 1), (2, 1)], scalars=[(1, 1, 1, "A1", Decimal("0.8"))]):
+        assert set(got) == {(1, 1), (1, 10), (2, 1), (2, 10)} and '"qty":4' in got[1, 10].normalized and got[1, 10].source_ref == "ZoneTable/rows:1"
+        empty = got[2, 10]
+        assert (empty.normalized, empty.confidence, empty.source_ref, empty.below) == (None, None, "ZoneTable/rows:0", False)
+        assert (got[2, 1].normalized, got[2, 1].confidence) == ("d", 0)
+
+
+def test_anchored_cells_count_the_words_that_were_read(spark):
+    from paperloom.schema import ColumnSpec
+
+    columns = (ColumnSpec("qty", "INT", x_start=0.0, x_end=0.2, is_anchor=True), ColumnSpec("ref", x_start=0.2, x_end=1.0, sort_order=1, line_select="ANCHOR", line_offset=1, line_separator="/"))
+    words = [
+        (1, 1, 10, 1, "4", 0.05, 0.10, 0.05, 0.04, 0.9), (1, 1, 10, 2, "spec", 0.3, 0.10, 0.1, 0.04, 0.5), (1, 1, 10, 3, "R1", 0.3, 0.16, 0.1, 0.04, 0.7), (1, 1, 10, 4, "more", 0.3, 0.22, 0.1, 0.04, 0.1),
+        (1, 1, 10, 5, "5", 0.05, 0.60, 0.05, 0.04, 0.9),
+    ]
+    one, _ = _zonal(spark, columns, words, [(1, 1)])
+    got = one[1, 10]
+    assert got.normalized == '[{"qty":4,"ref":"R1"},{"qty":5,"ref":null}]'
+    assert got.confidence == Decimal("0.8333")  # 0.9, 0.7 and 0.9: the words beside the one that was read do not count
