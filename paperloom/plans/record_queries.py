@@ -13,6 +13,7 @@ from paperloom.plans.catalog import Catalog
 from paperloom.session import fresh_folder
 from paperloom.sources import capture as C
 from paperloom.streaming import capture as Z
+from paperloom.streaming import jobs as J
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -322,6 +323,42 @@ def stream_capture(spark, sf):
     return Z.read_mapped(spark, f"{root}/out")
 
 
+LATENESS, BASE = 40.0, 6.0
+
+
+def job_succeeds(doc_id: int, attempt: int) -> bool:
+    """The outcomes of this query: some documents fail at some attempts, some at all."""
+    return doc_id % 11 != 0 and (doc_id * 7 + attempt * 3) % 4 != 0
+
+
+_OK = "(doc_id % 11 <> 0 AND (doc_id * 7 + {n} * 3) % 4 <> 0)"
+
+
+@query(
+    "stream_jobs",
+    f"""WITH firsts AS (SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+    j AS (SELECT *, CASE WHEN {_OK.format(n=1)} THEN 1 WHEN {_OK.format(n=2)} THEN 2 WHEN {_OK.format(n=3)} THEN 3 ELSE 4 END AS won FROM firsts)
+    SELECT sha256, doc_id, CAST(n AS INTEGER) AS attempt, CAST(1704067200000 + doc_id * 1000 + 40000 + 6000 * (2 ** (n - 1) - 1) AS BIGINT) AS at_ms, CASE WHEN n = won THEN 'MAPPED' WHEN n = 3 THEN 'FAILED' ELSE 'CAPTURED' END AS to_status
+    FROM j, (VALUES (1), (2), (3)) t(n) WHERE n <= won""",
+)
+def stream_jobs(spark, sf):
+    """Uploads land in three parts, some behind their time, and the query is started anew for each; equal contents are one job, failures are tried again by timers."""
+    landing, out, checkpoint = (fresh_folder(spark, f"jobs-{k}") for k in ("landing", "out", "checkpoint"))
+    second = lambda n: F.timestamp_seconds(F.lit(1704067200) + n)
+    rows = I.table(spark, sf, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "doc_id", second(F.col("doc_id")).alias("at"))
+    last = rows.agg(F.max("doc_id")).first()[0] or 0
+    part = last // 3 + 1
+    behind = (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % part >= part - 30)  # less than the lateness
+    parts = rows.withColumn("part", F.least(F.lit(2), F.floor(F.col("doc_id") / part) + behind.cast("int")))
+    end = spark.range(1).select(F.lit("end").alias("sha256"), F.lit(None).cast("bigint").alias("doc_id"), second(F.lit(last + 3600)).alias("at"))  # it only moves time on
+    rows.limit(0).write.parquet(landing)  # the folder has to be there before it is read
+    stream = J.run_jobs(spark.readStream.schema(rows.schema).parquet(landing), job_succeeds, LATENESS, 3, BASE)
+    for landed in [*(parts.where(F.col("part") == k).drop("part") for k in range(3)), end]:
+        landed.write.mode("append").parquet(landing)
+        J.write_batches(stream, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("sha256", "doc_id", "attempt", "at_ms", "to_status")
+
+
 @query("mode_routing", f"WITH {ORDERS_SQL} SELECT doc_type, CASE WHEN doc_type = 0 THEN 'INLINE' ELSE 'QUEUE' END AS route, count(*) AS n FROM docs GROUP BY 1, 2")
 def mode_routing(spark, sf):
     mode = F.when(F.col("doc_type") == 0, "REALTIME").otherwise("QUEUE")

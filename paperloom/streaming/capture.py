@@ -1,9 +1,9 @@
 """Capture as a stream: extraction files land in a folder, and each micro-batch maps the documents that it touches.
 
 The checkpoint takes the place of a startup requeue, ``maxFilesPerTrigger`` that of a bounded queue.  A document's rows
-may land in several files: what has landed is kept by buckets of the key, and a batch maps all rows of its documents
-anew.  Rows and results are written by batch, over what a failed try of that batch wrote, so a replay adds nothing;
-of several results of a document the last batch's holds.
+may land in several files: what has landed is state of its document (``jobs.assembled``), so a batch reads its own files
+and the state of its own documents, and maps these anew.  Results are written by batch, over what a failed try of that
+batch wrote, so a replay adds nothing; of several results of a document the last batch's holds.
 """
 
 from __future__ import annotations
@@ -13,28 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.streaming import jobs
+
 
 def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-BUCKETS = 64
-
-
-def write_mapped(stream: DataFrame, mapper: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id"):
-    """Map the documents of each micro-batch whole; returns the query, which ends when the folder is read."""
-
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/rows/batch={batch_id}")
-        written = spark.read.parquet(f"{out}/rows")
-        now = written.where(F.col("batch") == batch_id)
-        touched = [r.bucket for r in now.select("bucket").distinct().collect()]  # BUCKETS at most
-        landed = written.where(F.col("bucket").isin(touched) & (F.col("batch") <= batch_id)).join(now.select(key).distinct(), key, "left_semi")
-        mapper(landed.select(rows.columns)).write.mode("overwrite").parquet(f"{out}/mapped/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_mapped(stream: DataFrame, mapper: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id", row_keys: tuple[str, ...] = ("page", "block_id")):
+    """Map the documents of each micro-batch whole; rows of a document are told apart by ``row_keys``.  Returns the query, which ends when the folder is read."""
+    return jobs.write_batches(jobs.assembled(stream, key, list(row_keys)), f"{out}/mapped", checkpoint, mapper)
 
 
 def read_mapped(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
