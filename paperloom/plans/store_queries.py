@@ -9,6 +9,7 @@ from paperloom.plans import invoices as I
 from paperloom.plans.catalog import Catalog
 from paperloom.plans.record_queries import ORDERS_SQL, TARGETS_SQL, orders, targets
 from paperloom.sources import capture as C
+from paperloom.sources import recognizer as W
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -109,3 +110,19 @@ def save_result(spark, sf):
     results, values = R.saved_results(old, old.withColumn("value", F.lit("old")), headers, lines)
     last = results.groupBy("doc_id").agg(F.max("result_id").alias("latest"))
     return values.join(last, "doc_id").select("doc_id", "result_id", "value", "latest")
+
+
+@query(
+    "recognizer_words",
+    """WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, CAST(l_suppkey AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y, l_partkey % 5 AS odd, 500 + l_orderkey % 100 AS width, l_orderkey % 9 AS bad FROM lineitem)
+    SELECT doc_id, 'w' || n AS text, x / width AS x, y / 400.0 AS y, (x + 20 - x) / width AS w, (y + 8 - y) / 400.0 AS h, CASE WHEN odd = 1 THEN 0.0 ELSE 0.75 END AS conf FROM w WHERE bad <> 0 AND odd NOT IN (2, 3)""",
+)
+def recognizer_words(spark, sf):
+    """Recognizer answers as JSON, some of pages without width, with words without text, score or box."""
+    odd, x, y = F.col("l_partkey") % 5, F.col("l_suppkey").cast("double"), F.col("l_quantity").cast("double")
+    box = F.concat(F.lit("["), x, F.lit(","), y, F.when(odd == 2, "]").otherwise(F.concat(F.lit(","), x + 20, F.lit(","), y + 8, F.lit("]"))))
+    word = F.concat(F.lit('{"text":"'), F.when(odd == 3, " ").otherwise(F.concat(F.lit(" w"), F.col("l_linenumber"))), F.lit('","bbox":'), box, F.when(odd == 1, "}").otherwise(',"conf":0.75}'))
+    rows = I.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(word)), ",").alias("w"))
+    width = F.when(F.col("doc_id") % 9 == 0, 0).otherwise(500 + F.col("doc_id") % 100)
+    answer = F.concat(F.lit('{"page_width":'), width, F.lit(',"page_height":400,"words":['), F.col("w"), F.lit("]}"))
+    return rows.select("doc_id", F.explode(W.words(answer)).alias("b")).select("doc_id", "b.*")
