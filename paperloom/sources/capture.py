@@ -280,23 +280,29 @@ def webhook(endpoint: str | None, auth_header: str | None = None, secret: str =
     """A ``send`` for ``post`` over HTTP: the exact UTF-8 body with its signature; failures are answers, never raised."""
 
     def send(body: str, sign: str) -> tuple[bool, str]:
-        if not (endpoint or "").strip():
-            return False, "No endpoint configured"
-        headers = {"Content-Type": "application/json", "X-Signature": sign} | ({auth_header: secret} if (auth_header or "").strip() else {})
-        try:
-            with urllib.request.urlopen(urllib.request.Request(endpoint, (body or "").encode(), headers, method="POST"), timeout=max(1.0, timeout)) as got:
-                return True, got.read().decode("utf-8", "replace")
-        except urllib.error.HTTPError as refused:
-            return False, refused.read().decode("utf-8", "replace")
-        except TimeoutError:
-            return False, "Request timed out"
-        except OSError as failed:
-            late = isinstance(getattr(failed, "reason", None), TimeoutError)
-            return False, "Request timed out" if late else f"HTTP error: {failed}"
+        done, _, text = request(endpoint, body, secret, auth_header, timeout, {"X-Signature": sign})
+        return done, text
 
     return send
 
 
+def request(endpoint: str | None, body: str | None, secret: str = "", auth_header: str | None = None, timeout: float = 30.0, more: dict[str, str] | None = None) -> tuple[bool, int | None, str]:
+    """(succeeded, HTTP status, response) of one signed POST."""
+    if not (endpoint or "").strip():
+        return False, None, "No endpoint configured"
+    headers = {"Content-Type": "application/json", "X-Signature": signature(secret, body or "")} | ({auth_header: secret} if (auth_header or "").strip() else {}) | (more or {})
+    try:
+        with urllib.request.urlopen(urllib.request.Request(endpoint, (body or "").encode(), headers, method="POST"), timeout=max(1.0, timeout)) as got:
+            return True, got.status, got.read().decode("utf-8", "replace")
+    except urllib.error.HTTPError as refused:
+        return False, refused.code, refused.read().decode("utf-8", "replace")
+    except TimeoutError:
+        return False, None, "Request timed out"
+    except OSError as failed:
+        late = isinstance(getattr(failed, "reason", None), TimeoutError)
+        return False, None, "Request timed out" if late else f"HTTP error: {failed}"
+
+
 def erp(body: str, sign: str) -> tuple[bool, str]:
     """The place of an ERP client: a ``send`` that refuses everything."""
     return False, "no ERP client is configured"
