@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.normalize import trimmed
+from paperloom.functions.normalize import bound, trimmed
 
 MERGE_OVERLAP, MIN_HEIGHT, SAME_LINE, FOLLOWER_LINES = 0.5, 0.4, 0.40, 3.0
 # The lexicon of shipping invoices that consolidation goes by.
@@ -30,17 +30,40 @@ def boundary(low: Column, high: Column, profile: Column | None = None) -> Column
     last = F.size(profile) - 1
     a = F.greatest(F.lit(0), F.least(F.floor(F.least(low, high) * last).cast("int"), last))
     b = F.greatest(F.lit(0), F.least(F.ceil(F.greatest(low, high) * last).cast("int"), last))
-    gap = F.slice(profile, a + 1, b - a + 1)
-    least = F.array_min(gap)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("end"))
-    def step(s, ink):
-        run = F.when(ink == least, s["run"] + 1).otherwise(0)
-        better = run > s["best"]
-        return F.struct((s["at"] + 1).alias("at"), run.alias("run"), F.when(better, run).otherwise(s["best"]).alias("best"), F.when(better, s["at"]).otherwise(s["end"]).alias("end"))
-
-    best = F.aggregate(gap, start, step)
-    snapped = (a + best["end"] - (best["best"] - 1) / 2) / last
-    return F.when((last < 1) | (low == high) | (b <= a), middle).otherwise(snapped)
+
+    def longest(gap, least):
+        def step(s, ink):
+            run = F.when(ink == least, s["run"] + 1).otherwise(0)
+            return bound(run, lambda n: F.struct((s["at"] + 1).alias("at"), n.alias("run"), F.greatest(n, s["best"]).alias("best"), F.when(n > s["best"], s["at"]).otherwise(s["end"]).alias("end")))
+
+        return F.aggregate(gap, start, step)
+
+    def snapped(span):
+        gap = F.slice(profile, span["a"] + 1, span["b"] - span["a"] + 1)
+        centre = bound(gap, lambda g: bound(F.array_min(g), lambda least: bound(longest(g, least), lambda best: (span["a"] + best["end"] - (best["best"] - 1) / 2) / last)))
+        return F.when((last < 1) | (low == high) | (span["b"] <= span["a"]), middle).otherwise(centre)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), snapped)
+
+
+def ink_profile(words: DataFrame, keys: list[str], samples: int, units: int = 1000) -> DataFrame:
+    """keys, profile: the ink of each of a zone's sample rows, as the widths of the words that stand in it, in units of the zone's width.
+
+    A sweep: every word adds its width at its first row and takes it back behind its last, and running sums of these
+    differences are the levels between them.  One exchange, and no row for a sample.
+    """
+    first = F.greatest(F.lit(0), F.floor(F.col("y") * samples)).cast("int")
+    behind = F.least(F.lit(samples), F.ceil((F.col("y") + F.col("h")) * samples)).cast("int")
+    ink = F.rint(F.col("w") * units).cast("bigint")
+    steps = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("ink")), F.struct(first.alias("at"), ink.alias("ink")), F.struct(behind.alias("at"), (-ink).alias("ink")))
+    none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("ink")))
+    rows = words.repartition(*keys).select(*keys, F.inline(F.when(behind > first, steps).otherwise(none)))
+    levels = rows.groupBy(*keys, "at").agg(F.sum("ink").alias("ink"))
+    along = Window.partitionBy(*keys).orderBy("at")
+    levels = levels.select(*keys, "at", F.sum("ink").over(along).alias("level"), (F.coalesce(F.lead("at").over(along), F.lit(samples)) - F.col("at")).alias("n"))
+    zones = levels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "level", "n"))).alias("l"))
+    return zones.select(*keys, F.flatten(F.transform("l", lambda x: F.array_repeat(x["level"], x["n"]))).alias("profile"))
 
 
 def segment_rows(words: DataFrame, keys: list[str], x_start: float, x_end: float, profile: Column | None = None) -> DataFrame:

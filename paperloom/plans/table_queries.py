@@ -36,14 +36,6 @@ def segment_rows(spark, sf):
     return bands_of(I.words(spark, sf)).select("doc_id", "band", "y_start", "y_end")
 
 
-@query("boundary_ink_snap")
-def boundary_ink_snap(spark, sf):
-    """Boundaries snap to the longest run without ink; a synthetic profile of 41 samples."""
-    profile = F.array(*[F.lit(0 if 18 <= k <= 22 else 5) for k in range(41)])
-    words = I.words(spark, sf).withColumn("profile", profile)
-    return T.segment_rows(words, KEYS, *ANCHOR, profile=F.col("profile")).select("doc_id", "band", "y_start", "y_end")
-
-
 @query("assign_cells", f"WITH {CELLED_SQL} SELECT doc_id, band, col AS column_name, count(*) AS words FROM celled GROUP BY 1, 2, 3")
 def assign_cells(spark, sf):
     words = I.placed_words(spark, sf)
@@ -89,17 +81,6 @@ def _anchored(name, offset, sql):
 # in the rendered layout a wrapped second line follows even rows at 0.3 of the row pitch below the anchor's centre
 _anchored("anchor_line", 0, "CASE WHEN a.band > cnt.n THEN 'FCA FACTORY' ELSE 'Part ' || r.l_partkey END")
 _anchored("anchor_offset_below", 1, "CASE WHEN a.band <= cnt.n AND a.band % 2 = 0 THEN 'size ' || r.l_suppkey ELSE '' END")
-_anchored("anchor_offset_above", -1, "''")
-_anchored("anchor_offset_past", 2, "''")
-
-
-@query("anchor_follower", f"WITH {BANDS_SQL} SELECT doc_id, count(*) AS anchors, CAST(0 AS BIGINT) AS followers FROM bands GROUP BY doc_id")
-def anchor_follower(spark, sf):
-    """How many anchors stand closer than three line heights to the one before (none in this layout)."""
-    words = I.placed_words(spark, sf)
-    found = T.anchors(words, bands_of(words), KEYS, *ANCHOR)
-    close = F.col("centre") - F.col("before") < T.FOLLOWER_LINES * F.col("line_height")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors"), F.count_if(close).alias("followers"))
 
 
 _SPLIT = r"[trim(s) FOR s IN string_split(text, chr(10)) IF trim(s) <> '']"

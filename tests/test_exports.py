@@ -14,11 +14,10 @@ def inputs(spark):
     return docs, results, targets
 
 
-def hook(send):
-    return True, 204, send["body"] + "x" * 600
-
-
 def test_guards_kinds_and_replays(spark, tmp_path):
+    def hook(send):
+        return True, 204, send["body"] + "x" * 600
+
     folder = str(tmp_path / "log")
     docs, results, targets = inputs(spark)
     log = X.run_exports(docs, results, targets, {"Hook": hook}, folder)
