@@ -104,6 +104,23 @@ def unit_hash(seed: str, *cols):
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+#: So many copies of one row are numbered by one task.
+COPIES = 10_000
+
+
+def numbered_copies(rows: DataFrame, name: str, most: int = COPIES) -> DataFrame:
+    """The rows with a number (from 0) among rows that are equal in all columns.
+
+    Equal rows are counted before they meet and made anew from the count, in ranges that are dealt out: no task sorts,
+    holds or makes all copies of a row that many are.
+    """
+    counts = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    few = counts.where(F.col("_copies") <= most).withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    ranges = counts.where(F.col("_copies") > most).withColumn("_first", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(most).cast("bigint")))).repartition("_first")
+    many = ranges.withColumn(name, F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + most, F.col("_copies")) - 1))).drop("_first")
+    return few.unionByName(many).drop("_copies")
+
+
 def small(df: DataFrame) -> DataFrame:
     """The table, to be broadcast only if it has few rows by count; else it is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

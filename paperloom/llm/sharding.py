@@ -7,8 +7,11 @@ counts differ by one at most, so every run holds each source in the corpus's pro
 Ranks are exact without one task for a source or for the whole order: rows are counted for each cell of the
 hash (and then of the fractional rank), the counts are accumulated, and rows are ordered only in their cell.
 
-Defined results: a null text has 0 bytes and checksum 0; the null source is a source of its own; ties of the
-hash go to the smaller id, and repeated rows follow one another; an empty input gives an empty output.
+What tells rows apart goes into the hash: in the query the id, the text's digest, and a number among equal rows.  So
+rows with one id or none are spread like others, and runs over other partitions agree.
+
+Defined results: a null text has 0 bytes and checksum 0; the null source is a source of its own; ties of the hash go to
+the smaller id, then by the further keys; an empty input gives an empty output.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import documents, staged, unit_hash
+from paperloom.llm.common import documents, numbered_copies, staged, unit_hash
 
 CELLS, CELL_ROWS = 4096, 100_000  # at least so many cells, and more of them for more rows
 
@@ -40,13 +43,14 @@ def ranked(rows: DataFrame, groups: list[str], place: str, ties: list, name: str
     return joined.drop("_cell", "_c", "_before", "_inside", *[f"_g_{g}" for g in groups])
 
 
-def interleave(rows: DataFrame, shards: int = 8, seed: str = "shard") -> DataFrame:
-    """rows (doc_id, source, ...) -> the same with shard (0..shards-1) and slot (from 0, gapless)."""
-    rows = rows.withColumn("_place", unit_hash(seed, F.col("doc_id")))
-    first = ranked(rows, ["source"], "_place", [F.col("doc_id").asc_nulls_last()], "_source")
+def interleave(rows: DataFrame, shards: int = 8, seed: str = "shard", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """rows (source, keys, ...) -> the same with shard (0..shards-1) and slot (from 0, gapless); rows are told apart by the keys."""
+    ties = [F.col(k).asc_nulls_last() for k in keys]
+    rows = rows.withColumn("_place", unit_hash(seed, *[F.col(k) for k in keys]))
+    first = ranked(rows, ["source"], "_place", ties, "_source")
     first = first.withColumn("_at", (F.col("_source_rank") - F.lit(0.5)) / F.col("_source_rows"))
     # where sources tie, the hash decides, so that no source always comes first
-    order = ranked(first, [], "_at", ["_place", F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last()], "_all")
+    order = ranked(first, [], "_at", ["_place", *ties, F.col("source").asc_nulls_last()], "_all")
     position = F.col("_all_rank") - 1
     shard = F.expr(f"div((_all_rank - 1) * {shards}, _all_rows)")
     start = F.expr(f"div(_shard * _all_rows + {shards - 1}, {shards})")
@@ -59,9 +63,9 @@ def interleave(rows: DataFrame, shards: int = 8, seed: str = "shard") -> DataFra
 def op4_stratified_shards(spark, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents(spark, sf_dir).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "source", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("_digest")
     )
-    rows = interleave(staged(rows, "shard-rows"))
+    rows = interleave(staged(numbered_copies(rows, "_copy"), "shard-rows"), keys=("doc_id", "_digest", "_copy"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -69,14 +73,15 @@ SQL = """
 WITH crc AS (
   SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
 ), d AS (
-  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
-    xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
-    (CAST(CAST('0x' || substr(md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+  SELECT doc_id, source, md5(encode(coalesce(text, ''))) AS digest, row_number() OVER (PARTITION BY doc_id, source, md5(encode(coalesce(text, '')))) - 1 AS copy, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM documents, crc
+), h AS (
+  SELECT *, (CAST(CAST('0x' || substr(md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || copy), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM d
 ), a AS (
-  SELECT *, (CAST(row_number() OVER (PARTITION BY source ORDER BY u, doc_id NULLS LAST) AS DOUBLE) - CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS place FROM d
+  SELECT *, (CAST(row_number() OVER (PARTITION BY source ORDER BY u, doc_id NULLS LAST, digest, copy) AS DOUBLE) - CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS place FROM h
 ), o AS (
-  SELECT *, row_number() OVER (ORDER BY place, u, doc_id NULLS LAST, source NULLS LAST) - 1 AS pos, count(*) OVER () AS n FROM a
+  SELECT *, row_number() OVER (ORDER BY place, u, doc_id NULLS LAST, digest, copy, source NULLS LAST) - 1 AS pos, count(*) OVER () AS n FROM a
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(pos * 8 // n AS INTEGER) AS shard, pos - (pos * 8 // n * n + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM o
 """

@@ -42,3 +42,21 @@ def test_weighted_documents(spark):
     got = mix(df, weights=(1, 3), weight_col="quality").collect()
     odd, even = (sum(r.copies for r in got if r.source == "a" and r.doc_id % 2 == k) for k in (1, 0))
     assert 1.7 < odd / even < 2.3
+
+
+def test_query_follows_targets_and_reruns_agree(spark, tmp_path):
+    """One id on many texts and many equal rows, in a source of nearly all words."""
+    from paperloom.llm.mixing import op9_mix_sources
+
+    rows = [(None, "w " * (i % 700), "a") for i in range(300)] + [(7, "same words here", "a")] * 200 + [(i, "x y " * (i % 90), "b") for i in range(120)] + [(i, "z " * 50, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = []
+    for n in (1, 6):
+        folder = str(tmp_path / str(n))
+        df.repartition(n).write.parquet(f"{folder}/documents.parquet")
+        found = op9_mix_sources(spark, folder).collect()
+        assert all(r.taken <= 3 * r["size"] for r in found) and len(found) == len(rows)
+        for target in {r.target for r in found}:
+            assert abs(sum(r.taken for r in found if r.target == target) - target) <= 700
+        got.append(sorted(map(str, found)))
+    assert got[0] == got[1]
