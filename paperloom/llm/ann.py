@@ -10,6 +10,11 @@ holds.  The full code confirms the radius, and the original vectors rank what is
 is the least one that finds ``RECALL`` of the sample's own neighbours, by brute force over the sample; more rows only
 bring neighbours nearer.  A query with fewer than k codes in its radius looks again in a wider one.
 
+Lengthening blinds codes if few vectors are far longer than the others, and a sample need not hold those.  So rows are
+banded by length, each band to half the length of the one before, and every band has an index of its own: axes, rotation
+and radius learned on its own sample, lengthened to its own longest.  Rare lengths, bands of under ``RARE_ROWS`` rows
+beside the largest, have nothing to learn from: their rows are all compared.
+
 Every row is indexed.  Rows and queries are dealt to a grid of bounded blocks; a cell of the grid gives at most
 k rows a query, and the best k over all cells are the result.
 
@@ -34,6 +39,8 @@ SAMPLE_ROWS = 20_000
 MAX_BITS, PARTS = 64, 4
 RECALL, RECALL_QUERIES = 0.96, 400
 ROW_BLOCK, QUERY_BLOCK = 16_384, 2048
+#: Bands of length, the last of all that is shorter; and bands of fewer rows than can be learned from.
+BANDS, RARE_ROWS = 12, 500
 
 
 @dataclass
@@ -127,10 +134,12 @@ class BlockIndex:
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
 
-def _search(encoder: Encoder, k: int):
+def _search(encoders: list[Encoder | None], band_of: list[int], k: int):
+    """The best k of a block of rows for a block of queries; without an encoder all rows are compared."""
     names = ["query_id", "vec_id", "score"]
 
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+    def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        encoder = encoders[band_of[key[0].as_py()]]
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if len(queries) and len(rows):
             def matrix(t):
@@ -138,10 +147,13 @@ def _search(encoder: Encoder, k: int):
 
             x, q = matrix(rows), matrix(queries)
             ids, query_ids = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-            index = BlockIndex(encoder.codes(x))
-            for query, code, own in zip(q, encoder.codes(q, True), query_ids):
-                reach = encoder.radius
+            index = encoder and BlockIndex(encoder.codes(x))
+            for query, code, own in zip(q, encoder.codes(q, True) if encoder else query_ids, query_ids):
+                reach = encoder.radius if encoder else MAX_BITS
                 while True:
+                    if encoder is None:
+                        found = np.flatnonzero(ids != own)
+                        break
                     found = index.within(code, reach)
                     found = found[ids[found] != own]
                     if len(found) >= k or reach >= MAX_BITS:
@@ -165,6 +177,16 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("vector") if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else v.cast("array<double>").alias("vector"))
 
 
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """At most SAMPLE_ROWS of n rows' vectors, the same in every run."""
+    h = F.pmod(F.xxhash64(F.lit("itq"), "vec_id"), F.lit(1 << 40))
+    some = rows.where(h <= F.lit(int(min(1.0, SAMPLE_ROWS / n) * (1 << 40)))).orderBy(h, "vec_id").limit(SAMPLE_ROWS)
+    found = some.select("vector").toPandas()["vector"]
+    if not len(found):
+        found = rows.limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
+    return np.stack(found.to_numpy()).astype(np.float64)
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found among all other rows."""
     spark = vectors.sparkSession
@@ -177,18 +199,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     rows = rows.where(F.size("vector") == sizes["d"])
     square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     longest = float(np.sqrt(rows.agg(F.max(square)).first()[0]))
-    h = F.pmod(F.xxhash64(F.lit("itq"), "vec_id"), F.lit(1 << 40))
-    sample = rows.where(h <= F.lit(int(min(1.0, SAMPLE_ROWS / sizes["n"]) * (1 << 40)))).orderBy(h, "vec_id").limit(SAMPLE_ROWS)
-    found = sample.select("vector").toPandas()["vector"]
-    if not len(found):
-        found = rows.limit(SAMPLE_ROWS).select("vector").toPandas()["vector"]
-    encoder = learn(np.stack(found.to_numpy()).astype(np.float64), longest, k)
-    row_blocks, query_blocks = -(-sizes["n"] // ROW_BLOCK), -(-sizes["q"] // QUERY_BLOCK)
+    shorter = F.floor(F.log2(F.lit(longest)) - F.log2(F.col("_square")) / 2)
+    rows = rows.withColumn("_square", square).withColumn("_band", F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), shorter)).cast("int"))
+    bands = {r["_band"]: r for r in rows.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.max("_square").alias("m")).collect()}  # BANDS at most
+    encoders: list[Encoder | None] = [None] * BANDS
+    band_of: list[int] = []
+    place = F.lit(0)
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(1 << 40))
-    right = rows.withColumn("rb", (block % row_blocks).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    left = rows.where(is_query).withColumn("qb", (block % query_blocks).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    largest = max(r["n"] for r in bands.values())
+    for band, r in sorted(bands.items()):
+        if r["n"] >= RARE_ROWS or r["n"] == largest:
+            encoders[band] = learn(_sample(rows.where(F.col("_band") == band), r["n"]), float(np.sqrt(r["m"])), k)
+        blocks = -(-r["n"] // ROW_BLOCK)
+        place = F.when(F.col("_band") == band, len(band_of) + (block % blocks).cast("int")).otherwise(place)
+        band_of += [band] * blocks
+    query_blocks = -(-sizes["q"] // QUERY_BLOCK)
+    right = rows.withColumn("rb", place).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("rb", "qb", "vec_id", "vector")
+    left = rows.where(is_query).withColumn("qb", (block % query_blocks).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(len(band_of) - 1)))).select("rb", "qb", "vec_id", "vector")
     pairs = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb"))
-    best = pairs.applyInArrow(_search(encoder, k), "query_id bigint, vec_id bigint, score double")
+    best = pairs.applyInArrow(_search(encoders, band_of, k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

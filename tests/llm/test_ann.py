@@ -68,3 +68,24 @@ def test_recall_and_odd_vectors(spark):
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = nearest(df.where("vec_id < 5 or vec_id >= 2000"), F.col("vec_id") % 20 == 0).collect()
     assert {r.query_id for r in few} == {0} and len(few) == 4
+
+
+def test_a_few_vectors_far_longer_than_the_others(spark):
+    """Rare lengths that a sample does not hold neither go nor blind the codes of the others."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(5000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1001:1031] *= 50
+    x[2001:2201] *= 7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    short = x.copy()
+    short[1001:1031] = 0
+    short[2001:2201] = 0
+    hits = [len({i for i in np.argsort(-(x @ x[q]), kind="stable")[:21] if i != q} & got[q]) / 20 for q in got]
+    assert np.mean(hits) >= 0.97
+    # and among the many of one length alone, as if the others were not there
+    own = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) if not (1001 <= i < 1031)] + [(9000 + i, (v * 50).tolist()) for i, v in enumerate(-np.abs(x[:5]) - 1)], "vec_id bigint, embedding array<double>")
+    assert nearest(own, F.col("vec_id") == 100).count() == 20
