@@ -35,7 +35,7 @@ def sends(documents: DataFrame, results: DataFrame, targets: DataFrame, round_:
     """attempt_key, doc_id, target_id, round, body and the target's columns: a row for each ready document and matching active target."""
     bodies = C.stripped(exportable(documents, results), "json").withColumnRenamed("json", "body")
     about = targets.select("target_id", *[c for c in ("name", "kind", "endpoint", "auth_header", "secret") if c in targets.columns])
-    rows = R.matching_targets(bodies, targets).join(F.broadcast(about), "target_id")  # targets are configuration, as many as an administrator enters
+    rows = R.matching_targets(bodies, targets).join(about, "target_id")
     key = F.sha2(F.concat_ws("|", "doc_id", "result_id", "target_id", F.lit(round_)), 256)
     return rows.select(key.alias("attempt_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "target_id", F.lit(round_).alias("round"), "body", *about.columns[1:])
 

@@ -155,7 +155,7 @@ def valid_uploads(uploads: DataFrame, templates: DataFrame, length: str = "lengt
 def review_values(values: DataFrame, fields: DataFrame, cutoff: float = 0.60) -> DataFrame:
     """Mapped values with their field's zone, the band of their confidence and the block that they came from; a field that is gone leaves its zone empty."""
     zones = fields.select("field_id", *[c for c in fields.columns if c.startswith("zone_")])
-    rows = values.join(F.broadcast(zones), "field_id", "left")  # a template's fields
+    rows = values.join(zones, "field_id", "left")
     return rows.withColumn("band", confidence_band(F.col("confidence"), cutoff)).withColumn("anchor", block_anchor(F.col("source_ref")))
 
 
@@ -228,6 +228,23 @@ def consumed(documents: DataFrame, attempts: DataFrame) -> DataFrame:
     return documents.join(done, "doc_id", "left").select("doc_id", F.when(ready, "CONSUMED").otherwise(F.col("status")).alias("status"))
 
 
+def classified(documents: DataFrame, decisions: DataFrame, now: Column | None = None) -> DataFrame:
+    """Documents with a classifier's decisions (doc_id, doc_type, confidence): these are CLASSIFIED and updated now, all others stay."""
+    new = decisions.select("doc_id", F.col("doc_type").alias("_type"), F.col("confidence").cast("decimal(5,4)").alias("_sure"), F.lit(True).alias("_hit"))
+    rows = ensure_columns(documents, {"classify_confidence": "decimal(5,4)", "updated_at": "timestamp"}).join(new, "doc_id", "left")
+    hit = F.col("_hit").isNotNull()
+    changed = {"doc_type": F.col("_type"), "classify_confidence": F.col("_sure"), "status": F.lit("CLASSIFIED"), "updated_at": F.current_timestamp() if now is None else now}
+    return rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changed.items()}).drop("_type", "_sure", "_hit")
+
+
+def with_status(documents: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
+    """Documents with new states (doc_id, status), updated now; a document that several changes name takes the one of the last ``at``."""
+    last = changes.groupBy("doc_id").agg((F.max_by("status", "at") if "at" in changes.columns else F.max("status")).alias("_status"))
+    rows = ensure_columns(documents, {"updated_at": "timestamp"}).join(last, "doc_id", "left")
+    hit = F.col("_status").isNotNull()
+    return rows.withColumn("updated_at", F.when(hit, F.current_timestamp() if now is None else now).otherwise(F.col("updated_at"))).withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
 def checked_events(events: DataFrame, key: str, order: list, status: str) -> DataFrame:
     """Events with the status before and whether the step is allowed."""
     before = F.lag(status).over(Window.partitionBy(key).orderBy(*order))

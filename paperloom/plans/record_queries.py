@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import normalize as N
 from paperloom.functions import scalars as S
+from paperloom.operators import buckets as B
 from paperloom.operators import records as R
 from paperloom.plans import invoices as I
 from paperloom.plans.catalog import Catalog
@@ -258,11 +259,56 @@ def latest_extraction(spark, sf):
     return C.latest_run(runs, I.blocks(spark, sf).withColumn("run_id", F.col("block_id"))).select("doc_id", "block_id")
 
 
-@query("extraction_json")
+_BOX = """'{"left":0.1,"top":0.25,"width":0.5,"height":0.125}'"""
+
+
+@query(
+    "extraction_json",
+    f"""WITH {I.BLOCKS_SQL}, {I.CELLS_SQL.strip()}, {I.PAGES_SQL.strip()}, p AS (SELECT doc_id, string_agg('{{"pageNumber":' || page || ',"width":' || CASE WHEN page % 2 = 1 THEN 600 + page ELSE 0 END || ',"height":800}}', ',' ORDER BY page) AS j FROM inv_pages GROUP BY 1
+    ), b AS (SELECT doc_id, string_agg('{{"id":"block-' || block_id || '","page":1,"type":"' || CASE WHEN block_id = 1 THEN 'KEY' ELSE 'LINE' END || '","text":"' || content || '","normalizedValue":null,"confidence":' || confidence || ',"bbox":' || CASE WHEN block_id = 1 THEN {_BOX} ELSE 'null' END || '}}', ',' ORDER BY block_id) AS j FROM blocks WHERE block_id <> 2 GROUP BY 1
+    ), c AS (SELECT doc_id, max(row_idx) + 1 AS n, string_agg('{{"rowIndex":' || row_idx || ',"colIndex":' || col_idx || ',"rowSpan":1,"colSpan":1,"isHeader":' || is_header || ',"type":"TABLE_CELL","text":"' || content || '","normalizedValue":null,"confidence":' || confidence || ',"bbox":null}}', ',' ORDER BY row_idx, col_idx) AS j FROM cells GROUP BY 1)
+    SELECT o_orderkey AS doc_id, '{{"documentId":' || o_orderkey || ',"pages":[' || coalesce(p.j, '') || '],"blocks":[' || coalesce(b.j, '') || '],"tables":[' || coalesce('{{"id":"table-1","page":1,"rowCount":' || c.n || ',"columnCount":4,"cells":[' || c.j || ']}}', '') || ']}}' AS json
+    FROM orders LEFT JOIN p ON p.doc_id = o_orderkey LEFT JOIN b ON b.doc_id = o_orderkey LEFT JOIN c ON c.doc_id = o_orderkey""",
+)
 def extraction_json(spark, sf):
-    kind = F.when(F.col("block_id") == 2, "WORD").when(F.col("block_id") == 1, "KEY").otherwise("PARAGRAPH")
+    kind = F.when(F.col("block_id") == 2, "WORD").when(F.col("block_id") == 1, "key").otherwise("PARAGRAPH")
     none = F.lit(None).cast("double")
-    return C.extraction_json(I.blocks(spark, sf).select("*", kind.alias("block_type"), F.lit(0.1).alias("x"), F.lit(0.1).alias("y"), F.lit(0.5).alias("w"), F.when(F.col("block_id") == 1, 0.1).otherwise(none).alias("h")))
+    blocks = I.blocks(spark, sf).select("*", kind.alias("block_type"), F.lit(0.1).alias("x"), F.lit(0.25).alias("y"), F.lit(0.5).alias("w"), F.when(F.col("block_id") == 1, 0.125).otherwise(none).alias("h"))
+    pages = I.pages(spark, sf).select("doc_id", "page", F.when(F.col("page") % 2 == 1, F.col("page") + 600).alias("width"), F.lit(800).alias("height"))
+    return C.extraction_json(I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), pages, blocks, I.cells(spark, sf))
+
+
+@query(
+    "bucket_rewrite",
+    "WITH hit AS (SELECT DISTINCT l_orderkey % 16 AS bucket FROM lineitem WHERE l_orderkey % 16 IN (3, 8) AND l_quantity > 45) SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS field_id, l_partkey, CASE WHEN l_orderkey % 16 IN (3, 8) AND l_quantity > 45 THEN 'fixed' ELSE l_comment END AS value, l_orderkey % 16 IN (SELECT bucket FROM hit) AS rewritten FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag AS l_comment FROM lineitem)",
+)
+def bucket_rewrite(spark, sf):
+    """Corrections of two buckets of a table in sixteen: all rows, and whether their file is a new one."""
+    lines = I.table(spark, sf, "lineitem")
+    rows = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("field_id"), "l_partkey", F.col("l_returnflag").alias("value"), "l_quantity")
+    table = B.BucketedTable(spark, fresh_folder(spark, "bucketed"), "doc_id", rows.schema, 16)
+    table.create(rows)
+    files = lambda: table.read().select("bucket", F.col("_metadata.file_path").alias("path")).distinct()
+    before = [r.path for r in files().collect()]  # one a bucket
+    changes = rows.where("doc_id % 16 in (3, 8) and l_quantity > 45").select("doc_id", "field_id", "l_partkey", F.lit("fixed").alias("fixed")).distinct()
+    fix = lambda now, new: now.join(new, ["doc_id", "field_id", "l_partkey"], "left").withColumn("value", F.when((F.col("l_quantity") > 45), F.coalesce("fixed", "value")).otherwise(F.col("value"))).drop("fixed")
+    table.merge(changes, fix)
+    out = table.read().withColumn("rewritten", ~F.col("_metadata.file_path").isin(before))
+    return out.select("doc_id", "field_id", "l_partkey", "value", "rewritten")
+
+
+@query(
+    "status_overlay",
+    f"WITH {ORDERS_SQL} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'FAILED' WHEN doc_id % 6 = 0 THEN 'CLASSIFIED' ELSE status END AS status, CAST(CASE WHEN doc_id % 6 = 0 THEN 7 ELSE doc_type END AS INTEGER) AS doc_type, CAST(CASE WHEN doc_id % 6 = 0 THEN 0.92 END AS DOUBLE) AS confidence, doc_id % 9 = 0 OR doc_id % 6 = 0 AS updated FROM docs",
+)
+def status_overlay(spark, sf):
+    """Classification of some documents, then a status of some: what is named changes and is updated."""
+    docs = orders(spark, sf)
+    at = F.timestamp_seconds(F.lit(0))
+    decided = docs.where("doc_id % 6 = 0").select("doc_id", F.lit(7).alias("doc_type"), F.lit(0.92).alias("confidence"))
+    changes = docs.where("doc_id % 9 = 0").select("doc_id", F.explode(F.array(F.struct(F.lit("CAPTURED").alias("status"), F.lit(1).alias("at")), F.struct(F.lit("FAILED").alias("status"), F.lit(2).alias("at")))).alias("c")).select("doc_id", "c.*")
+    out = R.with_status(R.classified(docs, decided, at), changes, at)
+    return out.select("doc_id", "status", "doc_type", F.col("classify_confidence").cast("double").alias("confidence"), F.col("updated_at").isNotNull().alias("updated"))
 
 
 @query("review_items", f"WITH {I.LINES_SQL} SELECT l_orderkey AS doc_id, row_idx, CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) AS price, CAST(CASE WHEN row_idx % 2 = 0 THEN row_idx ELSE 1 END AS INTEGER) AS page FROM numbered")

@@ -204,12 +204,49 @@ def load_latest(spark: SparkSession, path: str, names: tuple[str, ...] = ("block
     return {name: latest_run(runs, spark.read.parquet(f"{path}/{name}")) for name in names}
 
 
-def extraction_json(blocks: DataFrame) -> DataFrame:
-    """doc_id, json: the blocks of a document as the API nests them; words are left out."""
-    kind = F.when(F.col("block_type").isin("KEY", "VALUE"), F.col("block_type")).otherwise("LINE")
-    box = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull(), F.struct("x", "y", "w", "h"))
-    rows = blocks.where("block_type <> 'WORD'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "block_id", kind.alias("type"), "content", box.alias("box")))).alias("blocks"))
-    return rows.select("doc_id", F.to_json(F.struct("blocks")).alias("json"))
+def _box(rows: DataFrame) -> Column:
+    """The box of a block or cell, if all its four sides are known."""
+    if not {"x", "y", "w", "h"} <= set(rows.columns):
+        return F.lit(None).cast("struct<left:double,top:double,width:double,height:double>")
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
+    return F.when(known, F.struct(F.col("x").alias("left"), F.col("y").alias("top"), F.col("w").alias("width"), F.col("h").alias("height")))
+
+
+def _or_null(rows: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def extraction_json(documents: DataFrame, pages: DataFrame, blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, json of every document, as the API nests its pages, blocks and tables; words are left out, absent values are null.
+
+    pages (doc_id, page, width, height); blocks (doc_id, page, block_id, block_type, content, confidence[, normalized, x,
+    y, w, h]); cells (doc_id, table_idx, row_idx, col_idx, is_header, content, confidence[, page, row_span, col_span,
+    normalized, x, y, w, h]).  Everything of a document meets by one key, in the JVM.
+    """
+    def gathered(rows: DataFrame, entry: Column, name: str) -> DataFrame:
+        return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias(name))
+
+    kind = F.when(F.upper("block_type").isin("KEY", "VALUE"), F.upper("block_type")).otherwise("LINE")
+    page = F.struct(F.col("page").alias("pageNumber"), F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
+    block = F.struct(
+        F.concat(F.lit("block-"), F.col("block_id")).alias("id"), "page", kind.alias("type"), F.col("content").alias("text"), _or_null(blocks, "normalized", "string").alias("normalizedValue"),
+        F.col("confidence").alias("confidence"), _box(blocks).alias("bbox"),
+    )
+    cell = F.struct(
+        F.col("row_idx").alias("rowIndex"), F.col("col_idx").alias("colIndex"), F.coalesce(_or_null(cells, "row_span", "int"), F.lit(1)).alias("rowSpan"), F.coalesce(_or_null(cells, "col_span", "int"), F.lit(1)).alias("colSpan"),
+        F.col("is_header").alias("isHeader"), F.lit("TABLE_CELL").alias("type"), F.col("content").alias("text"), _or_null(cells, "normalized", "string").alias("normalizedValue"), F.col("confidence").alias("confidence"), _box(cells).alias("bbox"),
+    )
+    rows = cells.groupBy("doc_id", "table_idx").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", cell.alias("v")))), lambda e: e["v"]).alias("cells"), F.coalesce(F.min(_or_null(cells, "page", "int")), F.lit(1)).alias("page"),
+        (F.max("row_idx") + 1).alias("rowCount"), F.max("col_idx").alias("columnCount"),
+    )
+    table = F.struct(F.concat(F.lit("table-"), F.col("table_idx")).alias("id"), "page", "rowCount", "columnCount", "cells")
+    out = documents.select("doc_id").join(gathered(pages, F.struct("page", page.alias("v")), "pages"), "doc_id", "left")
+    out = out.join(gathered(blocks.where("upper(block_type) <> 'WORD'"), F.struct("page", "block_id", block.alias("v")), "blocks"), "doc_id", "left")
+    out = out.join(gathered(rows, F.struct("page", "table_idx", table.alias("v")), "tables"), "doc_id", "left")
+    parts = {n: F.coalesce(n, F.array()) for n in ("pages", "blocks", "tables")}
+    body = F.struct(F.col("doc_id").alias("documentId"), *[c.alias(n) for n, c in parts.items()])
+    return out.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def latest_run(runs: DataFrame, blocks: DataFrame) -> DataFrame:
