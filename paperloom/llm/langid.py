@@ -175,7 +175,8 @@ def train(learnable: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     h = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40))
     share = F.create_map(*[x for lang, n in per_language.items() for x in (F.lit(lang), F.lit(min(1.0, quota / n)))])
     drawn = learnable.select("lang", h.alias("h"), "text").where(F.col("h") <= share[F.col("lang")] * float(1 << 40))
-    # at most the quota of each language: what a threshold drew beyond it is a few rows
+    # at most the quota of each language: what a threshold drew beyond it is a few rows, since equal rows count once
+    drawn = drawn.distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     drawn = drawn.withColumn("at", first).where(F.col("at") <= quota).select("lang", "h", "text")
     rows = python_map(drawn, _sparse_rows, "lang string, h bigint, at binary, tf binary").collect()
