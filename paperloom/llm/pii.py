@@ -2,14 +2,14 @@
 
 Entities are found by one pattern of alternatives, so that matches never overlap: by their own form (e-mails, phones,
 IP addresses, cards, social security numbers, IBANs, key formats), by a key word before them (secrets, dates of
-birth, names after a label), by a title or given name and a run of capitals (persons), and by the kind of street
-(addresses).  No quantified group backtracks, so a text of any length needs a bounded stack.
+birth, passport numbers, names after a label), by a title or given name and a run of capitals, or capitals before a
+given name (persons), and by the kind of street (addresses).  Names that neither list, title nor label tells stay.  No quantified group backtracks, so a text of any length needs a bounded stack.
 
 A surrogate keeps the type and the format (separators, letter case, country code, card network and checksum, a
 name's gender and script), the same value gets the same surrogate in every document and way of writing it, and
 different values get different ones.  Numbers are permuted: a keyed Feistel network over all numbers of one form,
 and its inverse after a step of one, is a cycle through all of them, so that no two meet and none stays.  Dates of
-birth are moved by keyed steps within their decade.  Other surrogates are drawn from a digest of (key, type,
+birth are moved within their decade, by keyed cycles through dates that exist.  Other surrogates are drawn from a digest of (key, type,
 normalised value, attempt) and checked over all documents: where two values drew the same, or a surrogate is itself
 a value that occurs, the later value draws again with the next attempt, whose space is larger.  Only such
 exceptions need a lookup; up to ``INLINE`` of them travel as a map, more are joined by entity.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import discard, documents, staged
 
 INLINE = 500
-ATTEMPTS = 60
+WIDE_FROM = 8  # attempts after which a short IP address becomes a whole one
 ROUNDS = 6  # of the Feistel network
 
 #: Given names by gender and script, and the syllables that surnames are made of.
@@ -39,17 +39,20 @@ GIVEN = {
     ("m", "cyrillic"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Олег Сергей",
 }
 SYLLABLES = {"latin": "ba del mor ten vin lar ros kim sto wel har nor gal fen dur pel", "cyrillic": "ба дел мор тен вин лар рос ким сто вел гар нор гал фен дур пел"}
-TITLES = {"f": "Mrs Ms Miss Madame Frau Señora Sra", "m": "Mr Monsieur Herr Señor"}
+TITLES = {"f": "Mrs Ms Miss Madame Frau Señora Sra", "m": "Mr Monsieur Herr Señor", "n": "Dr Prof Doctor Professor Mx"}
 
 #: Further given names that mark a person; surrogates are drawn from GIVEN.
 KNOWN = {
-    "f": "Amanda Amy Angela Barbara Betty Carol Charlotte Christine Deborah Dorothy Elizabeth Emily Hannah Heather Jennifer Jessica Karen Kate Katherine Kathleen Kelly Kimberly Lisa Linda Lucy Margaret Megan Melissa Michelle Nancy Nicole Pamela Patricia Rachel Rebecca Ruth Sandra Sharon Sophie Stephanie",
-    "m": "Alan Alex Andrew Anthony Ben Benjamin Bill Bob Brian Charles Christopher Donald Edward Eric Frank Gary Gregory Jacob Jason Jeffrey Jonathan Joseph Joshua Justin Kenneth Kevin Larry Mark Matthew Michael Nicholas Patrick Richard Ronald Ryan Scott Stephen Steven Thomas Timothy William",
+    "f": "Priya Ananya Giulia Chiara Fatima Aisha Amara Ngozi Yuki Sakura Mei Ling Zofia Katarzyna Ingrid Astrid Camille Chloé Inés Lucía Aylin Zeynep Аня Катя Юлия Оксана Amanda Amy Angela Barbara Betty Carol Charlotte Christine Deborah Dorothy Elizabeth Emily Hannah Heather Jennifer Jessica Karen Kate Katherine Kathleen Kelly Kimberly Lisa Linda Lucy Margaret Megan Melissa Michelle Nancy Nicole Pamela Patricia Rachel Rebecca Ruth Sandra Sharon Sophie Stephanie",
+    "m": "Arjun Rahul Giovanni Luca Mohammed Ahmed Omar Chidi Emeka Hiroshi Kenji Wei Jun Piotr Tomasz Lars Sven Pierre Jean Javier Diego Mehmet Emre Саша Юрий Максим Alan Alex Andrew Anthony Ben Benjamin Bill Bob Brian Charles Christopher Donald Edward Eric Frank Gary Gregory Jacob Jason Jeffrey Jonathan Joseph Joshua Justin Kenneth Kevin Larry Mark Matthew Michael Nicholas Patrick Richard Ronald Ryan Scott Stephen Steven Thomas Timothy William",
 }
 #: What stands before a name, or a date of birth.
 NAME_LABELS = "name Name signed Signed contact Contact attn Attn author Author patient Patient customer Customer"
 STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct Place Pl Square Sq Terrace Way"
 
+#: Words in capitals that are no family names where a given name follows.
+_NO_FAMILY = "THE|AND|FROM|WITH|DEAR|FOR|TO|BY|OF|HI|HELLO|NOTE|RE|CC|ATTN|NAME|SIGNED|CONTACT|MR|MRS|MS|DR|PROF|SIR|HEY|OR|AT|IN|ON|AS|MY|HIS|HER|IS|WAS"
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAMES = "|".join(n for names in (*GIVEN.values(), *KNOWN.values()) for n in names.split())
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles.split())
@@ -94,14 +97,15 @@ _CAPITAL = r"\p{Lu}[\p{L}'\-]{1,30}+"
 _BIRTH = r"(?:[Bb]orn(?: on)?|[Dd]ate of [Bb]irth|[Bb]irth ?[Dd]ate|DOB|dob|[Gg]eboren am|[Nn]ée? le|[Ff]echa de nacimiento)"
 _DATE = r"(?:[0-9]{1,2}([./\-])[0-9]{1,2}\%d(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
-_IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?:(?::{_HEX}){{1,4}}|:))(?![\p{{L}}\p{{N}}:])"
+_IPV6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?:(?::{_HEX}){{1,4}}|:)|(?=[0-9A-Fa-f:]{{0,40}}[0-9])[0-9A-Fa-f]{{3,4}}:(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])"
 PATTERNS = {
     "SECRET": r"(?=[TtSsPpAa])" + _SECRET + r"[A-Za-z0-9_\-/+]{16,}+",
     "KEY": r"(?<![A-Za-z0-9])(?=[AgsxeB])(?:A[KS]IA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_\-]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+)",
     "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9.\-]*?\.[A-Za-z]{2})[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+",
     "IBAN": r"(?<![A-Za-z0-9])" + _iban(),
-    "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]++|(?<=(?<!\p{{L}}){_LABEL}: {{0,2}}|[Mm]y name is )(?=\p{{Lu}}){_CAPITAL}(?: {_CAPITAL}){{1,2}}+",
+    "PERSON": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?!(?:{_NO_FAMILY}) )\p{{Lu}}[\p{{Lu}}'\-]{{1,20}}+ (?:{_NAMES})(?![\p{{L}}\-])|(?:(?:{_TITLE})\.? (?:(?:{_NAMES}) )?|(?:{_NAMES}) )\p{{Lu}}[\p{{L}}'\-]++)|(?<=(?<!\p{{L}}){_LABEL}: {{0,2}}|[Mm]y name is )(?=\p{{Lu}}){_CAPITAL}(?: {_CAPITAL}){{1,2}}+",
     "ADDRESS": rf"(?<![\p{{L}}\p{{N}}])(?:[0-9]{{1,5}}[A-Za-z]? (?=\p{{Lu}})(?:(?!(?:{STREETS.replace(' ', '|')})(?!\p{{L}})){_CAPITAL} ){{1,3}}+(?:{STREETS.replace(' ', '|')})(?!\p{{L}})|(?=\p{{Lu}})\p{{L}}{{2,30}}?(?:straße|strasse|weg|platz|allee) [0-9]{{1,4}}(?![\p{{L}}0-9]))",
+    "PASSPORT": r"(?<=[Pp]assport(?: [Nn]o\.?| [Nn]umber| [Nn]r\.?)?[:#]? {0,2})[A-Z]{0,2}[0-9]{6,9}(?![A-Za-z0-9])",
     "BIRTH": rf"(?<={_BIRTH}[:=]?\s{{0,2}})" + _DATE,
     "IPV6": _IPV6,
     "IPV4": _IPV4,
@@ -110,17 +114,17 @@ PATTERNS = {
     "CARD": _CARD + r"(?![0-9])",
 }
 #: Types whose surrogates are drawn from a digest and checked; those of numbers are permuted.
-DRAWN = ("SECRET", "KEY", "EMAIL", "IBAN", "PERSON", "ADDRESS", "IPV6")
+DRAWN = ("SECRET", "KEY", "EMAIL", "IBAN", "PERSON", "ADDRESS", "IPV6", "PASSPORT")
 #: Each type has its own left boundary; what the alternatives share is decided first, so that most positions of a
 #: text cost a few comparisons.  A secret's key word may follow anything ('client_secret', 'DB_PASSWORD').
-_WORDS, _NUMBERS = ("KEY", "EMAIL", "IBAN", "PERSON", "ADDRESS", "IPV6"), ("BIRTH", "IPV4", "SSN", "PHONE", "CARD")
+_WORDS, _NUMBERS = ("KEY", "EMAIL", "IBAN", "PERSON", "ADDRESS", "IPV6", "PASSPORT"), ("BIRTH", "IPV4", "SSN", "PHONE", "CARD")
 COMBINED = PATTERNS["SECRET"] + r"|(?<![A-Za-z0-9])(?=[\p{Lu}A-Za-z0-9._%+\-])(?:" + "|".join(PATTERNS[k] for k in _WORDS) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERS).replace("%d", "1") + ")"
 _CYRILLIC = r"[Ѐ-ӿ]"
 
 
 def kind_of(raw: Column) -> Column:
     """The type of one match: the first alternative that it fits as a whole."""
-    shapes = [(kind, _DATE if kind == "BIRTH" else pattern) for kind, pattern in PATTERNS.items() if kind != "PERSON"]
+    shapes = [(kind, _DATE if kind == "BIRTH" else "[A-Z]{0,2}[0-9]{6,9}" if kind == "PASSPORT" else pattern) for kind, pattern in PATTERNS.items() if kind != "PERSON"]
     return reduce(lambda rest, item: F.when(raw.rlike(f"^(?:{item[1].replace('%d', '1')})$"), F.lit(item[0])).otherwise(rest), reversed(shapes), F.lit("PERSON"))
 
 
@@ -132,11 +136,17 @@ def _person_parts(raw: Column) -> tuple[Column, Column, Column]:
     """Title with its blank, given name, surname; absent parts are empty."""
     title = F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1)
     rest = F.substring(raw, F.length(title) + 1, F.length(raw))
-    given = F.regexp_extract(rest, r"^(\p{L}[\p{L}'\-]*+) ", 1)
-    surname = F.when(given == "", rest).otherwise(F.substring(rest, F.length(given) + 2, F.length(rest)))
+    turned = _turned(raw)
+    given = F.when(turned, F.substring_index(rest, " ", -1)).otherwise(F.regexp_extract(rest, r"^(\p{L}[\p{L}'\-]*+) ", 1))
+    surname = F.when(turned, F.substring_index(rest, " ", 1)).when(given == "", rest).otherwise(F.substring(rest, F.length(given) + 2, F.length(rest)))
     return title, given, surname
 
 
+def _turned(raw: Column) -> Column:
+    """A family name in capitals before a given name that is not."""
+    return raw.rlike(r"^\p{Lu}[\p{Lu}'\-]+ \p{Lu}\p{Ll}")
+
+
 def normalised(kind: Column, raw: Column) -> Column:
     """What is the same for every way of writing one entity."""
     country = F.regexp_extract(raw, r"^\+([0-9]{1,3})(?=[ .\-(])", 1)
@@ -145,7 +155,7 @@ def normalised(kind: Column, raw: Column) -> Column:
     return (
         F.when(kind == "PHONE", number).when(kind.isin("CARD", "SSN"), _digits(raw)).when(kind == "EMAIL", F.lower(raw))
         .when(kind == "IBAN", F.regexp_replace(raw, " ", "")).when(kind == "SECRET", F.regexp_replace(raw, "^" + _SECRET, ""))
-        .when(kind == "PERSON", F.concat(_gender(raw), F.lit("|"), given, F.lit("|"), surname)).when(kind == "IPV6", F.lower(raw)).otherwise(raw)
+        .when(kind == "PERSON", F.concat(_gender(raw), F.lit("|"), given, F.lit("|"), F.when(_turned(raw), F.initcap(surname)).otherwise(surname))).when(kind == "IPV6", F.lower(raw)).otherwise(raw)
     )
 
 
@@ -259,17 +269,51 @@ def _address(octets: Column, seed: Column) -> Column:
     return F.get(text, F.lit(0))
 
 
+_LONG_MONTHS, _MONTHS = (1, 3, 5, 7, 8, 10, 12), (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)
+
+
 def _moved(date: Column, key: str) -> Column:
-    """A date whose day and month move within 1-12 or 13-28 and whose year moves within its decade, by keyed steps; the last always does."""
-    shift = F.conv(F.substring(F.sha2(F.lit(key + "birth"), 256), 1, 6), 16, 10).cast("int")
-    def field(text):
-        x = text.cast("int")
-        low, high = (x - 1 + shift % 12) % 12 + 1, (x - 13 + shift % 16) % 16 + 13
-        new = F.when(F.length(text) == 4, F.floor(x / 10).cast("int") * 10 + (x % 10 + shift % 9 + 1) % 10).when(x.between(1, 12), low).when(x.between(13, 28), high).otherwise(x)
-        return F.lpad(new.cast("string"), F.greatest(F.length(text), F.length(new.cast("string"))), "0")
+    """Another date of the decade in the same format, by keyed cycles: no two dates of one format meet, none stays, and all exist.
 
+    Days up to 12 stay so, as do those from 13 to 28, 29 and 30, and 31: what tells the day from the month in a format
+    goes on telling it.  The 29th of February goes to another leap year.
+    """
+    shift = F.conv(F.substring(F.sha2(F.lit(key + "birth"), 256), 1, 6), 16, 10).cast("int")
     mark = F.regexp_extract(date, "[^0-9]", 0)
-    return F.replace(F.array_join(F.transform(F.split(date, "[^0-9]"), field), "|"), F.lit("|"), mark)
+    parts = F.split(date, "[^0-9]")
+    iso = F.length(F.get(parts, F.lit(0))) == 4
+    first, second = F.get(parts, F.lit(1)), F.when(iso, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(0)))
+    turned = ~iso & (first.cast("int") > 12)  # the month stands first
+    month_text, day_text = F.when(turned, second).otherwise(first), F.when(turned, first).otherwise(second)
+    year = F.when(iso, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(2))).cast("int")
+    day, month = day_text.cast("int"), month_text.cast("int")
+    decade, unit = F.floor(year / 10).cast("int") * 10, year % 10
+
+    def cycle(low: int, days: int, months: tuple[int, ...]) -> Column:
+        """struct(d, m, y) one step on through all (year, month, day) of the decade with such days and months."""
+        size = 10 * len(months) * days
+        at = (unit * len(months) + F.array_position(F.array(*map(F.lit, months)), month).cast("int") - 1) * days + day - low
+        to = F.pmod(at + shift % (size - 1) + 1, F.lit(size))
+        return F.struct((to % days + low).alias("d"), F.element_at(F.array(*map(F.lit, months)), F.floor(to / days).cast("int") % len(months) + 1).alias("m"), (decade + F.floor(to / (days * len(months))).cast("int")).alias("y"))
+
+    leap = lambda y: (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    later = F.filter(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: decade + (unit + k) % 10), leap)
+    leaps = F.struct(F.lit(29).alias("d"), F.lit(2).alias("m"), F.coalesce(F.get(later, F.lit(0)), year).alias("y"))
+    everything = tuple(range(1, 13))
+    new = F.when((month == 2) & (day == 29), leaps).when(day <= 12, cycle(1, 12, everything)).when(day <= 28, cycle(13, 16, everything)).when((day <= 30) & month.isin(*_MONTHS), cycle(29, 2, _MONTHS)).when((day == 31) & month.isin(*_LONG_MONTHS), cycle(31, 1, _LONG_MONTHS))
+    padded = lambda n, like: F.lpad(n.cast("string"), F.greatest(F.length(like), F.length(n.cast("string"))), "0")
+
+    def written(n):
+        d, m, y = padded(n["d"], day_text), padded(n["m"], month_text), n["y"].cast("string")
+        text = F.when(iso, F.concat_ws("|", y, m, d)).when(turned, F.concat_ws("|", m, d, y)).otherwise(F.concat_ws("|", d, m, y))
+        return F.when(n.isNotNull() & month.between(1, 12), F.replace(text, F.lit("|"), mark)).otherwise(_any_digits_kept(date, shift))
+
+    return F.get(F.transform(F.array(new), written), F.lit(0))
+
+
+def _any_digits_kept(date: Column, shift: Column) -> Column:
+    """What is no date moves digit by digit."""
+    return F.array_join(F.transform(_letters(date), lambda c: F.when(c.rlike("^[0-9]$"), ((c.cast("int") + shift % 9 + 1) % 10).cast("string")).otherwise(c)), "")
 
 
 def surrogate_value(kind: Column, norm: Column, attempt: Column, digest: Column, key: str) -> Column:
@@ -306,7 +350,8 @@ def surrogate_value(kind: Column, norm: Column, attempt: Column, digest: Column,
     return (
         F.when(kind == "EMAIL", email).when(kind == "PHONE", phone).when(kind == "IPV4", _address(F.split(norm, r"\."), seed)).when(kind == "CARD", _card(norm, seed))
         .when(kind == "SSN", _any_digits(norm, seed)).when(kind == "IBAN", iban).when(kind == "SECRET", secret).when(kind == "KEY", token).when(kind == "ADDRESS", address)
-        .when(kind == "IPV6", _scrambled(norm, digest, True)).when(kind == "BIRTH", _moved(norm, key)).otherwise(person)
+        .when(kind == "IPV6", F.when(attempt < WIDE_FROM, _scrambled(norm, digest, True)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substr(digest, k * 4 + 1, F.lit(4))), ":")))
+        .when(kind == "PASSPORT", F.concat(_scrambled(norm, digest), F.when(attempt < WIDE_FROM, "").otherwise(more))).when(kind == "BIRTH", _moved(norm, key)).otherwise(person)
     )
 
 
@@ -327,7 +372,7 @@ def rendered(kind: Column, raw: Column, value: Column) -> Column:
     title, given, surname = _person_parts(raw)
     new_given, new_surname = F.substring_index(F.substring_index(value, "|", 2), "|", -1), F.substring_index(value, "|", -1)
     new_surname = F.when((surname == F.upper(surname)) & (F.length(surname) > 1), F.upper(new_surname)).otherwise(new_surname)
-    person = F.concat(title, new_given, F.when(given == "", F.lit("")).otherwise(F.lit(" ")), new_surname)
+    person = F.when(_turned(raw), F.concat(new_surname, F.lit(" "), new_given)).otherwise(F.concat(title, new_given, F.when(given == "", F.lit("")).otherwise(F.lit(" ")), new_surname))
     return (
         F.when(kind.isin("PHONE", "CARD", "SSN"), numeric).when(kind == "EMAIL", cased).when(kind == "IBAN", _poured(raw, value, "^[A-Z0-9]$"))
         .when(kind == "SECRET", F.concat(F.regexp_extract(raw, "^(" + _SECRET + ")", 1), value)).when(kind == "PERSON", person).otherwise(value)
@@ -349,7 +394,7 @@ def exceptions(texts: DataFrame, key: str) -> DataFrame:
     raw = texts.select(F.explode(found(F.col("text"))).alias("raw")).distinct().withColumn("kind", kind_of(F.col("raw"))).where(F.col("kind").isin(*DRAWN))
     entities = raw.select("kind", normalised(F.col("kind"), F.col("raw")).alias("norm")).distinct().withColumn("attempt", F.lit(0))
     drawn = staged(_drawn(entities, key), "pii")
-    for _ in range(ATTEMPTS):
+    while True:  # every attempt draws from a larger space, so some round is the last
         # those that drew first (least attempt, then least value) keep what they drew
         owner = drawn.groupBy("kind", "value").agg(F.min(F.struct("attempt", "norm")).alias("owner"), F.count(F.lit(1)).alias("n"))
         real = drawn.select("kind", F.col("norm").alias("value"), F.lit(True).alias("real"))
@@ -361,7 +406,6 @@ def exceptions(texts: DataFrame, key: str) -> DataFrame:
         after = staged(checked.where(~again).select("kind", "norm", "attempt", "value").unionByName(_drawn(retry, key)), "pii")
         discard(drawn)
         drawn = after
-    raise ValueError("surrogates still collide; their space is too small for the entities")
 
 
 def replaced(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -165,3 +165,27 @@ def test_dense_numbers_and_long_texts(spark):
     assert len(new) == len(set(new)) == len(numbers) and all(a != b for a, b in zip(new, numbers))
     assert got[1000].n_entities == 1 and got[1004].n_entities == 1 and len(got[1004].text) == 1_000_006 and got[1009].text == "-" * 16
     assert got[2000].text != "password=----------------"
+
+
+def test_dates_of_birth_become_other_dates_that_exist(spark):
+    import datetime
+
+    days = [datetime.date(1980, 1, 1) + datetime.timedelta(days=k) for k in range(3653)]
+    for pattern in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d", "%d.%m.%Y"):
+        given = [(i, f"born {d.strftime(pattern)}.") for i, d in enumerate(days) if pattern != "%m/%d/%Y" or d.day > 12]
+        got = {r.doc_id: r.text[5:-1] for r in pii.replaced(spark.createDataFrame(given, "doc_id bigint, text string")).collect()}
+        made = {i: datetime.datetime.strptime(t, pattern).date() for i, t in got.items()}  # raises for what does not exist
+        assert len(set(got.values())) == len(given) and all(made[i] != days[i] and made[i].year // 10 == 198 for i in made)
+    odd = pii.replaced(spark.createDataFrame([(1, "born 31/02/1987"), (2, "born 99/99/1987")], "doc_id bigint, text string")).collect()
+    assert {r.n_entities for r in odd} == {1} and all("1987" not in r.text and "31/02" not in r.text for r in odd)
+
+
+def test_titles_family_names_first_short_addresses_and_passports(spark):
+    texts = ["Dr. Okonkwo and SMITH John saw Priya Raghavan.", "John Smith", "Аня Петрова", "ping fe80::1 or 2001:db8::ff00", "std::vector and 12::30", "passport no. X1234567, Passport: 123456789", "THE Anna story", "FROM Mary"]
+    rows = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [rows[i].n_entities for i in range(8)] == [3, 1, 1, 2, 0, 2, 0, 0]
+    assert rows[0].text.startswith("Dr. ") and not any(w in rows[0].text for w in ("Okonkwo", "SMITH", "John", "Raghavan"))
+    family, given = rows[0].text.split(" and ")[1].split(" saw")[0].split(" ")
+    assert family.isupper() and rows[1].text == f"{given} {family.capitalize()}"  # the same person, written in another way
+    assert "fe80::1" not in rows[3].text and rows[3].text.count("::") == 2 and rows[4].text == texts[4]
+    assert "X1234567" not in rows[5].text and rows[5].text[13].isupper()
