@@ -213,11 +213,19 @@ def cell_assembly(spark, sf):
     return T.assemble_cells(read, inside, KEYS).withColumnRenamed("column", "column_name")
 
 
-@query("pixel_columns", "SELECT grp, col, CAST(s AS DOUBLE) AS separator FROM (VALUES (0, 1, 0.216), (0, 2, 0.64), (1, 1, 0.216), (1, 2, 0.64)) v(grp, col, s)")
+@query(
+    "pixel_columns",
+    f"""WITH {I.WORDS_SQL}, j AS (SELECT *, CAST((x + doc_id % 7 * CAST(0.004 AS DOUBLE)) * 1000 AS DOUBLE) AS px, CAST(w * 1000 AS DOUBLE) AS pw FROM words WHERE word_id <> 4 AND doc_id % 11 <> 0), e AS (SELECT doc_id % 50 AS grp, px / 1000 AS l, (px + pw) / 1000 AS r FROM j),
+    g AS (SELECT *, CASE WHEN l - lag(l) OVER (PARTITION BY grp ORDER BY l, r) > 0.02 THEN 1 ELSE 0 END AS fresh, count(*) OVER (PARTITION BY grp) AS n FROM e),
+    k AS (SELECT *, sum(fresh) OVER (PARTITION BY grp ORDER BY l, r) AS c FROM g), s AS (SELECT grp, c, avg(l) AS start, count(*) AS m, max(n) AS n FROM k GROUP BY 1, 2),
+    t AS (SELECT grp, start, lead(start) OVER (PARTITION BY grp ORDER BY start) AS nxt, row_number() OVER (PARTITION BY grp ORDER BY start) AS col FROM s WHERE m >= greatest(4, round_even(n * 0.04, 0))),
+    u AS (SELECT t.grp, t.col, t.start, t.nxt, median(CASE WHEN e.r > t.start AND e.r <= t.nxt THEN e.r END) AS fin FROM t LEFT JOIN e ON e.grp = t.grp AND e.l >= t.start - 0.02 AND e.l < t.nxt - 0.02 WHERE t.nxt IS NOT NULL GROUP BY 1, 2, 3, 4)
+    SELECT grp, CAST(col AS INTEGER) AS col, round(0.1 + (coalesce(fin, (start + nxt) / 2) + nxt) / 2 * 0.8, 6) AS separator FROM u""",
+)
 def pixel_columns(spark, sf):
-    """Separators of boxes in a crop of 1000 x 500 pixels at 0.1 + 0.8 of the page; a malformed box is skipped."""
-    x = (F.col("x") * 1000).alias("x")
-    box = F.array(x, F.lit(0.0), (F.col("x") + F.col("w")) * 1000, F.lit(10.0))
-    cells = I.words(spark, sf).select((F.col("doc_id") % 2).cast("int").alias("grp"), F.when(F.col("word_id") == 4, F.array(F.lit(1.0))).otherwise(box).alias("box"))
+    """Separators of boxes in crops of 1000 x 500 pixels at 0.1 + 0.8 of the page, shifted by document; malformed boxes are skipped."""
+    left, wide = (F.col("x") + F.col("doc_id") % 7 * 0.004) * 1000, F.col("w") * 1000
+    box = F.when(F.col("word_id") == 4, F.array(F.lit(1.0))).when(F.col("doc_id") % 11 == 0, F.array(left + wide, F.lit(0.0), left, F.lit(10.0))).otherwise(F.array(left, F.lit(0.0), left + wide, F.lit(10.0)))
+    cells = I.words(spark, sf).select((F.col("doc_id") % 50).alias("grp"), box.alias("box"))
     found = T.pixel_columns(cells, ["grp"], 1000.0, 500.0, 0.1, 0.8)
-    return found.select("grp", F.col("column").alias("col"), F.round("separator", 6).alias("separator"))
+    return found.select("grp", F.col("column").alias("col"), F.round("separator", 6).alias("separator"))
\ No newline at end of file
