@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.normalize import trimmed, typed_text
+from paperloom.functions.normalize import bound, date_order_vote, trimmed, typed_text
 from paperloom.functions.scalars import block_anchor, confidence_band
+from paperloom.operators.mapping import json_of, json_string
 
 #: Allowed (from, to) steps of a document's status; a failure may follow anything.
 TRANSITIONS = (
@@ -276,6 +277,33 @@ def retyped(rows: Column, types: dict[str, str], order: Column) -> Column:
     return F.transform(rows, lambda r: F.struct(*[typed_text(r[n], t, order).alias(n) for n, t in types.items()], r["page"].alias("page")))
 
 
+def edited_tables(edits: DataFrame, columns: DataFrame) -> DataFrame:
+    """doc_id, field_id, value: a reviewer's rows (doc_id, field_id, rows: array of map) as the JSON that a mapping run would store.
+
+    columns: field_id, columns (array of struct(sub_property, data_type) in order); edits of other fields are left out.
+    Every cell is typed again by the day/month order that the edited cells show; a row keeps its page.
+    """
+    rows = edits.join(columns.where(F.size("columns") > 0).select("field_id", "columns"), "field_id")
+    votes = F.filter(F.flatten(F.transform("rows", lambda r: F.transform(F.map_values(r), date_order_vote))), lambda v: v.isNotNull())
+    rows = rows.withColumn("_order", F.get(votes, F.lit(0)))
+
+    def item(r):
+        cell = lambda c: F.concat(json_string(c["sub_property"]), F.lit(":"), bound(typed_text(F.try_element_at(r, c["sub_property"]), c["data_type"], F.col("_order")), lambda v: json_of(v, c["data_type"])))
+        page = F.try_element_at(r, F.lit("_pg")).try_cast("int")
+        members = F.concat(F.transform("columns", cell), F.when(page >= 1, F.array(F.concat(F.lit('"_pg":'), page))).otherwise(F.array().cast("array<string>")))
+        return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+    return rows.select("doc_id", "field_id", F.concat(F.lit("["), F.array_join(F.transform("rows", item), ","), F.lit("]")).alias("value"))
+
+
+def review_saved(documents: DataFrame, values: DataFrame, corrections: DataFrame, edits: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values with a reviewer's corrections of fields and tables, and the documents, of which the reviewed ones are finalized."""
+    every = corrections.select("doc_id", "field_id", "value").unionByName(edited_tables(edits, columns))
+    reviewed = corrections.select("doc_id").unionByName(edits.select("doc_id")).distinct().withColumn("_hit", F.lit(True))
+    done = documents.join(reviewed, "doc_id", "left").withColumn("status", F.when(F.col("_hit"), finalize(F.col("status"))).otherwise(F.col("status"))).drop("_hit")
+    return correct(values, every), done
+
+
 def duplicate_regions(regions: DataFrame) -> DataFrame:
     """template_id, name of tables that may not be saved: several regions need distinct roles, all given."""
     groups = regions.groupBy("template_id", F.lower(trimmed(F.col("name"))).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.count("role").alias("r"), F.count_distinct("role").alias("d"))

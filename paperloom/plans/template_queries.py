@@ -12,6 +12,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from paperloom.operators import mapping as M
+from paperloom.operators import records as R
 from paperloom.operators import templates as X
 from paperloom.plans import invoices as I
 from paperloom.plans.catalog import Catalog
@@ -234,3 +235,25 @@ def template_round_trip(spark, sf):
     fields, columns, steps = X.flattened(again)
     rows = fields.join(columns.select("field_id", "sub_property", "sort_order"), "field_id", "left").join(steps.select("field_id", "kind", "step_order"), "field_id", "left")
     return rows.select("template_id", "field_id", "target_property", "source_type", "table_header", "sub_property", "sort_order", "kind", "step_order")
+
+
+@query(
+    "review_save",
+    f"""WITH {HARD_SQL}, o AS (SELECT k, arg_min(vote, row_idx) AS ord FROM (SELECT k, row_idx, {_VOTE.replace('{c}', 'day')} AS vote FROM line) WHERE vote IS NOT NULL GROUP BY k),
+    j AS (SELECT l.k AS doc_id, '[' || string_agg('{{"qty":' || CAST(l_quantity AS INTEGER) || ',"day":"' || coalesce({date_sql('day', 'o.ord')}, day) || '","note":null' || CASE WHEN row_idx % 2 = 0 THEN ',"_pg":2' ELSE '' END || '}}', ',' ORDER BY row_idx) || ']' AS json FROM line l LEFT JOIN o USING (k) WHERE l.k % 6 = 0 GROUP BY l.k)
+    SELECT o_orderkey AS doc_id, f.field_id, CASE WHEN f.field_id = 1 AND o_orderkey % 4 = 0 THEN 'fixed' WHEN f.field_id = 2 AND j.json IS NOT NULL THEN j.json ELSE 'old' END AS normalized, NOT (f.field_id = 1 AND o_orderkey % 4 = 0 OR f.field_id = 2 AND j.json IS NOT NULL) AS below,
+      CASE WHEN o_orderstatus = 'O' AND (o_orderkey % 4 = 0 OR j.json IS NOT NULL) THEN 'VALIDATED' WHEN o_orderstatus = 'O' THEN 'NEEDS_REVIEW' ELSE 'MAPPED' END AS status
+    FROM orders CROSS JOIN (VALUES (1), (2)) f(field_id) LEFT JOIN j ON j.doc_id = o_orderkey""",
+)
+def review_save(spark, sf):
+    """Fields and tables that reviewers edited: values, cleared flags, and the status of their documents."""
+    docs = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "NEEDS_REVIEW").otherwise("MAPPED").alias("status"))
+    values = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("field_id"), F.lit("old").alias("normalized"), F.lit(True).alias("below"))
+    fixes = docs.where("doc_id % 4 = 0").select("doc_id", F.lit(1).alias("field_id"), F.lit("fixed").alias("value"))
+    cells = [F.lit("qty"), F.col("l_quantity").cast("int").cast("string"), F.lit("day"), _dated(F.col("l_shipdate").cast("date"), F.col("l_orderkey"))]
+    row = F.when(F.col("row_idx") % 2 == 0, F.create_map(*cells, F.lit("_pg"), F.lit("2"))).otherwise(F.create_map(*cells, F.lit("_pg"), F.lit("x")))
+    rows = I.lines(spark, sf).where("l_orderkey % 17 <> 0 and l_orderkey % 6 = 0").select(F.col("l_orderkey").alias("doc_id"), "row_idx", row.alias("m"))
+    edits = rows.groupBy("doc_id").agg(F.collect_list(F.struct("row_idx", "m")).alias("r")).select("doc_id", F.lit(2).alias("field_id"), F.transform(F.array_sort("r", lambda a, b: a["row_idx"] - b["row_idx"]), lambda x: x["m"]).alias("rows"))
+    columns = spark.createDataFrame([(2, [("qty", "INT"), ("day", "DATE"), ("note", "STRING")]), (3, [])], "field_id int, columns array<struct<sub_property:string,data_type:string>>")
+    saved, done = R.review_saved(docs, values, fixes, edits, columns)
+    return saved.join(done, "doc_id").select("doc_id", "field_id", "normalized", "below", "status")
