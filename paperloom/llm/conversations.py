@@ -413,9 +413,13 @@ def _long_turns(batches):
     return _tables(_arrow(TURNS), (row for row in _followed(batches) if row[4]))
 
 
+#: A column of this name tells how often a row counts; without it, once.
+COPIES = "__copies__"
+
+
 def _prepared(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, n: nulls of role and text as one space; n is how often a row counts, 1 if there is no such column."""
-    n = F.col("n").cast("bigint") if "n" in rows.columns else F.lit(1).cast("bigint")
+    """conv_id, turn, role, text, n: nulls of role and text as one space; n is how often a row counts."""
+    n = (F.col(COPIES) if COPIES in rows.columns else F.lit(1)).cast("bigint")
     space = F.lit(" ")
     return rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), n.alias("n"))
 
@@ -477,12 +481,12 @@ def repaired_turns(rows: DataFrame, long: int = LONG, long_bytes: int = LONG_BYT
 
 
 def damaged(rows: DataFrame) -> DataFrame:
-    """The test damage: by a checksum of id and turn a row goes (n = 0), loses its text or its stops, is repeated (n = 2), or becomes the user's."""
+    """The test damage: by a checksum of id and turn a row goes (COPIES is 0), loses its text or its stops, is repeated (2), or becomes the user's."""
     space = F.lit(" ")
     draw = F.crc32(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
     rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), draw.alias("_d"))
     text = F.when(F.col("_d") == 1, "").when(F.col("_d") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", F.when(F.col("_d") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(F.col("_d") == 0, 0).when(F.col("_d") == 3, 2).otherwise(1).alias("n"))
+    return rows.select("conv_id", "turn", F.when(F.col("_d") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.when(F.col("_d") == 0, 0).when(F.col("_d") == 3, 2).otherwise(1).alias(COPIES))
 
 
 def op11_conversation_repair(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from paperloom.llm import conversations as C
 
-SCHEMA = "conv_id bigint, turn bigint, role string, text string, n_chars int, cost string, digest string"
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, n_chars int, cost string, digest string, n int"
 VALID, PREFIX = re.compile("(s?(ua)+)?"), re.compile("(s|s?(ua)*u?)?")
 
 
@@ -82,7 +82,7 @@ def made(seed, convs=60, longest=6):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(*r, 1, "c", "d") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, 1, "c", "d", 7) for r in rows], SCHEMA)
 
 
 def got(df):
