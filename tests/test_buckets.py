@@ -58,3 +58,18 @@ def test_extraction_json_of_documents_with_and_without_parts(spark):
     assert [p["pageNumber"] for p in got[1]["pages"]] == [1, 2] and got[1]["pages"][1]["width"] == 0
     assert [(b["id"], b["type"], b["text"], b["bbox"]) for b in got[1]["blocks"]] == [("block-8", "LINE", None, None), ("block-9", "VALUE", 'q"x', None)]
     assert got[1]["tables"][0]["cells"][0] == {"rowIndex": 0, "colIndex": 1, "rowSpan": 1, "colSpan": 1, "isHeader": True, "type": "TABLE_CELL", "text": "H", "normalizedValue": None, "confidence": 0.5, "bbox": None}
+
+
+def test_edited_tables_are_typed_by_the_order_that_their_cells_show(spark):
+    edits = spark.createDataFrame([
+        (1, 2, [{"d": "03/04/2019", "n": "๑๒", "_pg": "2"}, {"d": "12/31/2019", "n": "x", "_pg": "0"}]), (2, 2, []), (3, 9, [{"d": "1"}]), (4, 3, [{"d": "1"}]),
+    ], "doc_id bigint, field_id int, rows array<map<string,string>>")
+    columns = spark.createDataFrame([(2, [("d", "DATE"), ("n", "INT"), ("gone", "STRING")]), (3, [])], "field_id int, columns array<struct<sub_property:string,data_type:string>>")
+    got = {r.doc_id: r.value for r in R.edited_tables(edits, columns).collect()}
+    assert got == {1: '[{"d":"2019-03-04","n":12,"gone":null,"_pg":2},{"d":"2019-12-31","n":"x","gone":null}]', 2: "[]"}
+    docs = spark.createDataFrame([(1, "NEEDS_REVIEW"), (2, "MAPPED"), (5, "NEEDS_REVIEW")], "doc_id bigint, status string")
+    values = spark.createDataFrame([(1, 2, "old", True), (1, 1, "a", True), (5, 1, "b", True)], "doc_id bigint, field_id int, normalized string, below boolean")
+    fixes = spark.createDataFrame([(1, 1, "A"), (7, 1, "z")], "doc_id bigint, field_id int, value string")
+    saved, done = R.review_saved(docs, values, fixes, edits, columns)
+    assert {(r.doc_id, r.field_id): (r.normalized[:4], r.below) for r in saved.collect()} == {(1, 2): ('[{"d', False), (1, 1): ("A", False), (5, 1): ("b", True)}
+    assert {r.doc_id: r.status for r in done.collect()} == {1: "VALIDATED", 2: "MAPPED", 5: "NEEDS_REVIEW"}
