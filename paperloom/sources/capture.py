@@ -290,14 +290,34 @@ def strip_internal(text: str | None) -> str | None:
         return text
 
 
-def stripped(df: DataFrame, column: str) -> DataFrame:
-    ship(df.sparkSession)
+#: A JSON string; and what stands between brackets, down to the depth that JSON of models may have.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+JSON_DEPTH = 64
+
+
+def _between() -> str:
+    inside = rf'(?:[^"\[\]{{}}]++|{_STRING})*+'
+    for _ in range(JSON_DEPTH - 1):
+        inside = rf'(?:[^"\[\]{{}}]++|{_STRING}|[\[{{]{inside}[\]}}])*+'
+    return inside
 
-    @F.pandas_udf("string")
-    def strip(values: pd.Series) -> pd.Series:
-        return values.map(strip_internal)
 
-    return df.withColumn(column, strip(column))
+def without_internal_keys(json_text: Column) -> Column:
+    """JSON without the members whose keys start with an underscore, at any depth, and without blanks between its tokens.
+
+    Text that is no JSON stays.  What is removed is found in the text, so that numbers keep their digits: strings that
+    are no such key are stepped over, and a member goes with its whole value and the comma behind it.
+    """
+    value = rf'(?:{_STRING}|[^",\[\]{{}}]++|[\[{{]{_between()}[\]}}])'
+    other = rf'({_STRING}(?!:)|"(?!_)[^"\\]*+(?:\\.[^"\\]*+)*+")'
+    tight = F.regexp_replace(json_text, rf"({_STRING})|\s++", "$1")
+    fewer = F.regexp_replace(tight, rf"{other}|{_STRING}:{value},?", "$1")
+    whole = F.regexp_replace(fewer, rf"({_STRING})|,(?=[\]}}])", "$1")
+    return F.when(F.get_json_object(json_text, "$").isNotNull(), whole).otherwise(json_text)
+
+
+def stripped(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, without_internal_keys(F.col(column)))
 
 
 def post(df: DataFrame, body: str, send: Callable[[str, str], tuple[bool, str]], secret: str) -> DataFrame:

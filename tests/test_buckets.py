@@ -73,3 +73,26 @@ def test_edited_tables_are_typed_by_the_order_that_their_cells_show(spark):
     saved, done = R.review_saved(docs, values, fixes, edits, columns)
     assert {(r.doc_id, r.field_id): (r.normalized[:4], r.below) for r in saved.collect()} == {(1, 2): ('[{"d', False), (1, 1): ("A", False), (5, 1): ("b", True)}
     assert {r.doc_id: r.status for r in done.collect()} == {1: "VALIDATED", 2: "MAPPED", 5: "NEEDS_REVIEW"}
+
+
+def test_internal_keys_go_at_any_depth_and_numbers_keep_their_text(spark):
+    import random
+
+    draw = random.Random(4)
+
+    def value(depth):
+        kind = draw.randrange(8 if depth else 4)
+        if kind < 2:
+            return draw.choice(["1.50", "-0", "1e5", "true", "null", "12345678901234567890.100"])
+        if kind < 4:
+            return draw.choice(['"_x"', '"a \\"_b\\": 1, }"', '"ไทย , ]"', '""', '"\\\\\\\\"', '"{[_"'])
+        if kind < 6:
+            return "[" + draw.choice([",", " , "]).join(value(depth - 1) for _ in range(draw.randrange(4))) + "]"
+        keys = draw.sample(["a", "_b", "c_", "_", "_pg", "d,", "e}"], draw.randrange(6))
+        return "{" + draw.choice([",", ", "]).join(f'"{k}"{draw.choice(["", " "])}:{draw.choice(["", " ", chr(10)])}{value(depth - 1)}' for k in keys) + "}"
+
+    texts = [value(6) for _ in range(400)] + ["", "no json", '{"_a":1', None, " ", '{"a":"_b"}', '{"_a":{"b":[1,{"_c":2}]}}', "[" * 60 + '{"_a":1,"b":[]}' + "]" * 60, '{"_x":"' + "y\\\\n" * 20000 + '","k":1}', '{"k":"' + "z" * 300_000 + '"}']
+    got = {r.i: r.t for r in C.stripped(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t").collect()}
+    for i, text in enumerate(texts):
+        want = C.strip_internal(text)
+        assert got[i] == want, (text[:300], got[i][:300], want[:300])
