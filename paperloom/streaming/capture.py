@@ -20,9 +20,12 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def write_mapped(stream: DataFrame, mapper: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id", row_keys: tuple[str, ...] = ("page", "block_id")):
-    """Map the documents of each micro-batch whole; rows of a document are told apart by ``row_keys``.  Returns the query, which ends when the folder is read."""
-    return jobs.write_batches(jobs.assembled(stream, key, list(row_keys)), f"{out}/mapped", checkpoint, mapper)
+def write_mapped(stream: DataFrame, mapper: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "doc_id", row_keys: tuple[str, ...] | None = None):
+    """Map the documents of each micro-batch whole; a document's rows are told apart by ``row_keys``, or by all columns (equal rows are one).
+
+    Returns the query, which ends when the folder is read.
+    """
+    return jobs.write_batches(jobs.assembled(stream, key, list(row_keys or stream.columns)), f"{out}/mapped", checkpoint, mapper)
 
 
 def read_mapped(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
