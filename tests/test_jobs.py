@@ -57,3 +57,13 @@ def test_documents_are_assembled_from_files_and_repeats_change_nothing(spark, tm
     assert {r.doc_id: r.texts for r in capture.read_mapped(spark, out).collect()} == {1: ["a", "b"], 2: ["x"], 3: ["q"]}
     # a batch maps what it touches, not what has landed before
     assert {r.batch: r.n for r in spark.read.parquet(f"{out}/mapped").groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 2, 1: 1, 2: 2}
+
+
+def test_equal_contents_far_apart_are_one_job(spark, tmp_path):
+    """Uploads of one content that lie more than a day apart, as ids of large tables do."""
+    from paperloom.plans.record_queries import stream_jobs
+
+    rows = [(2, "a"), (7, "b"), (100_002, "c"), (150_000, "a"), (300_006, "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = stream_jobs(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} == {2, 7, 100_002} and len({(r.sha256, r.attempt) for r in found}) == len(found)
