@@ -6,10 +6,13 @@ Everything of a zone is grouped once by its keys; a zone's words are bounded by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.normalize import bound, trimmed
+from paperloom.operators.mapping import array_mean4
 
 MERGE_OVERLAP, MIN_HEIGHT, SAME_LINE, FOLLOWER_LINES = 0.5, 0.4, 0.40, 3.0
 # The lexicon of shipping invoices that consolidation goes by.
@@ -66,60 +69,151 @@ def ink_profile(words: DataFrame, keys: list[str], samples: int, units: int = 10
     return zones.select(*keys, F.flatten(F.transform("l", lambda x: F.array_repeat(x["level"], x["n"]))).alias("profile"))
 
 
-def segment_rows(words: DataFrame, keys: list[str], x_start: float, x_end: float, profile: Column | None = None) -> DataFrame:
-    """keys, band (from 1), y_start, y_end, top, bottom: the rows that anchor words start, tiling 0..1.
+def nested(words: DataFrame, keys: list[str], **extra: Column) -> DataFrame:
+    """keys, w: each zone's centred words as one array in order of their centres; ``extra`` are further aggregates of the zone.
 
-    Clusters grow as words merge into them, so they are a fold over the zone's anchors in vertical order.
+    This is the only exchange of what is derived from a zone (the functions named ``..._in``); words that are already
+    dealt by their zone need none.
     """
     rows = centred(words)
-    anchor = F.col("xc").between(x_start, x_end)
-    box = F.struct("yc", F.col("y").alias("top"), "bottom", "h")
-    extra = [F.first(profile).alias("_ink")] if profile is not None else []
-    zones = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(anchor, box))).alias("a"), F.coalesce(F.percentile(F.when(F.col("h") > 0, F.col("h")), 0.5), F.lit(0.0)).alias("mid"), *extra)
-    tall = F.filter("a", lambda w: w["h"] >= MIN_HEIGHT * F.col("mid"))
+    first = [c for c in ("yc", "x", "word_id") if c in rows.columns]
+    word = F.struct(*first, *[c for c in rows.columns if c not in (*keys, *first)])
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(word)).alias("w"), *[v.alias(k) for k, v in extra.items()])
+
+
+def known(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def zones(words: DataFrame, keys: list[str], x_start: float, x_end: float) -> DataFrame:
+    """keys, w, bands: a row for each zone, with its words and the row bands that its anchors start."""
+    found = nested(words, keys).where(known(keys))
+    return found.select(*keys, "w", bands_in(F.col("w"), x_start, x_end).alias("bands"))
+
+
+def _zones_of(words: DataFrame, marks: DataFrame, keys: list[str], name: str = "bands") -> DataFrame:
+    """``zones`` with bands or anchors from a table of their own, in order."""
+    columns = ["band", *[c for c in marks.columns if c not in (*keys, "band")]]
+    return nested(words, keys).join(marks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name)), keys)
+
+
+def _middle(values: Column) -> Column:
+    """The median of sorted values."""
+    return (F.get(values, F.floor((F.size(values) - 1) / 2).cast("int")) + F.get(values, F.floor(F.size(values) / 2).cast("int"))) / 2
+
+
+def bands_in(words: Column, x_start: float, x_end: float, profile: Column | None = None) -> Column:
+    """The bands (band from 1, y_start, y_end, top, bottom) that a zone's anchor words start, tiling 0..1.
+
+    Clusters grow as words merge into them, so they are a fold over the zone's anchors in vertical order.
+    """
     none = F.array().cast("array<struct<top:double,bottom:double>>")
+
+    def alone(w):
+        return F.array(F.struct(w["top"].alias("top"), w["bottom"].alias("bottom")))
+
     def merge(acc, w):
-        last = F.element_at(acc, -1)
-        shared = F.least(last["bottom"], w["bottom"]) - F.greatest(last["top"], w["top"])
-        smaller = F.least(last["bottom"] - last["top"], w["h"])
-        joins = (F.size(acc) > 0) & (shared > 0) & (smaller > 0) & (shared / smaller >= MERGE_OVERLAP)
-        grown = F.struct(F.least(last["top"], w["top"]).alias("top"), F.greatest(last["bottom"], w["bottom"]).alias("bottom"))
-        alone = F.struct(w["top"].alias("top"), w["bottom"].alias("bottom"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(alone)))
-
-    zones = zones.withColumn("c", F.aggregate(tall, none, lambda acc, w: F.when(F.size(acc) == 0, F.array(F.struct(w["top"].alias("top"), w["bottom"].alias("bottom")))).otherwise(merge(acc, w))))
-    ink = F.col("_ink") if profile is not None else None
+        def beside(last):
+            shared = F.least(last["bottom"], w["bottom"]) - F.greatest(last["top"], w["top"])
+            smaller = F.least(last["bottom"] - last["top"], w["h"])
+            joins = (shared > 0) & (smaller > 0) & (shared / smaller >= MERGE_OVERLAP)
+            grown = F.struct(F.least(last["top"], w["top"]).alias("top"), F.greatest(last["bottom"], w["bottom"]).alias("bottom"))
+            return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, alone(w)))
+
+        return F.when(F.size(acc) == 0, alone(w)).otherwise(bound(F.element_at(acc, -1), beside))
+
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    def band(c, i):
-        start = F.when(i == 0, F.lit(0.0)).otherwise(boundary(F.get("c", i - 1)["bottom"], c["top"], ink))
-        end = F.when(i == F.size("c") - 1, F.lit(1.0)).otherwise(boundary(c["bottom"], F.get("c", i + 1)["top"], ink))
-        return F.struct((i + 1).alias("band"), clamp(start).alias("y_start"), clamp(F.greatest(end, start)).alias("y_end"), c["top"].alias("top"), c["bottom"].alias("bottom"))
 
-    return zones.select(*keys, F.inline(F.transform("c", band)))
+    def banded(clusters):
+        def band(c, i):
+            start = F.when(i == 0, F.lit(0.0)).otherwise(boundary(F.get(clusters, i - 1)["bottom"], c["top"], profile))
+            end = F.when(i == F.size(clusters) - 1, F.lit(1.0)).otherwise(boundary(c["bottom"], F.get(clusters, i + 1)["top"], profile))
+            edges = F.struct(start.alias("a"), end.alias("b"), i.alias("i"))
+            return bound(edges, lambda e: F.struct((e["i"] + 1).alias("band"), clamp(e["a"]).alias("y_start"), clamp(F.greatest(e["b"], e["a"])).alias("y_end"), c["top"].alias("top"), c["bottom"].alias("bottom")))
 
+        return F.transform(clusters, band)
 
-def matched(words: DataFrame, marks: DataFrame, keys: list[str], columns: list[str], hit) -> DataFrame:
-    """Words with each of their zone's marks (bands, anchors) for which ``hit(mark)`` holds.
+    def of(ws):
+        box = lambda w: F.struct(w["yc"].alias("yc"), w["y"].alias("top"), w["bottom"].alias("bottom"), w["h"].alias("h"))
+        anchors = F.sort_array(F.transform(F.filter(ws, lambda w: w["xc"].between(x_start, x_end)), box))
+        heights = F.sort_array(F.filter(F.transform(ws, lambda w: w["h"]), lambda h: h > 0))
+        least = F.coalesce(bound(heights, _middle), F.lit(0.0)) * MIN_HEIGHT
+        tall = bound(least, lambda limit: F.filter(anchors, lambda w: w["h"] >= limit))
+        return bound(F.aggregate(tall, none, merge), banded)
+
+    return bound(words, of)
+
+
+def segment_rows(words: DataFrame, keys: list[str], x_start: float, x_end: float, profile: Column | None = None) -> DataFrame:
+    """keys, band (from 1), y_start, y_end, top, bottom: the rows that anchor words start, tiling 0..1."""
+    boxes = ["x", "y", "w", "h"]
+    if profile is None:
+        found = nested(words.select(*keys, *boxes), keys)
+        return found.select(*keys, F.inline(bands_in(F.col("w"), x_start, x_end)))
+    rows = words.select(*keys, *boxes, profile.alias("_ink"))
+    box = centred(rows).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("yc", "x", "y", "w", "h", "xc", "bottom"))).alias("w"), F.first("_ink").alias("_ink"))
+    return box.select(*keys, F.inline(bound(F.col("_ink"), lambda ink: bands_in(F.col("w"), x_start, x_end, ink))))
+
+
+def _within(words: Column, band: Column) -> Column:
+    """The words whose centres are in the band, its ends included: a word on an edge is in both bands."""
+    return F.filter(words, lambda w: w["yc"].between(band["y_start"], band["y_end"]))
 
-    A zone's marks travel as one array, so that a word is compared with them in its own row and not joined to each.
-    """
-    zones = marks.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("_marks"))
-    rows = words.join(zones, keys).withColumn("_m", F.explode(F.filter("_marks", hit)))
-    return rows.select(*words.columns, *[F.col(f"_m.{c}").alias(c) for c in columns])
 
+def _column(words: Column, a: float, b: float) -> Column:
+    return F.filter(words, lambda w: w["xc"].between(a, b))
 
-def in_bands(words: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
-    """Centred words with the band (or, on an edge, the bands) of their centre."""
-    inside = lambda m: F.col("yc").between(m["y_start"], m["y_end"])
-    return matched(centred(words), bands, keys, ["band", "y_start", "y_end"], inside)
+
+def cells_in(words: Column, bands: Column, columns: list[tuple[str, float, float]]) -> Column:
+    """The cells (band, column, y_start, y_end, words) that hold words: centres inside band and column, ends included."""
+    def of(ws):
+        def cells(b):
+            def split(inside):
+                return F.array(*[F.struct(b["band"].alias("band"), F.lit(n).alias("column"), b["y_start"].alias("y_start"), b["y_end"].alias("y_end"), _column(inside, x0, x1).alias("words")) for n, x0, x1 in columns])
+
+            return bound(_within(ws, b), split)
+
+        return F.filter(F.flatten(F.transform(bands, cells)), lambda c: F.size(c["words"]) > 0)
+
+    return bound(words, of)
 
 
 def assign_cells(words: DataFrame, bands: DataFrame, keys: list[str], columns: list[tuple[str, float, float]]) -> DataFrame:
     """Words with band and column: centres inside both, ends included, so a word on an edge is in both cells."""
-    spans = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in columns])
-    placed = centred(words).withColumn("_c", F.explode(F.filter(spans, lambda c: F.col("xc").between(c["a"], c["b"])))).withColumn("column", F.col("_c.column")).drop("_c")
-    inside = lambda m: F.col("yc").between(m["y_start"], m["y_end"])
-    return matched(placed, bands, keys, ["band", "y_start", "y_end"], inside)
+    return cell_words(_zones_of(words, bands, keys), keys, columns)
+
+
+def cell_words(found: DataFrame, keys: list[str], columns: list[tuple[str, float, float]]) -> DataFrame:
+    """``assign_cells`` of ``zones``."""
+    cells = found.select(*keys, F.inline(cells_in(F.col("w"), F.col("bands"), columns)))
+    return cells.select(*keys, "band", "column", "y_start", "y_end", F.inline("words"))
+
+
+def lines_in(words: Column) -> Column:
+    """The line (from 1) of each word, which come in order of centres: a word below everything before it starts one."""
+    start = F.struct(F.lit(None).cast("double").alias("low"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, w):
+        line = s["line"] + F.when(F.coalesce(w["y"] > s["low"], F.lit(True)), 1).otherwise(0)
+        return bound(line, lambda n: F.struct(F.greatest(s["low"], w["bottom"]).alias("low"), n.alias("line"), F.concat(s["out"], F.array(n)).alias("out")))
+
+    return F.aggregate(words, start, step, lambda s: s["out"])
+
+
+def texts_in(words: Column) -> Column:
+    """The texts of the lines of words, which come in order of centres, each from left to right."""
+    def several(ws):
+        def lines(at):
+            entry = lambda w, i: F.struct(F.get(at, i).alias("line"), w["x"].alias("x"), w["word_id"].alias("word_id"), w["text"].alias("text"))
+            one = lambda entries, n: F.array_join(F.transform(F.filter(entries, lambda e: e["line"] == n), lambda e: e["text"]), " ")
+            return bound(F.sort_array(F.transform(ws, entry)), lambda entries: F.transform(F.sequence(F.lit(1), F.array_max(at)), lambda n: one(entries, n)))
+
+        return bound(lines_in(ws), lines)
+
+    def of(ws):
+        return F.when(F.size(ws) == 0, F.array().cast("array<string>")).when(F.size(ws) == 1, F.array(F.coalesce(F.get(ws, F.lit(0))["text"], F.lit("")))).otherwise(several(ws))
+
+    return bound(words, of)
 
 
 def with_lines(words: DataFrame, keys: list[str], tie: str = "word_id") -> DataFrame:
@@ -149,9 +243,8 @@ def reading_order(words: DataFrame, keys: list[str], tie: str = "word_id") -> Da
 def cell_texts(assigned: DataFrame, keys: list[str]) -> DataFrame:
     """keys, band, column, text: a cell's lines joined by line feeds."""
     cell = [*keys, "band", "column"]
-    lines = line_texts(assigned, cell)
-    rows = lines.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
-    return rows.select(*cell, F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    rows = assigned.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("yc", "x", "word_id", "y", "bottom", "text"))).alias("words"))
+    return rows.select(*cell, F.array_join(texts_in(F.col("words")), "\n").alias("text"))
 
 
 def select_lines(text: Column, mode: str = "ALL", picks: tuple[int, ...] = (), separator: str = " ") -> Column:
@@ -165,80 +258,132 @@ def select_lines(text: Column, mode: str = "ALL", picks: tuple[int, ...] = (), s
     return F.array_join(lines, separator)
 
 
+def anchors_in(words: Column, bands: Column, x_start: float, x_end: float) -> Column:
+    """band, top, bottom, centre of each band that has anchor words, with the neighbours' centres and the median line height."""
+    def of(ws, own):
+        def mark(b):
+            def spanned(near):
+                top, bottom = F.array_min(F.transform(near, lambda w: w["y"])), F.array_max(F.transform(near, lambda w: w["bottom"]))
+                return bound(F.struct(top.alias("top"), bottom.alias("bottom")), lambda s: F.struct(b["band"].alias("band"), s["top"].alias("top"), s["bottom"].alias("bottom"), ((s["top"] + s["bottom"]) / 2).alias("centre")))
+
+            return bound(_within(own, b), spanned)
+
+        heights = F.sort_array(F.filter(F.transform(ws, lambda w: w["h"]), lambda h: h.isNotNull()))
+        height = bound(heights, lambda hs: F.get(hs, F.floor(F.size(hs) / 2).cast("int")))
+
+        def placed(marks):
+            beside = lambda i: F.when(i >= 0, F.get(marks, i)["centre"])
+            def full(tall):
+                return F.transform(marks, lambda m, i: F.struct(m["band"].alias("band"), m["top"].alias("top"), m["bottom"].alias("bottom"), m["centre"].alias("centre"), beside(i - 1).alias("before"), beside(i + 1).alias("after"), tall.alias("line_height")))
+
+            return bound(height, full)
+
+        return F.filter(bound(F.transform(bands, mark), placed), lambda m: m["centre"].isNotNull())
+
+    return bound(words, lambda ws: bound(_column(ws, x_start, x_end), lambda own: of(ws, own)))
+
+
 def anchors(words: DataFrame, bands: DataFrame, keys: list[str], x_start: float, x_end: float) -> DataFrame:
     """keys, band, top, bottom, centre of each band's anchor words, with the neighbours' centres and the median line height."""
-    near = assign_cells(words, bands, keys, [("anchor", x_start, x_end)]).groupBy(*keys, "band").agg(F.min("y").alias("top"), F.max("bottom").alias("bottom"))
-    rows = bands.select(*keys, "band").join(near, [*keys, "band"], "left").withColumn("centre", (F.col("top") + F.col("bottom")) / 2)
-    over = Window.partitionBy(*keys).orderBy("band")
-    heights = words.groupBy(*keys).agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    heights = heights.select(*keys, F.element_at("hs", F.expr("cast(div(size(hs), 2) as int) + 1")).alias("line_height"))
-    rows = rows.withColumns({"before": F.lag("centre").over(over), "after": F.lead("centre").over(over)})
-    return rows.join(heights, keys).where("centre is not null")
+    return _zones_of(words, bands, keys).select(*keys, F.inline(anchors_in(F.col("w"), F.col("bands"), x_start, x_end)))
 
 
-def anchored_cell(words: DataFrame, found: DataFrame, keys: list[str], x_start: float, x_end: float, offset: int, separator: str = " ") -> DataFrame:
-    """keys, band, text, confidence (if words have ``conf``): the anchor's own line, or the Nth line above (-N) or below (+N) within its half of the gap.
+def anchored_in(words: Column, found: Column, x_start: float, x_end: float, offset: int, separator: str = " ", conf: bool = False) -> Column:
+    """band, text, confidence (with ``conf``) of each anchor: its own line, or the Nth line above (-N) or below (+N) within its half of the gap.
 
     The confidence is the mean of the words that were read, wherever they stand; lines are put together by the separator.
     A follower (closer than three line heights to the anchor before) reads nothing, nor does an offset past the lines.
     """
-    rows = centred(words)
-    marks = found.withColumnsRenamed({"top": "a_top", "bottom": "a_bottom"})
-    inside = F.col("xc").between(x_start, x_end)
-    columns = ["band", "a_top", "a_bottom", "centre", "before", "after", "line_height"]
-
-    def beside(a):
-        if offset == 0:
-            shared = F.least(a["a_bottom"], F.col("bottom")) - F.greatest(a["a_top"], F.col("y"))
-            smaller = F.least(a["a_bottom"] - a["a_top"], F.col("h"))
-            return (smaller > 0) & (shared / smaller >= SAME_LINE)
-        follower = a["before"].isNotNull() & (a["line_height"] > 0) & (a["centre"] - a["before"] < FOLLOWER_LINES * a["line_height"])
+    inside = lambda w: w["xc"].between(x_start, x_end)
+
+    def own_line(ws, a):
+        def hit(w):
+            shared = F.least(a["bottom"], w["bottom"]) - F.greatest(a["top"], w["y"])
+            smaller = F.least(a["bottom"] - a["top"], w["h"])
+            return (w["y"] < a["bottom"]) & (w["bottom"] > a["top"]) & (smaller > 0) & (shared / smaller >= SAME_LINE)
+
+        return F.filter(ws, hit)
+
+    def other_line(ws, a):
+        follower = F.coalesce((a["line_height"] > 0) & (a["centre"] - a["before"] < FOLLOWER_LINES * a["line_height"]), F.lit(False))
         if offset < 0:
-            return ~follower & (F.col("yc") < a["a_top"]) & (F.col("yc") > F.coalesce((a["before"] + a["centre"]) / 2, F.lit(0.0)))
-        return ~follower & (F.col("yc") > a["a_bottom"]) & (F.col("yc") < F.coalesce((a["centre"] + a["after"]) / 2, F.lit(1.0)))
-
-    if offset == 0:
-        picked = matched(rows.where(inside), marks, keys, columns, beside)
-    else:  # lines are those of all columns
-        side = with_lines(matched(rows, marks, keys, columns, beside), [*keys, "band"])
-        last = F.max("line").over(Window.partitionBy(*keys, "band"))
-        side = side.withColumn("_wanted", last + offset + 1 if offset < 0 else F.lit(offset))
-        picked = side.where((F.col("line") == F.col("_wanted")) & inside).drop("line", "_wanted")
-    texts = line_texts(picked, [*keys, "band"]).groupBy(*keys, "band").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
-    lines = F.filter(F.transform("l", lambda x: trimmed(x["text"])), lambda s: s != "")
-    texts = texts.select(*keys, "band", F.array_join(lines, separator).alias("text"))
-    if "conf" in words.columns:
-        mean = F.bround(F.avg(F.col("conf").cast("decimal(38,18)")), 4).cast("decimal(5,4)")
-        texts = texts.join(picked.groupBy(*keys, "band").agg(mean.alias("confidence")), [*keys, "band"])
-    return found.select(*keys, "band").join(texts, [*keys, "band"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+            half, beside = F.coalesce((a["before"] + a["centre"]) / 2, F.lit(0.0)), lambda w, edge: (w["yc"] < a["top"]) & (w["yc"] > edge)
+        else:
+            half, beside = F.coalesce((a["centre"] + a["after"]) / 2, F.lit(1.0)), lambda w, edge: (w["yc"] > a["bottom"]) & (w["yc"] < edge)
+        side = F.when(follower, F.slice(ws, 1, 0)).otherwise(bound(half, lambda edge: F.filter(ws, lambda w: beside(w, edge))))
+
+        def wanted(near):  # lines are those of all columns
+            def pick(at):
+                line = F.array_max(at) + offset + 1 if offset < 0 else F.lit(offset)
+                return bound(line, lambda n: F.filter(near, lambda w, i: (F.get(at, i) == n) & inside(w)))
+
+            return F.when(F.size(near) == 0, near).otherwise(bound(lines_in(near), pick))
+
+        return bound(side, wanted)
+
+    def of(ws):
+        def read(a):
+            def made(picked):
+                lines = F.filter(F.transform(texts_in(picked), trimmed), lambda s: s != "")
+                text = F.when(F.size(picked) == 0, F.lit("")).otherwise(F.array_join(lines, separator))
+                mean = [array_mean4(F.transform(picked, lambda w: w["conf"])).alias("confidence")] if conf else []
+                return F.struct(a["band"].alias("band"), text.alias("text"), *mean)
+
+            return bound(own_line(ws, a) if offset == 0 else other_line(ws, a), made)
+
+        return F.transform(found, read)
+
+    return bound(_column(words, x_start, x_end) if offset == 0 else words, of)
+
+
+def anchored_cell(words: DataFrame, found: DataFrame, keys: list[str], x_start: float, x_end: float, offset: int, separator: str = " ") -> DataFrame:
+    """keys, band, text, confidence (if words have ``conf``) of anchors, as ``anchored_in`` reads them."""
+    zones = _zones_of(words, found, keys, "found")
+    return zones.select(*keys, F.inline(anchored_in(F.col("w"), F.col("found"), x_start, x_end, offset, separator, "conf" in words.columns)))
 
 
 def has_any(text: Column, needles: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    return F.exists(F.array(*[F.lit(n.lower()) for n in needles]), lambda n: F.contains(low, n))
+    return bound(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(n.lower())) for n in needles]))
+
+
+def consolidated_in(words: Column, bands: Column, x_start: float, x_end: float, footers: tuple[str, ...] = FOOTER_KEYWORDS) -> Column:
+    """band, text, qty, footer, corroborated of each band: footer bands go; a quantity equal to the sum kept above only corroborates."""
+    def of(ws):
+        def summed(b):
+            def read(inside):
+                ordered = F.sort_array(F.transform(_column(inside, x_start, x_end), lambda w: F.struct(w["x"].alias("x"), w["word_id"].alias("word_id"), w["text"].alias("text"))))
+                quantity = F.array_join(F.transform(ordered, lambda w: F.regexp_replace(F.coalesce(w["text"], F.lit("")), r"[^\p{Nd}]", "")), "").try_cast("bigint")
+                text = F.array_join(F.transform(inside, lambda w: w["text"]), " ")
+                footer = has_any(text, footers)
+                return F.struct(b["band"].alias("band"), F.when(F.size(inside) > 0, text).alias("text"), F.when(F.size(inside) > 0, quantity).alias("qty"), footer.alias("footer"))
+
+            return bound(_within(ws, b), read)
+
+        def above(rows):
+            known = F.transform(rows, lambda r: F.when(~r["footer"], F.coalesce(r["qty"], F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
+            start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+            sums = F.aggregate(known, start, lambda s, q: F.struct((s["sum"] + q).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")), lambda s: s["out"])
+            full = lambda r, before: F.struct(r["band"].alias("band"), r["text"].alias("text"), r["qty"].alias("qty"), r["footer"].alias("footer"), F.coalesce(r["footer"] & (r["qty"] == before), F.lit(False)).alias("corroborated"))
+            return F.zip_with(rows, sums, full)
+
+        return bound(F.transform(bands, summed), above)
+
+    return bound(words, of)
 
 
 def consolidate(words: DataFrame, bands: DataFrame, keys: list[str], x_start: float, x_end: float, footers: tuple[str, ...] = FOOTER_KEYWORDS) -> DataFrame:
-    """keys, band, qty, footer, corroborated: footer bands go; a quantity equal to the sum kept above only corroborates."""
-    placed = in_bands(words, bands, keys)
-    digits = F.when(F.col("xc").between(x_start, x_end), F.regexp_replace("text", r"[^\p{Nd}]", ""))
-    rows = placed.groupBy(*keys, "band").agg(
-        F.array_sort(F.collect_list(F.struct("yc", "x", "word_id", "text"))).alias("t"),
-        F.array_sort(F.collect_list(F.struct(F.col("x").alias("x"), F.col("word_id").alias("word_id"), digits.alias("d")))).alias("q"),
-    )
-    text = F.array_join(F.transform("t", lambda w: w["text"]), " ")
-    quantity = F.array_join(F.transform("q", lambda w: F.coalesce(w["d"], F.lit(""))), "").try_cast("bigint")
-    rows = bands.select(*keys, "band").join(rows.select(*keys, "band", text.alias("text"), quantity.alias("qty")), [*keys, "band"], "left")
-    rows = rows.withColumn("footer", has_any(F.coalesce("text", F.lit("")), footers))
-    above = F.sum(F.when(~F.col("footer"), F.col("qty"))).over(Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("corroborated", F.coalesce(F.col("footer") & (F.col("qty") == F.coalesce(above, F.lit(0))), F.lit(False)))
+    """keys, band, text, qty, footer, corroborated of bands, as ``consolidated_in`` tells them; a zone without words has no footers."""
+    marks = bands.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("band", "y_start", "y_end"))).alias("bands"))
+    return nested(words, keys).join(marks, keys, "right").select(*keys, F.inline(consolidated_in(F.col("w"), F.col("bands"), x_start, x_end, footers)))
 
 
 def clean_lines(text: Column, prefixes: tuple[str, ...] = METADATA_PREFIXES, phrases: tuple[str, ...] = METADATA_PHRASES) -> Column:
     """The description lines that are neither blank nor shipping annotations."""
-    starts = F.array(*[F.lit(p.lower()) for p in prefixes])
+    def annotation(low):
+        return reduce(lambda a, b: a | b, [F.startswith(low, F.lit(p.lower())) for p in prefixes] + [F.contains(low, F.lit(p.lower())) for p in phrases])
+
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trimmed), lambda s: s != "")
-    return F.filter(lines, lambda s: ~F.exists(starts, lambda p: F.startswith(F.lower(s), p)) & ~has_any(s, phrases))
+    return F.filter(lines, lambda s: ~bound(F.lower(s), annotation))
 
 
 def detect_columns(cells: DataFrame, keys: list[str], tolerance: float = 0.02, share: float = 0.04, floor: int = 4) -> DataFrame:

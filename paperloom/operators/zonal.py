@@ -55,46 +55,69 @@ def table_rows(words: DataFrame, keys: list[str], zone, columns: list[ColumnSpec
     and descriptions lose shipping annotations.  A cell without text counts for no confidence.
     """
     anchor = _range(anchor_column(tuple(columns)), zone)
-    bands = T.segment_rows(words, keys, *anchor)
-    if consolidate:
-        kept = T.consolidate(words, bands, keys, *anchor).where(~F.col("footer")).select(*keys, "band")
-        bands = bands.join(kept, [*keys, "band"], "left_semi")
-    order = words.withColumn("_vote", N.date_order_vote(F.col("text"))).where("_vote is not null").groupBy(*keys).agg(F.min_by("_vote", "word_id").alias("_order"))
-    plain = [c for c in columns if c.line_select.strip().upper() != "ANCHOR"]
-    cell = [*keys, "band", "column"]
-    cells = []
-    if plain:
-        placed = T.assign_cells(words, bands, keys, [(c.sub_property, *_range(c, zone)) for c in plain])
-        inside = T.cell_texts(placed, keys).join(placed.groupBy(*cell).agg(M.mean4(F.col("conf")).alias("confidence")), cell)
-        def chosen(text):
-            value = F.lit("")
-            for c in plain:
-                lines = F.array_join(T.clean_lines(text), "\n") if consolidate and c.data_type.strip().upper() in TEXT_TYPES else F.replace(text, F.lit("\r"), F.lit(""))
-                value = F.when(F.col("column") == c.sub_property, T.select_lines(lines, c.line_select, c.line_picks, c.line_separator)).otherwise(value)
-            return value
-
-        two = inside.select(*cell, chosen(F.col("text")).alias("_words"), F.col("confidence").alias("_wc"))
-        if read is None:
-            cells.append(two.select(*cell, F.col("_words").alias("text"), F.col("_wc").alias("confidence")))
+    vote = F.struct(N.date_order_vote(F.col("text")).alias("vote"), "word_id")
+    zones = T.nested(words, keys, _order=F.min_by(vote["vote"], F.when(vote["vote"].isNotNull(), vote["word_id"]))).where(T.known(keys))
+    given = F.array().cast("array<struct<band:int,column:string,text:string,confidence:decimal(5,4)>>")
+    if read is not None:
+        cell = F.struct(F.col("band").cast("int").alias("band"), "column", F.coalesce("text", F.lit("")).alias("text"), F.col("confidence").cast("decimal(5,4)").alias("confidence"))
+        zones = zones.join(read.groupBy(*keys).agg(F.collect_list(cell).alias("_read")), keys, "left")
+        given = F.coalesce("_read", given)
+    counts = lambda c: (c["text"] != "") & c["confidence"].isNotNull()
+
+    def chosen(c: ColumnSpec, lines):
+        if consolidate and c.data_type.strip().upper() in TEXT_TYPES:
+            text = F.array_join(T.clean_lines(F.array_join(lines, "\n")), "\n")
         else:
-            one = read.join(bands.select(*keys, "band"), [*keys, "band"], "left_semi").select(*cell, chosen(F.coalesce("text", F.lit(""))).alias("_read"), F.col("confidence").cast("decimal(5,4)").alias("_rc"))
-            use = F.coalesce(F.col("_read") != "", F.lit(False))
-            cells.append(one.join(two, cell, "full").select(*cell, F.when(use, F.col("_read")).otherwise(F.coalesce("_words", F.lit(""))).alias("text"), F.when(use, F.col("_rc")).otherwise(F.col("_wc")).alias("confidence")))
-    anchored = [c for c in columns if c not in plain]
+            text = F.replace(F.array_join(lines, "\n"), F.lit("\r"), F.lit(""))
+        return T.select_lines(text, c.line_select, c.line_picks, c.line_separator)
+
+    def entry(text, confidence):
+        return F.struct(text.alias("text"), confidence.cast("decimal(5,4)").alias("confidence"))
+
+    def plain_cell(c: ColumnSpec, inside, band, reads):
+        """The cell's candidates: its words, or each of its reads that says something."""
+        def of(ws):
+            own = lambda otherwise: F.when(F.size(ws) > 0, entry(chosen(c, T.texts_in(ws)), M.array_mean4(F.transform(ws, lambda w: w["conf"])))).otherwise(otherwise)
+            if read is None:
+                return F.when(F.size(ws) > 0, F.array(own(F.lit(None)))).otherwise(F.array().cast("array<struct<text:string,confidence:decimal(5,4)>>"))
+            empty = entry(F.lit(""), F.lit(None))
+            def pick(r):
+                return N.bound(chosen(c, F.array(r["text"])), lambda text: F.when(text != "", entry(text, r["confidence"])).otherwise(own(empty)))
+
+            mine = F.filter(reads, lambda r: (r["band"] == band) & (r["column"] == c.sub_property))
+            alone = F.when(F.size(ws) > 0, F.array(own(empty))).otherwise(F.array().cast("array<struct<text:string,confidence:decimal(5,4)>>"))
+            return N.bound(mine, lambda found: F.when(F.size(found) > 0, F.transform(found, pick)).otherwise(alone))
+
+        return N.bound(F.filter(inside, lambda w: w["xc"].between(*_range(c, zone))), of)
+
+    # step by step, so that no expression nests deeply
+    zones = zones.withColumn("bands", T.bands_in(F.col("w"), *anchor))
+    if consolidate:
+        told = T.consolidated_in(F.col("w"), F.col("bands"), *anchor)
+        zones = zones.withColumn("bands", N.bound(told, lambda rows: F.filter("bands", lambda b, i: ~F.get(rows, i)["footer"])))
+    anchored = [c for c in columns if c.line_select.strip().upper() == "ANCHOR"]
     if anchored:
-        found = T.anchors(words, bands, keys, *anchor)
-        for c in anchored:
-            texts = T.anchored_cell(words, found, keys, *_range(c, zone), c.line_offset, c.line_separator)
-            cells.append(texts.select(*keys, "band", F.lit(c.sub_property).alias("column"), "text", "confidence"))
-    every = reduce(DataFrame.unionByName, cells)
-    counts = F.col("text") != ""
-    wide = every.groupBy(*keys, "band").agg(
-        *[F.max(F.when(F.col("column") == c.sub_property, F.col("text"))).alias(f"_{i}") for i, c in enumerate(columns)],
-        F.sum(F.when(counts, F.col("confidence"))).alias("conf_sum"), F.count(F.when(counts, F.col("confidence"))).alias("conf_n"),
-    )
-    rows = bands.select(*keys, "band").join(wide, [*keys, "band"], "left").join(order, keys, "left")
+        zones = zones.withColumn("found", T.anchors_in(F.col("w"), F.col("bands"), *anchor))
+        zones = zones.withColumns({f"a{i}": T.anchored_in(F.col("w"), F.col("found"), *_range(c, zone), c.line_offset, c.line_separator, conf=True) for i, c in enumerate(columns) if c in anchored})
+    marks_of = F.struct(F.lit(0), *[f"a{i}" for i, c in enumerate(columns) if c in anchored])
+
+    def row(b, ws, marks, reads):
+        def cells(inside):
+            return F.array(*[
+                F.transform(F.filter(marks[f"a{i}"], lambda m: m["band"] == b["band"]), lambda m: entry(m["text"], m["confidence"])) if c in anchored else plain_cell(c, inside, b["band"], reads)
+                for i, c in enumerate(columns)
+            ])
+
+        return F.struct(b["band"].alias("row"), N.bound(F.filter(ws, lambda w: w["yc"].between(b["y_start"], b["y_end"])), cells).alias("cells"))
+
+    rows = N.bound(F.col("w"), lambda ws: N.bound(given, lambda reads: N.bound(marks_of, lambda marks: F.transform("bands", lambda b: row(b, ws, marks, reads)))))
+    wide = zones.select(*keys, "_order", F.inline(rows))
+    total = lambda cs: F.when(F.size(cs) > 0, F.aggregate(cs, F.lit(0).cast("decimal(15,4)"), lambda a, c: (a + c["confidence"]).cast("decimal(15,4)")))
+    sums = N.bound(F.filter(F.flatten("cells"), counts), lambda cs: F.struct(total(cs).alias("conf_sum"), F.size(cs).cast("bigint").alias("conf_n")))
+    texts = [F.array_max(F.transform(F.get("cells", F.lit(i)), lambda c: c["text"])).alias(f"_{i}") for i in range(len(columns))]
+    wide = wide.select(*keys, "_order", "row", *texts, sums.alias("sums"))
     typed = [N.typed_text(F.col(f"_{i}"), c.data_type, F.col("_order")).alias(c.sub_property) for i, c in enumerate(columns)]
-    return rows.select(*keys, F.col("band").alias("row"), *typed, "conf_sum", "conf_n")
+    return wide.select(*keys, "row", *typed, "sums.conf_sum", "sums.conf_n")
 
 
 def _as_table(rows: DataFrame, keys: list[str], columns: list[ColumnSpec], page: str | None = None) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.normalize import ARABIC_DIGITS, THAI_DIGITS
-from paperloom.session import fresh_folder
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 PAGE_ROWS = 5
@@ -106,34 +105,26 @@ raw_cells AS (
 )
 
 
-def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The word boxes as a table of their own, as a recognizer leaves them: plans that read them often do not render them again."""
-    path, rows = fresh_folder(spark, "words"), words(spark, sf_dir)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, word_id, text, x, y, w, h: a quantity and description a line, a wrapped second line in even rows,
-    and a footer band whose quantity is the sum of the lines' quantities."""
-    rows = lines(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")))
+    and a footer band whose quantity is the sum of the lines' quantities.
+
+    The rows stay dealt by order, so that what groups the words by doc_id needs no other exchange.
+    """
+    order, quantity = Window.partitionBy("l_orderkey"), F.col("l_quantity").cast("int")
+    rows = lines(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(order)).withColumn("q", F.sum(quantity).over(order))
     r, n = F.col("row_idx"), F.col("n") + 1
     y, h = (r - 0.75) / n, F.lit(0.25) / n
-    def box(k, text, x, top, wide):
-        return F.struct((r * 4 + k).cast("bigint").alias("word_id"), text.cast("string").alias("text"), F.lit(x).alias("x"), top.alias("y"), F.lit(wide).alias("w"), h.alias("h"))
+    def box(word_id, text, x, top, wide):
+        return F.struct(word_id.cast("bigint").alias("word_id"), text.cast("string").alias("text"), F.lit(x).alias("x"), top.alias("y"), F.lit(wide).alias("w"), h.alias("h"))
 
+    last, foot = r == F.col("n"), (F.col("n") + 0.25) / n
     items = F.array(
-        box(0, F.col("l_quantity").cast("int"), 0.06, y, 0.03), box(1, F.concat(F.lit("Part "), F.col("l_partkey")), 0.2, y, 0.3),
-        F.when(r % 2 == 0, box(2, F.concat(F.lit("size "), F.col("l_suppkey")), 0.2, (r - 0.45) / n, 0.2)), box(3, F.col("l_extendedprice").cast("decimal(18,2)"), 0.85, y, 0.1),
-    )
-    body = rows.select(F.col("l_orderkey").alias("doc_id"), F.explode(items).alias("b")).where("b is not null").select("doc_id", "b.*")
-    foot = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("n").alias("n"), F.sum(F.col("l_quantity").cast("int")).alias("q"))
-    m = F.col("n") + 1
-    pair = F.array(
-        F.struct(F.lit(1_000_000).cast("bigint").alias("word_id"), F.col("q").cast("string").alias("text"), F.lit(0.06).alias("x"), ((F.col("n") + 0.25) / m).alias("y"), F.lit(0.03).alias("w"), (F.lit(0.25) / m).alias("h")),
-        F.struct(F.lit(1_000_001).cast("bigint").alias("word_id"), F.lit("FCA FACTORY").alias("text"), F.lit(0.2).alias("x"), ((F.col("n") + 0.25) / m).alias("y"), F.lit(0.3).alias("w"), (F.lit(0.25) / m).alias("h")),
+        box(r * 4, quantity, 0.06, y, 0.03), box(r * 4 + 1, F.concat(F.lit("Part "), F.col("l_partkey")), 0.2, y, 0.3),
+        F.when(r % 2 == 0, box(r * 4 + 2, F.concat(F.lit("size "), F.col("l_suppkey")), 0.2, (r - 0.45) / n, 0.2)), box(r * 4 + 3, F.col("l_extendedprice").cast("decimal(18,2)"), 0.85, y, 0.1),
+        F.when(last, box(F.lit(1_000_000), F.col("q"), 0.06, foot, 0.03)), F.when(last, box(F.lit(1_000_001), F.lit("FCA FACTORY"), 0.2, foot, 0.3)),
     )
-    return body.unionByName(foot.select("doc_id", F.explode(pair).alias("b")).select("doc_id", "b.*"))
+    return rows.select(F.col("l_orderkey").alias("doc_id"), F.explode(items).alias("b")).where("b is not null").select("doc_id", "b.*")
 
 
 WORDS_SQL = (

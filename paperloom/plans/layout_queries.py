@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from paperloom.operators import tables as T
 from paperloom.plans import invoices as I
 from paperloom.plans.catalog import Catalog
-from paperloom.session import fresh_folder
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -35,10 +34,7 @@ def hard_words(spark, sf):
         F.when(~follows & (k % 3 != 0), word(5, F.concat(F.lit("ref "), F.col("l_partkey")), 0.2, base + 20, 0.2)), F.when(r % 2 == 0, word(6, F.concat(F.lit("size "), F.col("l_linenumber")), 0.2, at + 12, 0.2)),
         F.when(k % 7 == 0, word(7, F.lit("|"), 0.07, base + 10, 0.01, 2)),
     )
-    made = rows.select(k.alias("doc_id"), F.inline(F.array_compact(items)))
-    path = fresh_folder(spark, "hard-words")
-    made.write.parquet(path)  # plans read the words several times
-    return spark.read.schema(made.schema).parquet(path)
+    return rows.select(k.alias("doc_id"), F.explode(items).alias("b")).where("b is not null").select("doc_id", "b.*")
 
 
 HARD_WORDS_SQL = (
@@ -86,6 +82,10 @@ def _bands(words):
     return T.segment_rows(words, KEYS, *ANCHOR)
 
 
+def _zones(spark, sf):
+    return T.zones(hard_words(spark, sf), KEYS, *ANCHOR)
+
+
 @query("segment_hard_rows", f"WITH RECURSIVE {HARD_BANDS_SQL} SELECT doc_id, CAST(band AS INTEGER) AS band, round(y_start, 9) AS y_start, round(y_end, 9) AS y_end, round(top, 9) AS top, round(bottom, 9) AS bottom FROM bands")
 def segment_hard_rows(spark, sf):
     rounded = [F.round(c, 9).alias(c) for c in ("y_start", "y_end", "top", "bottom")]
@@ -144,8 +144,7 @@ _MARKS = """, inside AS (
 @query("anchor_follower", f"WITH RECURSIVE {HARD_BANDS_SQL}{_MARKS} SELECT doc_id, count(*) AS anchors, count(*) FILTER (follower) AS followers FROM own GROUP BY doc_id")
 def anchor_follower(spark, sf):
     """How many anchors stand closer than three line heights to the one before."""
-    words = hard_words(spark, sf)
-    found = T.anchors(words, _bands(words), KEYS, *ANCHOR)
+    found = _zones(spark, sf).select("doc_id", F.inline(T.anchors_in(F.col("w"), F.col("bands"), *ANCHOR)))
     close = F.col("centre") - F.col("before") < T.FOLLOWER_LINES * F.col("line_height")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors"), F.count_if(close).alias("followers"))
 
@@ -166,9 +165,8 @@ def _anchored(name, offset):
         SELECT o.doc_id, CAST(o.band AS INTEGER) AS band, coalesce((SELECT string_agg(text, ' ' ORDER BY part, x, word_id) FROM parts p WHERE p.doc_id = o.doc_id AND p.band = o.band), '') AS text FROM own o""",
     )
     def run(spark, sf):
-        words = hard_words(spark, sf)
-        found = T.anchors(words, _bands(words), KEYS, *ANCHOR)
-        return T.anchored_cell(words, found, KEYS, *COLUMN, offset).select("doc_id", "band", "text")
+        found = T.anchors_in(F.col("w"), F.col("bands"), *ANCHOR)
+        return _zones(spark, sf).select("doc_id", F.inline(T.anchored_in(F.col("w"), found, *COLUMN, offset)))
 
 
 _anchored("anchor_offset_above", -1)

@@ -31,6 +31,10 @@ def bands_of(words):
     return T.segment_rows(words, KEYS, *ANCHOR)
 
 
+def zones_of(spark, sf):
+    return T.zones(I.words(spark, sf), KEYS, *ANCHOR)
+
+
 @query("segment_rows", f"WITH {BANDS_SQL} SELECT doc_id, band, y_start, y_end FROM bands")
 def segment_rows(spark, sf):
     return bands_of(I.words(spark, sf)).select("doc_id", "band", "y_start", "y_end")
@@ -38,16 +42,14 @@ def segment_rows(spark, sf):
 
 @query("assign_cells", f"WITH {CELLED_SQL} SELECT doc_id, band, col AS column_name, count(*) AS words FROM celled GROUP BY 1, 2, 3")
 def assign_cells(spark, sf):
-    words = I.placed_words(spark, sf)
-    placed = T.assign_cells(words, bands_of(words), KEYS, COLUMNS)
+    placed = T.cell_words(zones_of(spark, sf), KEYS, COLUMNS)
     return placed.groupBy("doc_id", "band", F.col("column").alias("column_name")).agg(F.count(F.lit(1)).alias("words"))
 
 
 @query("cell_texts", f"WITH {CELLED_SQL} SELECT doc_id, band, col AS column_name, string_agg(text, chr(10) ORDER BY yc, x) AS text FROM celled GROUP BY 1, 2, 3")
 def cell_texts(spark, sf):
-    words = I.placed_words(spark, sf)
-    placed = T.assign_cells(words, bands_of(words), KEYS, COLUMNS)
-    return T.cell_texts(placed, KEYS).select("doc_id", "band", F.col("column").alias("column_name"), "text")
+    cells = zones_of(spark, sf).select("doc_id", F.inline(T.cells_in(F.col("w"), F.col("bands"), COLUMNS)))
+    return cells.select("doc_id", "band", F.col("column").alias("column_name"), F.array_join(T.texts_in(F.col("words")), "\n").alias("text"))
 
 
 _LINES = f"""{I.WORDS_SQL}, boxes AS (SELECT *, y + h / 2 AS yc, y + h AS bottom FROM words), flagged AS (
@@ -73,9 +75,8 @@ def reading_order(spark, sf):
 def _anchored(name, offset, sql):
     @query(name, f"WITH {BANDS_SQL}, cnt AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM numbered GROUP BY 1) SELECT a.doc_id, a.band, {sql} AS text FROM bands a JOIN cnt USING (doc_id) LEFT JOIN numbered r ON r.l_orderkey = a.doc_id AND r.row_idx = a.band LEFT JOIN numbered q ON q.l_orderkey = a.doc_id AND q.row_idx = a.band - 1")
     def run(spark, sf):
-        words = I.placed_words(spark, sf)
-        found = T.anchors(words, bands_of(words), KEYS, *ANCHOR)
-        return T.anchored_cell(words, found, KEYS, 0.15, 0.6, offset).select("doc_id", "band", "text")
+        found = T.anchors_in(F.col("w"), F.col("bands"), *ANCHOR)
+        return zones_of(spark, sf).select("doc_id", F.inline(T.anchored_in(F.col("w"), found, 0.15, 0.6, offset)))
 
 
 # in the rendered layout a wrapped second line follows even rows at 0.3 of the row pitch below the anchor's centre
@@ -102,15 +103,14 @@ _CONS = f"""WITH {BANDS_SQL}, f AS (SELECT a.doc_id, a.band, c.n, a.band > c.n A
 
 @query("consolidate_rows", f"{_CONS} SELECT doc_id, count(*) FILTER (NOT footer) AS kept, count(*) FILTER (footer) AS dropped FROM f GROUP BY doc_id")
 def consolidate_rows(spark, sf):
-    words = I.placed_words(spark, sf)
-    rows = T.consolidate(words, bands_of(words), KEYS, *ANCHOR)
+    rows = zones_of(spark, sf).select("doc_id", F.inline(T.consolidated_in(F.col("w"), F.col("bands"), *ANCHOR)))
     return rows.groupBy("doc_id").agg(F.count_if(~F.col("footer")).alias("kept"), F.count_if("footer").alias("dropped"))
 
 
 @query("running_sum_corroboration", f"{_CONS} SELECT doc_id, band, CAST(qty AS BIGINT) AS qty, footer AS corroborated FROM f")
 def running_sum_corroboration(spark, sf):
-    words = I.placed_words(spark, sf)
-    return T.consolidate(words, bands_of(words), KEYS, *ANCHOR).select("doc_id", "band", "qty", "corroborated")
+    rows = zones_of(spark, sf).select("doc_id", F.inline(T.consolidated_in(F.col("w"), F.col("bands"), *ANCHOR)))
+    return rows.select("doc_id", "band", "qty", "corroborated")
 
 
 @query("clean_lines", f"WITH l AS (SELECT doc_id, {_SPLIT} AS lines FROM documents) SELECT doc_id, len([s FOR s IN lines IF NOT (starts_with(lower(s), 'the') OR contains(lower(s), 'tion'))]) AS kept FROM l")
@@ -203,11 +203,11 @@ def page_runs(spark, sf):
     SELECT doc_id, band, col AS column_name, CASE WHEN band % 2 = 0 AND col = 'qty' THEN 'read ' || band ELSE text END AS text, CASE WHEN band % 2 = 0 AND col = 'qty' THEN CAST(0.99 AS DOUBLE) ELSE conf END AS confidence FROM w""",
 )
 def cell_assembly(spark, sf):
-    words = I.placed_words(spark, sf)
-    found = bands_of(words)
-    placed = T.assign_cells(words, found, KEYS, COLUMNS)
-    confidence = placed.groupBy("doc_id", "band", "column").agg((F.max(F.col("word_id") % 40 + 60) / 100).alias("confidence"))
-    inside = T.cell_texts(placed, KEYS).join(confidence, ["doc_id", "band", "column"])
+    zones = zones_of(spark, sf)
+    cells = zones.select("doc_id", F.inline(T.cells_in(F.col("w"), F.col("bands"), COLUMNS)))
+    confidence = F.array_max(F.transform("words", lambda w: w["word_id"] % 40 + 60)) / 100
+    inside = cells.select("doc_id", "band", "column", F.array_join(T.texts_in(F.col("words")), "\n").alias("text"), confidence.alias("confidence"))
+    found = zones.select("doc_id", F.inline("bands"))
     text = F.when(F.col("band") % 2 == 0, F.concat(F.lit(" \nread "), F.col("band"))).otherwise(F.lit(" \n"))
     read = found.select("doc_id", "band", F.lit("qty").alias("column"), text.alias("text"), F.lit(0.99).alias("confidence"))
     return T.assemble_cells(read, inside, KEYS).withColumnRenamed("column", "column_name")

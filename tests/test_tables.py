@@ -140,3 +140,22 @@ def test_anchored_cells_count_the_words_that_were_read(spark):
     got = one[1, 10]
     assert got.normalized == '[{"qty":4,"ref":"R1"},{"qty":5,"ref":null}]'
     assert got.confidence == Decimal("0.8333")  # 0.9, 0.7 and 0.9: the words beside the one that was read do not count
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_what_is_derived_from_a_zone_shuffles_its_words_once(spark):
+    """Words that are dealt by their zone are not shuffled again for bands, cells, anchors, footers or whole rows."""
+    from paperloom.operators import zonal as Z
+    from paperloom.plans.zonal_queries import COLUMNS
+
+    dealt = spark.range(40).selectExpr("id div 4 as doc_id", "id as word_id", "'7' as text", "0.06 as x", "(id % 4) / 4 as y", "0.03 as w", "0.1 as h", "0.9 as conf")
+    dealt = dealt.withColumns({c: F.col(c).cast("double") for c in ("x", "y", "w", "h")}).repartition("doc_id")
+    found = T.zones(dealt, ["doc_id"], 0.04, 0.12)
+    cells = found.select("doc_id", F.inline(T.cells_in(F.col("w"), F.col("bands"), [("qty", 0.04, 0.12)])))
+    anchored = found.select("doc_id", F.inline(T.anchored_in(F.col("w"), T.anchors_in(F.col("w"), F.col("bands"), 0.04, 0.12), 0.0, 1.0, 1)))
+    rows = Z.table_rows(dealt, ["doc_id"], ZONE, list(COLUMNS), consolidate=True)
+    assert [exchanges(df) for df in (cells, anchored, rows)] == [1, 1, 1]
+    assert rows.count() == 40 and {r.qty for r in rows.collect()} == {"7"}
