@@ -389,24 +389,35 @@ def clean_lines(text: Column, prefixes: tuple[str, ...] = METADATA_PREFIXES, phr
 def detect_columns(cells: DataFrame, keys: list[str], tolerance: float = 0.02, share: float = 0.04, floor: int = 4) -> DataFrame:
     """keys, column (from 1), separator: between columns that enough cells' left edges start.
 
-    Left edges closer than the tolerance chain into clusters; a column ends at the median right edge of its cells.
+    Left edges closer than the tolerance chain into clusters; a column ends at the median right edge of its cells.  Cells
+    of equal edges are counted before they are shuffled, and only distinct edges are ordered.
     """
     zone = Window.partitionBy(*keys)
     along = zone.orderBy("left", "right")
+    edges = cells.groupBy(*keys, "left", "right").agg(F.count(F.lit(1)).alias("n"))
     gap = F.coalesce((F.col("left") - F.lag("left").over(along) > tolerance).cast("int"), F.lit(1))
-    rows = cells.withColumn("_n", F.count(F.lit(1)).over(zone)).withColumn("_cluster", F.sum(gap).over(along))
-    starts = rows.groupBy(*keys, "_cluster").agg(F.avg("left").alias("start"), F.count(F.lit(1)).alias("n"), F.max("_n").alias("_n"))
+    rows = edges.withColumn("_n", F.sum("n").over(zone)).withColumn("_cluster", F.sum(gap).over(along))
+    starts = rows.groupBy(*keys, "_cluster").agg((F.sum(F.col("left") * F.col("n")) / F.sum(F.when(F.col("left").isNotNull(), F.col("n")))).alias("start"), F.sum("n").alias("n"), F.max("_n").alias("_n"))
     starts = starts.where(F.col("n") >= F.greatest(F.lit(floor), F.rint(F.col("_n") * share)))
     order = zone.orderBy("start")
     starts = starts.select(*keys, "start", F.lead("start").over(order).alias("next"), F.row_number().over(order).alias("column")).where("next is not null")
     inside = (F.col("left") >= F.col("start") - tolerance) & (F.col("left") < F.col("next") - tolerance)
-    own = starts.join(cells.select(*keys, "left", "right"), keys).where(inside)
-    right = F.percentile(F.when((F.col("right") > F.col("start")) & (F.col("right") <= F.col("next")), F.col("right")), 0.5)
-    ends = own.groupBy(*keys, "column", "start", "next").agg(right.alias("end"))
-    found = starts.join(ends.select(*keys, "column", "end"), [*keys, "column"], "left")
+    own = starts.join(edges, keys).where(inside & (F.col("right") > F.col("start")) & (F.col("right") <= F.col("next")))
+    ends = _medians(own, [*keys, "column"], "right").withColumnRenamed("right", "end")
+    found = starts.join(ends, [*keys, "column"], "left")
     return found.select(*keys, "column", ((F.coalesce("end", (F.col("start") + F.col("next")) / 2) + F.col("next")) / 2).alias("separator"))
 
 
+def _medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and the median of values that occur ``n`` times: by ranks, so that no task holds a group's values at once."""
+    each = rows.groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    ranked = each.withColumn("_to", F.sum("n").over(Window.partitionBy(*keys).orderBy(value)))
+    ranked = ranked.join(each.groupBy(*keys).agg(F.sum("n").alias("_all")), keys)
+    holds = lambda at: F.max(F.when((F.col("_to") - F.col("n") <= at) & (at < F.col("_to")), F.col(value)))
+    low, high = holds(F.expr("(_all - 1) div 2")), holds(F.expr("_all div 2"))
+    return ranked.groupBy(*keys).agg(((low + high) / 2).alias(value))
+
+
 def contiguous_columns(separators: Column, low: float = 0.0, high: float = 1.0, margin: float = 0.005, least: float = 0.004) -> Column:
     """Detected separators as contiguous struct(start, end): clamped inside, sorted, near ones dropped."""
     inside = F.array_sort(F.transform(separators, lambda s: F.greatest(F.lit(low + margin), F.least(F.lit(high - margin), s))))

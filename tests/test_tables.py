@@ -79,6 +79,16 @@ def test_columns(spark):
     assert [(round(c.start, 3), round(c.end, 3)) for c in cols] == [(0.0, 0.2), (0.2, 0.5), (0.5, 0.995), (0.995, 1.0)]
 
 
+def test_columns_of_zones_with_many_equal_edges_order_distinct_ones(spark):
+    """Cells of equal edges are counted before they are shuffled; medians weigh them, with even and odd numbers."""
+    cells = spark.range(3001).select(F.lit(1).alias("zone"), F.when(F.col("id") < 1000, 0.1).otherwise(0.6).alias("left"), F.when(F.col("id") < 500, 0.2).when(F.col("id") < 1000, 0.4).otherwise(0.9).alias("right"))
+    found = T.detect_columns(cells, ["zone"])
+    (got,) = found.collect()
+    assert abs(got.separator - (0.3 + 0.6) / 2) < 1e-9
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and plan.strip().splitlines()[-3].lstrip(" :+-").startswith("Aggregate")  # the cells' own aggregate comes first
+
+
 def test_roles(spark):
     df = spark.range(1, 4).select(F.col("id").alias("p"))
     role = lambda n, have: [r[0] for r in df.where(F.col("p") <= n).orderBy("p").select(P.region_role(F.col("p"), F.lit(n), F.array(*map(F.lit, have)))).collect()]
