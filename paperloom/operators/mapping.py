@@ -224,12 +224,38 @@ def resolve_cells(fields: list[FieldSpec], cells: DataFrame, orders: DataFrame |
     return _with_order(cells, orders).select("doc_id", *found)
 
 
-def resolve_rows(field: FieldSpec, cells: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """doc_id, table_idx, items (array of row_idx and canonical texts), n_rows, confidence of a table field, for documents that have such a table."""
-    found = _with_order(cells, orders).select("doc_id", _rows_of(field, F.col("order")).alias("t")).where("t is not null")
-    names = [c.sub_property for c in _sub_columns(field)]
-    items = F.transform("t.rows", lambda r: F.struct(r["row_idx"].alias("row_idx"), *[F.get(r["values"], F.lit(k)).alias(n) for k, n in enumerate(names)]))
-    return found.select("doc_id", F.col("t.table_idx").alias("table_idx"), items.alias("items"), F.size("t.rows").alias("n_rows"), F.col("t.confidence").alias("confidence"))
+def field_rows(field: FieldSpec, cells: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """doc_id, table_idx, row_idx, a canonical text for each column of a table field, n_rows, confidence: a row for each data row.
+
+    It is ``table_rows`` without nesting.  A document's cells are sorted once; its tables' columns, rows, choice and mean
+    are windows and groups over that order, and cells that are dealt by their documents already need no exchange.
+    """
+    columns, names = _sub_columns(field), [f"_v{k}" for k in range(len(field.columns))]
+    kind = dict(cells.dtypes)["confidence"]
+    exact = F.col("confidence") if kind.startswith("decimal") else F.col("confidence").cast(_WIDE)
+    if orders is not None:
+        cells = cells.join(orders.select("doc_id", "order"), "doc_id", "left")
+    order = F.lit(None).cast("string") if orders is None else F.col("order")
+    table, no = ["doc_id", "table_idx"], F.lit(False)
+    every = (Window.unboundedPreceding, Window.unboundedFollowing)
+    whole, document = Window.partitionBy(*table).orderBy("row_idx", "col_idx").rowsBetween(*every), Window.partitionBy("doc_id")
+    rows = cells.withColumn("_head", F.when(F.col("is_header"), header_key(F.col("content"))))
+    at = {f"_c{k}": F.min(F.when(F.col("_head") == _key(c.table_header), F.struct("row_idx", "col_idx"))).over(whole)["col_idx"] for k, c in enumerate(columns)}
+    rows = rows.withColumns({"_anchored": F.max(F.col("_head") == _key(field.table_header)).over(whole), **at})
+    rows = rows.where(F.col("_anchored") & reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in at], no) & ~F.col("is_header"))
+    cells_of = [F.min(F.when(F.col("col_idx") == F.col(c), F.struct("content", exact.alias("confidence")))).alias(n) for c, n in zip(at, names)]
+    rows = rows.groupBy(*table, "row_idx", *([] if orders is None else ["order"])).agg(*cells_of)
+    # the first such table, and of its rows those that are selected
+    rows = rows.withColumn("_first", F.min(F.struct("table_idx")).over(document)).where(F.col("_first.table_idx").eqNullSafe(F.col("table_idx")))
+    if field.row_selector in ("FIRST", "LAST"):
+        end = F.min if field.row_selector == "FIRST" else F.max
+        rows = rows.withColumn("_end", end(F.struct("row_idx")).over(document)).where(F.col("_end.row_idx").eqNullSafe(F.col("row_idx")))
+    known = sum((F.col(n)["confidence"].isNotNull().cast("int") for n in names), F.lit(0))
+    total = sum((F.coalesce(F.col(n)["confidence"], F.lit(0).cast("decimal(1,0)")) for n in names), F.lit(0).cast("decimal(1,0)"))
+    rows = rows.withColumns({"n_rows": F.count(F.lit(1)).over(document).cast("int"), "_known": F.sum(known).over(document), "_total": F.sum(total).over(document)})
+    mean = F.when(F.col("_known") > 0, round4(F.col("_total").cast(_WIDE) / F.col("_known").cast("int")))
+    texts = [N.typed_text(F.col(n)["content"], c.data_type, order).alias(c.sub_property) for n, c in zip(names, columns)]
+    return rows.select(*table, "row_idx", *texts, "n_rows", mean.alias("confidence"))
 
 
 def json_string(value: Column) -> Column:
@@ -253,12 +279,12 @@ def json_text(value: Column, data_type: str) -> Column:
     return F.coalesce(F.when(value.isNotNull(), quoted), F.lit("null"))
 
 
-def items_json(items: Column, columns) -> Column:
-    def one(item):
-        members = [F.concat(F.lit(f'"{c.sub_property}":'), json_text(item[c.sub_property], c.data_type)) for c in columns]
-        return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
-
-    return F.concat(F.lit("["), F.array_join(F.transform(items, one), ","), F.lit("]"))
+def items_json(rows: DataFrame, field: FieldSpec) -> DataFrame:
+    """doc_id, items: the rows of ``field_rows`` as a JSON array of objects, in order."""
+    members = [F.concat(F.lit(f'"{c.sub_property}":'), json_text(F.col(c.sub_property), c.data_type)) for c in _sub_columns(field)]
+    item = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    items = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_idx", item.alias("json")))).alias("items"))
+    return items.select("doc_id", F.concat(F.lit("["), F.array_join("items.json", ","), F.lit("]")).alias("items"))
 
 
 def rows_json(rows: Column, columns: Column) -> Column:

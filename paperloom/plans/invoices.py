@@ -5,6 +5,8 @@ Every relation is keyed by ``doc_id`` and has the same definition here and in SQ
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +71,15 @@ LINES_SQL = f"""
 numbered AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS INTEGER) AS row_idx FROM lineitem
 )"""
+HUNDREDTH = Decimal("0.01")
 HEADERS = ("QTY", "DESCRIPTION", "UNIT PRICE", "AMOUNT")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, table_idx, row_idx (0: header), col_idx, is_header, content, confidence."""
+    """doc_id, table_idx, row_idx (0: header), col_idx, is_header, content, confidence.
+
+    The rows stay dealt by order, as those of ``words`` do.
+    """
     rows = lines(spark, sf_dir)
     quantity = F.col("l_quantity").cast("int").cast("string")
     quantity = F.when(F.col("row_idx") % 4 == 0, F.translate(quantity, ARABIC_DIGITS, THAI_DIGITS)).when(F.col("l_partkey") % 50 == 0, F.lit("—")).otherwise(quantity)
@@ -81,11 +87,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         quantity, F.concat(F.lit("Part "), F.col("l_partkey").cast("string")), F.col("l_tax").cast("decimal(18,2)").cast("string"),
         F.concat(F.lit("฿ "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")),
     ]
-    data = rows.select(F.col("l_orderkey").alias("doc_id"), "row_idx", F.posexplode(F.array(*content)).alias("at", "content"))
-    head = rows.where("row_idx = 1").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("row_idx"), F.posexplode(F.array(*map(F.lit, HEADERS))).alias("at", "content"))
-    every = data.unionByName(head)
-    confidence = (((F.col("doc_id") + F.col("row_idx") * 3 + F.col("at") * 5) % 50 + 50).cast("decimal(10,0)") / 100).cast("decimal(5,4)")
-    return every.select("doc_id", F.lit(1).alias("table_idx"), "row_idx", (F.col("at") + 1).alias("col_idx"), (F.col("row_idx") == 0).alias("is_header"), "content", confidence.alias("confidence"))
+    r = F.col("row_idx")
+    def row(number, texts):
+        return [F.struct(F.lit(1).alias("table_idx"), number.alias("row_idx"), F.lit(at).alias("at"), text.alias("content")) for at, text in enumerate(texts)]
+
+    data, head = row(r, content), row(F.lit(0), [F.lit(h) for h in HEADERS])
+    every = rows.select(F.col("l_orderkey").alias("doc_id"), F.inline(F.when(r == 1, F.array(*head, *data)).otherwise(F.array(*data))))
+    confidence = (((F.col("doc_id") + F.col("row_idx") * 3 + F.col("at") * 5) % 50 + 50).cast("decimal(3,0)") * HUNDREDTH).cast("decimal(5,4)")
+    return every.select("doc_id", "table_idx", "row_idx", (F.col("at") + 1).alias("col_idx"), (F.col("row_idx") == 0).alias("is_header"), "content", confidence.alias("confidence"))
 
 
 CELLS_SQL = (

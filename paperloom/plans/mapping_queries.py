@@ -91,15 +91,14 @@ _ITEMS = f"""items AS (
 
 @query("line_item_array", f"WITH {I.CELLS_SQL}, {_ITEMS} SELECT doc_id, row_idx, qty, description, amount, CAST(NULL AS VARCHAR) AS missing, CAST(conf AS DOUBLE) AS conf, n_rows FROM items JOIN table_conf USING (doc_id)")
 def line_item_array(spark, sf):
-    rows = M.resolve_rows(INVOICE.fields[5], I.cells(spark, sf))
-    made = rows.select("doc_id", F.explode("items").alias("i"), F.col("confidence").cast("double").alias("conf"), "n_rows")
-    return made.select("doc_id", "i.row_idx", "i.qty", "i.description", "i.amount", F.col("i.none").alias("missing"), "conf", "n_rows")
+    rows = M.field_rows(INVOICE.fields[5], I.cells(spark, sf))
+    return rows.select("doc_id", "row_idx", "qty", "description", "amount", F.col("none").alias("missing"), F.col("confidence").cast("double").alias("conf"), "n_rows")
 
 
 @query("line_item_json", f"""WITH {I.CELLS_SQL}, {_ITEMS} SELECT doc_id, md5('[' || string_agg('{{"qty":' || CASE WHEN regexp_matches(qty, '^-?[0-9]+$') THEN qty ELSE '"' || qty || '"' END || ',"description":"' || description || '","amount":' || amount || ',"none":null}}', ',' ORDER BY row_idx) || ']') AS json_md5 FROM items GROUP BY doc_id""")
 def line_item_json(spark, sf):
-    rows = M.resolve_rows(INVOICE.fields[5], I.cells(spark, sf))
-    return rows.select("doc_id", F.md5(M.items_json(F.col("items"), INVOICE.fields[5].columns)).alias("json_md5"))
+    rows = M.field_rows(INVOICE.fields[5], I.cells(spark, sf))
+    return M.items_json(rows, INVOICE.fields[5]).select("doc_id", F.md5("items").alias("json_md5"))
 
 
 @query("constant_and_default", f"WITH {I.BLOCKS_SQL} SELECT DISTINCT doc_id, 'THB' AS currency, CAST(1 AS DOUBLE) AS currency_conf, 'n/a' AS missing, CAST(0 AS DOUBLE) AS missing_conf FROM blocks")

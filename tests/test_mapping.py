@@ -84,3 +84,34 @@ def test_zonal_rules(spark):
     got = {r.field_id: r for r in M.map_zonal(t, scalars, tables).collect()}
     assert set(got) == {1, 2, 3, 10} and got[2].normalized == "2019-02-26" and got[2].below and got[3].normalized == "q" and got[3].confidence == 0
     assert got[10].normalized is None and got[10].source_ref == "ZoneTable/rows:0"
+
+
+def test_rows_of_table_fields_are_those_of_nested_tables(spark):
+    """Several tables, headers in two rows or missing, two cells of one place, columns of one header, rows without cells, unknown confidence."""
+    c, low = Decimal("0.90"), Decimal("0.31")
+    grid = [(1, 1, 0, 1, True, " QTY ", c), (1, 2, 0, 2, True, "Qty", c), (1, 2, 0, 1, True, "name", c), (1, 2, 1, 1, True, "qty", c), (1, 2, 2, 2, False, "๑๐.", c), (1, 2, 2, 2, False, "05-", low), (1, 2, 2, 1, False, "a", None),
+            (1, 2, 3, 4, False, "x", c), (1, 2, 4, 2, False, " ", c), (2, 1, 0, 1, True, "qty", c), (3, 5, 0, 1, True, "qty", c), (3, 5, 0, 3, True, "name", c), (3, 5, 1, 3, False, "b", low), (4, 1, 1, 1, False, "1", c), (5, None, None, 1, True, "qty", c), (5, None, None, 1, False, "7", c)]
+    cells = spark.createDataFrame(grid, CELLS).repartition("doc_id")
+    orders = spark.createDataFrame([(1, "D")], "doc_id bigint, order string")
+    for selector in (None, "FIRST", "LAST"):
+        field = FieldSpec(1, "items", "TABLE_CELL", table_header="qty", row_selector=selector, columns=(ColumnSpec("n", "INT", "QTY", 1), ColumnSpec("d", "DECIMAL", "qty", 3), ColumnSpec("name", "STRING", "Name", 2), ColumnSpec("none", "STRING", "no", 4)))
+        nested = M.nested_tables(cells).select("doc_id", M._rows_of(field, F.lit(None).cast("string")).alias("t")).select("doc_id", "t.table_idx", F.inline("t.rows"), F.size("t.rows").alias("n"), "t.confidence")
+        want = {(r.doc_id, r.table_idx, r.row_idx, *r["values"], r.n, r.confidence) for r in nested.collect()}
+        for known in (None, orders):
+            assert {tuple(r) for r in M.field_rows(field, cells, known).collect()} == want and len(want) == (5 if selector is None else 3)
+    plan = M.field_rows(field, cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # dealt and sorted once
+
+
+def test_line_items_are_dealt_once(spark, tmp_path):
+    from paperloom.plans import mapping_queries as Q
+
+    lines = spark.range(9).selectExpr(
+        "id % 3 AS l_orderkey", "id * 50 AS l_partkey", "id AS l_suppkey", "cast(id AS int) AS l_linenumber", "double(id + 1) AS l_quantity", "double(id) * 10 AS l_extendedprice", "0.1D AS l_discount", "0.05D AS l_tax",
+        "'N' AS l_returnflag", "'O' AS l_linestatus", "timestamp'2024-01-02 00:00:00' AS l_shipdate",
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for query in (Q.line_item_array, Q.line_item_json):
+        assert query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.doc_id, r.row_idx): (r.qty, r.description, r.amount, r.missing, r.n_rows) for r in Q.line_item_array(spark, str(tmp_path)).collect()}
+    assert len(got) == 9 and got[1, 2] == ("—", "Part 200", "40.00", None, 3) and got[2, 3] == ("—", "Part 400", "80.00", None, 3)
