@@ -27,13 +27,19 @@ EVENTS = "sha256 string, doc_id bigint, attempt int, at_ms bigint, from_status s
 CAPTURED, MAPPED, FAILED = "CAPTURED", "MAPPED", "FAILED"
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """State lies on disk; what all stores of an executor hold in memory is bounded together."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+
+
 def stateful(spark: SparkSession, *shipped) -> None:
     """Keyed state with timers needs this store; its files are checkpointed to the query's folder.
 
     The operator is also read on the driver, by a process that does not have the session's path: it and what it calls
     (``shipped``) go by value.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    use_rocksdb(spark)
     ship(spark)
     for name in {thing.__module__ for thing in shipped if hasattr(thing, "__module__")} - {"__main__"}:
         cloudpickle.register_pickle_by_value(sys.modules[name])
@@ -140,7 +146,14 @@ class Assembler(StatefulProcessor):
 
 
 def assembled(rows: DataFrame, document: str, keys: list[str]) -> DataFrame:
-    """A stream of rows -> for each batch, all rows so far of the documents that it touches."""
+    """A stream of rows -> for each batch, all rows so far of the documents that it touches.
+
+    Rows that only all their columns tell apart are a set, which Spark's own streaming aggregate keeps without Python;
+    with keys of their own, of which the last row holds, they are the ``Assembler``'s.
+    """
+    if {*keys, document} == set(rows.columns):
+        use_rocksdb(rows.sparkSession)
+        return rows.groupBy(document).agg(F.collect_set(F.struct(*rows.columns)).alias("rows")).select(F.inline("rows"))
     stateful(rows.sparkSession, Assembler)
     return rows.groupBy(document).transformWithState(Assembler(rows.schema, keys), rows.schema, "Update", "None")
 

@@ -1,4 +1,5 @@
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,24 @@ def test_documents_are_assembled_from_files_and_repeats_change_nothing(spark, tm
     assert {r.batch: r.n for r in spark.read.parquet(f"{out}/mapped").groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()} == {0: 2, 1: 1, 2: 2}
 
 
+def test_rows_without_keys_are_assembled_without_python(spark, tmp_path):
+    """Equal rows of one file, of another and of a replay are one; nulls count; with keys the last row of a key holds."""
+    schema = "doc_id bigint, block_id bigint, content string, confidence decimal(5,4)"
+    landing, c = f"{tmp_path}/landing", Decimal("0.5000")
+    files = [[(1, 1, "a", c), (1, 1, "a", c), (1, 2, None, None)], [(1, 1, "a", c), (1, 2, "b", c)], [(1, 2, None, None), (2, 1, "x", c)]]
+    for out, keys, kept, want in (("all", None, "stateStoreSave", {1: ["a", "b"], 2: ["x"]}), ("keyed", ("doc_id", "block_id"), "transformWithStateInPySparkExec", {1: ["a"], 2: ["x"]})):
+        for k, rows in enumerate(files):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{landing}-{out}")
+            stream = capture.read_landing(spark, f"{landing}-{out}", spark.read.parquet(f"{landing}-{out}").schema)
+            mapper = lambda df: df.groupBy("doc_id").agg(F.sort_array(F.collect_list("content")).alias("texts"), F.count(F.lit(1)).alias("n"))
+            query = capture.write_mapped(stream, mapper, f"{tmp_path}/{out}", f"{tmp_path}/checkpoint-{out}", row_keys=keys)
+            query.awaitTermination()
+            assert {s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]} == {kept}
+        found = capture.read_mapped(spark, f"{tmp_path}/{out}").collect()
+        assert {r.doc_id: r.texts for r in found} == want
+        assert {r.doc_id: r.n for r in found}[1] == (3 if keys is None else 2)
+
+
 def test_equal_contents_far_apart_are_one_job(spark, tmp_path):
     """Uploads of one content that lie more than a day apart, as ids of large tables do."""
     from paperloom.plans.record_queries import stream_jobs
