@@ -33,19 +33,20 @@ def boundary(low: Column, high: Column, profile: Column | None = None) -> Column
     last = F.size(profile) - 1
     a = F.greatest(F.lit(0), F.least(F.floor(F.least(low, high) * last).cast("int"), last))
     b = F.greatest(F.lit(0), F.least(F.ceil(F.greatest(low, high) * last).cast("int"), last))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("end"))
 
-    def longest(gap, least):
-        def step(s, ink):
-            run = F.when(ink == least, s["run"] + 1).otherwise(0)
-            return bound(run, lambda n: F.struct((s["at"] + 1).alias("at"), n.alias("run"), F.greatest(n, s["best"]).alias("best"), F.when(n > s["best"], s["at"]).otherwise(s["end"]).alias("end")))
+    def centre(span, gap, least):
+        marks = F.array_join(F.transform(gap, lambda ink: F.when(ink == least, "1").otherwise("0")), "")
 
-        return F.aggregate(gap, start, step)
+        def longest(text):
+            run = F.array_max(F.transform(F.split(text, "0"), F.length))
+            return bound(run, lambda n: (span["a"] + F.instr(text, F.repeat(F.lit("1"), n)) - 1 + (n - 1) / 2) / last)
+
+        return bound(marks, longest)
 
     def snapped(span):
         gap = F.slice(profile, span["a"] + 1, span["b"] - span["a"] + 1)
-        centre = bound(gap, lambda g: bound(F.array_min(g), lambda least: bound(longest(g, least), lambda best: (span["a"] + best["end"] - (best["best"] - 1) / 2) / last)))
-        return F.when((last < 1) | (low == high) | (span["b"] <= span["a"]), middle).otherwise(centre)
+        found = bound(gap, lambda g: bound(F.array_min(g), lambda least: centre(span, g, least)))
+        return F.when((last < 1) | (low == high) | (span["b"] <= span["a"]), middle).otherwise(found)
 
     return bound(F.struct(a.alias("a"), b.alias("b")), snapped)
 
@@ -125,13 +126,18 @@ def bands_in(words: Column, x_start: float, x_end: float, profile: Column | None
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
     def banded(clusters):
-        def band(c, i):
-            start = F.when(i == 0, F.lit(0.0)).otherwise(boundary(F.get(clusters, i - 1)["bottom"], c["top"], profile))
-            end = F.when(i == F.size(clusters) - 1, F.lit(1.0)).otherwise(boundary(c["bottom"], F.get(clusters, i + 1)["top"], profile))
-            edges = F.struct(start.alias("a"), end.alias("b"), i.alias("i"))
-            return bound(edges, lambda e: F.struct((e["i"] + 1).alias("band"), clamp(e["a"]).alias("y_start"), clamp(F.greatest(e["b"], e["a"])).alias("y_end"), c["top"].alias("top"), c["bottom"].alias("bottom")))
+        between = F.transform(F.slice(clusters, F.lit(2), F.size(clusters)), lambda c, i: boundary(F.get(clusters, i)["bottom"], c["top"], profile))
+
+        def bands(edges):
+            def band(c, i):
+                start = F.when(i == 0, F.lit(0.0)).otherwise(F.get(edges, i - 1))
+                end = F.when(i == F.size(clusters) - 1, F.lit(1.0)).otherwise(F.get(edges, i))
+                ends = F.struct(start.alias("a"), end.alias("b"), i.alias("i"))
+                return bound(ends, lambda e: F.struct((e["i"] + 1).alias("band"), clamp(e["a"]).alias("y_start"), clamp(F.greatest(e["b"], e["a"])).alias("y_end"), c["top"].alias("top"), c["bottom"].alias("bottom")))
+
+            return F.transform(clusters, band)
 
-        return F.transform(clusters, band)
+        return bound(between, bands)
 
     def of(ws):
         box = lambda w: F.struct(w["yc"].alias("yc"), w["y"].alias("top"), w["bottom"].alias("bottom"), w["h"].alias("h"))
@@ -144,12 +150,18 @@ def bands_in(words: Column, x_start: float, x_end: float, profile: Column | None
     return bound(words, of)
 
 
-def segment_rows(words: DataFrame, keys: list[str], x_start: float, x_end: float, profile: Column | None = None) -> DataFrame:
-    """keys, band (from 1), y_start, y_end, top, bottom: the rows that anchor words start, tiling 0..1."""
+def segment_rows(words: DataFrame, keys: list[str], x_start: float, x_end: float, profile: Column | None = None, samples: int | None = None) -> DataFrame:
+    """keys, band (from 1), y_start, y_end, top, bottom: the rows that anchor words start, tiling 0..1.
+
+    Boundaries snap to a zone's ``profile``, or, with ``samples``, to that of its own words.
+    """
     boxes = ["x", "y", "w", "h"]
     if profile is None:
         found = nested(words.select(*keys, *boxes), keys)
-        return found.select(*keys, F.inline(bands_in(F.col("w"), x_start, x_end)))
+        if samples is None:
+            return found.select(*keys, F.inline(bands_in(F.col("w"), x_start, x_end)))
+        box = found.join(ink_profile(words, keys, samples), keys).withColumnRenamed("profile", "_ink")
+        return box.select(*keys, F.inline(bound(F.col("_ink"), lambda ink: bands_in(F.col("w"), x_start, x_end, ink))))
     rows = words.select(*keys, *boxes, profile.alias("_ink"))
     box = centred(rows).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("yc", "x", "y", "w", "h", "xc", "bottom"))).alias("w"), F.first("_ink").alias("_ink"))
     return box.select(*keys, F.inline(bound(F.col("_ink"), lambda ink: bands_in(F.col("w"), x_start, x_end, ink))))

@@ -122,12 +122,10 @@ _LAST = SAMPLES - 1
 )
 def boundary_ink_snap(spark, sf):
     """Boundaries between rows in the longest run without ink, by profiles of the documents' own words."""
-    words = hard_words(spark, sf)
-    rows = T.segment_rows(words.join(T.ink_profile(words, KEYS, SAMPLES), KEYS), KEYS, *ANCHOR, profile=F.col("profile"))
-    last = F.max("band").over(Window.partitionBy(*KEYS))
+    rows = T.segment_rows(hard_words(spark, sf), KEYS, *ANCHOR, samples=SAMPLES)
     # a band never ends before it starts: what is compared is the boundary itself, the next band's start
     following = F.lead("y_start").over(Window.partitionBy(*KEYS).orderBy("band"))
-    return rows.withColumn("last", last).withColumn("y_end", F.round(following, 9)).where("band < last").select("doc_id", "band", "y_end")
+    return rows.select("doc_id", "band", F.round(following, 9).alias("y_end")).where("y_end is not null")
 
 
 _MARKS = """, inside AS (

@@ -169,3 +169,15 @@ def test_what_is_derived_from_a_zone_shuffles_its_words_once(spark):
     rows = Z.table_rows(dealt, ["doc_id"], ZONE, list(COLUMNS), consolidate=True)
     assert [exchanges(df) for df in (cells, anchored, rows)] == [1, 1, 1]
     assert rows.count() == 40 and {r.qty for r in rows.collect()} == {"7"}
+
+
+def test_profiles_join_once_a_zone(spark):
+    """Bands that snap to the profile of a zone's own words are those of that profile given with each word, without a profile in every word."""
+    rows = [(z, i, "1", x, (60.0 * i + 7 * z + d) / 600, 0.03 + d / 300, 0.02) for z in (1, 2, 3) for i in range(1, 8) for x, d in ((0.06, 0), (0.2, 13), (0.5, 13))]
+    df = spark.createDataFrame(rows, "doc_id bigint, word_id bigint, text string, x double, y double, w double, h double").repartition("doc_id")
+    given = T.segment_rows(df.join(T.ink_profile(df, ["doc_id"], 60), "doc_id"), ["doc_id"], 0.04, 0.12, profile=F.col("profile"))
+    own = T.segment_rows(df, ["doc_id"], 0.04, 0.12, samples=60)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, given.collect())) and own.count() == 21
+    assert own.where("band = 2").exceptAll(T.segment_rows(df, ["doc_id"], 0.04, 0.12).where("band = 2")).count() > 0
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("collect_list(struct(yc")  # the words meet the profile as a zone
