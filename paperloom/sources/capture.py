@@ -224,7 +224,7 @@ def extraction_json(documents: DataFrame, pages: DataFrame, blocks: DataFrame, c
     normalized, x, y, w, h]).  Everything of a document meets by one key, in the JVM.
     """
     def gathered(rows: DataFrame, entry: Column, name: str) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]).alias(name))
+        return rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"]).alias(name))
 
     kind = F.when(F.upper("block_type").isin("KEY", "VALUE"), F.upper("block_type")).otherwise("LINE")
     page = F.struct(F.col("page").alias("pageNumber"), F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
@@ -237,7 +237,7 @@ def extraction_json(documents: DataFrame, pages: DataFrame, blocks: DataFrame, c
         F.col("is_header").alias("isHeader"), F.lit("TABLE_CELL").alias("type"), F.col("content").alias("text"), _or_null(cells, "normalized", "string").alias("normalizedValue"), F.col("confidence").alias("confidence"), _box(cells).alias("bbox"),
     )
     rows = cells.groupBy("doc_id", "table_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", cell.alias("v")))), lambda e: e["v"]).alias("cells"), F.coalesce(F.min(_or_null(cells, "page", "int")), F.lit(1)).alias("page"),
+        F.sort_array(F.collect_list(cell)).alias("cells"), F.coalesce(F.min(_or_null(cells, "page", "int")), F.lit(1)).alias("page"),
         (F.max("row_idx") + 1).alias("rowCount"), F.max("col_idx").alias("columnCount"),
     )
     table = F.struct(F.concat(F.lit("table-"), F.col("table_idx")).alias("id"), "page", "rowCount", "columnCount", "cells")

@@ -96,3 +96,13 @@ def test_internal_keys_go_at_any_depth_and_numbers_keep_their_text(spark):
     for i, text in enumerate(texts):
         want = C.strip_internal(text)
         assert got[i] == want, (text[:300], got[i][:300], want[:300])
+
+
+def test_extraction_json_reads_the_lines_of_its_cells_once(spark, tmp_path):
+    from paperloom.plans import invoices as I
+
+    spark.range(4).selectExpr(
+        "id % 2 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "cast(id AS int) AS l_linenumber", "double(id) AS l_quantity", "double(id) AS l_extendedprice", "0D AS l_discount", "0D AS l_tax", "'N' AS l_returnflag", "'O' AS l_linestatus", "current_timestamp() AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    cells = I.cells(spark, str(tmp_path))
+    assert cells._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 and cells.count() == 24 and cells.where("is_header").count() == 8
