@@ -19,13 +19,21 @@ BUDDHIST_OFFSET, BUDDHIST_FROM, CENTURY_PIVOT = 543, 2400, 50
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once a row however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)``, with the value computed once a row however often ``use`` refers to it.
+
+    ELEMENT_AT knows the type of ``use``; GET derives it from the whole expression again for every row.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _plain(s: Column) -> Column:
+    """Whether a text has ASCII characters only."""
+    return F.length(s) == F.octet_length(s)
 
 
 def trimmed(s: Column) -> Column:
-    """Trim of all Unicode white space, not only blanks."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    """Trim of all Unicode white space, not only blanks; an ASCII text between two visible characters has none."""
+    return F.when(_plain(s) & (F.ascii(s) > 32) & (F.ascii(F.substring(s, -1, 1)) > 32), s).otherwise(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
 
 
 def blank_to_null(s: Column) -> Column:
@@ -37,7 +45,7 @@ def is_blank(s: Column) -> Column:
 
 
 def arabic_digits(s: Column) -> Column:
-    return F.translate(s, THAI_DIGITS, ARABIC_DIGITS)
+    return F.when(_plain(s), s).otherwise(F.translate(s, THAI_DIGITS, ARABIC_DIGITS))
 
 
 def number_text(s: Column) -> Column:
@@ -98,13 +106,13 @@ def date_value(s: Column, order: Column) -> Column:
     def day(d, year):
         first, second = F.lpad(d["a"].cast("string"), 2, "0"), F.lpad(d["b"].cast("string"), 2, "0")
         rest = F.when(d["swap"], F.concat_ws("-", first, second)).otherwise(F.concat_ws("-", second, first))
-        return F.when(year >= 1, F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), rest), "yyyy-MM-dd"))
+        return F.when(year >= 1, F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), rest).try_cast("date"))
 
     return bound(arabic_digits(s), lambda text: bound(_date_parts(text), lambda parts: F.when(F.size(parts) == 3, of(text, parts))))
 
 
 def date_text(s: Column, order: Column) -> Column:
-    return F.date_format(date_value(s, order), "yyyy-MM-dd")
+    return date_value(s, order).cast("string")
 
 
 def normalized(s: Column, order: Column) -> Column:
@@ -138,7 +146,7 @@ def typed_text(s: Column, data_type: Column | str, order: Column) -> Column:
             return value
     else:
         make = makers.get(data_type.upper(), lambda p: p)
-    return bound(trimmed(arabic_digits(s)), lambda p: F.when(p != "", make(p)))
+    return bound(s, lambda x: bound(arabic_digits(x), lambda text: bound(trimmed(text), lambda p: F.when(p != "", make(p)))))
 
 
 def typed_cell(s: Column, data_type: Column | str, order: Column) -> Column:

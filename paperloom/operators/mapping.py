@@ -105,23 +105,41 @@ def resolve_blocks(fields: list[FieldSpec], blocks: DataFrame) -> DataFrame:
 def nested_tables(cells: DataFrame) -> DataFrame:
     """doc_id, tables: the document's tables in order, each with its header cells in reading order and its data rows in order.
 
-    One exchange: the groups by row, table and document share the partitioning by document.
+    One exchange and one grouping, by document.
     """
-    header = F.struct("col_idx", F.lower(N.trimmed(F.col("content"))).alias("name"))
-    data = F.struct("col_idx", "content", "confidence")
-    rows = cells.repartition("doc_id").groupBy("doc_id", "table_idx", "row_idx").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_header"), header))).alias("heads"), F.array_sort(F.collect_list(F.when(~F.col("is_header"), data))).alias("cells")
-    )
-    tables = rows.groupBy("doc_id", "table_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", "heads", "cells"))).alias("r"))
-    table = F.struct(
-        "table_idx", F.flatten(F.transform("r", lambda r: r["heads"])).alias("heads"),
-        F.transform(F.filter("r", lambda r: F.size(r["cells"]) > 0), lambda r: F.struct(r["row_idx"].alias("row_idx"), r["cells"].alias("cells"))).alias("rows"),
-    )
-    return tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(table)).alias("tables"))
+    return cells.repartition("doc_id").groupBy("doc_id").agg(tables_of(F.collect_list(cell_entry())).alias("tables"))
 
 
-def _first(array: Column) -> Column:
-    return F.get(array, F.lit(0))
+def cell_entry() -> Column:
+    """A cell as one value, which sorts by its place; null if it is neither header nor data."""
+    text = F.when(F.col("is_header"), header_key(F.col("content"))).otherwise(F.col("content"))
+    return F.when(F.col("is_header").isNotNull(), F.struct("table_idx", "row_idx", "col_idx", "is_header", text.alias("text"), "confidence"))
+
+
+def tables_of(entries: Column) -> Column:
+    """A document's tables from its cells in any order (``cell_entry``)."""
+    def row(cells):
+        return F.struct(first(cells)["row_idx"].alias("row_idx"), F.transform(cells, lambda c: F.struct(c["col_idx"].alias("col_idx"), c["text"].alias("content"), c["confidence"].alias("confidence"))).alias("cells"))
+
+    def table(cells):
+        heads = F.transform(F.filter(cells, lambda c: c["is_header"]), lambda c: F.struct(c["col_idx"].alias("col_idx"), c["text"].alias("name")))
+        rows = N.bound(F.filter(cells, lambda c: ~c["is_header"]), lambda data: F.transform(_runs(data, "row_idx"), row))
+        return F.struct(first(cells)["table_idx"].alias("table_idx"), heads.alias("heads"), rows.alias("rows"))
+
+    return N.bound(F.sort_array(entries), lambda cells: F.transform(_runs(cells, "table_idx"), table))
+
+
+def _runs(items: Column, member: str) -> Column:
+    """A bound array, ordered by the member, cut where the member changes."""
+    def slices(starts):
+        return F.transform(starts, lambda at, k: F.slice(items, at, F.coalesce(F.get(starts, k + 1), F.size(items) + 1) - at))
+
+    places = F.transform(items, lambda x, i: F.when((i == 0) | ~F.get(items, i - 1)[member].eqNullSafe(x[member]), i + 1))
+    return N.bound(F.filter(places, lambda at: at.isNotNull()), slices)
+
+
+def first(array: Column) -> Column:
+    return F.try_element_at(array, F.lit(1))
 
 
 def header_key(header: Column) -> Column:
@@ -130,11 +148,11 @@ def header_key(header: Column) -> Column:
 
 def _column_of(table: Column, header: Column) -> Column:
     """The column of the table's first header cell of that name; null if there is none."""
-    return _first(F.filter(table["heads"], lambda h: h["name"] == header))["col_idx"]
+    return first(F.filter(table["heads"], lambda h: h["name"] == header))["col_idx"]
 
 
 def _cell_at(row: Column, column: Column) -> Column:
-    return _first(F.filter(row["cells"], lambda c: c["col_idx"] == column))
+    return first(F.filter(row["cells"], lambda c: c["col_idx"] == column))
 
 
 def array_mean4(values: Column) -> Column:
@@ -169,7 +187,7 @@ def single_cell(tables: Column, header: Column, selector: Column, data_type: Col
         return F.when(hit.isNotNull(), N.bound(_selected(hit["cells"], selector, "FIRST"), of)).otherwise(otherwise)
 
     usable = F.filter(F.transform(tables, in_table), lambda t: t["col_idx"].isNotNull() & (F.size(t["cells"]) > 0))
-    return N.bound(_first(usable), found)
+    return N.bound(first(usable), found)
 
 
 def table_rows(tables: Column, header: Column, columns: Column, selector: Column, order: Column) -> Column:
@@ -183,17 +201,19 @@ def table_rows(tables: Column, header: Column, columns: Column, selector: Column
         return F.struct(t["table_idx"].alias("table_idx"), t["rows"].alias("rows"), known.alias("columns"))
 
     def items(t):
-        def of(rows):
-            cells = F.transform(rows, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(t["columns"], lambda c: F.struct(_cell_at(r, c["col_idx"]).alias("cell"), c["data_type"].alias("data_type"))).alias("cells")))
+        def found(rows):
+            return F.transform(rows, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(t["columns"], lambda c: F.struct(_cell_at(r, c["col_idx"]).alias("cell"), c["data_type"].alias("data_type"))).alias("cells")))
+
+        def of(cells):
             made = F.transform(cells, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(r["cells"], lambda c: N.typed_text(c["cell"]["content"], c["data_type"], order)).alias("values")))
             confidence = array_mean4(F.flatten(F.transform(cells, lambda r: F.transform(r["cells"], lambda c: c["cell"]["confidence"]))))
             return F.struct(t["table_idx"].alias("table_idx"), made.alias("rows"), confidence.alias("confidence"))
 
-        return F.when(t.isNotNull(), N.bound(_selected(t["rows"], selector, "ALL"), of))
+        return F.when(t.isNotNull(), N.bound(found(_selected(t["rows"], selector, "ALL")), of))
 
     anchored = F.filter(tables, lambda t: F.exists(t["heads"], lambda h: h["name"] == header) & (F.size(t["rows"]) > 0))
     usable = F.filter(F.transform(anchored, resolved), lambda t: F.exists(t["columns"], lambda c: c["col_idx"].isNotNull()))
-    return N.bound(_first(usable), items)
+    return N.bound(first(usable), items)
 
 
 def _lit(value) -> Column:
@@ -259,7 +279,13 @@ def field_rows(field: FieldSpec, cells: DataFrame, orders: DataFrame | None = No
 
 
 def json_string(value: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    """A text as a JSON string; what has nothing to escape is only quoted."""
+    return F.when(value.rlike(r"^[ !#-\[\]-~]*\z"), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
+
+
+def json_label(name: Column) -> Column:
+    """A member's name with its colon."""
+    return F.concat(json_string(name), F.lit(":"))
 
 
 def json_of(value: Column, data_type: Column) -> Column:
@@ -288,10 +314,10 @@ def items_json(rows: DataFrame, field: FieldSpec) -> DataFrame:
 
 
 def rows_json(rows: Column, columns: Column) -> Column:
-    """Rows of values as a JSON array of objects; ``columns`` is an array of struct(name, data_type)."""
+    """Rows of values as a JSON array of objects; ``columns`` is an array of struct(label, data_type), see ``json_label``."""
     def one(row):
-        pairs = F.arrays_zip(F.transform(columns, lambda c: c["name"]).alias("name"), F.transform(columns, lambda c: c["data_type"]).alias("data_type"), row["values"].alias("value"))
-        return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(json_string(p["name"]), F.lit(":"), json_of(p["value"], p["data_type"]))), ","), F.lit("}"))
+        members = F.zip_with(columns, row["values"], lambda c, value: F.concat(c["label"], json_of(value, c["data_type"])))
+        return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
     return F.concat(F.lit("["), F.array_join(F.transform(rows, one), ","), F.lit("]"))
 
@@ -315,8 +341,8 @@ def map_wide(template: TemplateSpec, blocks: DataFrame, cells: DataFrame, docume
     for i, f in enumerate(template.fields):
         if f in arrays:  # a missing table is an empty list without confidence
             t = F.col(f"t{f.field_id}")
-            names = F.array(*[F.struct(F.lit(c.sub_property).alias("name"), F.lit(c.data_type).alias("data_type")) for c in _sub_columns(f)])
-            raw, value, confidence = _lit(None), F.coalesce(rows_json(t["rows"], names), F.lit("[]")), t["confidence"]
+            labels = F.array(*[F.struct(json_label(F.lit(c.sub_property)).alias("label"), F.lit(c.data_type).alias("data_type")) for c in _sub_columns(f)])
+            raw, value, confidence = _lit(None), F.coalesce(rows_json(t["rows"], labels), F.lit("[]")), t["confidence"]
             ref = F.concat(F.lit("Table:"), t["table_idx"], F.lit("/rows:"), F.size(t["rows"]))
         else:
             c = F.coalesce(F.col(f"f{f.field_id}"), _without_blocks(f))

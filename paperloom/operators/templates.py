@@ -6,6 +6,8 @@ No row is made for a field or a block, the number of templates does not change t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,19 +144,21 @@ def _groups(pattern: Column) -> Column:
 
 
 def _document_rows(documents: DataFrame, blocks: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row a document: its blocks in order, their day/month order, mean confidence, and tables."""
-    keyed = M.split_key(blocks).withColumn("_vote", N.date_order_vote(F.col("content"))).withColumn("_at", F.struct("page", "block_id"))
-    whole = keyed.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("page", "block_id", "content", "key", "value", "confidence"))).alias("blocks"),
-        F.min_by("_vote", F.when(F.col("_vote").isNotNull(), F.col("_at"))).alias("order"), M.mean4(F.col("confidence")).alias("mean"),
-    )
-    return documents.join(whole, "doc_id", "left").join(M.nested_tables(cells), "doc_id", "left")
+    """One row a document: its blocks in order and its cells in any, gathered by one grouping of the three tables.
+
+    Each is dealt by document, unless it is already.
+    """
+    block = F.struct("page", "block_id", "content", "key", "value", "confidence")
+    parts = [documents.select("doc_id", F.struct("template_id").alias("asked")), M.split_key(blocks).select("doc_id", block.alias("block")), cells.select("doc_id", M.cell_entry().alias("cell"))]
+    rows = reduce(lambda a, b: a.unionByName(b, True), [p.repartition("doc_id") for p in parts])
+    # nothing belongs to a document without id
+    whole = rows.where("doc_id is not null or asked is not null").groupBy("doc_id").agg(*[F.collect_list(n).alias(f"{n}s") for n in ("asked", "block", "cell")])
+    return whole.select("doc_id", F.inline("askeds"), F.sort_array("blocks").alias("blocks"), "cells")
 
 
 def _entry(f: Column, row: dict[str, Column]) -> Column:
     """A field's struct of the long form, from its specification ``f`` and the document's row."""
     kind = F.upper(f["source_type"])
-    columns = F.transform(f["columns"], lambda c: F.struct(c["header"].alias("header"), c["data_type"].alias("data_type")))
     is_array = (kind == "TABLE_CELL") & (F.coalesce(F.size(f["columns"]), F.lit(0)) > 0)
     empty = M.result(F.lit(None), f["default_value"], F.lit(0), F.lit(None))
     case_blind = lambda p: F.concat(F.lit("(?iu)"), p)
@@ -168,7 +172,7 @@ def _entry(f: Column, row: dict[str, Column]) -> Column:
         found = N.bound(raw, lambda r: M.result(r, N.typed_text(r, f["data_type"], row["order"]), F.coalesce(row["mean"], F.lit(0)), F.lit("Regex:fulltext")))
         return F.when(_matches(row["text"], pattern), found).otherwise(empty)
 
-    first_hit = F.get(F.filter(row["keyed"], lambda b: _matches(b["key"], case_blind(f["key_pattern"]))), F.lit(0))
+    first_hit = M.first(F.filter(row["keyed"], lambda b: _matches(b["key"], case_blind(f["key_pattern"]))))
     scalar = (
         F.when((kind == "KEY_VALUE") & f["key_pattern"].isNotNull(), N.bound(first_hit, key_value))
         .when((kind == "REGEX") & f["regex"].isNotNull() & row["text"].isNotNull(), N.bound(case_blind(f["regex"]), searched))
@@ -179,10 +183,9 @@ def _entry(f: Column, row: dict[str, Column]) -> Column:
 
     def array_entry(t):
         ref = F.concat(F.lit("Table:"), t["table_idx"], F.lit("/rows:"), F.size(t["rows"]))
-        names = F.transform(f["columns"], lambda c: F.struct(c["sub_property"].alias("name"), c["data_type"].alias("data_type")))
-        return M.result(F.lit(None), F.coalesce(M.rows_json(t["rows"], names), F.lit("[]")), t["confidence"], ref)
+        return M.result(F.lit(None), F.coalesce(M.rows_json(t["rows"], f["columns"]), F.lit("[]")), t["confidence"], ref)
 
-    table = M.table_rows(row["tables"], f["header"], columns, f["row_selector"], row["order"])
+    table = M.table_rows(row["tables"], f["header"], f["columns"], f["row_selector"], row["order"])
     has_steps = F.coalesce(F.size(f["steps"]), F.lit(0)) > 0
 
     def finished(r):
@@ -200,20 +203,34 @@ def map_by_template(documents: DataFrame, templates: DataFrame, blocks: DataFram
 
     A document whose template does not exist has null values: nothing is guessed.
     """
-    rows = _document_rows(documents.select("doc_id", "template_id"), blocks, cells)
-    fields = templates.select("template_id", F.transform("fields", _prepared).alias("fields"), _any_key(F.col("fields")).alias("any_key"))
-    rows = rows.join(fields, "template_id", "left")
-    searched = F.exists("fields", lambda f: F.upper(f["source_type"]) == "REGEX")
-    # one pass over the blocks leaves those that any of the template's patterns finds
+    fields = templates.select("template_id", F.transform("fields", _prepared).alias("fields"), _any_key(F.col("fields")).alias("any_key"), *[_any(F.col("fields"), of).alias(name) for name, of in _USES.items()])
+    rows = _document_rows(documents.select("doc_id", "template_id"), blocks, cells).join(fields, "template_id", "left")
+    # one pass over the blocks leaves those that any of the template's patterns finds; what no field of the template reads is not made
     keyed = F.filter("blocks", lambda b: b["key"].isNotNull() & F.when(F.col("any_key") != "", _matches(b["key"], F.col("any_key"))).otherwise(False))
-    rows = rows.withColumn("keyed", keyed).withColumn("text", F.when(searched, F.array_join(F.transform("blocks", lambda b: b["content"]), "\n")))
-    row = {n: F.col(n) for n in ("order", "mean", "keyed", "text", "tables")}
+    votes = F.filter(F.transform("blocks", lambda b: N.date_order_vote(b["content"])), lambda v: v.isNotNull())
+    text = F.array_join(F.transform("blocks", lambda b: b["content"]), "\n")
+    rows = rows.select(
+        "doc_id", "template_id", "fields", "blocks", keyed.alias("keyed"), F.when(F.col("dated"), M.first(votes)).alias("order"),
+        F.when(F.col("searched") & (F.size("blocks") > 0), text).alias("text"), F.when(F.col("tabled"), M.tables_of(F.col("cells"))).alias("tables"),
+    )
+    row = {n: F.col(n) for n in ("order", "keyed", "text", "tables")} | {"mean": M.array_mean4(F.transform("blocks", lambda b: b["confidence"]))}
     return rows.select("doc_id", "template_id", F.transform("fields", lambda f: _entry(f, row)).alias("values"))
 
 
+#: What the fields of a template read of a document beside its keys.
+_USES = {
+    "dated": lambda f: (F.upper(f["data_type"]) == "DATE") | F.exists(f["columns"], lambda c: F.upper(c["data_type"]) == "DATE"),
+    "searched": lambda f: F.upper(f["source_type"]) == "REGEX", "tabled": lambda f: F.upper(f["source_type"]) == "TABLE_CELL",
+}
+
+
+def _any(fields: Column, of) -> Column:
+    return F.exists(fields, lambda f: F.coalesce(of(f), F.lit(False)))
+
+
 def _prepared(f: Column) -> Column:
-    """What depends on the template alone: headers as they are compared, and the regex's group that counts."""
-    columns = F.transform(f["columns"], lambda c: c.withField("header", M.header_key(c["table_header"])))
+    """What depends on the template alone: headers as they are compared, names as JSON has them, and the regex's group that counts."""
+    columns = F.transform(f["columns"], lambda c: c.withField("header", M.header_key(c["table_header"])).withField("label", M.json_label(c["sub_property"])))
     return f.withField("columns", columns).withField("header", M.header_key(f["table_header"])).withField("regex_group", F.when(_groups(f["regex"]), 1).otherwise(0))
 
 
@@ -225,8 +242,11 @@ def _any_key(fields: Column) -> Column:
 
 
 def long_form(mapped: DataFrame) -> DataFrame:
-    """A row for each value."""
-    return mapped.select("doc_id", "template_id", F.inline("values"))
+    """A row for each value.
+
+    The outer form asks nothing of the values beforehand: a filter on them would be moved down and compute them all again.
+    """
+    return mapped.select("doc_id", "template_id", F.inline_outer("values")).where(F.col("below").isNotNull())
 
 
 def with_outcome(mapped: DataFrame) -> DataFrame:

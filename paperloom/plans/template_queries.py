@@ -68,22 +68,25 @@ def hard_blocks(spark, sf):
 
 
 def hard_cells(spark, sf):
+    """The cells of a line are made in one pass, those of the header with the first; they stay dealt by order."""
     rows = I.lines(spark, sf).where("l_orderkey % 17 <> 0")
     k, r = F.col("l_orderkey"), F.col("row_idx")
-    data = F.array(
+    texts = (
         F.when((k + r) % 4 != 0, F.col("l_quantity").cast("int").cast("string")), F.when(F.col("l_partkey") % 7 == 0, " ").otherwise(F.concat(F.lit("Part "), F.col("l_partkey"))), _dated(F.col("l_shipdate").cast("date"), k),
         F.when(F.col("l_partkey") % 11 == 0, "—").otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")), F.when(k % 3 == 0, F.col("l_tax").cast("decimal(18,2)").cast("string")),
     )
-    body = rows.select(k.alias("doc_id"), F.lit(1).alias("table_idx"), (r + 1).alias("row_idx"), F.posexplode(data).alias("at", "content"), F.lit(False).alias("is_header"))
+    def cell(table, row, column, text, is_header):
+        return F.struct(F.lit(table).alias("table_idx"), row.alias("row_idx"), F.lit(column).alias("col_idx"), text.alias("content"), F.lit(is_header).alias("is_header"))
+
     def head(table, row, column, text, when):
-        return F.when(when, F.struct(F.lit(table).alias("table_idx"), F.lit(row).alias("row_idx"), F.lit(column - 1).alias("at"), F.lit(text).alias("content")))
+        return cell(table, F.lit(row), column, F.when(when, text), True)
 
-    heads = F.array(
+    data = [cell(1, r + 1, column, text, False) for column, text in enumerate(texts, 1)]
+    heads = (
         head(0, 0, 1, "Qty", k % 8 == 0), head(0, 0, 2, "Item", k % 8 == 0), head(1, 0, 1, "Qty", k > 0), head(1, 0, 2, "DESCRIPTION", k > 0), head(1, 1, 2, "Item", k % 5 == 0), head(1, 0, 3, "Shipped", k > 0),
         head(1, 0, 4, "AMOUNT", k > 0), head(1, 0, 5, "Amount", k % 3 == 0),
     )
-    top = rows.where("row_idx = 1").select(k.alias("doc_id"), F.explode(F.array_compact(heads)).alias("h")).select("doc_id", "h.*", F.lit(True).alias("is_header"))
-    every = body.unionByName(top).where("content is not null").withColumn("col_idx", F.col("at") + 1)
+    every = rows.select(k.alias("doc_id"), F.inline(F.when(r == 1, F.array(*heads, *data)).otherwise(F.array(*data)))).where("content is not null")
     seed = F.col("doc_id") + F.col("row_idx") * 3 + F.col("col_idx")
     return every.select("doc_id", "table_idx", "row_idx", "col_idx", "is_header", "content", _confidence(seed, F.col("doc_id") + F.col("row_idx") * 3 + F.col("col_idx") * 5).alias("confidence"))
 
