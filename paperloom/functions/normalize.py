@@ -15,6 +15,8 @@ THAI_DIGITS, ARABIC_DIGITS = "๐๑๒๓๔๕๖๗๘๙", "0123456789"
 # The date and Buddhist-era patterns that results depend on.
 DATE_PATTERN = r"([0-9]{1,2})\s*[/\-.]\s*([0-9]{1,2})\s*[/\-.]\s*([0-9]{2,4})"
 BUDDHIST_PATTERN = r"พ\.?\s?ศ\.?"
+WHITE_ENDS, CANONICAL_NUMBER = r"(?U)^\s+|\s+$", r"^(0|[1-9][0-9]{0,14})(\.[0-9]{1,10})?\z"
+USUAL_DATE = r"^[0-9]{2}[/\-.][0-9]{2}[/\-.](1[0-9]{3}|2[0-3][0-9]{2})\z"  # of DATE_PATTERN, before BUDDHIST_FROM
 BUDDHIST_OFFSET, BUDDHIST_FROM, CENTURY_PIVOT = 543, 2400, 50
 
 
@@ -31,9 +33,14 @@ def _plain(s: Column) -> Column:
     return F.length(s) == F.octet_length(s)
 
 
+def _tight(s: Column) -> Column:
+    """Whether a text has ASCII characters only, the first and the last of them visible: nothing to trim or to translate."""
+    return _plain(s) & (F.ascii(s) > 32) & (F.ascii(F.substring(s, -1, 1)) > 32)
+
+
 def trimmed(s: Column) -> Column:
-    """Trim of all Unicode white space, not only blanks; an ASCII text between two visible characters has none."""
-    return F.when(_plain(s) & (F.ascii(s) > 32) & (F.ascii(F.substring(s, -1, 1)) > 32), s).otherwise(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    """Trim of all Unicode white space, not only blanks."""
+    return F.when(_tight(s), s).otherwise(F.regexp_replace(s, WHITE_ENDS, ""))
 
 
 def blank_to_null(s: Column) -> Column:
@@ -69,7 +76,10 @@ def number_text(s: Column) -> Column:
         full = F.when(n.startswith("-."), F.concat(F.lit("-0"), F.substr(n, F.lit(2)))).otherwise(n)
         return F.when(zero, F.substr(full, F.lit(2))).otherwise(full)
 
-    return bound(F.regexp_replace(arabic_digits(s), r"[^0-9.\-]", ""), lambda kept: F.when(kept != "", bound(signed(kept), canonical)))
+    def parsed(text):
+        return bound(F.regexp_replace(arabic_digits(text), r"[^0-9.\-]", ""), lambda kept: F.when(kept != "", bound(signed(kept), canonical)))
+
+    return bound(s, lambda text: F.when(text.rlike(CANONICAL_NUMBER), text).otherwise(parsed(text)))
 
 
 def number(s: Column, scale: int = 10) -> Column:
@@ -101,7 +111,7 @@ def date_value(s: Column, order: Column) -> Column:
         month_first = F.when(a > 12, False).when(b > 12, True).otherwise(F.coalesce(order == "M", F.lit(False)))
         full = F.when(y < 100, y + F.when(y >= CENTURY_PIVOT, 1900).otherwise(2000)).otherwise(y)
         known = F.struct(a.alias("a"), b.alias("b"), full.alias("y"), month_first.alias("swap"))
-        return bound(known, lambda d: bound(d["y"] - F.when((d["y"] >= BUDDHIST_FROM) | text.rlike(BUDDHIST_PATTERN), BUDDHIST_OFFSET).otherwise(0), lambda year: day(d, year)))
+        return bound(known, lambda d: bound(d["y"] - F.when((d["y"] >= BUDDHIST_FROM) | (~_plain(text) & text.rlike(BUDDHIST_PATTERN)), BUDDHIST_OFFSET).otherwise(0), lambda year: day(d, year)))
 
     def day(d, year):
         first, second = F.lpad(d["a"].cast("string"), 2, "0"), F.lpad(d["b"].cast("string"), 2, "0")
@@ -134,19 +144,38 @@ def _integer(num: Column) -> Column:
 
 def typed_text(s: Column, data_type: Column | str, order: Column) -> Column:
     """Canonical text of a value of the type; what does not parse, and any STRING, is its Arabic-digit text; blank is null."""
+    return typed_as(s, F.upper(data_type) if isinstance(data_type, Column) else data_type.upper(), order)
+
+
+def typed_as(s: Column, kind: Column | str, order: Column) -> Column:
+    """``typed_text`` by a type in capitals."""
     makers = {
         "DECIMAL": lambda p: F.coalesce(number_text(p), p), "INT": lambda p: F.coalesce(_integer(number_text(p)), p),
         "BOOL": lambda p: F.when(F.lower(p).isin("1", "true", "yes", "y"), "True").otherwise("False"), "DATE": lambda p: F.coalesce(date_text(p, order), p),
     }
-    if isinstance(data_type, Column):
+    if isinstance(kind, Column):
         def make(p):
             value = p
             for name, maker in makers.items():
-                value = F.when(F.upper(data_type) == name, maker(p)).otherwise(value)
+                value = F.when(kind == name, maker(p)).otherwise(value)
             return value
     else:
-        make = makers.get(data_type.upper(), lambda p: p)
-    return bound(s, lambda x: bound(arabic_digits(x), lambda text: bound(trimmed(text), lambda p: F.when(p != "", make(p)))))
+        make = makers.get(kind, lambda p: p)
+    def cleaned(text):
+        return F.when(_tight(text), text).otherwise(F.regexp_replace(F.translate(text, THAI_DIGITS, ARABIC_DIGITS), WHITE_ENDS, ""))
+
+    def usual(text):
+        """What most values are needs no rule: a canonical number, a date in fixed places, a text as it stays."""
+        a, b = F.substring(text, 1, 2), F.substring(text, 4, 2)
+        swap = F.when(a > "12", False).when(b > "12", True).otherwise(F.coalesce(order == "M", F.lit(False)))
+        day = F.concat_ws("-", F.substring(text, 7, 4), F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a)).try_cast("date")
+        number = text.rlike(CANONICAL_NUMBER)
+        return (
+            F.when((kind == "DECIMAL") & number, text).when((kind == "INT") & number, F.substring_index(text, ".", 1)).when((kind == "STRING") & _tight(text), text)
+            .when((kind == "DATE") & text.rlike(USUAL_DATE), F.coalesce(day.cast("string"), text)).otherwise(bound(cleaned(text), lambda p: F.when(p != "", make(p))))
+        )
+
+    return bound(s, usual if isinstance(kind, Column) else lambda text: bound(cleaned(text), lambda p: F.when(p != "", make(p))))
 
 
 def typed_cell(s: Column, data_type: Column | str, order: Column) -> Column:

@@ -113,18 +113,14 @@ def nested_tables(cells: DataFrame) -> DataFrame:
 def cell_entry() -> Column:
     """A cell as one value, which sorts by its place; null if it is neither header nor data."""
     text = F.when(F.col("is_header"), header_key(F.col("content"))).otherwise(F.col("content"))
-    return F.when(F.col("is_header").isNotNull(), F.struct("table_idx", "row_idx", "col_idx", "is_header", text.alias("text"), "confidence"))
+    return F.when(F.col("is_header").isNotNull(), F.struct("table_idx", "row_idx", "col_idx", "is_header", text.alias("content"), "confidence"))
 
 
 def tables_of(entries: Column) -> Column:
     """A document's tables from its cells in any order (``cell_entry``)."""
-    def row(cells):
-        return F.struct(first(cells)["row_idx"].alias("row_idx"), F.transform(cells, lambda c: F.struct(c["col_idx"].alias("col_idx"), c["text"].alias("content"), c["confidence"].alias("confidence"))).alias("cells"))
-
     def table(cells):
-        heads = F.transform(F.filter(cells, lambda c: c["is_header"]), lambda c: F.struct(c["col_idx"].alias("col_idx"), c["text"].alias("name")))
-        rows = N.bound(F.filter(cells, lambda c: ~c["is_header"]), lambda data: F.transform(_runs(data, "row_idx"), row))
-        return F.struct(first(cells)["table_idx"].alias("table_idx"), heads.alias("heads"), rows.alias("rows"))
+        rows = N.bound(F.filter(cells, lambda c: ~c["is_header"]), lambda data: F.transform(_runs(data, "row_idx"), lambda row: F.struct(first(row)["row_idx"].alias("row_idx"), row.alias("cells"))))
+        return F.struct(first(cells)["table_idx"].alias("table_idx"), F.filter(cells, lambda c: c["is_header"]).alias("heads"), rows.alias("rows"))
 
     return N.bound(F.sort_array(entries), lambda cells: F.transform(_runs(cells, "table_idx"), table))
 
@@ -148,22 +144,30 @@ def header_key(header: Column) -> Column:
 
 def _column_of(table: Column, header: Column) -> Column:
     """The column of the table's first header cell of that name; null if there is none."""
-    return first(F.filter(table["heads"], lambda h: h["name"] == header))["col_idx"]
+    return first(F.filter(table["heads"], lambda h: h["content"] == header))["col_idx"]
 
 
 def _cell_at(row: Column, column: Column) -> Column:
-    return first(F.filter(row["cells"], lambda c: c["col_idx"] == column))
+    """The row's first cell in the column, which is often as far on as the column's number."""
+    cells, near = row["cells"], lambda k: F.get(row["cells"], column - k)["col_idx"]
+    return F.when((near(1) == column) & ((column == 1) | (near(2) < column)), F.get(cells, column - 1)).when(column.isNotNull(), first(F.filter(cells, lambda c: c["col_idx"] == column)))
 
 
-def array_mean4(values: Column) -> Column:
-    """The mean of an array's values that are not null, to four places; null without any."""
+def array_mean4(values: Column, exact: str = _WIDE) -> Column:
+    """The mean of an array's values that are not null, to four places; null without any.  ``exact`` holds their sums (``sum_type``)."""
     def of(known):
-        total = F.aggregate(known, F.lit(0).cast(_WIDE), lambda a, x: (a + x.cast(_WIDE)).cast(_WIDE))
-        return F.when(F.size(known) > 0, round4(total / F.size(known)))
+        total = F.aggregate(known, F.lit(0).cast(exact), lambda a, x: (a + x.cast(exact)).cast(exact))
+        return F.when(F.size(known) == 1, round4(first(known).cast(_WIDE))).when(F.size(known) > 0, round4(total.cast(_WIDE) / F.size(known)))
 
     return N.bound(F.filter(values, lambda x: x.isNotNull()), of)
 
 
+def sum_type(kind: str) -> str:
+    """A decimal type that holds sums of a hundred million values of the type: a short one, kept as a number of the machine, if that will do."""
+    found = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
+    return f"decimal({int(found[1]) + 8},{found[2]})" if found and int(found[1]) <= 10 else _WIDE
+
+
 def _selected(items: Column, selector: Column, default: str) -> Column:
     """The array's first, its last, or all of its items."""
     pick = F.coalesce(selector, F.lit(default))
@@ -172,17 +176,17 @@ def _selected(items: Column, selector: Column, default: str) -> Column:
     return F.when(pick == "LAST", F.slice(items, -1, 1)).when(pick == some, all_).otherwise(one)
 
 
-def single_cell(tables: Column, header: Column, selector: Column, data_type: Column | str, order: Column, otherwise: Column) -> Column:
-    """The result of a single-cell field: of the first table that has its header over a column with data."""
+def single_cell(tables: Column, header: Column, selector: Column, kind: Column | str, order: Column, otherwise: Column, exact: str = _WIDE) -> Column:
+    """The result of a single-cell field of a type in capitals: of the first table that has its header over a column with data."""
     def in_table(t):
         return N.bound(_column_of(t, header), lambda c: F.struct(t["table_idx"].alias("table_idx"), c.alias("col_idx"), F.filter(F.transform(t["rows"], lambda r: _cell_at(r, c)), lambda x: x.isNotNull()).alias("cells")))
 
     def found(hit):
         def of(chosen):
             raw = F.array_join(F.transform(chosen, lambda x: F.coalesce(x["content"], F.lit(""))), " | ")
-            value = F.when(selector == "ALL", raw).otherwise(N.typed_text(raw, data_type, order))
+            value = F.when(selector == "ALL", raw).otherwise(N.typed_as(raw, kind, order))
             ref = F.concat(F.lit("Table:"), hit["table_idx"], F.lit("/Col:"), hit["col_idx"])
-            return result(raw, value, F.coalesce(array_mean4(F.transform(chosen, lambda x: x["confidence"])), F.lit(0)), ref)
+            return result(raw, value, F.coalesce(array_mean4(F.transform(chosen, lambda x: x["confidence"]), exact), F.lit(0)), ref)
 
         return F.when(hit.isNotNull(), N.bound(_selected(hit["cells"], selector, "FIRST"), of)).otherwise(otherwise)
 
@@ -190,29 +194,28 @@ def single_cell(tables: Column, header: Column, selector: Column, data_type: Col
     return N.bound(first(usable), found)
 
 
-def table_rows(tables: Column, header: Column, columns: Column, selector: Column, order: Column) -> Column:
+def table_rows(tables: Column, header: Column, columns: Column, selector: Column, order: Column, exact: str = _WIDE) -> Column:
     """A table field's rows: struct(table_idx, rows: array of row_idx and values, confidence), or null if no table fits.
 
-    ``columns`` is an array of struct(header, data_type).  It is the first table with the field's header, a header of a
+    ``columns`` is an array of struct(header, kind: the type in capitals).  It is the first table with the field's header, a header of a
     column, and a data row.  Every data row is an item; what has no column or no cell is null.
     """
     def resolved(t):
-        known = F.transform(columns, lambda c: F.struct(_column_of(t, c["header"]).alias("col_idx"), c["data_type"].alias("data_type")))
-        return F.struct(t["table_idx"].alias("table_idx"), t["rows"].alias("rows"), known.alias("columns"))
+        return F.struct(t["table_idx"].alias("table_idx"), t["rows"].alias("rows"), F.transform(columns, lambda c: _column_of(t, c["header"])).alias("columns"))
 
     def items(t):
         def found(rows):
-            return F.transform(rows, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(t["columns"], lambda c: F.struct(_cell_at(r, c["col_idx"]).alias("cell"), c["data_type"].alias("data_type"))).alias("cells")))
+            return F.transform(rows, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(t["columns"], lambda at: _cell_at(r, at)).alias("cells")))
 
-        def of(cells):
-            made = F.transform(cells, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(r["cells"], lambda c: N.typed_text(c["cell"]["content"], c["data_type"], order)).alias("values")))
-            confidence = array_mean4(F.flatten(F.transform(cells, lambda r: F.transform(r["cells"], lambda c: c["cell"]["confidence"]))))
+        def of(rows):
+            made = F.transform(rows, lambda r: F.struct(r["row_idx"].alias("row_idx"), F.zip_with(columns, r["cells"], lambda c, cell: N.typed_as(cell["content"], c["kind"], order)).alias("values")))
+            confidence = array_mean4(F.flatten(F.transform(rows, lambda r: F.transform(r["cells"], lambda cell: cell["confidence"]))), exact)
             return F.struct(t["table_idx"].alias("table_idx"), made.alias("rows"), confidence.alias("confidence"))
 
         return F.when(t.isNotNull(), N.bound(found(_selected(t["rows"], selector, "ALL")), of))
 
-    anchored = F.filter(tables, lambda t: F.exists(t["heads"], lambda h: h["name"] == header) & (F.size(t["rows"]) > 0))
-    usable = F.filter(F.transform(anchored, resolved), lambda t: F.exists(t["columns"], lambda c: c["col_idx"].isNotNull()))
+    anchored = F.filter(tables, lambda t: F.exists(t["heads"], lambda h: h["content"] == header) & (F.size(t["rows"]) > 0))
+    usable = F.filter(F.transform(anchored, resolved), lambda t: F.exists(t["columns"], lambda at: at.isNotNull()))
     return N.bound(first(usable), items)
 
 
@@ -229,7 +232,7 @@ def _sub_columns(field: FieldSpec) -> list:
 
 
 def _rows_of(field: FieldSpec, order: Column) -> Column:
-    columns = F.array(*[F.struct(_key(c.table_header).alias("header"), F.lit(c.data_type).alias("data_type")) for c in _sub_columns(field)])
+    columns = F.array(*[F.struct(_key(c.table_header).alias("header"), F.lit(c.data_type.upper()).alias("kind")) for c in _sub_columns(field)])
     return table_rows(F.col("tables"), _key(field.table_header), columns, _lit(field.row_selector), order)
 
 
@@ -240,7 +243,7 @@ def _with_order(cells: DataFrame, orders: DataFrame | None) -> DataFrame:
 
 def resolve_cells(fields: list[FieldSpec], cells: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """doc_id and a column f<id> for each single-cell field."""
-    found = [single_cell(F.col("tables"), _key(f.table_header), _lit(f.row_selector), f.data_type, F.col("order"), empty_result(f)).alias(f"f{f.field_id}") for f in fields]
+    found = [single_cell(F.col("tables"), _key(f.table_header), _lit(f.row_selector), f.data_type.upper(), F.col("order"), empty_result(f)).alias(f"f{f.field_id}") for f in fields]
     return _with_order(cells, orders).select("doc_id", *found)
 
 
@@ -290,7 +293,10 @@ def json_label(name: Column) -> Column:
 
 def json_of(value: Column, data_type: Column) -> Column:
     """``json_text`` with the type in a column."""
-    kind = F.upper(data_type)
+    return _json_as(value, F.upper(data_type))
+
+
+def _json_as(value: Column, kind: Column) -> Column:
     plain = kind.isin("DECIMAL", "INT") & value.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
     return F.when(value.isNull(), "null").when(plain, value).when((kind == "BOOL") & value.isin("True", "False"), F.lower(value)).otherwise(json_string(value))
 
@@ -314,9 +320,9 @@ def items_json(rows: DataFrame, field: FieldSpec) -> DataFrame:
 
 
 def rows_json(rows: Column, columns: Column) -> Column:
-    """Rows of values as a JSON array of objects; ``columns`` is an array of struct(label, data_type), see ``json_label``."""
+    """Rows of values as a JSON array of objects; ``columns`` is an array of struct(label, kind), see ``json_label`` and ``table_rows``."""
     def one(row):
-        members = F.zip_with(columns, row["values"], lambda c, value: F.concat(c["label"], json_of(value, c["data_type"])))
+        members = F.zip_with(columns, row["values"], lambda c, value: F.concat(c["label"], _json_as(value, c["kind"])))
         return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
     return F.concat(F.lit("["), F.array_join(F.transform(rows, one), ","), F.lit("]"))
@@ -334,14 +340,14 @@ def map_wide(template: TemplateSpec, blocks: DataFrame, cells: DataFrame, docume
         wide = documents.select("doc_id").join(wide, "doc_id", "left")
     if singles or arrays:
         wide = wide.join(nested_tables(cells), "doc_id", "outer" if documents is None else "left").withColumns(
-            {f"f{f.field_id}": single_cell(F.col("tables"), _key(f.table_header), _lit(f.row_selector), f.data_type, F.col("order"), empty_result(f)) for f in singles}
+            {f"f{f.field_id}": single_cell(F.col("tables"), _key(f.table_header), _lit(f.row_selector), f.data_type.upper(), F.col("order"), empty_result(f)) for f in singles}
             | {f"t{f.field_id}": _rows_of(f, F.col("order")) for f in arrays}
         )
     entries = []
     for i, f in enumerate(template.fields):
         if f in arrays:  # a missing table is an empty list without confidence
             t = F.col(f"t{f.field_id}")
-            labels = F.array(*[F.struct(json_label(F.lit(c.sub_property)).alias("label"), F.lit(c.data_type).alias("data_type")) for c in _sub_columns(f)])
+            labels = F.array(*[F.struct(json_label(F.lit(c.sub_property)).alias("label"), F.lit(c.data_type.upper()).alias("kind")) for c in _sub_columns(f)])
             raw, value, confidence = _lit(None), F.coalesce(rows_json(t["rows"], labels), F.lit("[]")), t["confidence"]
             ref = F.concat(F.lit("Table:"), t["table_idx"], F.lit("/rows:"), F.size(t["rows"]))
         else:

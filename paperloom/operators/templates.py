@@ -156,27 +156,25 @@ def _document_rows(documents: DataFrame, blocks: DataFrame, cells: DataFrame) ->
     return whole.select("doc_id", F.inline("askeds"), F.sort_array("blocks").alias("blocks"), "cells")
 
 
-def _entry(f: Column, row: dict[str, Column]) -> Column:
-    """A field's struct of the long form, from its specification ``f`` and the document's row."""
-    kind = F.upper(f["source_type"])
-    is_array = (kind == "TABLE_CELL") & (F.coalesce(F.size(f["columns"]), F.lit(0)) > 0)
+def _entry(f: Column, row: dict[str, Column], exact: str) -> Column:
+    """A field's struct of the long form, from its specification ``f`` and the document's row; ``exact`` holds sums of its cells' confidences."""
+    kind, is_array, has_steps = f["source"], f["is_array"], f["has_steps"]
     empty = M.result(F.lit(None), f["default_value"], F.lit(0), F.lit(None))
-    case_blind = lambda p: F.concat(F.lit("(?iu)"), p)
 
     def key_value(hit):
-        found = M.result(hit["value"], N.typed_text(hit["value"], f["data_type"], row["order"]), hit["confidence"], F.concat(F.lit("TextBlock:"), hit["block_id"]))
+        found = M.result(hit["value"], N.typed_as(hit["value"], f["kind"], row["order"]), hit["confidence"], F.concat(F.lit("TextBlock:"), hit["block_id"]))
         return F.when(hit.isNotNull(), found).otherwise(empty)
 
     def searched(pattern):
         raw = F.call_function("regexp_extract", row["text"], pattern, f["regex_group"])
-        found = N.bound(raw, lambda r: M.result(r, N.typed_text(r, f["data_type"], row["order"]), F.coalesce(row["mean"], F.lit(0)), F.lit("Regex:fulltext")))
+        found = N.bound(raw, lambda r: M.result(r, N.typed_as(r, f["kind"], row["order"]), F.coalesce(row["mean"], F.lit(0)), F.lit("Regex:fulltext")))
         return F.when(_matches(row["text"], pattern), found).otherwise(empty)
 
-    first_hit = M.first(F.filter(row["keyed"], lambda b: _matches(b["key"], case_blind(f["key_pattern"]))))
+    first_hit = M.first(F.filter(row["keyed"], lambda b: _matches(b["key"], f["key_pattern"])))
     scalar = (
         F.when((kind == "KEY_VALUE") & f["key_pattern"].isNotNull(), N.bound(first_hit, key_value))
-        .when((kind == "REGEX") & f["regex"].isNotNull() & row["text"].isNotNull(), N.bound(case_blind(f["regex"]), searched))
-        .when(kind == "TABLE_CELL", M.single_cell(row["tables"], f["header"], f["row_selector"], f["data_type"], row["order"], empty))
+        .when((kind == "REGEX") & f["regex"].isNotNull() & row["text"].isNotNull(), searched(f["regex"]))
+        .when(kind == "TABLE_CELL", M.single_cell(row["tables"], f["header"], f["row_selector"], f["kind"], row["order"], empty, exact))
         .when(kind == "CONSTANT", M.result(f["default_value"], f["default_value"], F.lit(1), F.lit(None)))
         .when(kind.isin("KEY_VALUE", "REGEX"), empty).otherwise(M.result(F.lit(None), F.lit(None), F.lit(0), F.lit(None)))
     )
@@ -185,8 +183,7 @@ def _entry(f: Column, row: dict[str, Column]) -> Column:
         ref = F.concat(F.lit("Table:"), t["table_idx"], F.lit("/rows:"), F.size(t["rows"]))
         return M.result(F.lit(None), F.coalesce(M.rows_json(t["rows"], f["columns"]), F.lit("[]")), t["confidence"], ref)
 
-    table = M.table_rows(row["tables"], f["header"], f["columns"], f["row_selector"], row["order"])
-    has_steps = F.coalesce(F.size(f["steps"]), F.lit(0)) > 0
+    table = M.table_rows(row["tables"], f["header"], f["columns"], f["row_selector"], row["order"], exact)
 
     def finished(r):
         value = F.when(has_steps & ~is_array, _stepped(F.coalesce(r["normalized"], r["raw"]), f["steps"])).otherwise(r["normalized"])
@@ -213,8 +210,9 @@ def map_by_template(documents: DataFrame, templates: DataFrame, blocks: DataFram
         "doc_id", "template_id", "fields", "blocks", keyed.alias("keyed"), F.when(F.col("dated"), M.first(votes)).alias("order"),
         F.when(F.col("searched") & (F.size("blocks") > 0), text).alias("text"), F.when(F.col("tabled"), M.tables_of(F.col("cells"))).alias("tables"),
     )
-    row = {n: F.col(n) for n in ("order", "keyed", "text", "tables")} | {"mean": M.array_mean4(F.transform("blocks", lambda b: b["confidence"]))}
-    return rows.select("doc_id", "template_id", F.transform("fields", lambda f: _entry(f, row)).alias("values"))
+    row = {n: F.col(n) for n in ("order", "keyed", "text", "tables")} | {"mean": M.array_mean4(F.transform("blocks", lambda b: b["confidence"]), M.sum_type(dict(blocks.dtypes)["confidence"]))}
+    exact = M.sum_type(dict(cells.dtypes)["confidence"])
+    return rows.select("doc_id", "template_id", F.transform("fields", lambda f: _entry(f, row, exact)).alias("values"))
 
 
 #: What the fields of a template read of a document beside its keys.
@@ -229,9 +227,16 @@ def _any(fields: Column, of) -> Column:
 
 
 def _prepared(f: Column) -> Column:
-    """What depends on the template alone: headers as they are compared, names as JSON has them, and the regex's group that counts."""
-    columns = F.transform(f["columns"], lambda c: c.withField("header", M.header_key(c["table_header"])).withField("label", M.json_label(c["sub_property"])))
-    return f.withField("columns", columns).withField("header", M.header_key(f["table_header"])).withField("regex_group", F.when(_groups(f["regex"]), 1).otherwise(0))
+    """What depends on the template alone: headers and patterns as they are compared, types in capitals, names as JSON has them, and the regex's group that counts."""
+    def some(parts):
+        return F.coalesce(F.size(parts), F.lit(0)) > 0
+
+    columns = F.transform(f["columns"], lambda c: c.withField("header", M.header_key(c["table_header"])).withField("label", M.json_label(c["sub_property"])).withField("kind", F.upper(c["data_type"])))
+    own = {
+        "columns": columns, "header": M.header_key(f["table_header"]), "regex_group": F.when(_groups(f["regex"]), 1).otherwise(0), "kind": F.upper(f["data_type"]), "source": F.upper(f["source_type"]),
+        "key_pattern": F.concat(F.lit("(?iu)"), f["key_pattern"]), "regex": F.concat(F.lit("(?iu)"), f["regex"]), "is_array": (F.upper(f["source_type"]) == "TABLE_CELL") & some(f["columns"]), "has_steps": some(f["steps"]),
+    }
+    return reduce(lambda made, name: made.withField(name, own[name]), own, f)
 
 
 def _any_key(fields: Column) -> Column:

@@ -81,3 +81,16 @@ def test_column_structures(spark):
     assert got == [
         (1, 1, "qty", "INT", 0, 1, 0.1, False), (1, 2, "size", "STRING", 1, 2, 0.4, False), (2, 1, "own", "DATE", 2, 1, 0.2, False), (3, 1, "x", "STRING", 0, 1, 0.1, True), (3, 2, "y", "STRING", 0, 2, 0.2, True),
     ]
+
+
+def test_types_in_a_column_give_what_fixed_types_give(spark):
+    texts = ["1", "0", "007", "1.", "1.50", "0.50", ".5", "-0", "12-", " 5 ", "๑๒", "12\n", "1.12345678901", "1234567890123456", "12/31/2019", "31/12/2019", "03/04/2019", "03-04.2019", "30/02/2019", "13/13/2019", "01/02/2399", "01/02/2400", "01/02/2562",
+             "01/02/0999", "1/2/19", "12/31/2019\n", " 03/04/2019", "๐๓/๐๔/๒๕๖๒", "พ.ศ. 03/04/2019", "true", "No", "a\n", " b", "c ", "", " ", "—", "\x1f", None]
+    kinds = ("DECIMAL", "INT", "DATE", "BOOL", "STRING", "Date", "other")
+    df = spark.createDataFrame([(t, k, o) for t in texts for k in kinds for o in ("M", "D", None)], "t string, k string, o string")
+    fixed = F.coalesce(*[F.when(F.col("k") == k, N.typed_text(F.col("t"), k, F.col("o"))) for k in kinds])
+    rows = df.select("t", "k", "o", N.typed_text(F.col("t"), F.col("k"), F.col("o")).alias("a"), fixed.alias("b")).collect()
+    assert [r for r in rows if r.a != r.b] == []
+    got = {(r.t, r.k, r.o): r.a for r in rows}
+    assert got["03/04/2019", "DATE", "M"] == "2019-03-04" and got["03/04/2019", "DATE", None] == "2019-04-03" and got["12/31/2019", "DATE", "D"] == "2019-12-31" and got["30/02/2019", "DATE", "D"] == "30/02/2019"
+    assert got["01/02/2562", "DATE", "D"] == "2019-02-01" and got["1.50", "INT", None] == "1" and got["007", "DECIMAL", None] == "7" and got["๐๓/๐๔/๒๕๖๒", "DATE", "D"] == "2019-04-03" and got[" b", "STRING", None] == "b"

@@ -108,3 +108,29 @@ def test_zonal_steps(spark):
     tables = spark.createDataFrame([], "doc_id bigint, field_id int, items_json string, n_rows int, confidence decimal(5,4)")
     got = {r.field_id: (r.normalized, r.source_ref) for r in M.map_zonal(t, scalars, tables).collect()}
     assert got == {1: ("AB", "Zone"), 2: ("q", None)}
+
+
+def test_values_are_computed_once_from_one_grouping(spark, tmp_path):
+    from paperloom.plans import template_queries as Q
+
+    spark.range(40).selectExpr("id AS o_orderkey", "double(id) AS o_totalprice", "timestamp'2024-02-03 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(120).selectExpr(
+        "id % 40 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "cast(id AS int) AS l_linenumber", "double(id) AS l_quantity", "double(id) AS l_extendedprice", "0.1D AS l_discount", "0.05D AS l_tax", "'N' AS l_returnflag",
+        "'O' AS l_linestatus", "timestamp'2024-01-02 00:00:00' AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = Q.map_many_templates(spark, str(tmp_path))
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter (" in line and "transform(" in line]  # no filter computes the values beforehand
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and plan.count("Exchange hashpartitioning") == 5  # lines, blocks and documents by document, two by template
+    got = {(r.doc_id, r.target_property): r.normalized for r in query.collect()}
+    assert len(got) == 150 and got[4, "invoice_date"] == "2024-02-03" and got[1, "first_qty"] == "1" and got[5, "first_qty"] == "5"
+
+
+def test_repeated_documents_and_ids_that_are_null(spark):
+    spec = TemplateSpec(7, (FieldSpec(1, "a", key_pattern="^a$"), FieldSpec(2, "t", "TABLE_CELL", table_header="q", row_selector="ALL"), FieldSpec(3, "r", "REGEX", regex="x*")))
+    docs = spark.createDataFrame([(1, 7), (1, 7), (1, None), (None, 7), (2, 7)], "doc_id bigint, template_id int")
+    b = spark.createDataFrame([(1, 1, 1, "a: v", C), (None, 1, 1, "a: w", C), (3, 1, 1, "a: z", C)], BLOCKS)
+    c = spark.createDataFrame([(1, 1, 0, 1, True, "Q", C), (1, 1, 1, 1, False, "5", C), (1, 1, 2, 1, None, "6", C), (1, 1, 3, 1, False, "7", None), (None, 1, 0, 1, True, "Q", C), (None, 1, 1, 1, False, "8", C)], CELLS)
+    rows = X.long_form(X.map_by_template(docs, spark.createDataFrame([X.template_row(spec)], X.TEMPLATES), b, c)).collect()
+    assert sorted((r.doc_id or 0, r.field_id, r.raw, r.source_ref) for r in rows if r.doc_id == 1) == [(1, k, raw, ref) for k, raw, ref in ((1, "v", "TextBlock:1"), (2, "5 | 7", "Table:1/Col:1"), (3, "", "Regex:fulltext")) for _ in range(2)]
+    assert [(r.raw, r.source_ref) for r in rows if r.doc_id != 1] == [(None, None)] * 6  # neither blocks nor cells, and a text that is not there is not searched
