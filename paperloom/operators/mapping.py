@@ -34,8 +34,8 @@ def mean4(x: Column) -> Column:
 def split_key(blocks: DataFrame) -> DataFrame:
     """Add key and value: the text before and after the first colon, null without a key."""
     at = F.instr("content", ":")
-    key = F.when(at > 1, N.trimmed(F.expr("substring(content, 1, instr(content, ':') - 1)")))
-    value = F.when(at > 1, N.trimmed(F.expr("substring(content, instr(content, ':') + 1)")))
+    key = F.when(at > 1, F.regexp_replace(F.expr("substring(content, 1, instr(content, ':') - 1)"), N.WHITE_ENDS, ""))
+    value = F.when(at > 1, F.regexp_replace(F.expr("substring(content, instr(content, ':') + 1)"), N.WHITE_ENDS, ""))
     return blocks.withColumn("key", key).withColumn("value", value)
 
 
